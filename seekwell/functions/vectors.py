@@ -7,6 +7,8 @@ through `operators.scoring`, which multiplies blocks.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..constants import SHOWN_DECIMALS
+
 
 def norm(vector: Column) -> Column:
     total = F.aggregate(
@@ -41,3 +43,10 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def similarity_from_distance(distance: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + distance)
+
+
+def shown(score: Column) -> Column:
+    """A score rounded for output with plain double arithmetic, so that any
+    engine gives the same digits."""
+    scale = float(10**SHOWN_DECIMALS)
+    return F.floor(score * scale + 0.5) / F.lit(scale)

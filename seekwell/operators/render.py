@@ -7,7 +7,7 @@ them into one array is bounded.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SHOWN_DECIMALS
+from ..functions.vectors import shown
 
 # Fixed value: the first line of the prompt form.
 PROMPT_HEADING = "The relevant data may be in these files:\n"
@@ -19,7 +19,7 @@ def ranked_lists(queries: DataFrame, files: DataFrame) -> DataFrame:
     grouped = files.groupBy("query_id").agg(
         F.sort_array(
             F.collect_list(
-                F.struct("rank", F.round("score", SHOWN_DECIMALS).alias("score"), "path")
+                F.struct("rank", shown(F.col("score")).alias("score"), "path")
             )
         ).alias("files")
     )

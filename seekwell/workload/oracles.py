@@ -91,7 +91,7 @@ top AS (SELECT * FROM ranked WHERE rank <= 100 AND score >= cutoff)"""
 
 _BEST = """
 best AS (SELECT query_id, path, max(score) AS exact FROM top GROUP BY query_id, path),
-ordered AS (SELECT query_id, path, round(exact, 6) AS score,
+ordered AS (SELECT query_id, path, floor(exact * 1e6 + 0.5) / 1e6 AS score,
                    row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, path) AS rank
             FROM best)"""
 _VECTOR_FILES = f"WITH {_vector_top()}, {_BEST} SELECT * FROM ordered"
@@ -191,7 +191,7 @@ ORACLES: dict[str, str] = {
     "search_cosine": _VECTOR_FILES,
     "search_l2sim": f"WITH {_vector_top(_L2SIM)}, {_BEST} SELECT * FROM ordered",
     "search_top_chunks": f"""WITH {_vector_top()}
-        SELECT query_id, path, round(score, 6) AS score, rank, chunk_id, chunk_index FROM top""",
+        SELECT query_id, path, floor(score * 1e6 + 0.5) / 1e6 AS score, rank, chunk_id, chunk_index FROM top""",
     "search_batch_per_query_cutoff": f"""WITH {_vector_top(
             match="folder = 'set_' || query_id",
             cutoff="CASE WHEN query_id % 2 = 1 THEN 0.8 ELSE 0.3 END")}, {_BEST}

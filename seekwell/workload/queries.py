@@ -5,7 +5,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import SHOWN_DECIMALS, TOKENS_PER_CHUNK
+from ..constants import TOKENS_PER_CHUNK
 from ..functions import ids, paths, text, vectors
 from ..operators import ann, chunking, diff, filters, ignore, packing, render, scoring
 from ..operators.embedding import hashed_words_sparse
@@ -44,7 +44,7 @@ def _shown(files: DataFrame, *more: str) -> DataFrame:
     return files.select(
         "query_id",
         "path",
-        F.round("score", SHOWN_DECIMALS).alias("score"),
+        vectors.shown(F.col("score")).alias("score"),
         F.col("rank").cast("long").alias("rank"),
         *more,
     )
