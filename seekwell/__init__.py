@@ -2,6 +2,7 @@
 
 from .operators.embedding import FunctionEmbedder, HashedWords
 from .plans import (
+    CellIndex,
     FileRules,
     IndexSettings,
     SearchIndex,
@@ -13,6 +14,6 @@ from .plans import (
 from .session import local_session
 
 __all__ = [
-    "FileRules", "FunctionEmbedder", "HashedWords", "IndexSettings", "SearchIndex", "answers",
+    "CellIndex", "FileRules", "FunctionEmbedder", "HashedWords", "IndexSettings", "SearchIndex", "answers",
     "local_session", "search", "search_batch", "search_with_snippets",
 ]

@@ -16,10 +16,11 @@ def is_not_blank(text: Column) -> Column:
 def lines(text: Column) -> Column:
     """The lines of a text: `\\n` or `\\r\\n` end a line, and the end of the
     text does not start another one."""
-    parts = F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
+    unified = F.regexp_replace(text, "\r\n", "\n")
+    body = F.regexp_replace(unified, r"\n\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(body, "\n", -1)
+    )
 
 
 def line_count(text: Column) -> Column:

@@ -13,9 +13,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import MAX_BROADCAST_BYTES, SEARCH_DEPTH
 from ..schemas import HITS
+from ..session import materialize
 from .embedding import unit_rows
 from .scoring import QueryBlock, _vectors, local_best, merge_best, query_blocks
 
@@ -30,6 +32,8 @@ def train_cells(chunks: DataFrame, n_cells: int, seed: int = 17) -> np.ndarray:
     rows = chunks.select("vector")
     if total > wanted:
         rows = rows.sample(fraction=wanted / total, seed=seed)
+    # stored once, as every training step reads it again
+    rows = materialize(rows, "training")
     features = rows.select(array_to_vector("vector").alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=20).fit(features)
     centroids = np.array(model.clusterCenters())
@@ -70,7 +74,8 @@ def write_cells(chunks: DataFrame, centroids: np.ndarray, target: str) -> DataFr
         .write.partitionBy("cell")
         .parquet(target)
     )
-    return chunks.sparkSession.read.parquet(target)
+    schema = StructType(chunks.schema.fields + [StructField("cell", IntegerType())])
+    return chunks.sparkSession.read.schema(schema).parquet(target)
 
 
 def with_probes(block: QueryBlock, centroids: np.ndarray, n_probe: int) -> QueryBlock:
@@ -86,12 +91,15 @@ def top_chunks_in_cells(
     metric: str = "cosine",
     k: int = SEARCH_DEPTH,
     parts: int | None = None,
+    uncelled: DataFrame | None = None,
 ) -> DataFrame:
-    """Like `top_chunks`, reading only the probed cells."""
-    blocks = [
-        local_best(celled, with_probes(b, centroids, n_probe), metric, k)
-        for b in query_blocks(queries, centroids.shape[1])
-    ]
+    """Like `top_chunks`, reading only the probed cells. Chunks that have no
+    cell yet (`uncelled`) are searched in full."""
+    blocks = []
+    for block in query_blocks(queries, centroids.shape[1]):
+        blocks.append(local_best(celled, with_probes(block, centroids, n_probe), metric, k))
+        if uncelled is not None:
+            blocks.append(local_best(uncelled, block, metric, k))
     if not blocks:
         empty = celled.sparkSession.createDataFrame([], HITS)
         return empty.withColumn("rank", F.lit(0))

@@ -1,6 +1,6 @@
-"""Chunkers: an array of chunk texts per file, then one row per chunk.
+"""Chunkers: an array of window texts per file, then one row per chunk.
 
-Blank chunks are dropped before numbering, so positions are dense.
+Blank windows are dropped before numbering, so positions are dense.
 """
 
 from typing import Callable, Iterator, Protocol
@@ -9,16 +9,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LINE_OVERLAP, LINES_PER_CHUNK, TOKENS_PER_CHUNK
+from ..constants import (
+    LINE_OVERLAP,
+    LINES_PER_CHUNK,
+    MAX_TOKENS_PER_REQUEST,
+    TOKENS_PER_CHUNK,
+)
 from ..functions import text as text_fn
 
 
 def _windows(items: Column, starts: Column, size: int, separator: str) -> Column:
-    """Joined slices of `items` at zero-based `starts`, blank ones dropped."""
-    joined = F.transform(
+    """Joined slices of `items` at zero-based `starts`."""
+    return F.transform(
         starts, lambda at: F.array_join(F.slice(items, at + 1, F.lit(size)), separator)
     )
-    return F.filter(joined, text_fn.is_not_blank)
 
 
 def line_starts(n_lines: Column, size: int, overlap: int) -> Column:
@@ -48,16 +52,20 @@ def with_line_chunks(
 
 
 def with_token_chunks(
-    files: DataFrame, size: int = TOKENS_PER_CHUNK, column: str = "content"
+    files: DataFrame,
+    size: int = TOKENS_PER_CHUNK,
+    ceiling: int = MAX_TOKENS_PER_REQUEST,
+    column: str = "content",
 ) -> DataFrame:
     """Adds `n_tokens` and `chunk_texts`: consecutive windows of tokens, found
-    by tokenizing once."""
+    by tokenizing once. A document over the ceiling gets no windows; testing it
+    here, not in a filter, keeps the tokenizing from being repeated below."""
     if size < 1:
         raise ValueError("size must be positive")
     count = F.size("_tokens")
-    starts = F.when(count == 0, F.array().cast("array<int>")).otherwise(
-        F.sequence(F.lit(0), count - 1, F.lit(size))
-    )
+    starts = F.when(
+        (count == 0) | (count > ceiling), F.array().cast("array<int>")
+    ).otherwise(F.sequence(F.lit(0), count - 1, F.lit(size)))
     return (
         files.withColumn("_tokens", text_fn.tokens(F.col(column)))
         .withColumn("n_tokens", count)
@@ -78,6 +86,7 @@ def with_tokenizer_chunks(
     files: DataFrame,
     load: Callable[[], Tokenizer],
     size: int = TOKENS_PER_CHUNK,
+    ceiling: int = MAX_TOKENS_PER_REQUEST,
     column: str = "content",
 ) -> DataFrame:
     """Like `with_token_chunks` for a tokenizer loaded once per task. A window
@@ -91,15 +100,13 @@ def with_tokenizer_chunks(
             for document in batch.to_pylist():
                 ids = tokenizer.encode(document or "")
                 counts.append(len(ids))
-                kept = []
-                for at in range(0, len(ids), size):
+                windows = []
+                for at in range(0, len(ids) if len(ids) <= ceiling else 0, size):
                     try:
-                        window = tokenizer.decode(ids[at : at + size])
-                    except (UnicodeDecodeError, ValueError):
+                        windows.append(tokenizer.decode(ids[at : at + size]))
+                    except ValueError:  # includes UnicodeDecodeError
                         continue
-                    if window.strip():
-                        kept.append(window)
-                chunked.append(kept)
+                chunked.append(windows)
             yield pa.StructArray.from_arrays(
                 [pa.array(counts, pa.int32()), pa.array(chunked, pa.list_(pa.string()))],
                 names=["n_tokens", "chunk_texts"],
@@ -114,8 +121,9 @@ def with_tokenizer_chunks(
 
 
 def explode_chunks(chunked: DataFrame, *keep: str) -> DataFrame:
-    """One row per chunk: the kept columns, `chunk_index`, `text`. Files without
-    chunks give no row."""
-    return chunked.select(
-        *keep, F.posexplode("chunk_texts").alias("chunk_index", "text")
-    )
+    """One row per window that is not blank: the kept columns, `chunk_index`,
+    `text`. Files without such windows give no row."""
+    # Exploding an expression, not a column: Spark would infer a size filter
+    # from a column and push a second copy of the chunking below the shuffle.
+    kept = F.filter("chunk_texts", text_fn.is_not_blank)
+    return chunked.select(*keep, F.posexplode(kept).alias("chunk_index", "text"))

@@ -67,7 +67,8 @@ def pack_requests(
     the token budget are left out. Request numbers count from 0 in each shard."""
 
     def cut(shard_rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = shard_rows.sort_values(["path", "folder"], kind="stable")
+        fitting = shard_rows[shard_rows["n_tokens"] <= max_tokens]
+        ordered = fitting.sort_values(["path", "folder"], kind="stable")
         return ordered.assign(
             request_no=request_numbers(
                 ordered["n_tokens"].to_numpy(), ordered["n_chunks"].to_numpy(),
@@ -76,8 +77,7 @@ def pack_requests(
         )
 
     return (
-        documents.filter(F.col("n_tokens") <= max_tokens)
-        .select(
+        documents.select(
             F.col(shard).cast("long").alias("shard"), "folder", "path",
             F.col("n_tokens").cast("long").alias("n_tokens"),
             F.col("n_chunks").cast("long").alias("n_chunks"),

@@ -26,14 +26,13 @@ from ..constants import (
     LINES_PER_CHUNK,
     MAX_BROADCAST_BYTES,
     MAX_FILE_BYTES,
-    MAX_TOKENS_PER_REQUEST,
     TOKENS_PER_CHUNK,
 )
 from ..functions import ids, paths
 from ..operators import chunking, diff, filters, ignore
 from ..operators.embedding import Embedder, HashedWords, embed
 from ..schemas import CHUNKS, FILES, MANIFEST, require
-from ..session import spread
+from ..session import broadcast_if_small, spread
 from .storage import Storage
 
 KEY = ["folder", "path"]
@@ -83,7 +82,7 @@ class SearchIndex:
         chunk: Callable[[DataFrame], DataFrame] | None = None,
     ):
         """Open the index at `root`, creating it if missing. `chunk` replaces the
-        built-in chunkers; it adds `chunk_texts` and, if it counts, `n_tokens`."""
+        built-in chunkers; it adds `chunk_texts`."""
         self.spark = spark
         self.root = root.rstrip("/")
         self.embedder = embedder or HashedWords()
@@ -150,29 +149,47 @@ class SearchIndex:
         reader = self.spark.read.schema(full).option("basePath", f"{self.root}/{table}")
         return reader.parquet(*where)
 
-    def _live(self, rows: DataFrame, span: list[dict]) -> DataFrame:
-        """Rows not replaced by a later version of the span."""
-        first = span[0]["version"] if span else 0
+    def _live(
+        self, rows: DataFrame, span: list[dict], among: DataFrame | None = None
+    ) -> DataFrame:
+        """Rows not replaced by a later version of the span. `among` limits the
+        work to some keys."""
+        if among is not None:
+            rows = rows.join(among, KEY, "left_semi")
         if not any(c["replaced"] for c in span):
             return rows
         gone = (
             self._stored("manifest", MANIFEST, span)
-            .filter(F.col("prev_version") >= first)
+            .filter(F.col("prev_version") >= span[0]["version"])
             .select(*KEY, F.col("prev_version").alias("version"))
         )
+        if among is not None:
+            gone = gone.join(among, KEY, "left_semi")
         if sum(c["replaced_bytes"] for c in span) <= MAX_BROADCAST_BYTES:
             gone = F.broadcast(gone)  # size recorded by the commits
         return rows.join(gone, [*KEY, "version"], "left_anti")
 
-    def live_files(self, as_of: int | None = None) -> DataFrame:
+    def live_files(self, as_of: int | None = None, among: DataFrame | None = None) -> DataFrame:
         """`(folder, path, hash, version)` of every indexed file."""
         span = self._span(as_of)
         rows = self._stored("manifest", MANIFEST, span).filter(F.col("op") == "U")
-        return self._live(rows.select(*KEY, "hash", "version"), span)
+        return self._live(rows.select(*KEY, "hash", "version"), span, among)
 
-    def live_chunks(self, as_of: int | None = None) -> DataFrame:
+    def live_chunks(self, as_of: int | None = None, newer_than: int | None = None) -> DataFrame:
+        """Chunks of every indexed file; `newer_than` leaves out the chunks that
+        were written by that version or before."""
         span = self._span(as_of)
-        return self._live(self._stored("chunks", CHUNKS, span), span)
+        wanted = [c for c in span if newer_than is None or c["version"] > newer_than]
+        return self._live(self._stored("chunks", CHUNKS, wanted), span)
+
+    def base_version(self) -> int | None:
+        """The version the current view starts at."""
+        span = self._span(None)
+        return span[0]["version"] if span else None
+
+    def only_live(self, rows: DataFrame) -> DataFrame:
+        """Rows of a table with folder, path and version that are still valid."""
+        return self._live(rows, self._span(None))
 
     # -- building and refreshing -----------------------------------------------
 
@@ -242,7 +259,8 @@ class SearchIndex:
         )
         prepared = self._prepared(files)
         named = last.select(*KEY).join(diff.snapshot_keys(prepared), KEY, "left")
-        live = self.live_files().select(
+        # a small batch is sent to the stored manifest, which then stays in place
+        live = self.live_files(among=broadcast_if_small(last.select(*KEY))).select(
             *KEY, F.col("hash").alias("old_hash"), F.col("version").alias("prev_version")
         )
         status = (
@@ -307,11 +325,6 @@ class SearchIndex:
 
     def _write_chunks(self, version: int, contents: DataFrame) -> None:
         chunked = self._chunk(spread(contents))
-        if "n_tokens" in chunked.columns:
-            # a document no request can hold is skipped
-            chunked = chunked.filter(
-                filters.within_token_ceiling(F.col("n_tokens"), MAX_TOKENS_PER_REQUEST)
-            )
         rows = chunking.explode_chunks(chunked, *KEY, "hash")
         absolute = paths.join_path(F.col("folder"), F.col("path"))
         rows.select(

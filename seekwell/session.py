@@ -63,15 +63,19 @@ def fan_in(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads, as the planner knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
+    return sum(int(str(size)) for size in sizes)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores if the input is smaller than one split per
     core, as a single row group is read by one task. Larger input is left as
     it is, so the shuffle is never bigger than cores x split size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) < cores * _SPLIT_BYTES:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if input_bytes(df) < cores * _SPLIT_BYTES else df
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

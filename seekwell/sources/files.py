@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import IGNORE_FILE_NAMES
 from ..functions import paths
 from ..operators.filters import is_indexed_name, is_valid_encoding
 
@@ -41,6 +42,18 @@ def scan_directory(
     )
 
 
+def pattern_lines(spark: SparkSession, directory: str) -> list[str]:
+    """Ignore patterns in the root of a directory, in order of precedence."""
+    lines: list[str] = []
+    conf = spark._jsc.hadoopConfiguration()
+    for name in IGNORE_FILE_NAMES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{name}")
+        if path.getFileSystem(conf).exists(path):
+            whole = spark.read.text(path.toString(), wholetext=True).first()
+            lines += whole["value"].splitlines() if whole else []
+    return lines
+
+
 def indexable_names(files: DataFrame) -> DataFrame:
     return files.filter(is_indexed_name(F.col("path")))
 

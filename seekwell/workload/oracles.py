@@ -117,8 +117,8 @@ def _embedded(chunks: str, key: str, out: str) -> str:
 {out}_lengths AS (SELECT {key}, sqrt(sum(x * x)) AS length FROM {out} GROUP BY ALL)"""
 
 
-def _text_top(files: str, requests: str) -> str:
-    return f"""{files}, {INDEXED}, {line_chunks("indexed")},
+def _text_top(files: str, requests: str, indexed: str = INDEXED) -> str:
+    return f"""{files}, {indexed}, {line_chunks("indexed")},
 known AS (SELECT *, {_CHUNK_ID} AS chunk_id FROM chunks),
 requests AS ({requests}),
 {_embedded("known", "chunk_id", "cv")}, {_embedded("requests", "query_id", "qv")},
@@ -316,6 +316,9 @@ ORACLES: dict[str, str] = {
     "text_search": f"WITH {_text_top(CORPUS, _REQUESTS)}, {_BEST} SELECT * FROM ordered",
     "text_search_by_folder": f"""WITH {_text_top(FILES, _FOLDER_REQUESTS)}, {_BEST}
         SELECT ordered.*, folder FROM ordered JOIN requests USING (query_id)""",
+    "ann_text_search_after_refresh": f"""WITH {_text_top(
+            SNAPSHOTS, _FOLDER_REQUESTS, f"indexed AS ({_kept('v3')})")}, {_BEST}
+        SELECT ordered.*, folder FROM ordered JOIN requests USING (query_id)""",
     "text_search_not_ignored": f"""WITH {_text_top(CORPUS, _REQUESTS).replace("top AS (", "found AS (")},
         top AS (SELECT * FROM found WHERE NOT (starts_with(path, 'src1/') OR path LIKE '%/de/%')), {_BEST}
         SELECT * FROM ordered""",

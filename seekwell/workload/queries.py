@@ -9,7 +9,7 @@ from ..constants import TOKENS_PER_CHUNK
 from ..functions import ids, paths, text, vectors
 from ..operators import ann, chunking, diff, filters, ignore, packing, render, scoring
 from ..operators.embedding import hashed_words_sparse
-from ..plans import SearchIndex, answers, search_batch, search_with_snippets
+from ..plans import CellIndex, SearchIndex, answers, search_batch, search_with_snippets
 from ..session import new_scratch, spread
 from ..sources import checked, from_binary, valid
 from ..streaming import file_changes, start_answers, start_refresh
@@ -576,3 +576,18 @@ def ann_recall(spark, sf_dir):
     found = ann.top_chunks_in_cells(celled, queries, centroids, CELLS // 4)
     exact = scoring.top_chunks(inputs.vector_chunks(spark, sf_dir), queries, 64)
     return ann.recall(found, exact)
+
+
+@register
+def ann_text_search_after_refresh(spark, sf_dir):
+    """Cells are built before two refreshes and all of them probed, so that the
+    result must be that of exact search over the last state."""
+    index = _new_index(spark, "celled")
+    first, second, third = inputs.snapshots(spark, sf_dir)
+    index.build(first)
+    cells = CellIndex(index)
+    cells.build(CELLS)
+    index.refresh(second)
+    index.refresh(third)
+    found = cells.search_batch(inputs.folder_requests(spark, sf_dir), n_probe=CELLS)
+    return _shown(found, "folder")
