@@ -11,9 +11,9 @@ from .plans import (
     search_batch,
     search_with_snippets,
 )
-from .session import local_session
+from .session import local_session, ship_package
 
 __all__ = [
     "CellIndex", "FileRules", "FunctionEmbedder", "HashedWords", "IndexSettings", "SearchIndex", "answers",
-    "local_session", "search", "search_batch", "search_with_snippets",
+    "local_session", "search", "search_batch", "search_with_snippets", "ship_package",
 ]

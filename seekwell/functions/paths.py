@@ -18,21 +18,25 @@ def normalize_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
+def _stem(folder: Column) -> Column:
+    return F.regexp_replace(folder, "/+$", "")
+
+
 def is_within(path: Column, folder: Column) -> Column:
     """True if `path` is `folder` or lies below it (`a/bc` is not within `a/b`)."""
-    stem = F.rtrim(folder, F.lit("/"))
+    stem = _stem(folder)
     return (path == folder) | F.startswith(path, F.concat(stem, F.lit("/")))
 
 
 def relative_path(path: Column, folder: Column) -> Column:
     """`path` without its `folder` prefix; null if it is not within the folder."""
-    stem = F.rtrim(folder, F.lit("/"))
-    rest = F.ltrim(F.substring(path, F.length(stem) + 1, F.length(path)), F.lit("/"))
+    stem = _stem(folder)
+    rest = F.regexp_replace(F.substring(path, F.length(stem) + 1, F.length(path)), "^/+", "")
     return F.when(is_within(path, folder), rest)
 
 
 def join_path(folder: Column, path: Column) -> Column:
-    return F.concat(F.rtrim(folder, F.lit("/")), F.lit("/"), path)
+    return F.concat(_stem(folder), F.lit("/"), path)
 
 
 def base_name(path: Column) -> Column:

@@ -14,7 +14,7 @@ from ..operators import ann, scoring
 from ..schemas import CHUNKS
 from .index import SearchIndex
 from .search import embed_requests
-from .storage import Storage
+from ..storage import Storage
 
 _CENTROIDS = "cell int, center array<double>"
 _COLUMNS = ["folder", "path", "chunk_id", "chunk_index", "vector", "version"]

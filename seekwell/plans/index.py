@@ -17,7 +17,7 @@ One writer at a time is assumed.
 from dataclasses import asdict, dataclass
 from typing import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -33,7 +33,7 @@ from ..operators import chunking, diff, filters, ignore
 from ..operators.embedding import Embedder, HashedWords, embed
 from ..schemas import CHUNKS, FILES, MANIFEST, require
 from ..session import broadcast_if_small, spread
-from .storage import Storage
+from ..storage import Storage
 
 KEY = ["folder", "path"]
 
@@ -71,6 +71,11 @@ def token_settings(
     return IndexSettings(embedder.dim, embedder.name, metric, "tokens", size, 0)
 
 
+def _is_change() -> Column:
+    """Rows to write: changes, and conflicts even where one side is as before."""
+    return (F.col("status") != "same") | (F.col("conflict") == 1)
+
+
 class SearchIndex:
     def __init__(
         self,
@@ -236,7 +241,7 @@ class SearchIndex:
             )
         else:
             found = diff.snapshot_diff(live.withColumnRenamed("version", "prev_version"), keys)
-            changed = diff.changes(found).withColumnRenamed("new_hash", "hash")
+            changed = found.filter(_is_change()).withColumnRenamed("new_hash", "hash")
         return self._apply(version, changed, prepared, every=version == 1)
 
     def apply_changes(
@@ -270,7 +275,7 @@ class SearchIndex:
             .when(F.col("hash") != F.col("old_hash"), "modified")
             .otherwise("same")
         )
-        changed = diff.changes(named.join(live, KEY, "left").withColumn("status", status))
+        changed = named.join(live, KEY, "left").withColumn("status", status).filter(_is_change())
         return self._apply(version, changed, prepared, stream=stream, batch=batch)
 
     def _apply(

@@ -3,12 +3,14 @@
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import MAX_BROADCAST_BYTES
 
+_PACKAGE = "seekwell"
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _SPLIT_BYTES = 128 * 1024 * 1024
 
@@ -29,6 +31,24 @@ def local_session(cores: str = "*", app_name: str = "seekwell") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application. Not
+    needed where it is installed there or passed with `--py-files`."""
+    context = spark.sparkContext
+    name = f"{_PACKAGE}-{context.applicationId}.zip"
+    if any(path.endswith(name) for path in context._python_includes):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix=f"{_PACKAGE}-"), name)
+    home = os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(home):
+            for file in names:
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(target)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 

@@ -1,56 +1,151 @@
 """File snapshots: `files(folder, path, content, size)`."""
 
+import os
+from functools import reduce
+from typing import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import IGNORE_FILE_NAMES
+from ..constants import DEFAULT_IGNORE_PATTERNS, IGNORE_FILE_NAMES, MAX_FILE_BYTES
 from ..functions import paths
+from ..operators import ignore
 from ..operators.filters import is_indexed_name, is_valid_encoding
+from ..session import materialize
+from ..storage import Storage
+
+
+_READ_BYTES = 16 * 1024 * 1024
+_ENTRIES = "path string, size long, is_dir boolean"
+
+
+def _file_system(uri: str):
+    """File system of a URI and the path within it."""
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each directory. Links to directories are not followed."""
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            system, inner = _file_system(uri)
+            found = system.get_file_info(pafs.FileSelector(inner))
+            kept = [
+                entry for entry in found
+                if entry.type == pafs.FileType.File
+                or entry.type == pafs.FileType.Directory
+                and not (isinstance(system, pafs.LocalFileSystem) and os.path.islink(entry.path))
+            ]
+            yield pa.record_batch({
+                "path": pa.array([f"{uri.rstrip('/')}/{e.base_name}" for e in kept], pa.string()),
+                "size": pa.array([e.size or 0 for e in kept], pa.int64()),
+                "is_dir": pa.array([e.type == pafs.FileType.Directory for e in kept], pa.bool_()),
+            })
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents of files, a few megabytes at a time; unreadable ones are skipped."""
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    names, contents, held = [], [], 0
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            try:
+                system, inner = _file_system(uri)
+                with system.open_input_stream(inner) as stream:
+                    content = stream.read()
+            except OSError:
+                continue
+            names.append(uri)
+            contents.append(content)
+            held += len(content)
+            if held > _READ_BYTES:
+                yield pa.record_batch([pa.array(names), pa.array(contents, pa.binary())], schema)
+                names, contents, held = [], [], 0
+    if names:
+        yield pa.record_batch([pa.array(names), pa.array(contents, pa.binary())], schema)
+
+
+def list_directory(
+    spark: SparkSession, directory: str, patterns: Iterable[str] = ()
+) -> DataFrame:
+    """`(path, relative, size)` of every file below a directory.
+
+    One job per level of the tree lists all directories of that level in
+    parallel. Ignored directories are not entered. Spark's own file readers
+    cannot be used for this, as they hide names that start with `_` or `.`,
+    such as `__init__.py`."""
+    uri = directory.rstrip("/") or "/"
+    lines = [*DEFAULT_IGNORE_PATTERNS, *patterns]
+    relative = F.substring("path", len(uri.rstrip("/")) + 2, 1 << 30)
+    cores = spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([(uri,)], "path string")
+    files = []
+    while True:
+        entries = materialize(
+            level.repartition(cores).mapInArrow(_list_children, _ENTRIES), "listing"
+        ).withColumn("relative", relative)
+        files.append(entries.filter(~F.col("is_dir")).select("path", "relative", "size"))
+        # a trailing component makes the test see the directory as one
+        below = ignore.is_ignored(F.concat("relative", F.lit("/x")), lines)
+        level = entries.filter(F.col("is_dir") & ~below).select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, files)
 
 
 def scan_directory(
     spark: SparkSession,
     directory: str,
     folder: str | None = None,
-    max_bytes: int | None = None,
-    glob: str | None = None,
+    max_bytes: int | None = MAX_FILE_BYTES,
+    by_name: bool = True,
+    patterns: Iterable[str] = (),
 ) -> DataFrame:
-    """Every readable text file below `directory`, paths relative to it.
-
-    The size limit is pushed to the scan and the name filter runs on the path,
-    so content is loaded only for files that can be indexed. Files that are not
-    valid UTF-8 are skipped, not failed."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(directory)
+    """Every readable text file below `directory`, with paths relative to it.
+
+    Names, patterns and sizes are tested on the listing, so only files that can
+    be indexed are opened. Files that are not valid UTF-8 are skipped."""
+    listed = list_directory(spark, directory, patterns).filter(
+        ~ignore.is_ignored(F.col("relative"), [*DEFAULT_IGNORE_PATTERNS, *patterns])
+    )
+    if by_name:
+        listed = listed.filter(is_indexed_name(F.col("relative")))
+    if max_bytes is not None:
+        listed = listed.filter(F.col("size") <= max_bytes)
+    total = listed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    parts = max(spark.sparkContext.defaultParallelism, total // (128 * 1024 * 1024))
+    read = (
+        listed.select("path")
+        .repartition(int(parts))
+        .mapInArrow(_read_files, "path string, content binary")
+    )
+    skip = len(directory.rstrip("/")) + 2
+    name = F.lit(folder) if folder is not None else paths.normalize_path(F.lit(directory))
+    return from_binary(read, name, F.substring("path", skip, 1 << 30), F.col("content"))
+
+
+def scan_visible(
+    spark: SparkSession, directory: str, folder: str, max_bytes: int | None = MAX_FILE_BYTES
+) -> DataFrame:
+    """Like `scan_directory` through Spark's binary file reader: works on every
+    store Spark knows, with the size limit pushed to the scan, but does not see
+    names that start with `_` or `.`."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     if max_bytes is not None:
         raw = raw.filter(F.col("length") <= max_bytes)
     root = paths.normalize_path(F.lit(directory))
-    absolute = paths.normalize_path(F.col("path"))
-    return (
-        raw.withColumn("absolute", absolute)
-        .withColumn("path", paths.relative_path(F.col("absolute"), root))
-        .filter(F.col("path").isNotNull())
-        .filter(is_valid_encoding(F.col("content")))
-        .select(
-            (F.lit(folder) if folder is not None else root).alias("folder"),
-            "path",
-            F.col("content").cast("string").alias("content"),
-            F.col("length").alias("size"),
-        )
-    )
+    inside = paths.relative_path(paths.normalize_path(F.col("path")), root)
+    return from_binary(raw, F.lit(folder), inside, F.col("content"))
 
 
 def pattern_lines(spark: SparkSession, directory: str) -> list[str]:
     """Ignore patterns in the root of a directory, in order of precedence."""
+    store = Storage(spark, directory)
     lines: list[str] = []
-    conf = spark._jsc.hadoopConfiguration()
     for name in IGNORE_FILE_NAMES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{name}")
-        if path.getFileSystem(conf).exists(path):
-            whole = spark.read.text(path.toString(), wholetext=True).first()
-            lines += whole["value"].splitlines() if whole else []
+        if store.exists(name):
+            lines += store.read_text(name).splitlines()
     return lines
 
 

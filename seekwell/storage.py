@@ -26,14 +26,16 @@ class Storage:
             return []
         return [status.getPath().getName() for status in fs.listStatus(path)]
 
-    def read_json(self, name: str) -> dict:
+    def read_text(self, name: str) -> str:
         fs, path = self._open(name)
         stream = fs.open(path)
         try:
-            text = self._spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self._spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)
+
+    def read_json(self, name: str) -> dict:
+        return json.loads(self.read_text(name))
 
     def write_json(self, name: str, value: dict) -> None:
         """Visible as a whole or not at all: written aside, then renamed."""

@@ -1,5 +1,6 @@
 """The registered queries: `name -> function(spark, sf_dir) -> DataFrame`."""
 
+from functools import wraps
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from ..functions import ids, paths, text, vectors
 from ..operators import ann, chunking, diff, filters, ignore, packing, render, scoring
 from ..operators.embedding import hashed_words_sparse
 from ..plans import CellIndex, SearchIndex, answers, search_batch, search_with_snippets
-from ..session import new_scratch, spread
+from ..session import new_scratch, ship_package, spread
 from ..sources import checked, from_binary, valid
 from ..streaming import file_changes, start_answers, start_refresh
 from ..streaming import requests as request_stream
@@ -36,7 +37,12 @@ TOKEN_CEILING = 1000
 
 
 def register(query: Query) -> Query:
-    QUERIES[query.__name__] = query
+    @wraps(query)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir.rstrip("/"))
+
+    QUERIES[query.__name__] = shipped
     return query
 
 
