@@ -27,6 +27,9 @@ TRAINING_ROWS_PER_CELL = 1024
 def train_cells(chunks: DataFrame, n_cells: int, seed: int = 17) -> np.ndarray:
     """Centroids of the chunk vectors. Large tables are sampled for training
     only; every chunk is still assigned and searched."""
+    dim = len(chunks.select("vector").first()["vector"])
+    if n_cells * dim * 8 > MAX_BROADCAST_BYTES:
+        raise ValueError(f"{n_cells} cells of {dim} dimensions are too many to send")
     total = chunks.count()
     wanted = n_cells * TRAINING_ROWS_PER_CELL
     rows = chunks.select("vector")
@@ -36,10 +39,7 @@ def train_cells(chunks: DataFrame, n_cells: int, seed: int = 17) -> np.ndarray:
     rows = materialize(rows, "training")
     features = rows.select(array_to_vector("vector").alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=20).fit(features)
-    centroids = np.array(model.clusterCenters())
-    if centroids.nbytes > MAX_BROADCAST_BYTES:
-        raise ValueError(f"{n_cells} cells take {centroids.nbytes} bytes, too many to send")
-    return centroids
+    return np.array(model.clusterCenters())
 
 
 def nearest_cells(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:

@@ -7,6 +7,8 @@ files that changed.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 KEY = ["folder", "path"]
 
 
@@ -74,10 +76,17 @@ def rename_pairs(diff: DataFrame) -> DataFrame:
 
     Many files may share one content, so positions are counted in two steps:
     within a slice of the md5 range, then shifted by the sizes of the slices
-    before it. No task sees more than a slice, and the join is one to one."""
+    before it. No task sees more than a slice, and the join is one to one. The
+    moved rows are stored first, as each side reads them twice."""
+    moved = materialize(
+        diff.filter(F.col("status").isin("deleted", "added")).select(
+            *KEY, "status", "old_hash", "new_hash"
+        ),
+        "moved",
+    )
 
     def numbered(status: str, hash_column: str, name: str) -> DataFrame:
-        rows = diff.filter(F.col("status") == status).select(
+        rows = moved.filter(F.col("status") == status).select(
             "folder",
             F.col("path").alias(name),
             F.col(hash_column).alias("hash"),

@@ -96,11 +96,11 @@ def query_blocks(queries: DataFrame, dim: int) -> Iterator[QueryBlock]:
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    """The rows of a list column as a double matrix; wrong lengths raise."""
-    flat = column.flatten()
-    if len(flat) != len(column) * dim:
+    """The rows of a list column as a matrix view; wrong lengths raise."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if not (lengths == dim).all():
         raise ValueError(f"vectors do not all have {dim} entries")
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 class _Best:
@@ -152,7 +152,8 @@ def _offer_group(best, block, payload, matrix, rows, queries, metric) -> None:
     """Score some rows of a batch against some queries."""
     for at in range(0, len(rows), _ROWS_AT_ONCE):
         part = rows[at : at + _ROWS_AT_ONCE]
-        scores = _score(matrix[part] @ block.matrix[queries].T, metric)
+        # doubles for one part at a time; every row is in one group only
+        scores = _score(unit_rows(matrix[part]) @ block.matrix[queries].T, metric)
         bars = best.bars[queries]
         if len(part) > 2 * best.k:
             # nothing below the k-th best of this part can be in the result
@@ -214,7 +215,7 @@ def local_best(chunks: DataFrame, block: QueryBlock, metric: str, k: int) -> Dat
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = unit_rows(_vectors(batch.column("vector"), dim))
+            matrix = _vectors(batch.column("vector"), dim)
             payload = batch.select(_PAYLOAD)
             for rows, columns_ in _groups(batch, queries):
                 _offer_group(best, queries, payload, matrix, rows, columns_, metric)
