@@ -1,6 +1,6 @@
 """Semantic index and search over text files, on Spark."""
 
-from .operators.embedding import FunctionEmbedder, HashedWords
+from .operators.embedding import FunctionEmbedder, HashedWords, RequestBudget
 from .plans import (
     CellIndex,
     FileRules,
@@ -14,6 +14,7 @@ from .plans import (
 from .session import local_session, ship_package
 
 __all__ = [
-    "CellIndex", "FileRules", "FunctionEmbedder", "HashedWords", "IndexSettings", "SearchIndex", "answers",
+    "CellIndex", "FileRules", "FunctionEmbedder", "HashedWords", "IndexSettings", "RequestBudget", "SearchIndex",
+    "answers",
     "local_session", "search", "search_batch", "search_with_snippets", "ship_package",
 ]

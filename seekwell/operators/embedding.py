@@ -8,6 +8,7 @@ shared words, not meaning. Plug in a real model for semantic search.
 
 import hashlib
 import re
+from dataclasses import dataclass
 from typing import Callable, Iterator, Protocol
 
 import numpy as np
@@ -16,9 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import EMBEDDING_DIM, ROWS_PER_UPSERT
+from ..constants import (
+    EMBEDDING_DIM,
+    MAX_CHUNKS_PER_REQUEST,
+    MAX_TOKENS_PER_REQUEST,
+    ROWS_PER_UPSERT,
+)
 from ..functions import text as text_fn
 from ..schemas import VECTOR
+from .packing import request_numbers
 
 EmbedTexts = Callable[[list[str]], np.ndarray]
 
@@ -30,6 +37,16 @@ class Embedder(Protocol):
     def load(self) -> EmbedTexts: ...
 
 
+@dataclass(frozen=True)
+class RequestBudget:
+    """Limits of one call to a model: texts and tokens. A model that has them
+    carries one as `budget`."""
+
+    count_tokens: Callable[[str], int]
+    max_texts: int = MAX_CHUNKS_PER_REQUEST
+    max_tokens: int = MAX_TOKENS_PER_REQUEST
+
+
 class HashedWords:
     """Bag of words; a word counts in bucket `first 8 hex of md5 mod dim`."""
 
@@ -72,8 +89,10 @@ class FunctionEmbedder:
         embed_fn: Callable[[Iterator[pd.Series]], Iterator[np.ndarray]],
         dim: int,
         name: str = "custom",
+        budget: RequestBudget | None = None,
     ):
         self._embed_fn = embed_fn
+        self.budget = budget
         self.dim = dim
         self.name = name
 
@@ -100,6 +119,17 @@ def list_array(matrix: np.ndarray) -> pa.ListArray:
     )
 
 
+def calls(texts: list[str], budget: RequestBudget | None, texts_per_call: int) -> list[list[str]]:
+    """Consecutive texts cut into calls: by the budget, else by number."""
+    if budget is None:
+        return [texts[at : at + texts_per_call] for at in range(0, len(texts), texts_per_call)]
+    tokens = np.array([budget.count_tokens(t) for t in texts], dtype=np.int64)
+    ones = np.ones(len(texts), dtype=np.int64)
+    numbers = request_numbers(tokens, ones, budget.max_tokens, budget.max_texts)
+    cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(texts)]
+    return [texts[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def embed(
     text: Column, embedder: Embedder, texts_per_call: int = ROWS_PER_UPSERT
 ) -> Column:
@@ -113,11 +143,8 @@ def embed(
             if not texts:
                 yield pa.array([], pa.list_(pa.float32()))
                 continue
-            blocks = [
-                model(texts[at : at + texts_per_call])
-                for at in range(0, len(texts), texts_per_call)
-            ]
-            matrix = np.concatenate(blocks)
+            budget = getattr(embedder, "budget", None)
+            matrix = np.concatenate([model(part) for part in calls(texts, budget, texts_per_call)])
             if matrix.shape != (len(texts), embedder.dim):
                 raise ValueError(
                     f"model {embedder.name} gave {matrix.shape}, "

@@ -83,7 +83,7 @@ def query_blocks(queries: DataFrame, dim: int) -> Iterator[QueryBlock]:
             yield block_from_rows(rows)
         return
     stored = materialize(needed, "queries")
-    buckets = 2 * -(-stored.count() // limit)
+    buckets = -(-stored.count() * 5 // (4 * limit))  # four fifths full
     while True:
         dealt = stored.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(buckets)))
         if dealt.groupBy("_b").count().agg(F.max("count")).first()[0] <= limit:

@@ -71,6 +71,16 @@ def token_settings(
     return IndexSettings(embedder.dim, embedder.name, metric, "tokens", size, 0)
 
 
+@dataclass(frozen=True)
+class View:
+    """The versions that make up a state, and how many keys among them are
+    replaced."""
+
+    versions: list[int]
+    replaced: int
+    replaced_bytes: int
+
+
 def _is_change() -> Column:
     """Rows to write: changes, and conflicts even where one side is as before."""
     return (F.col("status") != "same") | (F.col("conflict") == 1)
@@ -124,77 +134,100 @@ class SearchIndex:
         found = self.versions()
         return found[-1] if found else None
 
-    def _span(self, as_of: int | None) -> list[dict]:
-        """Commits that make up the view at `as_of`: from the last compacted
-        version on. Versions are few, as compaction starts over."""
-        span: list[dict] = []
-        for version in reversed(self.versions()):
-            if as_of is not None and version > as_of:
-                continue
-            span.append(self.commit_info(version))
-            if span[-1]["base"]:
-                break
-        return span[::-1]
-
-    def find_token(self, stream: str, batch: int) -> dict | None:
-        """The commit that holds a batch of a stream, if it was applied."""
-        for version in reversed(self.versions()):
-            info = self.commit_info(version)
-            if info.get("stream") == stream:
-                return info if info["batch"] >= batch else None
-        return None
+    def _view(self, as_of: int | None = None) -> View:
+        """What makes up the state at `as_of`, from one commit file."""
+        versions = [v for v in self.versions() if as_of is None or v <= as_of]
+        if not versions:
+            return View([], 0, 0)
+        last = self.commit_info(versions[-1])
+        return View(
+            [v for v in versions if v >= last["base_version"]],
+            last["replaced_since_base"],
+            last["replaced_bytes_since_base"],
+        )
+
+    def _commit(self, version: int, base: bool, stats: dict, stream=None, batch=None) -> dict:
+        """Make a version visible. Totals since the last compaction and the last
+        batch of each stream are carried along, so that one file tells all."""
+        last = self.last_version()
+        before = self.commit_info(last) if last else {}
+        start = base or not before
+        commit = {
+            "version": version,
+            "base": start,
+            "base_version": version if start else before["base_version"],
+            "streams": dict(before.get("streams", {})),
+            **stats,
+        }
+        for name in ("replaced", "replaced_bytes"):
+            earlier = 0 if start else before[f"{name}_since_base"]
+            commit[f"{name}_since_base"] = earlier + stats[name]
+        if stream is not None:
+            commit["streams"][stream] = batch
+        self._store.write_json(f"commits/{version}.json", commit)
+        return commit
+
+    def should_compact(self, max_versions: int = 200) -> bool:
+        """Whether replaced keys no longer fit a broadcast, or versions are many."""
+        view = self._view()
+        return view.replaced_bytes > MAX_BROADCAST_BYTES or len(view.versions) > max_versions
+
+    def is_applied(self, stream: str, batch: int) -> bool:
+        last = self.last_version()
+        done = self.commit_info(last)["streams"].get(stream) if last else None
+        return done is not None and done >= batch
 
     # -- stored tables and live views ------------------------------------------
 
-    def _stored(self, table: str, schema: StructType, span: list[dict]) -> DataFrame:
+    def _stored(self, table: str, schema: StructType, versions: list[int]) -> DataFrame:
         full = StructType(schema.fields + [StructField("version", IntegerType(), False)])
-        where = [f"{self.root}/{table}/version={c['version']}" for c in span]
+        where = [f"{self.root}/{table}/version={v}" for v in versions]
         if not where:
             return self.spark.createDataFrame([], full)
         reader = self.spark.read.schema(full).option("basePath", f"{self.root}/{table}")
         return reader.parquet(*where)
 
     def _live(
-        self, rows: DataFrame, span: list[dict], among: DataFrame | None = None
+        self, rows: DataFrame, view: View, among: DataFrame | None = None
     ) -> DataFrame:
-        """Rows not replaced by a later version of the span. `among` limits the
+        """Rows not replaced by a later version of the view. `among` limits the
         work to some keys."""
         if among is not None:
             rows = rows.join(among, KEY, "left_semi")
-        if not any(c["replaced"] for c in span):
+        if not view.replaced:
             return rows
         gone = (
-            self._stored("manifest", MANIFEST, span)
-            .filter(F.col("prev_version") >= span[0]["version"])
+            self._stored("manifest", MANIFEST, view.versions)
+            .filter(F.col("prev_version") >= view.versions[0])
             .select(*KEY, F.col("prev_version").alias("version"))
         )
         if among is not None:
             gone = gone.join(among, KEY, "left_semi")
-        if sum(c["replaced_bytes"] for c in span) <= MAX_BROADCAST_BYTES:
+        if view.replaced_bytes <= MAX_BROADCAST_BYTES:
             gone = F.broadcast(gone)  # size recorded by the commits
         return rows.join(gone, [*KEY, "version"], "left_anti")
 
     def live_files(self, as_of: int | None = None, among: DataFrame | None = None) -> DataFrame:
         """`(folder, path, hash, version)` of every indexed file."""
-        span = self._span(as_of)
-        rows = self._stored("manifest", MANIFEST, span).filter(F.col("op") == "U")
-        return self._live(rows.select(*KEY, "hash", "version"), span, among)
+        view = self._view(as_of)
+        rows = self._stored("manifest", MANIFEST, view.versions).filter(F.col("op") == "U")
+        return self._live(rows.select(*KEY, "hash", "version"), view, among)
 
     def live_chunks(self, as_of: int | None = None, newer_than: int | None = None) -> DataFrame:
         """Chunks of every indexed file; `newer_than` leaves out the chunks that
         were written by that version or before."""
-        span = self._span(as_of)
-        wanted = [c for c in span if newer_than is None or c["version"] > newer_than]
-        return self._live(self._stored("chunks", CHUNKS, wanted), span)
+        view = self._view(as_of)
+        wanted = [v for v in view.versions if newer_than is None or v > newer_than]
+        return self._live(self._stored("chunks", CHUNKS, wanted), view)
 
     def base_version(self) -> int | None:
         """The version the current view starts at."""
-        span = self._span(None)
-        return span[0]["version"] if span else None
+        versions = self._view().versions
+        return versions[0] if versions else None
 
     def only_live(self, rows: DataFrame) -> DataFrame:
         """Rows of a table with folder, path and version that are still valid."""
-        return self._live(rows, self._span(None))
+        return self._live(rows, self._view())
 
     # -- building and refreshing -----------------------------------------------
 
@@ -252,8 +285,8 @@ class SearchIndex:
         file whose new content may not be indexed is removed.
 
         With `stream` and `batch` a replayed batch is recognized and skipped."""
-        if stream is not None and (done := self.find_token(stream, batch)):
-            return done
+        if stream is not None and self.is_applied(stream, batch):
+            return self.commit_info(self.last_version())
         version = (self.last_version() or 0) + 1
         last = delta.groupBy(*KEY).agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))
         upserts = delta.filter(F.col("op") == "U").join(
@@ -322,11 +355,7 @@ class SearchIndex:
             contents = contents.dropDuplicates(KEY)
         stats.pop("key_bytes")
         self._write_chunks(version, contents)
-        commit = {"version": version, "base": version == 1, **stats}
-        if stream is not None:
-            commit |= {"stream": stream, "batch": batch}
-        self._store.write_json(f"commits/{version}.json", commit)
-        return commit
+        return self._commit(version, False, stats, stream, batch)
 
     def _write_chunks(self, version: int, contents: DataFrame) -> None:
         chunked = self._chunk(spread(contents))
@@ -361,12 +390,8 @@ class SearchIndex:
         ).repartitionByRange(*KEY).write.mode("overwrite").parquet(
             f"{self.root}/manifest/version={version}"
         )
-        commit = {
-            "version": version, "base": True, "added": 0, "modified": 0, "deleted": 0,
-            "replaced": 0, "replaced_bytes": 0,
-        }
-        self._store.write_json(f"commits/{version}.json", commit)
-        return commit
+        nothing = {"added": 0, "modified": 0, "deleted": 0, "replaced": 0, "replaced_bytes": 0}
+        return self._commit(version, True, nothing)
 
     def inspect(self) -> DataFrame:
         """Per folder: live files, chunks, files without chunks, chunks whose file

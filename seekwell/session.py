@@ -13,6 +13,7 @@ from .constants import MAX_BROADCAST_BYTES
 _PACKAGE = "seekwell"
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _SPLIT_BYTES = 128 * 1024 * 1024
+_TASK_BYTES = 128 * 1024  # not worth a task below this
 
 
 def local_session(cores: str = "*", app_name: str = "seekwell") -> SparkSession:
@@ -91,11 +92,14 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the input is smaller than one split per
+    """Deal rows out to more tasks if the input is smaller than one split per
     core, as a single row group is read by one task. Larger input is left as
     it is, so the shuffle is never bigger than cores x split size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if input_bytes(df) < cores * _SPLIT_BYTES else df
+    size = input_bytes(df)
+    if size >= cores * _SPLIT_BYTES:
+        return df
+    return df.repartition(max(1, min(cores, size // _TASK_BYTES)))
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

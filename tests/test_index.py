@@ -8,10 +8,18 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seekwell import CellIndex, FunctionEmbedder, HashedWords, SearchIndex, search, search_batch
+from seekwell import (
+    CellIndex,
+    FunctionEmbedder,
+    HashedWords,
+    RequestBudget,
+    SearchIndex,
+    search,
+    search_batch,
+)
 from seekwell.functions.text import words
 from seekwell.operators import diff
-from seekwell.operators.embedding import embed, hashed_words_sparse
+from seekwell.operators.embedding import calls, embed, hashed_words_sparse
 from seekwell.plans import FileRules, answers, line_settings, search_with_snippets, token_settings
 from seekwell.schemas import REQUESTS
 from seekwell.sources import list_directory, pattern_lines, scan_directory, scan_visible
@@ -207,6 +215,32 @@ def test_token_index_and_plugged_model(spark, tmp_path, make_files):
     assert search(index, "1234567", "r", 0.9).first()["score"] == 1.0
 
 
+def test_calls_keep_to_the_budget(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def fn(series):
+        for texts in series:
+            assert len(texts) <= 2 and (len(texts) == 1 or texts.str.len().sum() <= 6)
+            seen.add(1)
+            yield np.ones((len(texts), 2))
+
+    model = FunctionEmbedder(fn, 2, budget=RequestBudget(len, max_texts=2, max_tokens=6))
+    rows = spark.createDataFrame([(t,) for t in ("aaa", "bbb", "c", "dddddddd", "e", "f", "g")], "t string")
+    vectors = rows.coalesce(1).select(embed(F.col("t"), model).alias("v")).collect()
+    assert len(vectors) == 7 and seen.value == 5
+    assert calls([], None, 3) == []
+    assert calls(list("abcd"), None, 3) == [["a", "b", "c"], ["d"]]
+
+
+def test_compaction_is_due(index, make_files):
+    assert not index.should_compact()
+    index.build(make_files(V1))
+    index.refresh(make_files(V2))
+    assert index.should_compact(max_versions=1) and not index.should_compact()
+    index.compact()
+    assert not index.should_compact(max_versions=1)
+
+
 def test_model_with_wrong_shape(spark, tmp_path, make_files):
     def bad(series):
         for texts in series:
@@ -245,6 +279,7 @@ def test_changes_by_delta(spark, index, make_files):
     assert texts == {"same.md": "second", "back.md": "again", "old.md": "moved words here"}
     # the same batch again changes nothing, the next one does
     assert index.apply_changes(delta, "feed", 0) == commit
+    assert index.is_applied("feed", 0) and not index.is_applied("feed", 1)
     assert index.versions() == [1, 2]
     index.apply_changes(delta.limit(0), "feed", 1)
     assert index.versions() == [1, 2, 3]
