@@ -52,8 +52,13 @@ def rejected_by_tokens(
     files: DataFrame, ceiling: int = MAX_TOKENS_PER_REQUEST
 ) -> DataFrame:
     """Documents that no single request can hold, with the reason."""
-    counted = files.select("folder", "path", text.token_count(F.col("content")).alias("n_tokens"))
-    return counted.filter(~within_token_ceiling(F.col("n_tokens"), ceiling)).withColumn(
+    # Exploding zero or one count, as a filter would be pushed below the count
+    # and tokenize a second time.
+    over = F.filter(
+        F.array(text.token_count(F.col("content"))),
+        lambda n: ~within_token_ceiling(n, ceiling),
+    )
+    return files.select("folder", "path", F.explode(over).alias("n_tokens")).withColumn(
         "reason", F.lit(f"more than {ceiling} tokens")
     )
 

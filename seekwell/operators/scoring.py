@@ -166,33 +166,44 @@ def _offer_group(best, block, payload, matrix, rows, queries, metric) -> None:
             )
 
 
-def _groups(batch: pa.RecordBatch, block: QueryBlock):
-    """Parts of a batch, each with the queries that may see it."""
-    everything = np.arange(batch.num_rows)
-    if block.cells is not None:
-        labels = batch.column("cell").to_numpy(zero_copy_only=False)
-        for cell in np.unique(labels):
-            allowed = [q for q, cells in enumerate(block.cells) if int(cell) in cells]
-            for rows, queries in _by_folder(batch, block, everything[labels == cell], allowed):
+class _Audience:
+    """Which queries of a block may see a row, by its folder and cell."""
+
+    def __init__(self, block: QueryBlock):
+        self._block = block
+        self._by_folder: dict[str | None, list[int]] = {}
+        for query, folder in enumerate(block.folders):
+            self._by_folder.setdefault(folder, []).append(query)
+        self._known: dict[tuple, np.ndarray] = {}
+        self._everywhere = set(self._by_folder) == {None} and block.cells is None
+
+    def of(self, folder: str | None, cell: int | None) -> np.ndarray:
+        key = (folder if folder in self._by_folder else None, cell)
+        if key not in self._known:
+            queries = set(self._by_folder.get(None, [])) | set(self._by_folder.get(key[0], []))
+            if cell is not None:
+                queries = {q for q in queries if cell in self._block.cells[q]}
+            self._known[key] = np.array(sorted(queries), dtype=np.int64)
+        return self._known[key]
+
+    def groups(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of a batch with their queries; each row comes at most once."""
+        if self._everywhere:
+            yield np.arange(batch.num_rows), self.of(None, None)
+            return
+        coded = batch.column("folder").dictionary_encode()
+        folders = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = np.zeros(batch.num_rows, dtype=np.int64)
+        if self._block.cells is not None:
+            cells = batch.column("cell").to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((codes, cells))
+        changes = np.flatnonzero((np.diff(codes[order]) != 0) | (np.diff(cells[order]) != 0)) + 1
+        for rows in np.split(order, changes):
+            cell = int(cells[rows[0]]) if self._block.cells is not None else None
+            queries = self.of(folders[codes[rows[0]]], cell)
+            if len(queries):
                 yield rows, queries
-    else:
-        yield from _by_folder(batch, block, everything, range(len(block.ids)))
-
-
-def _by_folder(batch, block, rows, queries):
-    queries = np.fromiter(queries, dtype=np.int64)
-    if not len(queries) or not len(rows):
-        return
-    if all(block.folders[q] is None for q in queries):
-        yield rows, queries
-        return
-    coded = batch.column("folder").dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)[rows]
-    for code, name in enumerate(coded.dictionary.to_pylist()):
-        wanted = [q for q in queries if block.folders[q] is None or block.folders[q] == name]
-        chosen = rows[codes == code]
-        if wanted and len(chosen):
-            yield chosen, np.array(wanted, dtype=np.int64)
 
 
 def local_best(chunks: DataFrame, block: QueryBlock, metric: str, k: int) -> DataFrame:
@@ -210,6 +221,7 @@ def local_best(chunks: DataFrame, block: QueryBlock, metric: str, k: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = sent.value
+        audience = _Audience(queries)
         best = _Best(len(queries.ids), k, queries.cutoffs)
         dim = queries.matrix.shape[1]
         for batch in batches:
@@ -217,8 +229,8 @@ def local_best(chunks: DataFrame, block: QueryBlock, metric: str, k: int) -> Dat
                 continue
             matrix = _vectors(batch.column("vector"), dim)
             payload = batch.select(_PAYLOAD)
-            for rows, columns_ in _groups(batch, queries):
-                _offer_group(best, queries, payload, matrix, rows, columns_, metric)
+            for rows, seen_by in audience.groups(batch):
+                _offer_group(best, queries, payload, matrix, rows, seen_by, metric)
         kept = best.shrink()
         if kept is not None and kept.num_rows:
             ids = pa.array(queries.ids[kept["query"].to_numpy()])

@@ -232,6 +232,8 @@ ORACLES: dict[str, str] = {
         WHERE lang <> 'fr' AND regexp_matches(text, '\S')""",
     "filter_utf8": """SELECT source AS folder, doc_id::VARCHAR AS path, strlen(text)::BIGINT AS size,
         md5(text) AS content_md5 FROM documents WHERE lang <> 'fr'""",
+    "scan_pages": """SELECT 'pages' AS folder, strlen(html)::BIGINT + 1 AS size,
+        md5(html || chr(10)) AS content_md5 FROM pages""",
     "relative_path": f"""WITH {FILES} SELECT folder || '/' || path AS absolute, path AS in_folder,
         CASE WHEN folder = 'src1' AND lang = 'en' THEN path[4:] END AS in_src1_en FROM files""",
     "normalize_paths": """WITH raw AS (SELECT page_id,

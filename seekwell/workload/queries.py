@@ -12,7 +12,7 @@ from ..operators import ann, chunking, diff, filters, ignore, packing, render, s
 from ..operators.embedding import hashed_words_sparse
 from ..plans import CellIndex, SearchIndex, answers, search_batch, search_with_snippets
 from ..session import new_scratch, ship_package, spread
-from ..sources import checked, from_binary, valid
+from ..sources import checked, from_binary, scan_directory, valid
 from ..streaming import file_changes, start_answers, start_refresh
 from ..streaming import requests as request_stream
 from . import inputs
@@ -211,6 +211,16 @@ def filter_utf8(spark, sf_dir):
     return kept.select("folder", "path", "size", F.md5("content").alias("content_md5"))
 
 
+@register
+def scan_pages(spark, sf_dir):
+    """Every page written to a file of its own, then found by a directory scan."""
+    home = new_scratch(spark, "pages")
+    pages = inputs.table(spark, sf_dir, "pages").select("html")
+    spread(pages).write.option("maxRecordsPerFile", 1).text(home)
+    found = scan_directory(spark, home, folder="pages")
+    return found.select("folder", "size", F.md5("content").alias("content_md5"))
+
+
 @register
 def relative_path(spark, sf_dir):
     absolute = paths.join_path(F.col("folder"), F.col("path"))
@@ -298,14 +308,14 @@ def chunk_tokens(spark, sf_dir):
 
 @register
 def token_counts(spark, sf_dir):
-    return inputs.files(spark, sf_dir).select(
+    return spread(inputs.files(spark, sf_dir)).select(
         "folder", "path", text.token_count(F.col("content")).cast("long").alias("n_tokens")
     )
 
 
 @register
 def token_ceiling(spark, sf_dir):
-    over = filters.rejected_by_tokens(inputs.files(spark, sf_dir), TOKEN_CEILING)
+    over = filters.rejected_by_tokens(spread(inputs.files(spark, sf_dir)), TOKEN_CEILING)
     return over.withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
