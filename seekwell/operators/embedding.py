@@ -9,6 +9,7 @@ shared words, not meaning. Plug in a real model for semantic search.
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import chain
 from typing import Callable, Iterator, Protocol
 
 import numpy as np
@@ -50,37 +51,42 @@ class RequestBudget:
 class HashedWords:
     """Bag of words; a word counts in bucket `first 8 hex of md5 mod dim`."""
 
-    _MAX_REMEMBERED = 500_000
-
     def __init__(self, dim: int = EMBEDDING_DIM):
         self.dim = dim
         self.name = f"hashed-words-{dim}"
 
     def load(self) -> EmbedTexts:
-        dim, limit = self.dim, self._MAX_REMEMBERED
+        dim = self.dim
         find = re.compile(r"\w+").findall
-        buckets: dict[str, int] = {}
-
-        def bucket(word: str) -> int:
-            found = buckets.get(word)
-            if found is None:
-                if len(buckets) >= limit:
-                    buckets.clear()
-                found = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-                buckets[word] = found
-            return found
+        bucket_of = _Buckets(dim).__getitem__
 
         def embed(texts: list[str]) -> np.ndarray:
-            places = []
-            for row, text in enumerate(texts):
-                base = row * dim
-                places.extend([base + bucket(word) for word in find(text.lower())])
-            counts = np.bincount(np.array(places, dtype=np.int64), minlength=len(texts) * dim)
+            words = [find(text.lower()) for text in texts]
+            rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+            buckets = np.fromiter(map(bucket_of, chain.from_iterable(words)), np.int64, len(rows))
+            counts = np.bincount(rows * dim + buckets, minlength=len(texts) * dim)
             return counts.reshape(len(texts), dim).astype(np.float64)
 
         return embed
 
 
+class _Buckets(dict):
+    """Buckets of the words a task has met, forgotten when they grow too many."""
+
+    _LIMIT = 500_000
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self._dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self._LIMIT:
+            self.clear()
+        bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self._dim
+        self[word] = bucket
+        return bucket
+
+
 class FunctionEmbedder:
     """A model given as `Iterator[pd.Series] -> Iterator[ndarray]`."""
 

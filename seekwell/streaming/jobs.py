@@ -32,7 +32,11 @@ def start_refresh(
     the commit that holds it. With `catch_up` the job ends when the input does."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        index.apply_changes(batch, stream=name, batch=batch_id)
+        batch.persist()  # read several times: keys, contents, chunks
+        try:
+            index.apply_changes(batch, stream=name, batch=batch_id)
+        finally:
+            batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if catch_up else writer).start()
@@ -50,7 +54,12 @@ def start_answers(
     overwrites its own directory, so a replay leaves one answer per request."""
 
     def respond(batch: DataFrame, batch_id: int) -> None:
-        answers(index, batch, k).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.persist()
+        try:
+            told = answers(index, batch, k)
+            told.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = incoming.writeStream.foreachBatch(respond).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if catch_up else writer).start()
