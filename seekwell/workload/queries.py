@@ -494,7 +494,7 @@ def stream_refresh(spark, sf_dir):
             )
             stored = stored.unionByName(gone)
         stored.write.mode("append").parquet(f"{scratch}/input")
-    stream = file_changes(spark, f"{scratch}/input", files_per_batch=3)
+    stream = file_changes(spark, f"{scratch}/input", files_per_batch=8)
     start_refresh(index, stream, f"{scratch}/checkpoint", "changes").awaitTermination()
     return _chunk_rows(index.live_chunks())
 
