@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import small_batches
 
@@ -199,9 +200,7 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score") -> DataFr
             )
 
     small_batches(docs.sparkSession, 500)
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType(docs.schema.fields).add(score, DoubleType())
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
