@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship_package(spark)
     found = near_dedup.near_duplicates(docs, NEAR)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     repeated = (
         found.groupBy("doc_id").agg(F.count("*").alias("n"))
         .filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")

@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,7 +290,8 @@ def near_duplicates(docs: DataFrame, settings: NearDedup = NearDedup()) -> DataF
 
     shared = buckets.select("doc_id").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = source.join(shared, "doc_id", "left_semi").filter("text IS NOT NULL")
+    # The same join at every size: whole texts are shuffled once and never sorted.
+    texts = source.join(shared.hint("shuffle_hash"), "doc_id", "left_semi").filter("text IS NOT NULL")
     texts = materialize(texts.dropDuplicates(["doc_id"]), "near-texts")
     first = materialize(
         confirmed(likely_pairs(buckets, settings), texts, settings), "near-links"
