@@ -88,7 +88,8 @@ class _Buckets(dict):
 
 
 class FunctionEmbedder:
-    """A model given as `Iterator[pd.Series] -> Iterator[ndarray]`."""
+    """A model given as `Iterator[pd.Series] -> Iterator[ndarray]`, one matrix for each
+    series, in order. The function is started once per task."""
 
     def __init__(
         self,
@@ -103,8 +104,20 @@ class FunctionEmbedder:
         self.name = name
 
     def load(self) -> EmbedTexts:
+        waiting: list[pd.Series] = []
+
+        def feed() -> Iterator[pd.Series]:
+            while waiting:
+                yield waiting.pop()
+
+        answers: Iterator[np.ndarray] | None = None
+
         def embed(texts: list[str]) -> np.ndarray:
-            return np.concatenate(list(self._embed_fn(iter([pd.Series(texts)]))))
+            nonlocal answers
+            waiting.append(pd.Series(texts))
+            if answers is None:
+                answers = iter(self._embed_fn(feed()))
+            return next(answers)
 
         return embed
 

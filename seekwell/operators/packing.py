@@ -28,9 +28,11 @@ def path_shard(path: Column, n_shards: Column | int) -> Column:
 
 
 def with_shards(documents: DataFrame, per_shard: int = DOCUMENTS_PER_SHARD) -> DataFrame:
-    """Adds `shard`; the number of shards follows the number of documents."""
+    """Adds `shard`; the number of shards follows the number of documents. Folder and
+    path are hashed together, so a name that every folder has makes no big shard."""
     n = documents.count()
-    return documents.withColumn("shard", path_shard(F.col("path"), max(1, -(-n // per_shard))))
+    whole = F.concat("folder", F.lit("/"), "path")
+    return documents.withColumn("shard", path_shard(whole, max(1, -(-n // per_shard))))
 
 
 def request_numbers(

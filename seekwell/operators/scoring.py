@@ -74,7 +74,8 @@ def query_blocks(queries: DataFrame, dim: int) -> Iterator[QueryBlock]:
     """Queries in blocks that hold at most `block_limit(dim)` rows.
 
     A larger set is stored once and dealt into hash buckets, whose sizes are
-    counted before any of them is fetched."""
+    counted before any of them is fetched. Rows are numbered for that, so that many
+    requests with one id still part."""
     limit = block_limit(dim)
     needed = queries.select("query_id", "folder", "cutoff", "vector")
     rows = needed.limit(limit + 1).collect()
@@ -82,15 +83,15 @@ def query_blocks(queries: DataFrame, dim: int) -> Iterator[QueryBlock]:
         if rows:
             yield block_from_rows(rows)
         return
-    stored = materialize(needed, "queries")
+    stored = materialize(needed.withColumn("_n", F.monotonically_increasing_id()), "queries")
     buckets = -(-stored.count() * 5 // (4 * limit))  # four fifths full
     while True:
-        dealt = stored.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(buckets)))
+        dealt = stored.withColumn("_b", F.pmod(F.xxhash64("query_id", "_n"), F.lit(buckets)))
         if dealt.groupBy("_b").count().agg(F.max("count")).first()[0] <= limit:
             break
         buckets *= 2
     for bucket in range(buckets):
-        rows = dealt.filter(F.col("_b") == bucket).drop("_b").collect()
+        rows = dealt.filter(F.col("_b") == bucket).drop("_b", "_n").collect()
         if rows:
             yield block_from_rows(rows)
 

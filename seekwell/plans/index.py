@@ -31,8 +31,8 @@ from ..constants import (
 from ..functions import ids, paths
 from ..operators import chunking, diff, filters, ignore
 from ..operators.embedding import Embedder, HashedWords, embed
-from ..schemas import CHUNKS, FILES, MANIFEST, require
-from ..session import broadcast_if_small, spread
+from ..schemas import CHUNKS, DELTA, FILES, MANIFEST, require
+from ..session import broadcast_if_small, materialize, spread
 from ..storage import Storage
 
 KEY = ["folder", "path"]
@@ -258,10 +258,15 @@ class SearchIndex:
     def refresh(self, files: DataFrame, folders: Iterable[str] | None = None) -> dict:
         """Bring the index to a full snapshot: files that are gone, blank or newly
         ignored leave it. `folders` limits the comparison to those folders, for a
-        snapshot that holds only them. Returns the commit."""
+        snapshot that holds only them. Files whose `error` says that they could not be
+        read stay as they are in the index. Returns the commit."""
         version = (self.last_version() or 0) + 1
-        prepared = self._prepared(files)
         live = self.live_files()
+        if "error" in files.columns:
+            failed = materialize(files.filter("error IS NOT NULL").select(*KEY).distinct(), "unread")
+            files = files.filter("error IS NULL")
+            live = live.join(failed, KEY, "left_anti")
+        prepared = self._prepared(files)
         if folders is not None:
             names = list(folders)
             prepared = prepared.filter(F.col("folder").isin(names))
@@ -281,14 +286,28 @@ class SearchIndex:
         self, delta: DataFrame, stream: str | None = None, batch: int | None = None
     ) -> dict:
         """Apply rows `(folder, path, content, op, seq)`: `U` stores a file, `D`
-        removes it; the highest `seq` of a path wins. Files not named stay. A
-        file whose new content may not be indexed is removed.
+        removes it; the highest `seq` of a path wins, also over changes that were
+        applied before. Files not named stay. A file whose new content may not be
+        indexed is removed. Unknown `op`s, null `seq`s and a path that is both stored
+        and removed under one `seq` raise.
 
         With `stream` and `batch` a replayed batch is recognized and skipped."""
         if stream is not None and self.is_applied(stream, batch):
             return self.commit_info(self.last_version())
         version = (self.last_version() or 0) + 1
-        last = delta.groupBy(*KEY).agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))
+        delta = require(delta, DELTA, "changes")
+        known = F.col("op").isin("U", "D") & F.col("seq").isNotNull()
+        wrong = delta.filter(~F.coalesce(known, F.lit(False))).limit(1).collect()
+        if wrong:
+            raise ValueError(f"change with op {wrong[0]['op']!r} and seq {wrong[0]['seq']!r}")
+        every = delta.groupBy(*KEY, "seq").agg(F.min("op").alias("op"), F.max("op").alias("other"))
+        last = every.groupBy(*KEY).agg(
+            F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"),
+            F.max_by("other", "seq").alias("other"),
+        )
+        if not last.filter("op <> other").isEmpty():
+            raise ValueError("a file is both stored and removed under one seq")
+        last = self._newer(last.select(*KEY, "op", "seq"))
         upserts = delta.filter(F.col("op") == "U").join(
             last.filter(F.col("op") == "U").select(*KEY, "seq"), [*KEY, "seq"], "left_semi"
         )
@@ -296,7 +315,7 @@ class SearchIndex:
             *KEY, "content", F.octet_length("content").cast("long").alias("size")
         )
         prepared = self._prepared(files)
-        named = last.select(*KEY).join(diff.snapshot_keys(prepared), KEY, "left")
+        named = last.select(*KEY, "seq").join(diff.snapshot_keys(prepared), KEY, "left")
         # a small batch is sent to the stored manifest, which then stays in place
         live = self.live_files(among=broadcast_if_small(last.select(*KEY))).select(
             *KEY, F.col("hash").alias("old_hash"), F.col("version").alias("prev_version")
@@ -308,9 +327,20 @@ class SearchIndex:
             .when(F.col("hash") != F.col("old_hash"), "modified")
             .otherwise("same")
         )
-        changed = named.join(live, KEY, "left").withColumn("status", status).filter(_is_change())
+        changed = named.join(live, KEY, "left").withColumn("status", status)
         return self._apply(version, changed, prepared, stream=stream, batch=batch)
 
+    def _newer(self, last: DataFrame) -> DataFrame:
+        """The named changes that no applied change of the same file comes after."""
+        versions = self._view().versions
+        if not versions:
+            return last
+        seen = self._stored("manifest", MANIFEST, versions).filter(F.col("seq").isNotNull())
+        seen = seen.join(broadcast_if_small(last.select(*KEY)), KEY, "left_semi")
+        seen = seen.groupBy(*KEY).agg(F.max("seq").alias("applied"))
+        joined = last.join(seen, KEY, "left")
+        return joined.filter("applied IS NULL OR seq >= applied").drop("applied")
+
     def _apply(
         self,
         version: int,
@@ -323,10 +353,14 @@ class SearchIndex:
         """Write the manifest, then the chunks of changed files, then commit."""
         manifest_dir = f"{self.root}/manifest/version={version}"
         deleted = F.col("status") == "deleted"
+        # A change that alters nothing is only noted, so that its seq is known.
+        noted = (F.col("status") == "same") & (F.coalesce("conflict", F.lit(0)) == 0)
+        op = F.when(deleted, "D").when(noted, "S").otherwise("U")
         changed.select(
-            *KEY, "hash", F.when(deleted, "D").otherwise("U").alias("op"), "status", "old_hash",
-            "prev_version", F.coalesce("copies", F.lit(0)).alias("copies"),
+            *KEY, "hash", op.alias("op"), "status", "old_hash",
+            F.when(~noted, F.col("prev_version")).alias("prev_version"), F.coalesce("copies", F.lit(0)).alias("copies"),
             F.coalesce("conflict", F.lit(0)).alias("conflict"),
+            (F.col("seq") if "seq" in changed.columns else F.lit(None).cast("long")).alias("seq"),
         ).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(manifest_dir)
         manifest = self.spark.read.schema(MANIFEST).parquet(manifest_dir)
 
@@ -379,15 +413,25 @@ class SearchIndex:
         disk until their owner removes them."""
         version = (self.last_version() or 0) + 1
         live, chunks = self.live_files(), self.live_chunks()
+        noted = (
+            self._stored("manifest", MANIFEST, self._view().versions).filter("seq IS NOT NULL")
+            .groupBy(*KEY).agg(F.max("seq").alias("seq"))
+        )
         chunks.drop("version").repartitionByRange("folder", "path", "chunk_index").sortWithinPartitions(
             "folder", "path", "chunk_index"
         ).write.mode("overwrite").parquet(f"{self.root}/chunks/version={version}")
-        live.select(
-            *KEY, "hash", F.lit("U").alias("op"), F.lit("compacted").alias("status"),
-            F.lit(None).cast("string").alias("old_hash"),
+        rest = [
+            F.lit("compacted").alias("status"), F.lit(None).cast("string").alias("old_hash"),
             F.lit(None).cast("int").alias("prev_version"),
             F.lit(1).cast("long").alias("copies"), F.lit(0).alias("conflict"),
-        ).repartitionByRange(*KEY).write.mode("overwrite").parquet(
+        ]
+        kept = live.select(
+            *KEY, "hash", F.lit("U").alias("op"), *rest, F.lit(None).cast("long").alias("seq")
+        )
+        marks = noted.select(
+            *KEY, F.lit(None).cast("string").alias("hash"), F.lit("S").alias("op"), *rest, "seq"
+        )
+        kept.unionByName(marks).repartitionByRange(*KEY).write.mode("overwrite").parquet(
             f"{self.root}/manifest/version={version}"
         )
         nothing = {"added": 0, "modified": 0, "deleted": 0, "replaced": 0, "replaced_bytes": 0}

@@ -32,6 +32,7 @@ MANIFEST = StructType([
     StructField("prev_version", IntegerType(), True),
     StructField("copies", LongType(), False),
     StructField("conflict", IntegerType(), False),
+    StructField("seq", LongType(), True),  # of the change, if it came with one
 ])
 
 CHUNKS = StructType([

@@ -96,6 +96,8 @@ def spread(df: DataFrame) -> DataFrame:
     core, as a single row group is read by one task. Larger input is left as
     it is, so the shuffle is never bigger than cores x split size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+        return df  # rows that tasks made: the plan's leaves do not tell their size
     size = input_bytes(df)
     if size >= cores * _SPLIT_BYTES:
         return df

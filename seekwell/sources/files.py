@@ -3,6 +3,7 @@
 import os
 from functools import reduce
 from typing import Iterable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -22,8 +23,11 @@ _ENTRIES = "path string, size long, is_dir boolean"
 
 
 def _file_system(uri: str):
-    """File system of a URI and the path within it."""
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    """File system of a URI and the path within it. Names are as they are listed, so
+    what a URI may not hold is quoted here."""
+    if "://" in uri:
+        uri = quote(uri.replace("s3a://", "s3://", 1), safe="/:@")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,25 +50,33 @@ def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents of files, a few megabytes at a time; unreadable ones are skipped."""
-    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
-    names, contents, held = [], [], 0
+    """Contents of files, a few megabytes at a time; of an unreadable one the error."""
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+    names, contents, errors, held = [], [], [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.record_batch(
+            [pa.array(names), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], schema
+        )
+
     for batch in batches:
         for uri in batch.column(0).to_pylist():
+            content, error = None, None
             try:
                 system, inner = _file_system(uri)
                 with system.open_input_stream(inner) as stream:
                     content = stream.read()
-            except OSError:
-                continue
+            except OSError as failure:
+                error = str(failure)
             names.append(uri)
             contents.append(content)
-            held += len(content)
+            errors.append(error)
+            held += len(content or b"")
             if held > _READ_BYTES:
-                yield pa.record_batch([pa.array(names), pa.array(contents, pa.binary())], schema)
-                names, contents, held = [], [], 0
+                yield batch_of()
+                names, contents, errors, held = [], [], [], 0
     if names:
-        yield pa.record_batch([pa.array(names), pa.array(contents, pa.binary())], schema)
+        yield batch_of()
 
 
 def list_directory(
@@ -102,15 +114,18 @@ def scan_directory(
     by_name: bool = True,
     patterns: Iterable[str] = (),
 ) -> DataFrame:
-    """Every readable text file below `directory`, with paths relative to it.
+    """Every text file below `directory`, with paths relative to it.
 
     Names, patterns and sizes are tested on the listing, so only files that can
-    be indexed are opened. Files that are not valid UTF-8 are skipped."""
+    be indexed are opened, and the pattern files in the root, which `FileRules` may
+    ask for and then drops. Files that are not valid UTF-8 are skipped. A file that
+    cannot be read has an empty content and its `error`; a refresh leaves it alone."""
     listed = list_directory(spark, directory, patterns).filter(
         ~ignore.is_ignored(F.col("relative"), [*DEFAULT_IGNORE_PATTERNS, *patterns])
     )
     if by_name:
-        listed = listed.filter(is_indexed_name(F.col("relative")))
+        rules = F.col("relative").isin(*IGNORE_FILE_NAMES)
+        listed = listed.filter(is_indexed_name(F.col("relative")) | rules)
     if max_bytes is not None:
         listed = listed.filter(F.col("size") <= max_bytes)
     total = listed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
@@ -118,11 +133,17 @@ def scan_directory(
     read = (
         listed.select("path")
         .repartition(int(parts))
-        .mapInArrow(_read_files, "path string, content binary")
+        .mapInArrow(_read_files, "path string, content binary, error string")
     )
     skip = len(directory.rstrip("/")) + 2
     name = F.lit(folder) if folder is not None else paths.normalize_path(F.lit(directory))
-    return from_binary(read, name, F.substring("path", skip, 1 << 30), F.col("content"))
+    inside = F.substring("path", skip, 1 << 30)
+    valid = F.col("error").isNotNull() | is_valid_encoding(F.col("content"))
+    text = F.coalesce(F.col("content").cast("string"), F.lit(""))
+    return read.filter(valid).select(
+        name.alias("folder"), inside.alias("path"), text.alias("content"),
+        F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size"), "error",
+    )
 
 
 def scan_visible(

@@ -8,6 +8,7 @@ from ..constants import SEARCH_DEPTH
 from ..plans.index import SearchIndex
 from ..plans.search import answers
 from ..schemas import DELTA, REQUESTS
+from ..storage import Storage
 
 
 def file_changes(spark: SparkSession, directory: str, files_per_batch: int | None = None) -> DataFrame:
@@ -29,12 +30,16 @@ def start_refresh(
     index: SearchIndex, changes: DataFrame, checkpoint: str, name: str, catch_up: bool = True
 ) -> StreamingQuery:
     """Keep the index current. A batch replayed after a failure is recognized by
-    the commit that holds it. With `catch_up` the job ends when the input does."""
+    the commit that holds it, under the name and the id that the checkpoint gives the
+    query. A new checkpoint therefore replays its input, which `seq` makes harmless.
+    With `catch_up` the job ends when the input does."""
+    saved = Storage(index.spark, checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # read several times: keys, contents, chunks
         try:
-            index.apply_changes(batch, stream=name, batch=batch_id)
+            query = saved.read_json("metadata")["id"]
+            index.apply_changes(batch, stream=f"{name}/{query}", batch=batch_id)
         finally:
             batch.unpersist()
 

@@ -10,29 +10,37 @@ from ..session import spread
 from ..sources import from_table
 
 CORPUS = "corpus"
+#: Extensions of the documents, in turn. All of the first are indexed; the second set
+#: is for the queries whose feature is to drop names.
+INDEXED_KINDS = ("md", "py", "rs", "txt")
+MIXED_KINDS = ("md", "py", "log", "bin")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _file_path() -> "F.Column":
-    """`lang/doc_<id>.<ext>`; the extension goes round four kinds."""
-    kinds = F.array(*[F.lit(e) for e in ("md", "py", "log", "bin")])
-    ext = F.get(kinds, F.pmod("doc_id", F.lit(4)).cast("int"))
+def _file_path(kinds: tuple[str, ...] = INDEXED_KINDS) -> "F.Column":
+    """`lang/doc_<id>.<ext>`; the extension goes round the kinds."""
+    names = F.array(*[F.lit(e) for e in kinds])
+    ext = F.get(names, F.pmod("doc_id", F.lit(len(kinds))).cast("int"))
     return F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id"), F.lit("."), ext)
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(
+    spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = INDEXED_KINDS
+) -> DataFrame:
     """Every document as a file of the folder named by its source."""
     docs = table(spark, sf_dir, "documents")
-    return from_table(docs, F.col("source"), _file_path(), F.col("text"))
+    return from_table(docs, F.col("source"), _file_path(kinds), F.col("text"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(
+    spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = INDEXED_KINDS
+) -> DataFrame:
     """Every document as a file of one folder."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat(F.col("source"), F.lit("/"), _file_path())
+    path = F.concat(F.col("source"), F.lit("/"), _file_path(kinds))
     return from_table(docs, F.lit(CORPUS), path, F.col("text"))
 
 

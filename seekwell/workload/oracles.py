@@ -3,7 +3,8 @@
 from ..constants import EMBEDDING_DIM, INDEXED_EXTENSIONS
 
 _NAMES = ", ".join(f"'{e}'" for e in INDEXED_EXTENSIONS)
-_EXT = "CASE doc_id % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'py' WHEN 2 THEN 'log' ELSE 'bin' END"
+_EXT = "CASE doc_id % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'py' WHEN 2 THEN 'rs' ELSE 'txt' END"
+_MIXED = "CASE doc_id % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'py' WHEN 2 THEN 'log' ELSE 'bin' END"
 _PATH = f"lang || '/doc_' || doc_id || '.' || {_EXT}"
 
 FILES = f"""
@@ -12,10 +13,11 @@ files AS (SELECT doc_id, lang, source AS folder, {_PATH} AS path, text AS conten
 CORPUS = f"""
 files AS (SELECT doc_id, lang, 'corpus' AS folder, source || '/' || {_PATH} AS path,
                  text AS content, strlen(text)::BIGINT AS size FROM documents)"""
+MIXED_FILES, MIXED_CORPUS = (s.replace(_EXT, _MIXED) for s in (FILES, CORPUS))
 # what the index keeps of a snapshot
 INDEXED = """
 indexed AS (SELECT folder, path, content, sha256(content) AS hash FROM files
-            WHERE path LIKE '%.md' OR path LIKE '%.py')"""
+            WHERE regexp_matches(content, '\\S'))"""
 
 _LABELLED = f"""
 labelled AS (SELECT d.*, d.source AS folder, {_PATH} AS path,
@@ -34,10 +36,7 @@ v3 AS (SELECT folder, path, content, sha256(content) AS hash FROM (
 
 def _kept(state: str) -> str:
     """What the index keeps of one of the three states."""
-    return (
-        f"SELECT * FROM {state} WHERE (path LIKE '%.md' OR path LIKE '%.py') "
-        "AND regexp_matches(content, '\\S')"
-    )
+    return f"SELECT * FROM {state} WHERE regexp_matches(content, '\\S')"
 
 
 def line_chunks(source: str) -> str:
@@ -162,7 +161,7 @@ diffed AS (SELECT coalesce(a.folder, b.folder) AS folder, coalesce(a.path, b.pat
 
 
 _COUNT = r"len(regexp_extract_all(content, '\s*[^\s]+|\s+'))"
-_SHARD = "('0x' || md5(path)[1:8])::BIGINT % greatest(1, ceil((SELECT count(*) FROM files) / {n}))::BIGINT"
+_SHARD = "('0x' || md5(folder || '/' || path)[1:8])::BIGINT % greatest(1, ceil((SELECT count(*) FROM files) / {n}))::BIGINT"
 _PACKED = f"""WITH RECURSIVE {FILES},
 counted AS (SELECT folder, path, {_COUNT} AS n_tokens, ceil({_COUNT} / 8192.0)::BIGINT AS n_chunks,
                    {_SHARD.format(n="256.0")} AS shard FROM files),
@@ -224,7 +223,7 @@ ORACLES: dict[str, str] = {
         SELECT vec_id, round(dot, 6) AS dot, round(d, 6) AS distance,
                round(1 / (1 + d), 6) AS similarity FROM measured""",
     "filter_paths": f"WITH {CORPUS} SELECT path, size FROM files WHERE path = 'src1' OR starts_with(path, 'src1/')",
-    "filter_extension": f"WITH {FILES} SELECT folder, path FROM files WHERE split_part(path, '.', 2) IN ({_NAMES})",
+    "filter_extension": f"WITH {MIXED_FILES} SELECT folder, path FROM files WHERE split_part(path, '.', 2) IN ({_NAMES})",
     "path_parts": f"""WITH {FILES} SELECT path, split_part(path, '/', 2) AS base_name,
         split_part(path, '.', 2) AS extension FROM files""",
     "filter_size": "SELECT page_id, strlen(html)::BIGINT AS size FROM pages WHERE strlen(html) <= 1000",
@@ -246,14 +245,14 @@ ORACLES: dict[str, str] = {
     "file_hash": f"WITH {FILES} SELECT folder, path, sha256(content) AS hash FROM files",
     "folder_key": """SELECT source AS folder, count(*) AS files, 'idx-' || sha256(source)[1:16] AS key
         FROM documents GROUP BY source""",
-    "ignore_filter": rf"""WITH {CORPUS} SELECT path, size FROM files
+    "ignore_filter": rf"""WITH {MIXED_CORPUS} SELECT path, size FROM files
         WHERE NOT (starts_with(path, 'src1/') OR starts_with(path, 'src2/en/')
             OR path LIKE '%.bin' OR path LIKE '%.log'
             OR regexp_matches(path, '^src3/(.*/)?doc_[^/]*5\.md$')
             OR (regexp_matches(path, '/doc_[0-3][^/]\.py$') AND NOT regexp_matches(path, '/doc_1[^/]\.py$')))""",
-    "ignore_defaults": f"""WITH {FILES} SELECT folder, 'lib/' || path AS path FROM files
+    "ignore_defaults": f"""WITH {MIXED_FILES} SELECT folder, 'lib/' || path AS path FROM files
         WHERE lang <> 'fr' AND path NOT LIKE '%.log'""",
-    "ignore_by_folder": rf"""WITH {FILES} SELECT folder, path FROM files
+    "ignore_by_folder": rf"""WITH {MIXED_FILES} SELECT folder, path FROM files
         WHERE path NOT LIKE '%.log' AND CASE WHEN folder LIKE '%1'
             THEN NOT (lang = 'fr' OR (path LIKE '%.py' AND NOT regexp_matches(path, '/doc_1[^/]*\.py$')))
             ELSE NOT regexp_matches(path, '^en/doc_[^/]\.md$') END""",

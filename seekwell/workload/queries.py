@@ -173,7 +173,7 @@ def filter_paths(spark, sf_dir):
 
 @register
 def filter_extension(spark, sf_dir):
-    rows = inputs.files(spark, sf_dir)
+    rows = inputs.files(spark, sf_dir, inputs.MIXED_KINDS)
     return rows.filter(filters.is_indexed_name(F.col("path"))).select("folder", "path")
 
 
@@ -256,12 +256,12 @@ def folder_key(spark, sf_dir):
 
 @register
 def ignore_filter(spark, sf_dir):
-    return ignore.filter_ignored(inputs.corpus(spark, sf_dir), IGNORED).select("path", "size")
+    return ignore.filter_ignored(inputs.corpus(spark, sf_dir, inputs.MIXED_KINDS), IGNORED).select("path", "size")
 
 
 @register
 def ignore_defaults(spark, sf_dir):
-    nested = inputs.files(spark, sf_dir).withColumn(
+    nested = inputs.files(spark, sf_dir, inputs.MIXED_KINDS).withColumn(
         "path", F.concat(F.when(F.col("path").startswith("fr/"), "target/").otherwise("lib/"), "path")
     )
     return ignore.filter_ignored(nested).select("folder", "path")
@@ -270,7 +270,7 @@ def ignore_defaults(spark, sf_dir):
 @register
 def ignore_by_folder(spark, sf_dir):
     """The French documents serve as if their folders had a pattern file."""
-    rows = inputs.files(spark, sf_dir)
+    rows = inputs.files(spark, sf_dir, inputs.MIXED_KINDS)
     names = rows.select("folder").distinct()
     patterns = names.select(
         "folder",

@@ -29,7 +29,7 @@ def rows_of(frame) -> list[tuple]:
     return sorted((tuple(r) for r in table.itertuples(index=False)), key=repr)
 
 
-_KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "INTEGER": "int"}
+_KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "INTEGER": "int", "BOOLEAN": "boolean"}
 
 
 def difference(spark_df, con, sql: str) -> str | None:

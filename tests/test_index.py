@@ -288,6 +288,61 @@ def test_changes_by_delta(spark, index, make_files):
         index.apply_changes(spark.createDataFrame(clash, delta.schema), "feed", 2)
 
 
+_DELTA = "folder string, path string, content string, op string, seq long"
+
+
+def test_older_changes_in_later_batches(spark, index, make_files):
+    def apply(batch, *rows):
+        index.apply_changes(spark.createDataFrame(list(rows), _DELTA), "feed", batch)
+
+    def texts():
+        return {r["path"]: r["text"] for r in index.live_chunks().collect()}
+
+    apply(0, ("r", "a.md", "five", "U", 5), ("r", "b.md", "gone", "U", 3))
+    apply(1, ("r", "a.md", "two", "U", 2), ("r", "b.md", None, "D", 4))
+    assert texts() == {"a.md": "five"}
+    apply(2, ("r", "b.md", "old", "U", 3), ("r", "a.md", "five", "U", 7))
+    index.compact()
+    apply(3, ("r", "a.md", "six", "U", 6), ("r", "b.md", "new", "U", 5))
+    assert texts() == {"a.md": "five", "b.md": "new"}
+
+
+@pytest.mark.parametrize("rows, said", [
+    ([("r", "a.md", "x", "u", 1)], "op 'u'"), ([("r", "a.md", "x", None, 1)], "op None"),
+    ([("r", "a.md", "x", "U", None)], "seq None"),
+    ([("r", "a.md", "x", "U", 1), ("r", "a.md", None, "D", 1)], "one seq"),
+])
+def test_wrong_changes_raise(spark, index, rows, said):
+    with pytest.raises(ValueError, match=said):
+        index.apply_changes(spark.createDataFrame(rows, _DELTA))
+
+
+def test_new_checkpoint_loses_nothing(spark, tmp_path, make_files):
+    index = SearchIndex(spark, f"{tmp_path}/index", HashedWords(32))
+    for k, name in enumerate(("a.md", "b.md")):
+        row = [("r", name, f"text {k}", "U", k)]
+        spark.createDataFrame(row, _DELTA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        changes = file_changes(spark, f"{tmp_path}/in")
+        start_refresh(index, changes, f"{tmp_path}/ck{k}", "s").awaitTermination()
+    assert {r["path"] for r in index.live_files().collect()} == {"a.md", "b.md"}
+
+
+def test_unreadable_files_stay(spark, tmp_path):
+    home = tmp_path / "with space"
+    home.mkdir()
+    (home / "a #1.md").write_text("first")
+    (home / "b%20.md").write_text("second")
+    (home / "skip.md").write_text("ignored")
+    (home / ".gitignore").write_text("skip*\n")
+    index = SearchIndex(spark, f"{tmp_path}/index", HashedWords(32), rules=FileRules(pattern_files=True))
+    found = scan_directory(spark, f"file://{home}", folder="r")
+    index.refresh(found)
+    assert {r["path"] for r in index.live_files().collect()} == {"a #1.md", "b%20.md"}
+    failed = F.when(F.col("path") == "b%20.md", "throttled")
+    index.refresh(found.withColumn("error", failed).filter("path <> 'a #1.md'"))
+    assert {r["path"] for r in index.live_files().collect()} == {"b%20.md"}
+
+
 def test_stream_equals_refresh(spark, tmp_path, make_files):
     root = str(tmp_path)
     index = SearchIndex(spark, f"{root}/streamed", HashedWords(32))
