@@ -39,9 +39,9 @@ _KEYS = ["tree", "node"]
 @dataclass(frozen=True)
 class Forest:
     threshold: float = 0.9
-    trees: int = 6
-    leaf: int = 1024
-    overlap: float = 0.25  # in standard deviations of a node's projections, each way
+    trees: int = 7
+    leaf: int = 2048
+    overlap: float = 0.15  # in standard deviations of a node's projections, each way
     levels: int = 6  # of a subtree
     sample: int = 8192  # rows of a node that its subtree is fitted on
     seed: int = 9
@@ -123,9 +123,18 @@ def _subtrees(rows: DataFrame, sizes: DataFrame, forest: Forest) -> DataFrame:
     return dealt.mapInArrow(fit, "tree long, node long, splits array<double>")
 
 
+#: Bytes of splits that may go to every task; more are joined to the rows instead.
+_SENT_BYTES = 16 * 1024 * 1024
+
+
 def _sent_down(rows: DataFrame, subtrees: DataFrame, forest: Forest) -> DataFrame:
     """Rows of nodes with a subtree at its leaves, the others where they are."""
-    joined = rows.join(subtrees, _KEYS, "left").select(*_KEYS, "id", "vector", "splits")
+    names, known = [*_KEYS, "id", "vector"], None
+    if subtrees.count() * 2**forest.levels * 16 <= _SENT_BYTES:
+        known = {(r["tree"], r["node"]): np.array(r["splits"]) for r in subtrees.collect()}
+        source = rows.select(*names)
+    else:
+        source = rows.join(subtrees, _KEYS, "left").select(*names, "splits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,25 +145,30 @@ def _sent_down(rows: DataFrame, subtrees: DataFrame, forest: Forest) -> DataFram
             order = np.lexsort((node, tree))
             change = np.flatnonzero((np.diff(tree[order]) != 0) | (np.diff(node[order]) != 0)) + 1
             take, nodes = [], []
-            for rows_ in np.split(order, change):
-                splits = batch.column("splits")[int(rows_[0])].as_py()
-                own = int(node[rows_[0]])
+            for part in np.split(order, change):
+                first = int(part[0])
+                key = (int(tree[first]), int(node[first]))
+                splits = batch.column("splits")[first].as_py() if known is None else known.get(key)
                 if splits is None:
-                    take.append(rows_)
-                    nodes.append(np.full(len(rows_), own))
+                    take.append(part)
+                    nodes.append(np.full(len(part), key[1]))
                     continue
-                splits = np.array(splits).reshape(-1, 2)
-                along = directions(int(tree[rows_[0]]), own, len(splits), vectors.shape[1], forest.seed)
-                which, at = _route(vectors[rows_], along, splits)
-                take.append(rows_[which])
-                nodes.append(_child(np.full(len(at), own), at))
+                splits = np.asarray(splits).reshape(-1, 2)
+                along = directions(*key, len(splits), vectors.shape[1], forest.seed)
+                which, at = _route(vectors[part], along, splits)
+                take.append(part[which])
+                nodes.append(_child(np.full(len(at), key[1]), at))
             take = np.concatenate(take)
+            where = pa.array(take)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tree[take]), pa.array(np.concatenate(nodes)), *(batch.column(k).take(pa.array(take)) for k in ("id", "vector"))],
-                [*_KEYS, "id", "vector"],
+                [
+                    pa.array(tree[take]), pa.array(np.concatenate(nodes)),
+                    batch.column("id").take(where), batch.column("vector").take(where),
+                ],
+                names,
             )
 
-    return joined.mapInArrow(run, rows.select(*_KEYS, "id", "vector").schema)
+    return source.mapInArrow(run, rows.select(*names).schema)
 
 
 def leaves(vectors: DataFrame, forest: Forest) -> DataFrame:
