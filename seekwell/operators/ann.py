@@ -22,16 +22,20 @@ from .embedding import unit_rows
 from .scoring import QueryBlock, _vectors, local_best, merge_best, query_blocks
 
 TRAINING_ROWS_PER_CELL = 1024
+_DISTANCES_AT_ONCE = 4 * 1024 * 1024
 
 
-def train_cells(chunks: DataFrame, n_cells: int, seed: int = 17) -> np.ndarray:
-    """Centroids of the chunk vectors. Large tables are sampled for training
-    only; every chunk is still assigned and searched."""
+def train_cells(
+    chunks: DataFrame, n_cells: int, seed: int = 17, rows_per_cell: int = TRAINING_ROWS_PER_CELL
+) -> np.ndarray:
+    """Centroids of the chunk vectors. Tables of more than `rows_per_cell` rows for
+    each cell are sampled for training only; every chunk is still assigned and
+    searched."""
     dim = len(chunks.select("vector").first()["vector"])
     if n_cells * dim * 8 > MAX_BROADCAST_BYTES:
         raise ValueError(f"{n_cells} cells of {dim} dimensions are too many to send")
     total = chunks.count()
-    wanted = n_cells * TRAINING_ROWS_PER_CELL
+    wanted = n_cells * rows_per_cell
     rows = chunks.select("vector")
     if total > wanted:
         rows = rows.sample(fraction=wanted / total, seed=seed)
@@ -42,10 +46,27 @@ def train_cells(chunks: DataFrame, n_cells: int, seed: int = 17) -> np.ndarray:
     return np.array(model.clusterCenters())
 
 
+def given_cells(cells: DataFrame) -> np.ndarray:
+    """Centroids from a table `(cell, vector)`, numbered by rising `cell`. Measured
+    before it is fetched, as centroids are sent to every task."""
+    size = cells.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0)).alias("n")).first()["n"]
+    if size > MAX_BROADCAST_BYTES:
+        raise ValueError(f"centroids of {size} bytes are too many to send")
+    return np.array([r["vector"] for r in cells.orderBy("cell").collect()], dtype=np.float64)
+
+
 def nearest_cells(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The `n` nearest centroids of each unit row, nearest first."""
-    away = np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2.0 * vectors @ centroids.T
-    return np.argsort(away, axis=1, kind="stable")[:, :n]
+    lengths = np.einsum("ij,ij->i", centroids, centroids)
+    nearest = np.empty((len(vectors), n), dtype=np.int64)
+    step = max(1, _DISTANCES_AT_ONCE // len(centroids))
+    for at in range(0, len(vectors), step):
+        away = lengths[None, :] - 2.0 * vectors[at : at + step] @ centroids.T
+        if n == 1:
+            nearest[at : at + step, 0] = away.argmin(axis=1)
+        else:
+            nearest[at : at + step] = np.argsort(away, axis=1, kind="stable")[:, :n]
+    return nearest
 
 
 def assign_cells(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:

@@ -63,5 +63,28 @@ def rejected_by_tokens(
     )
 
 
+def rejected(
+    files: DataFrame,
+    max_bytes: int = MAX_FILE_BYTES,
+    ceiling: int = MAX_TOKENS_PER_REQUEST,
+) -> DataFrame:
+    """`(folder, path, size, reason)` of the files that an index leaves out, with the
+    first reason that holds: unreadable, name, size, encoding, blank or tokens.
+    `content` may be text or bytes; a null content is blank."""
+    body = F.col("content").cast("string")
+    failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+    reason = (
+        F.when(failed, "unreadable")
+        .when(~is_indexed_name(F.col("path")), "name")
+        .when(~is_indexed_size(F.col("size"), max_bytes), "size")
+        .when(~is_valid_encoding(F.col("content")), "encoding")
+        .when(F.col("content").isNull() | ~text.is_not_blank(body), "blank")
+        .when(~within_token_ceiling(text.token_count(body), ceiling), "tokens")
+    )
+    # Exploding zero or one reason, as a filter would repeat the tests below it.
+    given = F.filter(F.array(reason), lambda r: r.isNotNull())
+    return files.select("folder", "path", "size", F.explode(given).alias("reason"))
+
+
 def in_folder(files: DataFrame, folder: str, column: str = "path") -> DataFrame:
     return files.filter(paths.is_within(F.col(column), F.lit(folder)))

@@ -207,9 +207,13 @@ def folder_rules(files: DataFrame, defaults: bool = True) -> DataFrame:
     )
 
 
-def filter_ignored_by_folder(files: DataFrame, defaults: bool = True) -> DataFrame:
-    """Apply to every folder of a snapshot its own pattern files."""
-    rules = broadcast_if_small(folder_rules(files, defaults))
+def filter_ignored_by_folder(
+    files: DataFrame, defaults: bool = True, pattern_files: DataFrame | None = None
+) -> DataFrame:
+    """Apply to every folder its own pattern files: those among `files`, or the rows
+    `(folder, path, content)` of `pattern_files`."""
+    source = files if pattern_files is None else pattern_files
+    rules = broadcast_if_small(folder_rules(source, defaults))
 
     def says_ignore(text: Column, field: str) -> Column:
         matching = F.filter("runs", lambda run: F.rlike(text, run[field]))

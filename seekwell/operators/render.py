@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import shown
+from ..session import broadcast_if_small, materialize
 
 # Fixed value: the first line of the prompt form.
 PROMPT_HEADING = "The relevant data may be in these files:\n"
@@ -71,15 +72,15 @@ def add_commands(files: Column) -> Column:
     return _lines(files, "/add ")
 
 
-def with_snippets(files: DataFrame, chunks: DataFrame, max_rows: int) -> DataFrame:
+def with_snippets(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Adds `content`, the text of the best chunk of each file.
 
-    Texts are fetched for the final rows only. `max_rows` is what the search
-    can return at most; up to that proven size the hits are sent to the chunk
-    table, so that its text column is not shuffled."""
+    The hits are stored and their distinct keys measured in bytes. Keys that fit are
+    sent to the chunk table, so that only texts of hits leave their task."""
     keys = ["folder", "path", "chunk_index"]
-    found = F.broadcast(files) if max_rows <= 200_000 else files
-    texts = chunks.select(*keys, F.col("text").alias("content"))
-    return texts.join(found, keys).select(
+    found = materialize(files, "found")
+    wanted = broadcast_if_small(found.select(*keys).distinct())
+    texts = chunks.select(*keys, F.col("text").alias("content")).join(wanted, keys, "left_semi")
+    return found.join(texts, keys).select(
         "query_id", "folder", "path", "score", "rank", "content"
     )

@@ -5,6 +5,8 @@ without a rebuild: replaced chunks are dropped by the index's own anti-join,
 and chunks written since are searched in full next to the probed cells.
 """
 
+from typing import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -13,7 +15,7 @@ from ..constants import SEARCH_DEPTH
 from ..operators import ann, scoring
 from ..schemas import CHUNKS
 from .index import SearchIndex
-from .search import embed_requests
+from .search import embed_requests, without_ignored
 from ..storage import Storage
 
 _CENTROIDS = "cell int, center array<double>"
@@ -55,7 +57,12 @@ class CellIndex:
         return usable[-1]
 
     def search_batch(
-        self, requests: DataFrame, n_probe: int, k: int = SEARCH_DEPTH
+        self,
+        requests: DataFrame,
+        n_probe: int,
+        k: int = SEARCH_DEPTH,
+        patterns: Iterable[str] = (),
+        pattern_files: DataFrame | None = None,
     ) -> DataFrame:
         """Ranked files as `plans.search_batch`, looking into `n_probe` cells."""
         version = self.current()
@@ -77,4 +84,4 @@ class CellIndex:
             k,
             uncelled=newer,
         )
-        return scoring.best_files(top)
+        return scoring.best_files(without_ignored(top, patterns, pattern_files))

@@ -463,10 +463,8 @@ class SearchIndex:
 
     def run_stats(self) -> DataFrame:
         """What each committed version changed."""
-        rows = [
-            (c["version"], c["base"], c["added"], c["modified"], c["deleted"], c["replaced"])
-            for c in (self.commit_info(v) for v in self.versions())
-        ]
-        return self.spark.createDataFrame(
-            rows, "version int, base boolean, added long, modified long, deleted long, replaced long"
-        )
+        schema = "version int, base boolean, added long, modified long, deleted long, replaced long"
+        commits = [f"{self.root}/commits/{v}.json" for v in self.versions()]
+        if not commits:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("multiLine", True).json(commits)

@@ -1,6 +1,8 @@
 """Streaming jobs. Each micro-batch runs the batch plan; the stream checkpoint
 takes the place of saved state."""
 
+from typing import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -54,14 +56,18 @@ def start_answers(
     checkpoint: str,
     k: int = SEARCH_DEPTH,
     catch_up: bool = True,
+    patterns: Iterable[str] = (),
+    pattern_files: DataFrame | None = None,
 ) -> StreamingQuery:
     """Answer a stream of requests from the last committed version. Each batch
-    overwrites its own directory, so a replay leaves one answer per request."""
+    overwrites its own directory, so a replay leaves one answer per request. Patterns
+    are as in `search_batch`."""
+    patterns = tuple(patterns)
 
     def respond(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            told = answers(index, batch, k)
+            told = answers(index, batch, k, patterns, pattern_files)
             told.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         finally:
             batch.unpersist()

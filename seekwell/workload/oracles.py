@@ -88,6 +88,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 top AS (SELECT * FROM ranked WHERE rank <= 100 AND score >= cutoff)"""
 
 
+#: The labels' means as cells: each vector in the nearest, each query into three.
+_CELLED = f"""{VECTORS},
+cells AS (SELECT query_id AS cell, q AS c, list_inner_product(q, q) AS cc FROM queries),
+away AS (SELECT chunk_id, cell, cc - 2 * list_inner_product(v, c) / sqrt(list_inner_product(v, v)) AS d
+         FROM chunks, cells),
+housed AS (SELECT chunk_id, arg_min(cell, d) AS cell FROM away GROUP BY chunk_id),
+near AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY
+           cc - 2 * list_inner_product(q, c) / sqrt(list_inner_product(q, q)), cell) AS n FROM queries, cells)"""
+_IN_PROBED_CELL = """(query_id, chunk_id) IN (SELECT (query_id, chunk_id) FROM housed JOIN near USING (cell)
+                      WHERE n <= 3)"""
+
 _BEST = """
 best AS (SELECT query_id, path, max(score) AS exact FROM top GROUP BY query_id, path),
 ordered AS (SELECT query_id, path, floor(exact * 1e6 + 0.5) / 1e6 AS score,
@@ -116,8 +127,20 @@ def _embedded(chunks: str, key: str, out: str) -> str:
 {out}_lengths AS (SELECT {key}, sqrt(sum(x * x)) AS length FROM {out} GROUP BY ALL)"""
 
 
-def _text_top(files: str, requests: str, indexed: str = INDEXED) -> str:
-    return f"""{files}, {indexed}, {line_chunks("indexed")},
+def token_chunks(source: str, size: int = 64) -> str:
+    return f"""
+cut AS (SELECT *, regexp_extract_all(content, '\\s*[^\\s]+|\\s+') AS tokens FROM {source}),
+placed AS (SELECT *, unnest(range(0, len(tokens), {size})) AS s FROM cut WHERE len(tokens) <= 200000),
+windows AS (SELECT *, array_to_string(tokens[s + 1 : s + {size}], '') AS text FROM placed),
+chunks AS (SELECT * EXCLUDE (tokens, content),
+                  row_number() OVER (PARTITION BY folder, path ORDER BY s) - 1 AS chunk_index
+           FROM windows WHERE regexp_matches(text, '\\S'))"""
+
+
+def _text_top(
+    files: str, requests: str, indexed: str = INDEXED, chunked: str = line_chunks("indexed")
+) -> str:
+    return f"""{files}, {indexed}, {chunked},
 known AS (SELECT *, {_CHUNK_ID} AS chunk_id FROM chunks),
 requests AS ({requests}),
 {_embedded("known", "chunk_id", "cv")}, {_embedded("requests", "query_id", "qv")},
@@ -138,6 +161,8 @@ _FOLDER_REQUESTS = """SELECT item_id AS query_id, text, 'src' || item_id % 20 AS
 _TURNS = """SELECT conv_id * 1000 + turn AS query_id, text, 'corpus' AS folder,
             CASE WHEN turn > 0 THEN 0.5 ELSE 0.3 END AS cutoff
             FROM conversations WHERE role NOT IN ('assistant', 'system')"""
+_FIRST_TEXT = """SELECT 0::BIGINT AS query_id, arg_min(text, doc_id) AS text, 'corpus' AS folder,
+                 0.7 AS cutoff FROM documents"""
 _ANSWERS = f"""WITH {_text_top(CORPUS, _REQUESTS)}, {_BEST}
 SELECT query_id,
   '{{"files_by_relevance":[' || coalesce(string_agg('[' || score || ',' || to_json(path) || ']', ','
@@ -210,6 +235,8 @@ ORACLES: dict[str, str] = {
     ),
     "render_add": _listed("coalesce(string_agg('/add ' || path, chr(10) ORDER BY rank), '') AS text"),
     "ann_search_all_cells": _VECTOR_FILES,
+    "ann_search_given_cells": f"""WITH {_vector_top(match=_IN_PROBED_CELL).replace(VECTORS, _CELLED)}, {_BEST}
+        SELECT * FROM ordered""",
     "vector_norms": """SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[],
         embedding::DOUBLE[])), 6) AS norm FROM embeddings""",
     "normalize_vectors": """WITH lengths AS (SELECT vec_id, embedding::DOUBLE[] AS v,
@@ -231,6 +258,13 @@ ORACLES: dict[str, str] = {
         WHERE lang <> 'fr' AND regexp_matches(text, '\S')""",
     "filter_utf8": """SELECT source AS folder, doc_id::VARCHAR AS path, strlen(text)::BIGINT AS size,
         md5(text) AS content_md5 FROM documents WHERE lang <> 'fr'""",
+    "rejected_files": f"""WITH {MIXED_FILES},
+        sized AS (SELECT *, size + (lang = 'fr')::BIGINT AS bytes FROM files),
+        judged AS (SELECT folder, path, bytes AS size,
+            CASE WHEN split_part(path, '.', 2) NOT IN ({_NAMES}) THEN 'name' WHEN bytes > 20000 THEN 'size'
+                 WHEN lang = 'fr' THEN 'encoding' WHEN NOT regexp_matches(content, '\\S') THEN 'blank'
+                 WHEN {_COUNT} > 1000 THEN 'tokens' END AS reason FROM sized)
+        SELECT * FROM judged WHERE reason IS NOT NULL""",
     "scan_pages": """SELECT 'pages' AS folder, strlen(html)::BIGINT + 1 AS size,
         md5(html || chr(10)) AS content_md5 FROM pages""",
     "relative_path": f"""WITH {FILES} SELECT folder || '/' || path AS absolute, path AS in_folder,
@@ -323,6 +357,18 @@ ORACLES: dict[str, str] = {
     "text_search_not_ignored": f"""WITH {_text_top(CORPUS, _REQUESTS).replace("top AS (", "found AS (")},
         top AS (SELECT * FROM found WHERE NOT (starts_with(path, 'src1/') OR path LIKE '%/de/%')), {_BEST}
         SELECT * FROM ordered""",
+    "text_search_by_folder_rules": rf"""WITH {_text_top(FILES, _FOLDER_REQUESTS).replace("top AS (", "found AS (")},
+        top AS (SELECT * FROM found WHERE CASE WHEN folder LIKE '%1'
+            THEN NOT (starts_with(path, 'fr/') OR (path LIKE '%.py' AND NOT regexp_matches(path, '/doc_1[^/]*\.py$')))
+            ELSE NOT regexp_matches(path, '^en/doc_[^/]\.md$') END), {_BEST}
+        SELECT ordered.*, folder FROM ordered JOIN requests USING (query_id)""",
+    "text_search_tokens": f"""WITH {_text_top(CORPUS, _REQUESTS, chunked=token_chunks("indexed"))}, {_BEST}
+        SELECT * FROM ordered""",
+    "text_search_l2sim": f"""WITH {_text_top(CORPUS, _REQUESTS.replace("0.3", "0.4")).replace(
+            "round(dot / (cl.length * ql.length), 9)",
+            "round(1 / (1 + (2 - 2 * dot / (cl.length * ql.length))), 9)")}, {_BEST}
+        SELECT * FROM ordered""",
+    "text_search_default_cutoff": f"""WITH {_text_top(CORPUS, _FIRST_TEXT)}, {_BEST} SELECT * FROM ordered""",
     "search_user_turns": f"WITH {_text_top(CORPUS, _TURNS)}, {_BEST} SELECT * FROM ordered",
     "best_snippet": f"""WITH {_text_top(CORPUS, _REQUESTS)}, {_BEST},
         texts AS (SELECT query_id, path, arg_min(text, rank) AS content FROM top GROUP BY query_id, path)

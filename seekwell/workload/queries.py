@@ -3,14 +3,15 @@
 from functools import wraps
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import TOKENS_PER_CHUNK
+from ..constants import EMBEDDING_DIM, TOKENS_PER_CHUNK
 from ..functions import ids, paths, text, vectors
 from ..operators import ann, chunking, diff, filters, ignore, packing, render, scoring
-from ..operators.embedding import hashed_words_sparse
-from ..plans import CellIndex, SearchIndex, answers, search_batch, search_with_snippets
+from ..operators.embedding import HashedWords, hashed_words_sparse
+from ..plans import CellIndex, SearchIndex, answers, search, search_batch, search_with_snippets
+from ..plans.index import line_settings, token_settings
 from ..session import new_scratch, ship_package, spread
 from ..sources import checked, from_binary, scan_directory, valid
 from ..streaming import file_changes, start_answers, start_refresh
@@ -201,16 +202,30 @@ def filter_blank(spark, sf_dir):
     return kept.filter(text.is_not_blank(F.col("content"))).select("doc_id", "n_chars")
 
 
+def _damaged(content: Column, lang: Column) -> Column:
+    """Bytes of a text; the French ones are no longer UTF-8."""
+    body = content.cast("binary")
+    return F.when(lang == "fr", F.concat(body, F.unhex(F.lit("FF")))).otherwise(body)
+
+
 @register
 def filter_utf8(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
-    damaged = F.when(
-        F.col("lang") == "fr", F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")))
-    ).otherwise(F.col("text").cast("binary"))
+    damaged = _damaged(F.col("text"), F.col("lang"))
     kept = from_binary(docs, F.col("source"), F.col("doc_id").cast("string"), damaged)
     return kept.select("folder", "path", "size", F.md5("content").alias("content_md5"))
 
 
+@register
+def rejected_files(spark, sf_dir):
+    rows = inputs.files(spark, sf_dir, inputs.MIXED_KINDS)
+    content = _damaged(F.col("content"), F.substring_index("path", "/", 1))
+    raw = rows.withColumn("content", content).withColumn(
+        "size", F.octet_length("content").cast("long")
+    )
+    return filters.rejected(spread(raw), 20_000, TOKEN_CEILING)
+
+
 @register
 def scan_pages(spark, sf_dir):
     """Every page written to a file of its own, then found by a directory scan."""
@@ -267,19 +282,22 @@ def ignore_defaults(spark, sf_dir):
     return ignore.filter_ignored(nested).select("folder", "path")
 
 
-@register
-def ignore_by_folder(spark, sf_dir):
-    """The French documents serve as if their folders had a pattern file."""
-    rows = inputs.files(spark, sf_dir, inputs.MIXED_KINDS)
-    names = rows.select("folder").distinct()
-    patterns = names.select(
+def _pattern_files(snapshot: DataFrame) -> DataFrame:
+    """A pattern file for each folder."""
+    return snapshot.select("folder").distinct().select(
         "folder",
         F.lit(".gitignore").alias("path"),
         F.when(F.col("folder").endswith("1"), "fr/\n*.py\n!doc_1*.py")
         .otherwise("/en/doc_?.md\n").alias("content"),
         F.lit(20).cast("long").alias("size"),
     )
-    kept = ignore.filter_ignored_by_folder(rows.unionByName(patterns))
+
+
+@register
+def ignore_by_folder(spark, sf_dir):
+    """The French documents serve as if their folders had a pattern file."""
+    rows = inputs.files(spark, sf_dir, inputs.MIXED_KINDS)
+    kept = ignore.filter_ignored_by_folder(rows.unionByName(_pattern_files(rows)))
     return kept.filter(F.col("path") != ".gitignore").select("folder", "path")
 
 
@@ -527,6 +545,42 @@ def text_search_not_ignored(spark, sf_dir):
     return _shown(search_batch(index, inputs.requests(spark, sf_dir), patterns=NEVER_SHOWN))
 
 
+@register
+def text_search_by_folder_rules(spark, sf_dir):
+    """Pattern files written after the build still hide their folder's files."""
+    index = _new_index(spark, "ruled")
+    snapshot = inputs.files(spark, sf_dir)
+    index.build(snapshot)
+    found = search_batch(
+        index, inputs.folder_requests(spark, sf_dir), pattern_files=_pattern_files(snapshot)
+    )
+    return _shown(found, "folder")
+
+
+@register
+def text_search_tokens(spark, sf_dir):
+    settings = token_settings(HashedWords(EMBEDDING_DIM), size=SMALL_TOKEN_WINDOW)
+    index = _corpus_index(spark, sf_dir, "windows", settings=settings)
+    return _shown(search_batch(index, inputs.requests(spark, sf_dir)))
+
+
+@register
+def text_search_l2sim(spark, sf_dir):
+    settings = line_settings(HashedWords(EMBEDDING_DIM), metric="l2sim")
+    index = _corpus_index(spark, sf_dir, "l2sim", settings=settings)
+    requests = inputs.requests(spark, sf_dir).withColumn("cutoff", F.lit(0.4))
+    return _shown(search_batch(index, requests))
+
+
+@register
+def text_search_default_cutoff(spark, sf_dir):
+    """What resembles the first document, at the cutoff of a typed-in query."""
+    index = _corpus_index(spark, sf_dir, "typed")
+    documents = inputs.table(spark, sf_dir, "documents")
+    text_of_first = documents.agg(F.min_by("text", "doc_id")).first()[0]
+    return _shown(search(index, text_of_first, inputs.CORPUS))
+
+
 @register
 def search_user_turns(spark, sf_dir):
     index = _corpus_index(spark, sf_dir, "turns")
@@ -584,6 +638,18 @@ def ann_search_all_cells(spark, sf_dir):
     return _shown(scoring.best_files(top.withColumn("folder", F.lit("all"))))
 
 
+@register
+def ann_search_given_cells(spark, sf_dir):
+    """The labels' means as cells, three of them probed."""
+    queries = inputs.vector_queries(spark, sf_dir)
+    centroids = ann.given_cells(queries.select(F.col("query_id").alias("cell"), "vector"))
+    celled = ann.write_cells(
+        inputs.vector_chunks(spark, sf_dir), centroids, new_scratch(spark, "given")
+    )
+    top = ann.top_chunks_in_cells(celled, queries, centroids, n_probe=3)
+    return _shown(scoring.best_files(top.withColumn("folder", F.lit("all"))))
+
+
 @register
 def ann_recall(spark, sf_dir):
     """Share of the exact hits found by probing a quarter of the cells."""
