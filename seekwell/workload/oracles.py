@@ -313,6 +313,18 @@ ORACLES: dict[str, str] = {
     "chunk_id_uuid5": f"WITH {FILES}, {line_chunks('files')} SELECT folder, path, {_CHUNK_ID} AS chunk_id FROM chunks",
     "chunk_id_uuid5_hash": f"WITH {FILES}, {line_chunks('files')} SELECT folder, path, {_HASH_ID} AS chunk_id FROM chunks",
     "hashed_embedding_sparse": f"WITH {_embedded('documents', 'doc_id', 'e')} SELECT doc_id, bucket, n FROM e_counts",
+    "chunk_custom_tokens": f"""WITH {FILES},
+        placed AS (SELECT folder, path, content, unnest(range(0, length(content), 500)) AS s FROM files
+                   WHERE length(content) <= 200000),
+        windows AS (SELECT folder, path, s, substring(content, s + 1, 500) AS text FROM placed)
+        SELECT folder, path, row_number() OVER (PARTITION BY folder, path ORDER BY s) - 1 AS chunk_index, text
+        FROM windows WHERE regexp_matches(text, '\\S')""",
+    "embed_custom": """WITH counted AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS pos, unnest(['a', 'e', 'i', 'o']) AS c,
+            text FROM documents),
+        numbers AS (SELECT doc_id, pos::BIGINT AS pos, length(text) - length(replace(text, c, '')) AS n FROM counted),
+        lengths AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM numbers GROUP BY doc_id)
+        SELECT doc_id, pos, round((CASE WHEN norm = 0 THEN 0 ELSE n / norm END)::FLOAT::DOUBLE, 5) AS value
+        FROM numbers JOIN lengths USING (doc_id)""",
     "snapshot_diff": f"WITH {_diff('v1', 'v2')} SELECT * FROM diffed",
     "diff_stats": f"""WITH {_diff('v1', 'v2')} SELECT count(*) AS files,
         count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'modified') AS modified,

@@ -1,15 +1,19 @@
 """The registered queries: `name -> function(spark, sf_dir) -> DataFrame`."""
 
 from functools import wraps
-from typing import Callable
+from typing import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import EMBEDDING_DIM, TOKENS_PER_CHUNK
 from ..functions import ids, paths, text, vectors
 from ..operators import ann, chunking, diff, filters, ignore, packing, render, scoring
-from ..operators.embedding import HashedWords, hashed_words_sparse
+from ..operators.embedding import (
+    FunctionEmbedder, HashedWords, RequestBudget, embed, hashed_words_sparse,
+)
 from ..plans import CellIndex, SearchIndex, answers, search, search_batch, search_with_snippets
 from ..plans.index import line_settings, token_settings
 from ..session import new_scratch, ship_package, spread
@@ -35,6 +39,8 @@ IGNORED = (
 NEVER_SHOWN = ("src1/", "**/de/")
 SMALL_TOKEN_WINDOW = 64
 TOKEN_CEILING = 1000
+CUSTOM_WINDOW = 500
+LETTERS = "aeio"
 
 
 def register(query: Query) -> Query:
@@ -394,6 +400,43 @@ def hashed_embedding_sparse(spark, sf_dir):
     return hashed_words_sparse(docs, "doc_id", "text")
 
 
+class CodePoints:
+    """A tokenizer whose tokens are the code points of a text."""
+
+    def encode(self, document: str) -> list[int]:
+        return [ord(c) for c in document]
+
+    def decode(self, tokens: list[int]) -> str:
+        return "".join(map(chr, tokens))
+
+
+@register
+def chunk_custom_tokens(spark, sf_dir):
+    files = spread(inputs.files(spark, sf_dir))
+    chunked = chunking.with_tokenizer_chunks(files, CodePoints, CUSTOM_WINDOW)
+    rows = chunking.explode_chunks(chunked, "folder", "path")
+    return rows.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+def _letter_counts(batches: Iterator[pd.Series]) -> Iterator[np.ndarray]:
+    for texts in batches:
+        yield np.array([[text.count(c) for c in LETTERS] for text in texts], dtype=np.float64)
+
+
+@register
+def embed_custom(spark, sf_dir):
+    """A model of one's own, called within a budget of words."""
+    budget = RequestBudget(lambda text: len(text.split()), max_texts=7, max_tokens=20_000)
+    model = FunctionEmbedder(_letter_counts, len(LETTERS), "letters", budget)
+    docs = spread(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", F.posexplode(embed(F.col("text"), model)))
+    return rows.select(
+        "doc_id",
+        F.col("pos").cast("long").alias("pos"),
+        F.round(F.col("col").cast("double"), 5).alias("value"),
+    )
+
+
 # -- snapshots ------------------------------------------------------------------
 
 

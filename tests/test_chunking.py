@@ -118,3 +118,21 @@ def test_chunking_is_planned_once(spark):
     chunked = chunking.with_token_chunks(table(spark, TOKEN_TEXTS), 4)
     plan = chunking.explode_chunks(chunked, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_rejected_files_have_the_first_reason(spark):
+    from seekwell.operators import filters
+
+    rows = [
+        ("f", "a.md", b"fine text", 9, None), ("f", "b.bin", b"\xff", 1, None),
+        ("f", "c.md", b"x" * 30, 30, None), ("f", "d.md", b"\xff", 1, None),
+        ("f", "e.md", b" \n", 2, None), ("f", "g.md", None, None, None),
+        ("f", "h.md", b"a b c d e f", 11, None), ("f", "i.md", b"", 0, "denied"),
+    ]
+    files = spark.createDataFrame(rows, "folder string, path string, content binary, size long, error string")
+    found = {r["path"]: r["reason"] for r in filters.rejected(files, 20, 5).collect()}
+    assert found == {
+        "b.bin": "name", "c.md": "size", "d.md": "encoding", "e.md": "blank", "g.md": "blank",
+        "h.md": "tokens", "i.md": "unreadable",
+    }
+    assert filters.rejected(files.drop("error").limit(0)).count() == 0

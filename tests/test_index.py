@@ -184,6 +184,28 @@ def test_answers_and_snippets(spark, index, make_files):
     assert {(r["path"], r["content"]) for r in snippets} == {("gone.md", "delta alpha")}
 
 
+def test_pattern_files_hide_answers(spark, index, make_files):
+    """Each folder's own patterns hold on every way to an answer, for its files only."""
+    index.build(make_files(V1))
+    cells = CellIndex(index)
+    cells.build(3)
+    requests = spark.createDataFrame([(1, "delta alpha", "r", 0.0)], REQUESTS)
+    before = {r["path"] for r in search_batch(index, requests).collect()}
+    assert "gone.md" in before
+    for folder, hidden in (("r", {"gone.md"}), ("other", set())):
+        rules = spark.createDataFrame([(folder, ".gitignore", "gone*")], "folder string, path string, content string")
+        told = answers(index, requests, pattern_files=rules).first()
+        listed = {f["file"] for f in json.loads(told["answer"])["files_by_relevance"]}
+        snippets = search_with_snippets(index, requests, pattern_files=rules).collect()
+        celled = cells.search_batch(requests, 3, pattern_files=rules).collect()
+        assert listed == before - hidden
+        assert {r["path"] for r in snippets} == {r["path"] for r in celled} == before - hidden
+
+
+def test_run_stats_of_an_empty_index(index):
+    assert index.run_stats().count() == 0
+
+
 def test_cells_follow_refreshes(spark, index, make_files):
     index.build(make_files(V1))
     cells = CellIndex(index)

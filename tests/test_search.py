@@ -197,6 +197,24 @@ def test_cells(spark, data, n_probe, tmp_path):
         assert all(0 <= s <= 1 for s in shares) and np.mean(shares) > 0.3
 
 
+def test_nearest_cells_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, centroids = unit(rng.normal(size=(50, DIM))), rng.normal(size=(7, DIM))
+    centroids[4] = centroids[2]  # a tie goes to the smaller number
+    away = ((rows[:, None, :] - centroids[None]) ** 2).sum(axis=2).round(9)
+    expected = np.argsort(away, axis=1, kind="stable")
+    monkeypatch.setattr(ann, "_DISTANCES_AT_ONCE", 20)
+    for n in (1, 3, 7):
+        found = ann.nearest_cells(rows, centroids, n)
+        assert (found[:, :1] == expected[:, :1]).all() and found.shape == (50, n)
+        assert (np.sort(found, axis=1) == np.sort(expected[:, :n], axis=1)).all()
+
+
+def test_given_cells(spark):
+    table = spark.createDataFrame([(2, [0.0, 1.0]), (1, [1.0, 0.0])], "cell long, vector array<double>")
+    assert ann.given_cells(table).tolist() == [[1.0, 0.0], [0.0, 1.0]]
+
+
 def test_rendering(spark):
     queries = spark.createDataFrame([(1, "q", 0.5), (2, "none", 0.3)], "query_id long, query string, cutoff double")
     files = spark.createDataFrame(
