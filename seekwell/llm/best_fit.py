@@ -127,17 +127,44 @@ _RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u2
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Chunks that are encoded as one text. No token crosses the space between two.
+_JOINED = 512
+
+
 def _word_encoder(vocabulary: str):
-    """Ids of chunks by the tokenizers library, as little-endian 32-bit integers."""
+    """Ids of chunks by the tokenizers library, as little-endian 32-bit integers. Chunks
+    with a space before them are encoded many at a time, and the ids are parted by the
+    bytes that they stand for."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
+    words = tokenizer.get_vocab(with_added_tokens=True)
+    added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+    widths = np.zeros(max(words.values()) + 1, np.int64)
+    for token, i in words.items():  # a byte-level token has one character for each byte
+        widths[i] = len(added[i].encode()) if i in added else len(token)
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        texts = [c[1:] if c[:1] == _FIRST else " " + c for c in chunks]
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        first = [c[1:] for c in chunks if c[:1] == _FIRST]
+        rest = [" " + c for c in chunks if c[:1] != _FIRST]
+        groups = [rest[at : at + _JOINED] for at in range(0, len(rest), _JOINED)]
+        alone = (ids.tobytes() for ids in ids_of(first))
+        parted: list[bytes] = []
+        for group, ids in zip(groups, ids_of(["".join(g) for g in groups])):
+            ends = np.cumsum([len(c.encode()) for c in group])
+            reached = np.cumsum(widths[ids])
+            cuts = np.searchsorted(reached, ends)
+            if reached[-1] != ends[-1] or (reached[cuts] != ends).any():
+                raise ValueError(f"{vocabulary}: tokens do not part at spaces")
+            data, bounds = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            parted += [data[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
+        later = iter(parted)
+        return [next(alone) if c[:1] == _FIRST else next(later) for c in chunks]
 
     return encode
 

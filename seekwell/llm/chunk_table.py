@@ -1,9 +1,10 @@
 """Tables of distinct chunks: each distinct piece of text is encoded once and the
 results are joined back by position.
 
-The table lives in the Python worker and so outlasts a task. It is a memo: when it
-is full it is emptied and filled anew, so memory is bounded and results are not
-affected. Long chunks are encoded but not kept."""
+The table lives in the Python worker and so outlasts a task. It is a memo of two
+generations: when the younger one is full, it becomes the older one, whose chunks come
+back when they are met again. So memory is bounded, frequent chunks stay, and results
+are not affected. Long chunks are encoded but not kept."""
 
 from collections.abc import Callable
 
@@ -15,21 +16,23 @@ class ChunkTable:
         self._encode = encode
         self._limit = limit
         self._known: dict[str, object] = {}
+        self._older: dict[str, object] = {}
 
     def columns(self, documents: list[list[str]]) -> list[list]:
         """For each list of chunks the list of their encoded values."""
-        known = self._known
-        out = [list(map(known.get, chunks)) for chunks in documents]
-        open_ = [i for i, found in enumerate(out) if None in found]
-        if not open_:
-            return out
-        missing = list({c for i in open_ for c, v in zip(documents[i], out[i]) if v is None})
-        values = dict(zip(missing, self._encode(missing)))
-        for i in open_:
-            out[i] = [values[c] if v is None else v for c, v in zip(documents[i], out[i])]
-        if len(known) + len(values) > self._limit:
-            known.clear()
-        known.update((c, v) for c, v in values.items() if len(c) <= _LONG)
+        known, older = self._known, self._older
+        missing = set().union(*documents).difference(known)
+        again = missing.intersection(older)
+        known.update((c, older[c]) for c in again)
+        fresh = list(missing - again)
+        if fresh:
+            known.update(zip(fresh, self._encode(fresh)))
+        out = [list(map(known.__getitem__, chunks)) for chunks in documents]
+        for chunk in fresh:
+            if len(chunk) > _LONG:
+                del known[chunk]
+        if 2 * len(known) > self._limit:
+            self._older, self._known = known, {}
         return out
 
 
