@@ -119,9 +119,6 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Placement]:
     return out
 
 
-#: Marks the chunk that starts a text and so has no space before it. No other chunk
-#: starts with it.
-_FIRST = "\n"
 #: White space other than a space or a line end.
 _RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -129,65 +126,75 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Chunks that are encoded as one text. No token crosses the space between two.
 _JOINED = 512
+_encoders: dict[str, "_Encoder"] = {}
 
 
-def _word_encoder(vocabulary: str):
-    """Ids of chunks by the tokenizers library, as little-endian 32-bit integers. Chunks
-    with a space before them are encoded many at a time, and the ids are parted by the
-    bytes that they stand for."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class _Encoder:
+    """Ids by the tokenizers library, as little-endian 32-bit integers."""
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    words = tokenizer.get_vocab(with_added_tokens=True)
-    added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
-    widths = np.zeros(max(words.values()) + 1, np.int64)
-    for token, i in words.items():  # a byte-level token has one character for each byte
-        widths[i] = len(added[i].encode()) if i in added else len(token)
+    def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    def ids_of(texts: list[str]) -> list[np.ndarray]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        self._tokenizer = Tokenizer.from_file(vocabulary)
+        words = self._tokenizer.get_vocab(with_added_tokens=True)
+        added = {i: t.content for i, t in self._tokenizer.get_added_tokens_decoder().items()}
+        self._widths = np.zeros(max(words.values()) + 1, np.int64)
+        for token, i in words.items():  # a byte-level token has one character for each byte
+            self._widths[i] = len(added[i].encode()) if i in added else len(token)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        first = [c[1:] for c in chunks if c[:1] == _FIRST]
-        rest = [" " + c for c in chunks if c[:1] != _FIRST]
-        groups = [rest[at : at + _JOINED] for at in range(0, len(rest), _JOINED)]
-        alone = (ids.tobytes() for ids in ids_of(first))
-        parted: list[bytes] = []
-        for group, ids in zip(groups, ids_of(["".join(g) for g in groups])):
-            ends = np.cumsum([len(c.encode()) for c in group])
-            reached = np.cumsum(widths[ids])
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk with a space before it. Many are encoded at a time, and the
+        ids are parted by the bytes that they stand for."""
+        groups = [chunks[at : at + _JOINED] for at in range(0, len(chunks), _JOINED)]
+        texts = [" " + " ".join(g) for g in groups]
+        out: list[bytes] = []
+        for group, text, ids in zip(groups, texts, self.ids(texts)):
+            written = text.encode()
+            starts = np.flatnonzero(np.frombuffer(written, np.uint8) == 32)
+            if len(starts) == len(group):
+                ends = np.append(starts[1:], len(written))
+            else:  # spaces inside chunks
+                ends = np.cumsum([1 + len(c.encode()) for c in group])
+            reached = np.cumsum(self._widths[ids])
             cuts = np.searchsorted(reached, ends)
             if reached[-1] != ends[-1] or (reached[cuts] != ends).any():
-                raise ValueError(f"{vocabulary}: tokens do not part at spaces")
-            data, bounds = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
-            parted += [data[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
-        later = iter(parted)
-        return [next(alone) if c[:1] == _FIRST else next(later) for c in chunks]
+                raise ValueError("tokens do not part at spaces")
+            data, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+            out += [data[lo:hi] for lo, hi in zip([0, *stops], stops)]
+        return out
+
 
-    return encode
+def _encoder(vocabulary: str) -> _Encoder:
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = _Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def _chunks(text: str) -> list[str]:
     """Pieces of a text, cut at single spaces between two other characters. A
     byte-level pre-tokenizer joins such a space with what follows and never looks
-    across it. The space is left out; the first piece is marked."""
+    across it. The space is left out; only the first piece has none before it."""
     plain = not (
         "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
         or _RARE.search(text)
     )
-    parts = text.split(" ") if plain else _CUT.split(text)
-    parts[0] = _FIRST + parts[0]
-    return parts
+    return text.split(" ") if plain else _CUT.split(text)
 
 
 def byte_level_ids(texts: list[str], vocabulary: str) -> list[bytes]:
     """Ids of whole texts, each distinct chunk encoded once per worker."""
-    table = worker_table(("bytes", vocabulary), lambda: _word_encoder(vocabulary))
+    encoder = _encoder(vocabulary)
+    table = worker_table(("bytes", vocabulary), lambda: encoder.of_chunks)
     out = []
     for part in slices(texts):
-        out += [b"".join(v) for v in table.columns([_chunks(t) for t in part])]
+        split = [_chunks(t) for t in part]
+        heads = encoder.ids([chunks.pop(0) for chunks in split])
+        out += [h.tobytes() + b"".join(v) for h, v in zip(heads, table.columns(split))]
     return out
 
 
