@@ -143,9 +143,11 @@ class _Encoder:
         for token, i in words.items():  # a byte-level token has one character for each byte
             self._widths[i] = len(added[i].encode()) if i in added else len(token)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4") for e in found]
+    def ids(self, texts: list[str], at_once: int = 16) -> Iterator[np.ndarray]:
+        """Few texts at once, as the library's encodings are much larger than the ids."""
+        for at in range(0, len(texts), at_once):
+            found = self._tokenizer.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False)
+            yield from [np.array(e.ids, "<u4") for e in found]
 
     def of_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk with a space before it. Many are encoded at a time, and the
@@ -193,7 +195,7 @@ def byte_level_ids(texts: list[str], vocabulary: str) -> list[bytes]:
     out = []
     for part in slices(texts):
         split = [_chunks(t) for t in part]
-        heads = encoder.ids([chunks.pop(0) for chunks in split])
+        heads = encoder.ids([chunks.pop(0) for chunks in split], 1000)
         out += [h.tobytes() + b"".join(v) for h, v in zip(heads, table.columns(split))]
     return out
 

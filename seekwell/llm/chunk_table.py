@@ -12,7 +12,7 @@ _LONG = 48
 
 
 class ChunkTable:
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 700_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 560_000):
         self._encode = encode
         self._limit = limit
         self._known: dict[str, object] = {}
@@ -46,7 +46,7 @@ def worker_table(key: tuple, make: Callable[[], Callable[[list[str]], list]]) ->
     return _tables[key]
 
 
-def slices(texts: list[str], characters: int = 2_000_000) -> list[list[str]]:
+def slices(texts: list[str], characters: int = 1_000_000) -> list[list[str]]:
     """Consecutive texts, cut so that each slice holds about so many characters."""
     out, size = [[]], 0
     for t in texts:
