@@ -47,4 +47,6 @@ SHOWN_DECIMALS = 6
 
 # Upper bounds for what may be sent to every executor.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_QUERIES_PER_BLOCK = 1024
+
+# Hits that one task may keep for all queries of a block.
+MAX_KEPT_HITS = 512 * 1024

@@ -117,7 +117,7 @@ def top_chunks_in_cells(
     """Like `top_chunks`, reading only the probed cells. Chunks that have no
     cell yet (`uncelled`) are searched in full."""
     blocks = []
-    for block in query_blocks(queries, centroids.shape[1]):
+    for block in query_blocks(queries, centroids.shape[1], k):
         blocks.append(local_best(celled, with_probes(block, centroids, n_probe), metric, k))
         if uncelled is not None:
             blocks.append(local_best(uncelled, block, metric, k))

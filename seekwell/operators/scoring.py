@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     MAX_BROADCAST_BYTES,
-    MAX_QUERIES_PER_BLOCK,
+    MAX_KEPT_HITS,
     RANK_DECIMALS,
     SEARCH_DEPTH,
 )
@@ -28,6 +28,8 @@ from .embedding import unit_rows
 
 METRICS = ("cosine", "l2sim")
 _ROWS_AT_ONCE = 2048
+_QUERIES_AT_ONCE = 1024
+_TASK_BITS = 33  # row numbers of Spark: the task above these bits, the row in the task below
 _HIT_SCHEMA = pa.schema([
     ("query_id", pa.int64()),
     ("folder", pa.string()),
@@ -65,18 +67,18 @@ def block_from_rows(rows: list[Row]) -> QueryBlock:
     )
 
 
-def block_limit(dim: int) -> int:
-    """How many queries of this dimension one block may hold."""
-    return max(1, min(MAX_QUERIES_PER_BLOCK, MAX_BROADCAST_BYTES // (8 * dim)))
+def block_limit(dim: int, k: int) -> int:
+    """How many queries of this dimension one block may hold, if `k` hits of each are
+    kept. One block means one scan of the chunks."""
+    return max(1, min(MAX_KEPT_HITS // k, MAX_BROADCAST_BYTES // (8 * dim)))
 
 
-def query_blocks(queries: DataFrame, dim: int) -> Iterator[QueryBlock]:
-    """Queries in blocks that hold at most `block_limit(dim)` rows.
+def query_blocks(queries: DataFrame, dim: int, k: int) -> Iterator[QueryBlock]:
+    """Queries in blocks that hold at most `block_limit(dim, k)` rows.
 
-    A larger set is stored once and dealt into hash buckets, whose sizes are
-    counted before any of them is fetched. Rows are numbered for that, so that many
-    requests with one id still part."""
-    limit = block_limit(dim)
+    A larger set is stored once with row numbers; the rows of each task are counted, so
+    that every block but the last is full whatever the ids are."""
+    limit = block_limit(dim, k)
     needed = queries.select("query_id", "folder", "cutoff", "vector")
     rows = needed.limit(limit + 1).collect()
     if len(rows) <= limit:
@@ -84,16 +86,16 @@ def query_blocks(queries: DataFrame, dim: int) -> Iterator[QueryBlock]:
             yield block_from_rows(rows)
         return
     stored = materialize(needed.withColumn("_n", F.monotonically_increasing_id()), "queries")
-    buckets = -(-stored.count() * 5 // (4 * limit))  # four fifths full
-    while True:
-        dealt = stored.withColumn("_b", F.pmod(F.xxhash64("query_id", "_n"), F.lit(buckets)))
-        if dealt.groupBy("_b").count().agg(F.max("count")).first()[0] <= limit:
-            break
-        buckets *= 2
-    for bucket in range(buckets):
-        rows = dealt.filter(F.col("_b") == bucket).drop("_b", "_n").collect()
-        if rows:
-            yield block_from_rows(rows)
+    per_task = stored.groupBy(F.shiftright("_n", _TASK_BITS).alias("task")).count().orderBy("task").collect()
+    ends = np.cumsum([r["count"] for r in per_task])
+    starts = ends - [r["count"] for r in per_task]
+    for first in range(0, int(ends[-1]), limit):
+        last = min(first + limit, int(ends[-1])) - 1
+        at = np.searchsorted(ends, [first, last], side="right")
+        low, high = (
+            (per_task[t]["task"] << _TASK_BITS) + row - int(starts[t]) for t, row in zip(at, (first, last))
+        )
+        yield block_from_rows(stored.filter(F.col("_n").between(low, high)).drop("_n").collect())
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -112,7 +114,7 @@ class _Best:
         self.bars = cutoffs.copy()
         self.parts: list[pa.Table] = []
         self.waiting = 0
-        self.room = max(4 * k * n_queries, 16_384)
+        self.room = max(2 * k * n_queries, 16_384)
 
     def offer(self, payload: pa.RecordBatch, rows, columns, scores) -> None:
         table = pa.Table.from_batches([payload.take(pa.array(rows))])
@@ -150,21 +152,25 @@ def _score(cosine: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _offer_group(best, block, payload, matrix, rows, queries, metric) -> None:
-    """Score some rows of a batch against some queries."""
+    """Score some rows of a batch against some queries, both in parts, so that the
+    matrix of scores stays small."""
     for at in range(0, len(rows), _ROWS_AT_ONCE):
         part = rows[at : at + _ROWS_AT_ONCE]
         # doubles for one part at a time; every row is in one group only
-        scores = _score(unit_rows(matrix[part]) @ block.matrix[queries].T, metric)
-        bars = best.bars[queries]
-        if len(part) > 2 * best.k:
-            # nothing below the k-th best of this part can be in the result
-            comparable = np.where(np.isnan(scores), -np.inf, scores)
-            bars = np.maximum(bars, np.partition(comparable, -best.k, axis=0)[-best.k])
-        hit_rows, hit_columns = np.nonzero(scores >= bars)  # false for NaN
-        if len(hit_rows):
-            best.offer(
-                payload, part[hit_rows], queries[hit_columns], scores[hit_rows, hit_columns]
-            )
+        unit = unit_rows(matrix[part])
+        for begin in range(0, len(queries), _QUERIES_AT_ONCE):
+            asked = queries[begin : begin + _QUERIES_AT_ONCE]
+            scores = _score(unit @ block.matrix[asked].T, metric)
+            bars = best.bars[asked]
+            if len(part) > 2 * best.k:
+                # nothing below the k-th best of this part can be in the result
+                comparable = np.where(np.isnan(scores), -np.inf, scores)
+                bars = np.maximum(bars, np.partition(comparable, -best.k, axis=0)[-best.k])
+            hit_rows, hit_columns = np.nonzero(scores >= bars)  # false for NaN
+            if len(hit_rows):
+                best.offer(
+                    payload, part[hit_rows], asked[hit_columns], scores[hit_rows, hit_columns]
+                )
 
 
 class _Audience:
@@ -280,7 +286,7 @@ def top_chunks(
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     if k < 1:
         raise ValueError("k must be positive")
-    blocks = [local_best(chunks, b, metric, k) for b in query_blocks(queries, dim)]
+    blocks = [local_best(chunks, b, metric, k) for b in query_blocks(queries, dim, k)]
     if not blocks:
         empty = chunks.sparkSession.createDataFrame([], HITS)
         return empty.withColumn("rank", F.lit(0))

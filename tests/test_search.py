@@ -95,12 +95,34 @@ def test_merge_in_parts_changes_nothing(spark, data):
 def test_many_blocks_equal_one(spark, data, monkeypatch):
     chunks, queries = tables(spark, data)
     whole = found(scoring.top_chunks(chunks, queries, DIM, k=20))
-    monkeypatch.setattr(scoring, "MAX_QUERIES_PER_BLOCK", 4)
-    sizes = [len(b.ids) for b in scoring.query_blocks(queries, DIM)]
-    assert sum(sizes) == 23 and max(sizes) <= 4
+    monkeypatch.setattr(scoring, "MAX_KEPT_HITS", 4 * 20)
+    for dealt in (queries, queries.repartition(7)):
+        blocks = list(scoring.query_blocks(dealt, DIM, 20))
+        assert [len(b.ids) for b in blocks] == [4, 4, 4, 4, 4, 3]
+        assert sorted(i for b in blocks for i in b.ids) == list(range(23))
     assert found(scoring.top_chunks(chunks, queries, DIM, k=20)) == whole
 
 
+def test_requests_of_one_id_still_part(spark, data, monkeypatch):
+    _, queries = tables(spark, data)
+    alike = queries.withColumn("query_id", F.lit(1).cast("long"))
+    monkeypatch.setattr(scoring, "MAX_KEPT_HITS", 100)
+    assert [len(b.ids) for b in scoring.query_blocks(alike, DIM, 10)] == [10, 10, 3]
+
+
+def test_thousands_of_requests_take_one_scan(spark, data, monkeypatch):
+    chunks, queries = tables(spark, data)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(129))).alias("copy")
+    many = queries.select("*", copies).select(
+        (F.col("query_id") + 100 * F.col("copy")).alias("query_id"), "folder", "cutoff", "vector"
+    )
+    top = scoring.top_chunks(chunks, many, DIM, k=20)
+    assert top._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    expected = found(scoring.top_chunks(chunks, queries, DIM, k=20))
+    assert found(top.filter("query_id BETWEEN 5000 AND 5099")) == [(q + 5000, *r) for q, *r in expected]
+    assert top.count() == 130 * len(expected)
+
+
 def test_small_arrow_batches_and_pruning(spark, data, monkeypatch):
     chunks, queries = tables(spark, data)
     whole = found(scoring.top_chunks(chunks, queries, DIM, k=5))
