@@ -1,17 +1,24 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Each tree splits the distinct vectors recursively by random directions at the median
-projection; what lies close to a split goes to both sides, so near vectors rarely part.
-Vectors of one leaf are compared with each other, pairs of cosine `threshold` or more
-are links, and links are joined to components.
+Each tree splits the distinct vectors recursively by random directions; what lies close
+to a split goes to both sides. How close follows from the distance that `threshold`
+allows, not from the node, so linked vectors rarely part however dense their group is.
+A split is put where it leaves the fewest pairs to compare. Where none leaves fewer, as
+in a group of near copies, rows stay together. Vectors of one leaf are compared with
+each other, pairs of cosine `threshold` or more are links, and links are joined to
+components.
 
 Trees grow in rounds. A round counts the rows of each node; a node above `leaf` rows
-gets a subtree, fitted in a task on a bounded sample of its rows (its medians and
-overlaps only need a sample), and all of its rows are sent down. Rounds are written to
+gets a subtree, fitted in a task on a bounded sample of its rows (the places of its
+splits only need a sample), and all of its rows are sent down. Rounds are written to
 the shared folder. A leaf that stays too large, say of vectors that no direction parts,
 is compared in blocks, all blocks with all, so nothing is dropped and no task holds
 more than two blocks.
 
+A link counts in the first of the leaves that its two vectors share; every vector
+brings the list of its leaves. So links are added up where they are found: a pair of
+blocks gives a number per vector and the edges of a spanning forest, not a row per link.
+
 Equal vectors are one row with a count and their least id. A link between two distinct
 vectors counts for all their copies, which are never paired one by one.
 
@@ -41,13 +48,19 @@ class Forest:
     threshold: float = 0.9
     trees: int = 7
     leaf: int = 2048
-    overlap: float = 0.15  # in standard deviations of a node's projections, each way
+    reach: float = 0.6  # overlap each way, in distances of two vectors at the threshold
     levels: int = 6  # of a subtree
     sample: int = 8192  # rows of a node that its subtree is fitted on
     seed: int = 9
 
+    @property
+    def width(self) -> float:
+        """Half the overlap. Along a random direction of normal components, the difference
+        of two vectors is normal with their distance as its deviation."""
+        return self.reach * float(np.sqrt(max(0.0, 2 - 2 * self.threshold)))
+
     def _depth(self, rows: int) -> int:
-        shrink = 0.5 + 0.4 * self.overlap  # share of a node's rows that each side gets
+        shrink = min(0.7, 0.5 + 0.4 * self.width)  # of a node's rows, on one side
         return max(0, int(np.ceil(np.log(max(rows, 2) / self.leaf) / -np.log(shrink))))
 
     def levels_for(self, rows: int) -> int:
@@ -65,19 +78,35 @@ def directions(tree: int, node: int, count: int, size: int, seed: int) -> np.nda
     return rng.normal(size=(count, size))
 
 
-def _fit(vectors: np.ndarray, along: np.ndarray, levels: int, overlap: float) -> np.ndarray:
+#: A split must leave fewer than this share of a node's pairs to compare.
+_WORTH = 0.98
+
+
+def _split(x: np.ndarray, width: float) -> float:
+    """The place that leaves the fewest pairs on its two sides; infinite, with all on
+    the low side, where no place is worth it."""
+    x = np.sort(x)
+    places = np.quantile(x, np.linspace(0.1, 0.9, 17))
+    low = np.searchsorted(x, places + width) / len(x)
+    high = 1 - np.searchsorted(x, places - width) / len(x)
+    pairs = low**2 + high**2
+    best = int(np.argmin(pairs))
+    return float(places[best]) if pairs[best] < _WORTH else np.inf
+
+
+def _fit(vectors: np.ndarray, along: np.ndarray, levels: int, width: float) -> np.ndarray:
     """(split, half width of the overlap) per inner position; position p has the
     children 2p + 1 and 2p + 2."""
-    out = np.zeros((2**levels - 1, 2))
+    out = np.tile([np.inf, width], (2**levels - 1, 1))
     members = {0: np.arange(len(vectors))}
     for p in range(len(out)):
         rows = members.pop(p, np.empty(0, int))
         if len(rows) == 0:
             continue
         x = vectors[rows] @ along[p]
-        out[p] = np.median(x), overlap * x.std()
-        members[2 * p + 1] = rows[x < out[p, 0] + out[p, 1]]
-        members[2 * p + 2] = rows[x >= out[p, 0] - out[p, 1]]
+        out[p, 0] = _split(x, width)
+        members[2 * p + 1] = rows[x < out[p, 0] + width]
+        members[2 * p + 2] = rows[x >= out[p, 0] - width]
     return out
 
 
@@ -115,7 +144,7 @@ def _subtrees(rows: DataFrame, sizes: DataFrame, forest: Forest) -> DataFrame:
                 along = directions(tree, node, 2**levels - 1, vectors.shape[1], forest.seed)
                 cols["tree"].append(tree)
                 cols["node"].append(node)
-                cols["splits"].append(_fit(vectors, along, levels, forest.overlap).ravel())
+                cols["splits"].append(_fit(vectors, along, levels, forest.width).ravel())
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), kinds)], list(cols))
 
@@ -172,8 +201,7 @@ def _sent_down(rows: DataFrame, subtrees: DataFrame, forest: Forest) -> DataFram
 
 
 def leaves(vectors: DataFrame, forest: Forest) -> DataFrame:
-    """(tree, node, id, vector, n): the rows of all leaves of all trees; n is the
-    number of rows of the leaf."""
+    """(id, leaf): the leaves of all trees that each row is in."""
     rows = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("t"), "id", "vector")
     rows = rows.select(F.col("t").cast("long").alias("tree"), F.lit(0).cast("long").alias("node"), "id", "vector")
     for _ in range(forest.rounds_for(vectors.count())):
@@ -183,48 +211,110 @@ def leaves(vectors: DataFrame, forest: Forest) -> DataFrame:
             break
         subtrees = materialize(_subtrees(rows, large, forest), "forest-subtrees")
         rows = materialize(_sent_down(rows, subtrees, forest), "forest-rows")
-    sizes = rows.groupBy(*_KEYS).agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(sizes, _KEYS)
+    return rows.select("id", F.xxhash64(*_KEYS).alias("leaf"))
+
+
+def _classes(lists: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different lists of leaves, and which of them each row has."""
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    known: dict[bytes, int] = {}
+    parts = np.split(lists.flatten().to_numpy(), ends[:-1])
+    which = np.array([known.setdefault(p.tobytes(), len(known)) for p in parts])
+    return [np.frombuffer(k, np.int64) for k in known], which
+
+
+def _share(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Whether a list of `some` and one of `others` have a leaf in common."""
+    common = np.intersect1d(np.concatenate(some), np.concatenate(others))
+    out = np.zeros((len(some), len(others)), bool)
+    for start in range(0, len(common), 1024):
+        leaf = common[start : start + 1024]
+        a, b = (np.stack([np.isin(leaf, x) for x in side]).astype(np.float32) for side in (some, others))
+        out |= a @ b.T > 0
+    return out
+
+
+def _spanning(hit: np.ndarray, first: np.ndarray, second: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what `hit` joins and `label`, which is brought up to date, does not."""
+    out = []
+    for row in np.flatnonzero(hit.any(axis=1)):
+        x, ys = int(first[row]), second[hit[row]]
+        fresh = ys[label[ys] != label[x]]
+        if len(fresh) == 0:
+            continue
+        found, at = np.unique(label[fresh], return_index=True)
+        out += [(x, int(y)) for y in fresh[at]]
+        label[np.isin(label, found)] = label[x]
+    return out
 
 
 def links(vectors: DataFrame, forest: Forest) -> DataFrame:
-    """(a, b), a < b: distinct vectors of one leaf with a cosine of `threshold` or more."""
+    """Rows (a, null, n), which add up to the number n of rows that vector a links
+    with, and rows (a, b, 0): links that join whatever all links join. `vectors` has
+    id, vector and copies."""
+    of_row = materialize(leaves(vectors, forest), "forest-leaves")
+    sizes = of_row.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
+    at = of_row.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("at"))
     blocks = F.ceil(F.col("n") / F.lit(2 * forest.leaf)).cast("int")
-    rows = leaves(vectors, forest).select(
-        *_KEYS, "id", "vector", blocks.alias("blocks"),
-        F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"),
+    rows = vectors.join(at, "id").select("*", F.explode("at").alias("leaf")).join(sizes, "leaf")
+    rows = rows.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("*", other).select(
-        *_KEYS, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "id", "vector",
+        "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "id", "copies", "at", "vector",
     )
-    keys = [*_KEYS, "i", "j"]
+    keys = ["leaf", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, keys):
             bounds = group_bounds(part, keys)
-            ids, block, i, j = (part.column(k).to_numpy() for k in ("id", "block", "i", "j"))
+            ids, block, i, j, leaf = (part.column(k).to_numpy() for k in ("id", "block", "i", "j", "leaf"))
             for start, end in zip(bounds[:-1], bounds[1:]):
+                lists, kind = _classes(part.column("at").slice(start, end - start).combine_chunks())
+                lists = [x[x < leaf[start]] for x in lists]
+                if len(lists) <= 64 and _share(lists, lists).all():
+                    continue
                 group = unit(matrix(part.column("vector").slice(start, end - start)))
                 names = ids[start:end]
-                first = np.flatnonzero(block[start:end] == i[start])
+                copies = part.column("copies").slice(start, end - start).to_numpy().astype(float)
                 second = np.flatnonzero(block[start:end] == j[start])
-                for at in range(0, len(first), 512):
-                    near = group[first[at : at + 512]] @ group[second].T
-                    x, y = np.nonzero(near >= forest.threshold - 1e-9)
-                    x, y = first[at : at + 512][x], second[y]
-                    keep = names[x] != names[y] if i[start] != j[start] else names[x] < names[y]
-                    x, y = x[keep], y[keep]
-                    cosine = np.einsum("ij,ij->i", group[x], group[y])
-                    x, y = x[cosine >= forest.threshold], y[cosine >= forest.threshold]
-                    if len(x):
-                        yield pa.RecordBatch.from_pydict(
-                            {"a": np.minimum(names[x], names[y]), "b": np.maximum(names[x], names[y])}
-                        )
+                others, label, edges = np.zeros(len(names)), np.arange(len(names)), []
+                all_first = np.flatnonzero(block[start:end] == i[start])
+                for k in range(0, len(all_first), 512):
+                    first = all_first[k : k + 512]
+                    near = group[first] @ group[second].T
+                    hit = near >= forest.threshold
+                    x, y = np.nonzero(np.abs(near - forest.threshold) <= 1e-9)
+                    cosine = np.einsum("ij,ij->i", group[first[x]], group[second[y]])
+                    hit[x, y] = cosine >= forest.threshold
+                    if i[start] == j[start]:
+                        hit &= names[first][:, None] < names[second]
+                    x, y = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+                    if len(x) == 0:
+                        continue
+                    (a, of_x), (b, of_y) = (np.unique(kind[z], return_inverse=True) for z in (first[x], second[y]))
+                    earlier = _share([lists[c] for c in a], [lists[c] for c in b])
+                    if earlier.any():
+                        hit[np.ix_(x, y)] &= ~earlier[of_x][:, of_y]
+                    counted = hit.astype(float)
+                    others[first] += counted @ copies[second]
+                    others[second] += copies[first] @ counted
+                    edges += _spanning(hit, first, second, label)
+                has = np.flatnonzero(others)
+                if len(has):
+                    a, b = np.array(edges).T
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "a": np.concatenate([names[has], names[a]]),
+                            "b": pa.array([None] * len(has) + names[b].tolist(), pa.int64()),
+                            "n": np.concatenate([others[has], np.zeros(len(a))]).astype(np.int64),
+                        }
+                    )
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, "a long, b long, n long")
 
 
 def near_vectors(table: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -233,13 +323,9 @@ def near_vectors(table: DataFrame, forest: Forest = Forest()) -> DataFrame:
     good = materialize(usable(table), "forest-usable")
     classes = good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = materialize(classes, "forest-classes")
-    pairs = materialize(links(classes.select("id", "vector"), forest), "forest-links")
-    component = connected_components(pairs, "a", "b", "forest")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = (
-        both.join(classes.select(F.col("id").alias("b"), "copies"), "b")
-        .groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
-    )
+    found = materialize(links(classes.select("id", "vector", "copies"), forest), "forest-links")
+    component = connected_components(found.filter("b IS NOT NULL").select("a", "b"), "a", "b", "forest")
+    others = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     found = (
         classes.join(others, "id", "left")
         .join(component.withColumnRenamed("node", "id"), "id", "left")

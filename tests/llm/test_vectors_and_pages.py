@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from seekwell.llm import cross_polytope, tree_forest, url_filter
@@ -79,6 +80,21 @@ def test_near_vectors(spark, leaf):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_near_vectors_in_one_dense_group(spark):
+    """Cosines about 0.9 on both sides of the threshold, in a group of many leaves."""
+    rng = np.random.default_rng(5)
+    n, noise = 40_000, rng.normal(size=(40_000, 64))
+    vectors = np.eye(64)[0] + noise / np.linalg.norm(noise, axis=1)[:, None] / 3
+    rows = pd.DataFrame({"vec_id": np.arange(n), "embedding": list(vectors)})
+    got = tree_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8))
+    got = got.toPandas().sort_values("vec_id")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    want = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.9).sum(1) - 1 for k in range(0, n, 1000)])
+    assert 0.1 * n * n < want.sum() < 0.9 * n * n
+    assert got["n_links"].sum() > 0.999 * want.sum() and (got["n_links"].to_numpy() <= want).all()
+    assert (got["component_id"][want > 0] == got["vec_id"][want > 0].min()).all()
+
+
 def test_near_vectors_of_nothing(spark):
     frame = spark.createDataFrame([(1, None, 1, 0, 0)], VECTORS)
     assert [tuple(r) for r in tree_forest.near_vectors(frame).collect()] == [(1, 0, 1, True)]
