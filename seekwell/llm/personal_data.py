@@ -9,8 +9,12 @@ A span's place comes from the text between matches: `split` gives the gaps and
 `regexp_extract_all` the matches of the same expression, and their lengths add up in
 blocks, so a text with very many matches stays cheap. The expressions take repeats
 possessively and start at the first character of a run or where the last match ended;
-neither changes a match, but a long run costs linear time and no stack. Everything is
-one narrow pass over the scan, without a shuffle.
+a long run costs linear time and no stack. Everything is one narrow pass over the scan,
+without a shuffle.
+
+An account number has the length that its country prescribes. With an unlisted country
+code it is a run of words of capitals and digits, cut to its longest valid beginning.
+The words nearby are those of the text around a span, other matches included.
 
 Null and empty texts have no spans. Repeated rows give repeated results, an empty
 table an empty one; a null doc_id is passed on; extra columns are not read. Places are
@@ -85,6 +89,15 @@ def _valid_account(value: Column) -> Column:
     ).otherwise(False))
 
 
+def _account_length(value: Column) -> Column:
+    """Length of the account number that `value` begins with, 0 if there is none."""
+    words = F.split(value, " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    longest = F.coalesce(F.array_max(F.transform(F.filter(starts, _valid_account), F.length)), F.lit(0))
+    listed = F.substring(value, 1, 2).isin(*" ".join(_COUNTRIES.values()).split())
+    return F.when(_valid_account(value), F.length(value)).when(listed, 0).otherwise(longest)
+
+
 def _valid_national(value: Column) -> Column:
     return ~F.substring(value, 1, 3).rlike("^(000|666|9..)") & ~value.rlike("-00-|-0000$")
 
@@ -97,6 +110,7 @@ class Kind:
     valid: object
     score: float
     words: str
+    length: object = F.length  # of the span that a match begins with, 0 if there is none
 
 
 BASE = (
@@ -109,9 +123,25 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          r"\+[0-9]", lambda v: F.length(_digits(v)).between(9, 15), 0.5, "phone|call|tel|mobile|fax|handy"),
 )
+#: Country codes by the length of their account numbers.
+_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO EG GT HN HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+_LISTED = "(?:" + "|".join(
+    rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in _COUNTRIES.items()
+) + ")(?![A-Za-z0-9])"
+_UNLISTED = (
+    r"[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![A-Za-z0-9])"
+    rf"(?:\x20(?!{_LISTED})[A-Z0-9]++(?![A-Za-z0-9])){{0,30}}+"
+)
 ADDED = (
-    Kind("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-         "[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11}", _valid_account, 0.8, "iban|account|bank|konto|cuenta|compte"),
+    Kind("account", rf"(?<![A-Za-z0-9])(?:{_LISTED}|{_UNLISTED})",
+         "[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11}", lambda v: _account_length(v) > 0, 0.8,
+         "iban|account|bank|konto|cuenta|compte", _account_length),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
          "[0-9]{3}-[0-9]{2}-[0-9]{4}", _valid_national, 0.3, "ssn|social security|national id|tax id"),
 )
@@ -133,21 +163,35 @@ def _starts(sizes: Column, body) -> Column:
 
 
 def _of_kind(text: Column, kind: Kind, place: int) -> Column:
-    def span(gaps, value, i, start):
-        near = F.lower(F.concat_ws(
-            " ", F.right(F.get(gaps, i), F.lit(_BEFORE)), F.left(F.get(gaps, i + 1), F.lit(_AFTER))
+    def around(gaps, found, i, length):
+        """The text before and after a span. Matches have at least two characters, so
+        these many hold enough."""
+        first, last = F.greatest(i - _BEFORE // 2, F.lit(0)), F.least(i + _AFTER // 2, F.size(found))
+        before = F.transform(F.sequence(first, i), lambda k: F.concat(
+            F.when(k > first, F.get(found, k - 1)).otherwise(""), F.right(F.get(gaps, k), F.lit(_BEFORE))
         ))
+        after = F.transform(F.sequence(i + 1, F.greatest(last, i + 1)), lambda k: F.concat(
+            F.left(F.get(gaps, k), F.lit(_AFTER)), F.coalesce(F.get(found, k), F.lit(""))
+        ))
+        rest = F.substring(F.get(found, i), length + 1, F.lit(_AFTER))
+        return F.right(F.array_join(before, ""), F.lit(_BEFORE)), F.left(
+            F.concat(rest, F.array_join(after, "")), F.lit(_AFTER)
+        )
+
+    def span(gaps, found, value, i, start):
+        length = kind.length(value)
+        near = F.lower(F.concat_ws(" ", *around(gaps, found, i, length)))
         score = F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.words})"), _NEARBY).otherwise(0.0)
         return F.struct(
             start.cast("bigint").alias("start"), F.lit(place).alias("place"),
-            (start + F.length(value)).cast("bigint").alias("stop"), F.lit(kind.name).alias("kind"),
+            (start + length).cast("bigint").alias("stop"), F.lit(kind.name).alias("kind"),
             F.when(kind.valid(value), score).otherwise(0.0).alias("score"),
         )
 
     def spans(gaps, found):
         sizes = F.transform(found, lambda v, i: (F.length(F.get(gaps, i)) + F.length(v)).cast("bigint"))
         return let(sizes, lambda s: _starts(s, lambda before: F.transform(
-            found, lambda v, i: span(gaps, v, i, before(i) + F.length(F.get(gaps, i)))
+            found, lambda v, i: span(gaps, found, v, i, before(i) + F.length(F.get(gaps, i)))
         )))
 
     gaps = F.split(text, kind.pattern, -1)

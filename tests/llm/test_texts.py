@@ -166,6 +166,21 @@ def test_personal_data(docs):
     assert personal_data.digests(docs(["x"]).limit(0)).count() == 0
 
 
+def test_accounts_before_capitals_and_ids_in_a_row(docs):
+    texts = [
+        "DE89370400440532013000 Please pay", "DE89370400440532013000 12 May", "GB82 WEST 1234 5698 7654 32 Thanks",
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 GB82 WEST 1234 5698 7654 32 A",
+        "ZZ33 1234 5678 9012 345 OK", "AB12 DE89370400440532013000", "DE88370400440532013000 Please",
+        "SSN: 123-45-6789, 234-56-7890", "SSN: " + "123-45-6789 " * 3 + "." * 48 + "234-56-7890",
+    ]
+    rows = personal_data.redacted(docs(texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == [
+        "[ACCOUNT] Please pay", "[ACCOUNT] 12 May", "[ACCOUNT] Thanks", "[ACCOUNT] BIC COBADEFF",
+        "[ACCOUNT] [ACCOUNT] A", "[ACCOUNT] OK", "AB12 [ACCOUNT]", "DE88370400440532013000 Please",
+        "SSN: [NATIONAL_ID], [NATIONAL_ID]", "SSN: " + "[NATIONAL_ID] " * 3 + "." * 48 + "234-56-7890",
+    ]
+
+
 def _brute_components(sets, percent):
     parent = {i: i for i in sets}
 
