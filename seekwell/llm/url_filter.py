@@ -6,7 +6,9 @@ pages that are allowed (blocked). Trust is personalised PageRank from the truste
 seeds along host links; distrust is the same from the blocked seeds against the links,
 so a host that links to blocked hosts becomes suspect. Both are measured in seeds: a
 fully trusted or blocked host brings in a mass of one. A page without a rule is blocked
-if its host's distrust exceeds both its trust and `threshold`.
+if distrust is more than `threshold` of its host's trust and distrust together. The mass
+of a seed is divided among the hosts that link to it; this share is not, so it tells the
+same of a host however many others there are.
 
 Links are counted per pair of hosts before anything is joined, so work per round
 follows host pairs. A hub is split by the skew join, as ranks are joined before they
@@ -46,7 +48,7 @@ class Propagation:
     damping: float = 0.85
     rounds: int = 20
     tolerance: float = 1e-6
-    threshold: float = 0.1
+    threshold: float = 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -138,7 +140,7 @@ def host_scores(pages: DataFrame, judged: DataFrame, settings: Propagation) -> D
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     trust = propagated(nodes, links, "good", settings).withColumnRenamed("mass", "trust")
     distrust = propagated(nodes, back, "bad", settings).withColumnRenamed("mass", "distrust")
-    suspect = F.col("distrust") > F.greatest(F.col("trust"), F.lit(settings.threshold))
+    suspect = F.col("distrust") > F.lit(settings.threshold) * (F.col("trust") + F.col("distrust"))
     return trust.join(distrust, "host").select("host", "trust", "distrust", suspect.alias("blocked"))
 
 

@@ -154,6 +154,14 @@ def test_urls(spark):
     assert url_filter.judged(spark.createDataFrame(rows, PAGES).limit(0), RULES).count() == 0
 
 
+def test_urls_of_many_that_link_to_a_blocked_host(spark):
+    rows = [_page(i, f"http://l{i}.net/", "<a href=http://bad.com/de/1>") for i in range(300)]
+    rows += [_page(300, "http://bad.com/de/1"), _page(301, "http://good.org/a", "<a href=http://l0.net/>"), _page(302, "http://other.net/")]
+    few = url_filter.Propagation(rounds=3)
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(spark.createDataFrame(rows, PAGES), RULES, few).collect()}
+    assert {i for i, v in got.items() if v == "allow"} == {0, 301, 302}
+
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
