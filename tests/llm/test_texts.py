@@ -318,6 +318,12 @@ def test_pseudo_likelihood(docs):
     assert pseudo_likelihood.scored(docs([None]), shape).count() == 1
 
 
+def test_every_position_teaches():
+    for count, seen, round_ in ((5, 0, 0), (5, 7, 1), (1000, 13, 1)):
+        at = pseudo_likelihood.lessons(count, seen, round_, pseudo_likelihood.Shape())
+        assert sorted(at) == list(range(count))
+
+
 def test_window_network_sums_to_one():
     shape = pseudo_likelihood.Shape(words=24, classes=4, per_class=8)
     weights = pseudo_likelihood.initial(shape, np.ones(32))
