@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import (
-    best_fit, cross_polytope, near_dedup, personal_data, pieces, pseudo_likelihood, quality,
-    token_counts, tree_forest, url_filter,
+    best_fit, cross_polytope, hard_negatives, near_dedup, personal_data, pieces, pseudo_likelihood,
+    quality, shards, token_counts, tree_forest, url_filter, whitening,
 )
 from .common import table
 
@@ -72,6 +72,19 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), 16)
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"), 40)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -85,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for q in (
         op1_url_filter, op2_sentencepiece, op3_personal_data, op4_best_fit_packing,
         op5_pseudo_likelihood, op6_token_counts, op7_nearest_neighbours, op8_quality,
-        op9_near_dedup, op10_near_vectors,
+        op9_near_dedup, op10_near_vectors, op11_hard_negatives, op12_whitening, op13_shards,
     )
 }
 
@@ -106,4 +119,24 @@ numbers AS (SELECT a AS vec_id, count(DISTINCT b) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id,
   e.vec_id = coalesce(component_id, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN component USING (vec_id) LEFT JOIN numbers USING (vec_id)""",
+    "op11_hard_negatives": """
+WITH rows AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
 }
