@@ -38,3 +38,13 @@ def chunk_id_hash_form(path: Column, index: Column) -> Column:
 def folder_key(folder: Column, prefix: str = "idx-") -> Column:
     """Short storage name of a folder."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(folder.cast("binary"), 256), 1, 16))
+
+
+#: Most partitions that folders are dealt to: a 64-bit mask holds a set of them. Tables
+#: with fewer have a power of two, so that their partition follows from this one.
+FOLDER_PARTS = 64
+
+
+def folder_part(folder: Column, parts: int = FOLDER_PARTS) -> Column:
+    """The partition of a folder in the stored tables."""
+    return F.pmod(F.crc32(folder.cast("binary")), F.lit(parts)).cast("int")

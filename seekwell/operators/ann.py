@@ -4,7 +4,6 @@ probed the result equals exact search.
 """
 
 from dataclasses import replace
-from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -16,10 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import MAX_BROADCAST_BYTES, SEARCH_DEPTH
-from ..schemas import HITS
 from ..session import materialize
 from .embedding import unit_rows
-from .scoring import QueryBlock, _vectors, local_best, merge_best, query_blocks
+from .scoring import RequestStore, _vectors, local_best, merge_best, store_requests, top_chunks
 
 TRAINING_ROWS_PER_CELL = 1024
 _DISTANCES_AT_ONCE = 4 * 1024 * 1024
@@ -99,9 +97,23 @@ def write_cells(chunks: DataFrame, centroids: np.ndarray, target: str) -> DataFr
     return chunks.sparkSession.read.schema(schema).parquet(target)
 
 
-def with_probes(block: QueryBlock, centroids: np.ndarray, n_probe: int) -> QueryBlock:
-    near = nearest_cells(block.matrix, centroids, min(n_probe, len(centroids)))
-    return replace(block, cells=[frozenset(int(c) for c in row) for row in near])
+def with_probes(queries: DataFrame, centroids: np.ndarray, n_probe: int) -> DataFrame:
+    """Adds `cells`, the `n_probe` nearest cells of each request."""
+    sent = queries.sparkSession.sparkContext.broadcast(centroids)
+    wanted = min(n_probe, len(centroids))
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cells = sent.value
+        for batch in batches:
+            near = np.empty((0, wanted), np.int64)
+            if len(batch):
+                unit = unit_rows(_vectors(batch, cells.shape[1]).astype(np.float64))
+                near = nearest_cells(unit, cells, wanted)
+            ends = np.arange(0, near.size + 1, wanted, dtype=np.int32)
+            yield pa.ListArray.from_arrays(ends, pa.array(near.ravel(), pa.int32()))
+
+    return queries.withColumn("cells", run("vector"))
 
 
 def top_chunks_in_cells(
@@ -116,15 +128,20 @@ def top_chunks_in_cells(
 ) -> DataFrame:
     """Like `top_chunks`, reading only the probed cells. Chunks that have no
     cell yet (`uncelled`) are searched in full."""
-    blocks = []
-    for block in query_blocks(queries, centroids.shape[1], k):
-        blocks.append(local_best(celled, with_probes(block, centroids, n_probe), metric, k))
-        if uncelled is not None:
-            blocks.append(local_best(uncelled, block, metric, k))
-    if not blocks:
-        empty = celled.sparkSession.createDataFrame([], HITS)
-        return empty.withColumn("rank", F.lit(0))
-    return merge_best(reduce(DataFrame.unionByName, blocks), k, parts)
+    dim = centroids.shape[1]
+    store = store_requests(with_probes(queries, centroids, n_probe), dim, k)
+    if not store.rows:
+        return top_chunks(celled, store, dim, metric, k)
+    found = local_best(celled.filter(F.col("cell").isin(probed(store, celled))), store, metric, k)
+    if uncelled is not None:
+        found = found.unionByName(local_best(uncelled, replace(store, celled=False), metric, k))
+    return merge_best(found, k, parts)
+
+
+def probed(store: RequestStore, celled: DataFrame) -> list[int]:
+    """The cells that some request looks into; never more than there are cells."""
+    stored = celled.sparkSession.read.schema("cells array<int>").parquet(*store.files)
+    return sorted(r["cell"] for r in stored.select(F.explode("cells").alias("cell")).distinct().collect())
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

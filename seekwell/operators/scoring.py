@@ -1,19 +1,23 @@
-"""Exact top-k scoring of a chunk table against a batch of queries.
-
-The chunk table is never shuffled. Queries come in blocks of checked size; each
-block is sent to the executors once, every task multiplies its Arrow batches by
-the query matrix and keeps only its own best `k` rows per query. Those few rows
-are then merged by query. No row pairs are formed outside the matrix product.
+"""Exact top-k scoring of a chunk table against a set of requests.
+
+The chunk table is scanned once and never shuffled, whatever the number of requests.
+Requests do not pass through the driver: Spark writes them to the shared folder as
+numbered Parquet files of bounded size, the blocks. Every task cuts its part of the
+chunks into segments, multiplies each segment by one block after the other, and keeps
+only its best `k` rows per query. What a query already has in a task is the bar for the
+task's next segment. Those few rows are then merged by query. No row pairs are formed
+outside the matrix product.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, Window
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -22,14 +26,15 @@ from ..constants import (
     RANK_DECIMALS,
     SEARCH_DEPTH,
 )
+from ..functions.ids import FOLDER_PARTS, folder_part
 from ..schemas import HITS
-from ..session import fan_in, materialize
+from ..session import fan_in, new_scratch
 from .embedding import unit_rows
 
 METRICS = ("cosine", "l2sim")
 _ROWS_AT_ONCE = 2048
 _QUERIES_AT_ONCE = 1024
-_TASK_BITS = 33  # row numbers of Spark: the task above these bits, the row in the task below
+_SEGMENT_BYTES = 64 * 1024 * 1024  # of chunk vectors that a task holds at a time
 _HIT_SCHEMA = pa.schema([
     ("query_id", pa.int64()),
     ("folder", pa.string()),
@@ -39,11 +44,67 @@ _HIT_SCHEMA = pa.schema([
     ("score", pa.float64()),
 ])
 _PAYLOAD = ["folder", "path", "chunk_id", "chunk_index"]
+_REQUEST = ["query_id", "folder", "cutoff", "vector"]
+
+
+@dataclass(frozen=True)
+class RequestStore:
+    """Requests in the shared folder. `files` are its blocks; `parts` are the parts of
+    folders asked for, of `FOLDER_PARTS`, and `between` the first and last folder, None if some request asks
+    for all; `celled` tells whether each request names the cells it may look into."""
+
+    files: tuple[str, ...]
+    rows: int
+    dim: int
+    parts: tuple[int, ...] | None
+    between: tuple[str, str] | None
+    celled: bool = False
+
+    def visible(self, chunks: DataFrame) -> DataFrame:
+        """The chunks that some request may see, as far as the names' range tells."""
+        if self.between is not None:
+            first, last = self.between
+            name = F.col("folder")
+            chunks = chunks.filter(name == first if first == last else name.between(first, last))
+        return chunks
+
+
+def block_limit(dim: int, k: int) -> int:
+    """How many requests of this dimension one block may hold, if `k` hits of each are
+    kept."""
+    return max(1, min(MAX_KEPT_HITS // k, MAX_BROADCAST_BYTES // (8 * dim)))
+
+
+def store_requests(requests: DataFrame, dim: int, k: int = SEARCH_DEPTH) -> RequestStore:
+    """Write `requests(query_id, folder, cutoff, vector)`, and `cells` if there is such
+    a column, in blocks of at most `block_limit(dim, k)` rows. Small partitions are put
+    together first, so that blocks are few. What the driver learns is counted while the
+    rows are written: their number, and which folders they are about."""
+    spark = requests.sparkSession
+    celled = "cells" in requests.columns
+    rows = requests.select(*_REQUEST, *(["cells"] if celled else []))
+    seen = Observation()
+    masks = F.call_function("shiftleft", F.lit(1).cast("long"), folder_part(F.col("folder")))
+    watched = rows.hint("rebalance").observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("folder").isNull()).alias("anywhere"),
+        F.min("folder").alias("first"), F.max("folder").alias("last"), F.bit_or(masks).alias("parts"),
+    )
+    target = new_scratch(spark, "requests")
+    watched.write.option("maxRecordsPerFile", block_limit(dim, k)).parquet(target)
+    told = seen.get
+    if not told["rows"]:
+        return RequestStore((), 0, dim, None, None, celled)
+    files = tuple(sorted(spark.read.schema(rows.schema).parquet(target).inputFiles()))
+    if told["anywhere"]:
+        return RequestStore(files, told["rows"], dim, None, None, celled)
+    parts = tuple(p for p in range(FOLDER_PARTS) if told["parts"] >> p & 1)
+    return RequestStore(files, told["rows"], dim, parts, (told["first"], told["last"]), celled)
 
 
 @dataclass(frozen=True)
 class QueryBlock:
-    """Queries in driver memory; `cells` are the cells each may look into."""
+    """The requests of one block in a task's memory; `cells` are the cells each may
+    look into."""
 
     ids: np.ndarray
     folders: list[str | None]
@@ -51,53 +112,23 @@ class QueryBlock:
     matrix: np.ndarray
     cells: list[frozenset] | None = None
 
-    @property
-    def folder_names(self) -> list[str] | None:
-        """Folders to scan, None if some query takes all."""
-        return None if None in self.folders else sorted(set(self.folders))
-
 
-def block_from_rows(rows: list[Row]) -> QueryBlock:
-    cutoffs = [-np.inf if r["cutoff"] is None else r["cutoff"] for r in rows]
+def read_block(uri: str, dim: int, celled: bool = False) -> QueryBlock:
+    """One block of a store; a local file is mapped, not copied. Runs in tasks."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    table = pq.read_table(path, filesystem=fs, memory_map=True, partitioning=None)
+    cutoffs = table["cutoff"].to_numpy().astype(np.float64)
+    vectors = table["vector"]
+    vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
     return QueryBlock(
-        ids=np.array([r["query_id"] for r in rows], dtype=np.int64),
-        folders=[r["folder"] for r in rows],
-        cutoffs=np.array(cutoffs, dtype=np.float64),
-        matrix=unit_rows(np.array([r["vector"] for r in rows], dtype=np.float64)),
+        ids=table["query_id"].to_numpy(),
+        folders=table["folder"].to_pylist(),
+        cutoffs=np.where(np.isnan(cutoffs), -np.inf, cutoffs),
+        matrix=unit_rows(_vectors(vectors, dim).astype(np.float64)),
+        cells=[frozenset(c) for c in table["cells"].to_pylist()] if celled else None,
     )
 
 
-def block_limit(dim: int, k: int) -> int:
-    """How many queries of this dimension one block may hold, if `k` hits of each are
-    kept. One block means one scan of the chunks."""
-    return max(1, min(MAX_KEPT_HITS // k, MAX_BROADCAST_BYTES // (8 * dim)))
-
-
-def query_blocks(queries: DataFrame, dim: int, k: int) -> Iterator[QueryBlock]:
-    """Queries in blocks that hold at most `block_limit(dim, k)` rows.
-
-    A larger set is stored once with row numbers; the rows of each task are counted, so
-    that every block but the last is full whatever the ids are."""
-    limit = block_limit(dim, k)
-    needed = queries.select("query_id", "folder", "cutoff", "vector")
-    rows = needed.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        if rows:
-            yield block_from_rows(rows)
-        return
-    stored = materialize(needed.withColumn("_n", F.monotonically_increasing_id()), "queries")
-    per_task = stored.groupBy(F.shiftright("_n", _TASK_BITS).alias("task")).count().orderBy("task").collect()
-    ends = np.cumsum([r["count"] for r in per_task])
-    starts = ends - [r["count"] for r in per_task]
-    for first in range(0, int(ends[-1]), limit):
-        last = min(first + limit, int(ends[-1])) - 1
-        at = np.searchsorted(ends, [first, last], side="right")
-        low, high = (
-            (per_task[t]["task"] << _TASK_BITS) + row - int(starts[t]) for t, row in zip(at, (first, last))
-        )
-        yield block_from_rows(stored.filter(F.col("_n").between(low, high)).drop("_n").collect())
-
-
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     """The rows of a list column as a matrix view; wrong lengths raise."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -213,37 +244,58 @@ class _Audience:
                 yield rows, queries
 
 
-def local_best(chunks: DataFrame, block: QueryBlock, metric: str, k: int) -> DataFrame:
-    """Each task's best `k` hits per query. The scan reads only key columns and
-    vectors, and only the folders asked for."""
-    spark = chunks.sparkSession
-    if block.folder_names is not None:
-        chunks = chunks.filter(F.col("folder").isin(block.folder_names))
-    columns = [*_PAYLOAD, "vector"]
-    if block.cells is not None:
-        probed = sorted(set().union(*block.cells))
-        chunks = chunks.filter(F.col("cell").isin(probed))
-        columns.append("cell")
-    sent = spark.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = sent.value
-        audience = _Audience(queries)
-        best = _Best(len(queries.ids), k, queries.cutoffs)
-        dim = queries.matrix.shape[1]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            matrix = _vectors(batch.column("vector"), dim)
-            payload = batch.select(_PAYLOAD)
-            for rows, seen_by in audience.groups(batch):
-                _offer_group(best, queries, payload, matrix, rows, seen_by, metric)
-        kept = best.shrink()
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in runs of about `_SEGMENT_BYTES`."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= _SEGMENT_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def local_best(chunks: DataFrame, store: RequestStore, metric: str, k: int) -> DataFrame:
+    """Each task's best hits per query, at most `k` of a segment. The scan reads only key
+    columns and vectors, and only the folders asked for."""
+    chunks = store.visible(chunks)
+    columns = [*_PAYLOAD, "vector", *(["cell"] if store.celled else [])]
+
+    def tables(kept: pa.Table | None, block: QueryBlock) -> Iterator[pa.RecordBatch]:
         if kept is not None and kept.num_rows:
-            ids = pa.array(queries.ids[kept["query"].to_numpy()])
+            ids = pa.array(block.ids[kept["query"].to_numpy()])
             table = kept.drop_columns(["query"]).append_column("query_id", ids)
             yield from table.select(_HIT_SCHEMA.names).cast(_HIT_SCHEMA).to_batches()
 
+    def offer_all(best: _Best, block: QueryBlock, audience: _Audience, segment: list[pa.RecordBatch]) -> None:
+        for batch in segment:
+            matrix = _vectors(batch.column("vector"), store.dim)
+            payload = batch.select(_PAYLOAD)
+            for rows, seen_by in audience.groups(batch):
+                _offer_group(best, block, payload, matrix, rows, seen_by, metric)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(store.files) == 1:  # its hits stay in the task until the end
+            block = read_block(store.files[0], store.dim, store.celled)
+            best, audience = _Best(len(block.ids), k, block.cutoffs), _Audience(block)
+            for segment in _segments(batches):
+                offer_all(best, block, audience, segment)
+            yield from tables(best.shrink(), block)
+            return
+        bars: dict[str, np.ndarray] = {}
+        for segment in _segments(batches):
+            for uri in store.files:
+                block = read_block(uri, store.dim, store.celled)
+                best = _Best(len(block.ids), k, bars.get(uri, block.cutoffs))
+                offer_all(best, block, _Audience(block), segment)
+                kept = best.shrink()
+                bars[uri] = best.bars
+                yield from tables(kept, block)
+
     return chunks.select(*columns).mapInArrow(run, HITS)
 
 
@@ -271,7 +323,7 @@ def merge_best(hits: DataFrame, k: int, parts: int | None = None) -> DataFrame:
 
 def top_chunks(
     chunks: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | RequestStore,
     dim: int,
     metric: str = "cosine",
     k: int = SEARCH_DEPTH,
@@ -286,11 +338,11 @@ def top_chunks(
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     if k < 1:
         raise ValueError("k must be positive")
-    blocks = [local_best(chunks, b, metric, k) for b in query_blocks(queries, dim, k)]
-    if not blocks:
+    store = queries if isinstance(queries, RequestStore) else store_requests(queries, dim, k)
+    if not store.rows:
         empty = chunks.sparkSession.createDataFrame([], HITS)
         return empty.withColumn("rank", F.lit(0))
-    return merge_best(reduce(DataFrame.unionByName, blocks), k, parts)
+    return merge_best(local_best(chunks, store, metric, k), k, parts)
 
 
 def best_files(top: DataFrame) -> DataFrame:

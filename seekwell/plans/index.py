@@ -1,25 +1,27 @@
-"""The search index: versioned, append-only Parquet.
+"""The search index: versions of two tables.
 
-    meta.json                  dimension, metric, chunker: fixed at creation
-    manifest/version=k/        files touched by version k
-    chunks/version=k/          chunks of the files added or modified by k
-    commits/k.json             written last; a version without it does not exist
+    meta.json          dimension, metric, chunker: fixed at creation
+    layout.json        number of buckets: fixed by the first version
+    manifest           files touched by each version
+    chunks             chunks of the files that each version added or modified
+    commits/k.json     written last; a version without it does not exist
 
 A manifest row names the version whose rows it replaces (`prev_version`). The
-live view is therefore the stored rows minus the replaced keys: an anti-join
+live view is therefore the stored rows minus those of replaced keys: an anti-join
 whose right side grows with the changes since the last compaction, not with the
 corpus. Commit files record how many keys that is and how large, so the size is
-known before a join is planned. Chunks are never shuffled to be searched.
+known before a join is planned: up to a limit the keys are broadcast, beyond it
+both tables are joined bucket by bucket. Chunks are never shuffled to be searched.
 
 One writer at a time is assumed.
 """
 
 from dataclasses import asdict, dataclass
+from math import ceil
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import (
     LINE_OVERLAP,
@@ -29,13 +31,17 @@ from ..constants import (
     TOKENS_PER_CHUNK,
 )
 from ..functions import ids, paths
+from ..functions.ids import FOLDER_PARTS
 from ..operators import chunking, diff, filters, ignore
 from ..operators.embedding import Embedder, HashedWords, embed
 from ..schemas import CHUNKS, DELTA, FILES, MANIFEST, require
-from ..session import broadcast_if_small, materialize, spread
+from ..session import broadcast_if_small, input_bytes, materialize
 from ..storage import Storage
+from .tables import KEY, VersionedTable, table_schema
 
-KEY = ["folder", "path"]
+_BUCKET_BYTES = 512 * 1024 * 1024  # of a first snapshot, as the planner knows it
+_MIN_BUCKETS, _MAX_BUCKETS = 8, 65_536
+_SCHEMAS = {"manifest": MANIFEST, "chunks": CHUNKS}
 
 
 @dataclass(frozen=True)
@@ -48,6 +54,7 @@ class IndexSettings:
     chunker: str = "lines"  # or "tokens"
     chunk_size: int = LINES_PER_CHUNK
     overlap: int = LINE_OVERLAP
+    buckets: int | None = None  # taken from the first snapshot if not given
 
 
 @dataclass(frozen=True)
@@ -99,18 +106,20 @@ class SearchIndex:
         """Open the index at `root`, creating it if missing. `chunk` replaces the
         built-in chunkers; it adds `chunk_texts`."""
         self.spark = spark
-        self.root = root.rstrip("/")
         self.embedder = embedder or HashedWords()
         self.settings = settings or line_settings(self.embedder)
         self.rules = rules
         self._chunk = chunk or self._built_in_chunks
-        self._store = Storage(spark, self.root)
+        self._store = Storage(spark, root)
+        self.root = self._store.root
+        self._tables: dict[str, VersionedTable] = {}
         self._create_or_check()
 
     # -- creation and versions -------------------------------------------------
 
     def _create_or_check(self) -> None:
         wanted = asdict(self.settings)
+        del wanted["buckets"]
         if self.embedder.dim != self.settings.dim:
             raise ValueError(
                 f"model gives {self.embedder.dim} dimensions, index has {self.settings.dim}"
@@ -179,46 +188,80 @@ class SearchIndex:
 
     # -- stored tables and live views ------------------------------------------
 
-    def _stored(self, table: str, schema: StructType, versions: list[int]) -> DataFrame:
-        full = StructType(schema.fields + [StructField("version", IntegerType(), False)])
-        where = [f"{self.root}/{table}/version={v}" for v in versions]
-        if not where:
-            return self.spark.createDataFrame([], full)
-        reader = self.spark.read.schema(full).option("basePath", f"{self.root}/{table}")
-        return reader.parquet(*where)
+    def _lay_out(self, files: DataFrame) -> int:
+        """The number of buckets, chosen before the first version is written."""
+        if not self._store.exists("layout.json"):
+            size = input_bytes(files)
+            wanted = ceil(size / _BUCKET_BYTES) if size < 2**60 else _MIN_BUCKETS  # unknown sizes are huge
+            buckets = self.settings.buckets or min(max(wanted, _MIN_BUCKETS), _MAX_BUCKETS)
+            self._store.write_json("layout.json", {"buckets": buckets})
+        return self.buckets()
+
+    def buckets(self) -> int:
+        return self._store.read_json("layout.json")["buckets"]
+
+    def _folder_parts(self) -> int:
+        """As many as buckets, but a power of two, so that files do not get tiny."""
+        return min(FOLDER_PARTS, 1 << (self.buckets().bit_length() - 1))
+
+    def _table(self, name: str) -> VersionedTable:
+        if name not in self._tables:
+            parts = self._folder_parts() if name == "chunks" else 0
+            self._tables[name] = VersionedTable(
+                self.spark, self._store, name, _SCHEMAS[name], self.buckets(), parts
+            )
+        return self._tables[name]
+
+    def _stored(self, table: str, versions: list[int]) -> DataFrame:
+        """Rows with `version`, chunks also with `folder_part`."""
+        if not versions:
+            return self.spark.createDataFrame([], table_schema(_SCHEMAS[table], table == "chunks"))
+        return self._table(table).read(versions)
 
     def _live(
-        self, rows: DataFrame, view: View, among: DataFrame | None = None
+        self, rows: DataFrame, view: View, among: DataFrame | None = None, send: bool = True
     ) -> DataFrame:
         """Rows not replaced by a later version of the view. `among` limits the
-        work to some keys."""
+        work to some keys; without `send` the join is bucket by bucket at any size."""
         if among is not None:
             rows = rows.join(among, KEY, "left_semi")
         if not view.replaced:
             return rows
         gone = (
-            self._stored("manifest", MANIFEST, view.versions)
+            self._stored("manifest", view.versions)
             .filter(F.col("prev_version") >= view.versions[0])
-            .select(*KEY, F.col("prev_version").alias("version"))
+            .select(*KEY, F.col("prev_version").alias("_gone"))
         )
         if among is not None:
             gone = gone.join(among, KEY, "left_semi")
-        if view.replaced_bytes <= MAX_BROADCAST_BYTES:
+        gone = gone.select(F.col("folder").alias("_folder"), F.col("path").alias("_path"), "_gone")
+        if send and view.replaced_bytes <= MAX_BROADCAST_BYTES:
             gone = F.broadcast(gone)  # size recorded by the commits
-        return rows.join(gone, [*KEY, "version"], "left_anti")
+        elif view.replaced_bytes <= self.buckets() * MAX_BROADCAST_BYTES:
+            gone = gone.hint("shuffle_hash")  # bucket by bucket, in memory
+        # a file's rows of the replaced version and of all before it are gone
+        same = (F.col("folder") == F.col("_folder")) & (F.col("path") == F.col("_path"))
+        return rows.join(gone, same & (F.col("version") <= F.col("_gone")), "left_anti")
 
     def live_files(self, as_of: int | None = None, among: DataFrame | None = None) -> DataFrame:
         """`(folder, path, hash, version)` of every indexed file."""
         view = self._view(as_of)
-        rows = self._stored("manifest", MANIFEST, view.versions).filter(F.col("op") == "U")
+        rows = self._stored("manifest", view.versions).filter(F.col("op") == "U")
         return self._live(rows.select(*KEY, "hash", "version"), view, among)
 
-    def live_chunks(self, as_of: int | None = None, newer_than: int | None = None) -> DataFrame:
-        """Chunks of every indexed file; `newer_than` leaves out the chunks that
+    def live_chunks(
+        self, as_of: int | None = None, newer_than: int | None = None, parts: Iterable[int] | None = None
+    ) -> DataFrame:
+        """Chunks of every indexed file. `parts` (of `FOLDER_PARTS`) limits the partitions
+        that are read, to those that hold the folders of these parts; `newer_than` leaves out the chunks that
         were written by that version or before."""
         view = self._view(as_of)
         wanted = [v for v in view.versions if newer_than is None or v > newer_than]
-        return self._live(self._stored("chunks", CHUNKS, wanted), view)
+        rows = self._stored("chunks", wanted)
+        if parts is not None and wanted:
+            places = {p % self._folder_parts() for p in parts}
+            rows = rows.filter(F.col("folder_part").isin(sorted(places)))
+        return self._live(rows, view)
 
     def base_version(self) -> int | None:
         """The version the current view starts at."""
@@ -335,7 +378,7 @@ class SearchIndex:
         versions = self._view().versions
         if not versions:
             return last
-        seen = self._stored("manifest", MANIFEST, versions).filter(F.col("seq").isNotNull())
+        seen = self._stored("manifest", versions).filter(F.col("seq").isNotNull())
         seen = seen.join(broadcast_if_small(last.select(*KEY)), KEY, "left_semi")
         seen = seen.groupBy(*KEY).agg(F.max("seq").alias("applied"))
         joined = last.join(seen, KEY, "left")
@@ -351,18 +394,19 @@ class SearchIndex:
         batch: int | None = None,
     ) -> dict:
         """Write the manifest, then the chunks of changed files, then commit."""
-        manifest_dir = f"{self.root}/manifest/version={version}"
+        buckets = self._lay_out(prepared)
         deleted = F.col("status") == "deleted"
         # A change that alters nothing is only noted, so that its seq is known.
         noted = (F.col("status") == "same") & (F.coalesce("conflict", F.lit(0)) == 0)
         op = F.when(deleted, "D").when(noted, "S").otherwise("U")
-        changed.select(
+        rows = changed.select(
             *KEY, "hash", op.alias("op"), "status", "old_hash",
             F.when(~noted, F.col("prev_version")).alias("prev_version"), F.coalesce("copies", F.lit(0)).alias("copies"),
             F.coalesce("conflict", F.lit(0)).alias("conflict"),
             (F.col("seq") if "seq" in changed.columns else F.lit(None).cast("long")).alias("seq"),
-        ).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(manifest_dir)
-        manifest = self.spark.read.schema(MANIFEST).parquet(manifest_dir)
+        )
+        self._table("manifest").write(rows.repartition(buckets, *KEY), version)
+        manifest = self._stored("manifest", [version])
 
         key_bytes = F.octet_length("folder") + F.octet_length("path") + F.lit(16)
         replaces = F.col("prev_version").isNotNull()
@@ -392,34 +436,33 @@ class SearchIndex:
         return self._commit(version, False, stats, stream, batch)
 
     def _write_chunks(self, version: int, contents: DataFrame) -> None:
-        chunked = self._chunk(spread(contents))
+        chunked = self._chunk(contents.repartition(self.buckets(), *KEY))
         rows = chunking.explode_chunks(chunked, *KEY, "hash")
         absolute = paths.join_path(F.col("folder"), F.col("path"))
-        rows.select(
+        embedded = rows.select(
             *KEY,
             "hash",
             "chunk_index",
             ids.chunk_id(absolute, F.col("chunk_index")).alias("chunk_id"),
             "text",
             embed(F.col("text"), self.embedder).alias("vector"),
-        ).write.mode("overwrite").parquet(f"{self.root}/chunks/version={version}")
+        )
+        self._table("chunks").write(embedded, version)
 
     # -- upkeep ----------------------------------------------------------------
 
     def compact(self) -> dict:
         """Rewrite the live view as one version, so that later reads need no
-        anti-join. Files and chunks are placed by folder and path, so that a
-        search in one folder skips the files of others. Old versions stay on
-        disk until their owner removes them."""
-        version = (self.last_version() or 0) + 1
-        live, chunks = self.live_files(), self.live_chunks()
+        anti-join. Chunks are not shuffled: what was read bucket by bucket is written
+        so again. Old versions stay on disk until their owner removes them."""
+        version, view = (self.last_version() or 0) + 1, self._view()
+        live = self.live_files()
+        chunks = self._live(self._stored("chunks", view.versions), view, send=False)
         noted = (
-            self._stored("manifest", MANIFEST, self._view().versions).filter("seq IS NOT NULL")
+            self._stored("manifest", view.versions).filter("seq IS NOT NULL")
             .groupBy(*KEY).agg(F.max("seq").alias("seq"))
         )
-        chunks.drop("version").repartitionByRange("folder", "path", "chunk_index").sortWithinPartitions(
-            "folder", "path", "chunk_index"
-        ).write.mode("overwrite").parquet(f"{self.root}/chunks/version={version}")
+        self._table("chunks").write(chunks, version)
         rest = [
             F.lit("compacted").alias("status"), F.lit(None).cast("string").alias("old_hash"),
             F.lit(None).cast("int").alias("prev_version"),
@@ -431,9 +474,8 @@ class SearchIndex:
         marks = noted.select(
             *KEY, F.lit(None).cast("string").alias("hash"), F.lit("S").alias("op"), *rest, "seq"
         )
-        kept.unionByName(marks).repartitionByRange(*KEY).write.mode("overwrite").parquet(
-            f"{self.root}/manifest/version={version}"
-        )
+        rows = kept.unionByName(marks).repartition(self.buckets(), *KEY)
+        self._table("manifest").write(rows, version)
         nothing = {"added": 0, "modified": 0, "deleted": 0, "replaced": 0, "replaced_bytes": 0}
         return self._commit(version, True, nothing)
 

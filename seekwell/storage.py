@@ -9,7 +9,9 @@ from pyspark.sql import SparkSession
 class Storage:
     def __init__(self, spark: SparkSession, root: str):
         self._spark = spark
-        self.root = root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.root = fs.makeQualified(path).toString().rstrip("/")
 
     def _open(self, name: str):
         path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -20,6 +22,10 @@ class Storage:
         fs, path = self._open(name)
         return fs.exists(path)
 
+    def remove(self, name: str) -> None:
+        fs, path = self._open(name)
+        fs.delete(path, True)
+
     def names(self, directory: str) -> list[str]:
         fs, path = self._open(directory)
         if not fs.exists(path):

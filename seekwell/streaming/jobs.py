@@ -10,6 +10,7 @@ from ..constants import SEARCH_DEPTH
 from ..plans.index import SearchIndex
 from ..plans.search import answers
 from ..schemas import DELTA, REQUESTS
+from ..session import materialize
 from ..storage import Storage
 
 
@@ -38,12 +39,9 @@ def start_refresh(
     saved = Storage(index.spark, checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # read several times: keys, contents, chunks
-        try:
-            query = saved.read_json("metadata")["id"]
-            index.apply_changes(batch, stream=f"{name}/{query}", batch=batch_id)
-        finally:
-            batch.unpersist()
+        changed = materialize(batch, "changes")  # read several times: keys, contents, chunks
+        query = saved.read_json("metadata")["id"]
+        index.apply_changes(changed, stream=f"{name}/{query}", batch=batch_id)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if catch_up else writer).start()
@@ -65,12 +63,9 @@ def start_answers(
     patterns = tuple(patterns)
 
     def respond(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            told = answers(index, batch, k, patterns, pattern_files)
-            told.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        asked = materialize(batch, "asked")  # read twice: for vectors and for texts
+        told = answers(index, asked, k, patterns, pattern_files)
+        told.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     writer = incoming.writeStream.foreachBatch(respond).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if catch_up else writer).start()

@@ -97,6 +97,19 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def many_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as twelve requests, with rising cutoffs, every other one to the
+    folder of its label only."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("step")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", step)
+    return rows.select(
+        (F.col("vec_id") * 12 + F.col("step")).alias("query_id"),
+        F.when(F.col("step") % 2 == 1, F.concat(F.lit("set_"), "label")).alias("folder"),
+        ((F.col("step") * 5 + 10) / F.lit(100.0)).alias("cutoff"),
+        F.col("embedding").cast("array<double>").alias("vector"),
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text as a request to the one-folder corpus."""
     return table(spark, sf_dir, "benchmark").select(

@@ -216,6 +216,21 @@ ORACLES: dict[str, str] = {
     "search_l2sim": f"WITH {_vector_top(_L2SIM)}, {_BEST} SELECT * FROM ordered",
     "search_top_chunks": f"""WITH {_vector_top()}
         SELECT query_id, path, floor(score * 1e6 + 0.5) / 1e6 AS score, rank, chunk_id, chunk_index FROM top""",
+    "search_many_requests": f"""WITH chunks AS (
+            SELECT 'set_' || label AS folder, 'file_' || (vec_id // 5) AS path,
+                lpad(vec_id::VARCHAR, 12, '0') AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings),
+        queries AS (
+            SELECT vec_id * 12 + step AS query_id, (step * 5 + 10) / 100::DOUBLE AS cutoff,
+                CASE WHEN step % 2 = 1 THEN 'set_' || label END AS only_in, vec_id, embedding::DOUBLE[] AS q
+            FROM embeddings, unnest(range(12)) AS steps(step)),
+        pairs AS (SELECT a.vec_id, c.*, round(list_inner_product(v, q) /
+                (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))), 9) AS score
+            FROM chunks c, (SELECT vec_id, q FROM queries WHERE query_id % 12 = 0) a),
+        ranked AS (SELECT query_id, cutoff, folder, path, chunk_id, score, row_number() OVER
+                (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+            FROM queries JOIN pairs USING (vec_id) WHERE only_in IS NULL OR folder = only_in)
+        SELECT query_id, path, floor(score * 1e6 + 0.5) / 1e6 AS score, rank, folder, chunk_id
+        FROM ranked WHERE rank <= 100 AND score >= cutoff""",
     "search_batch_per_query_cutoff": f"""WITH {_vector_top(
             match="folder = 'set_' || query_id",
             cutoff="CASE WHEN query_id % 2 = 1 THEN 0.8 ELSE 0.3 END")}, {_BEST}

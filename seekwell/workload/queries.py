@@ -92,6 +92,15 @@ def search_top_chunks(spark, sf_dir):
     return _shown(top, "chunk_id", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
+@register
+def search_many_requests(spark, sf_dir):
+    """More requests than one block holds, in one scan of the chunks."""
+    top = scoring.top_chunks(
+        inputs.vector_chunks(spark, sf_dir), inputs.many_vector_queries(spark, sf_dir), 64
+    )
+    return _shown(top, "folder", "chunk_id")
+
+
 @register
 def search_batch_per_query_cutoff(spark, sf_dir):
     queries = inputs.vector_queries(spark, sf_dir).select(

@@ -2,6 +2,9 @@
 
 import json
 import os
+import re
+import zlib
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -444,3 +447,73 @@ def test_rename_pairs_with_many_copies(spark):
     assert len(pairs) == 720
     assert len({p["old_path"] for p in pairs}) == len({p["new_path"] for p in pairs}) == 720
     assert all(p["old_path"][1:] == p["new_path"][1:] for p in pairs if p["hash"] != "copy")
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 40])
+def test_live_view_without_exchange(spark, index, make_files, monkeypatch, limit):
+    """Replaced keys beyond the broadcast limit are joined bucket by bucket."""
+    import seekwell.plans.index as module
+
+    index.build(make_files(V1))
+    index.refresh(make_files(V2))
+    index.refresh(make_files(V3))
+    before = chunk_rows(index), sorted(map(tuple, index.live_files().collect()))
+    assert "Broadcast" in _executed(index.live_chunks())
+    monkeypatch.setattr(module, "MAX_BROADCAST_BYTES", limit)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for live in (index.live_chunks(), index.live_files()):
+            plan = _executed(live)
+            assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+            assert ("ShuffledHashJoin" if limit else "SortMergeJoin") in plan
+        assert (chunk_rows(index), sorted(map(tuple, index.live_files().collect()))) == before
+        index.compact()
+        assert chunk_rows(index) == before[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_folder_search_reads_its_partitions(spark, index, make_files):
+    """Straight after a refresh, without compaction."""
+    from seekwell.operators import scoring
+    from seekwell.plans.search import embed_requests
+
+    names = [f"folder {i}" for i in range(12)]
+    index.build(make_files({(n, "a.md"): f"words of {n}" for n in names}))
+    index.refresh(make_files({(n, "a.md"): f"other words of {n}" for n in names}))
+    asked = spark.createDataFrame([(1, "words", names[3], 0.0)], REQUESTS)
+    stored = scoring.store_requests(embed_requests(asked, index.embedder), 32)
+    chunks = index.live_chunks(parts=stored.parts)
+    plan = _executed(chunks)
+    place = zlib.crc32(names[3].encode()) % 8
+    assert re.search(rf"PartitionFilters: \[[^]]*folder_part#\d+ = {place}\)", plan)
+    seen = {r["folder"] for r in chunks.collect()}
+    assert seen == {n for n in names if zlib.crc32(n.encode()) % 8 == place}
+    found = search_batch(index, asked).collect()
+    assert [(r["folder"], r["path"]) for r in found] == [(names[3], "a.md")]
+
+
+def test_index_written_by_another_session(spark, tmp_path, index, make_files):
+    index.build(make_files(V1))
+    reader = SearchIndex(spark, str(tmp_path / "index"), HashedWords(32))
+    first = chunk_rows(reader)
+    index.refresh(make_files(V2))
+    assert chunk_rows(reader) == chunk_rows(index) != first
+    for name in ("chunks", "manifest"):  # a session that has never seen the tables
+        spark.sql(f"DROP TABLE {index._table(name).name}")
+    other = SearchIndex(spark, str(tmp_path / "index"), HashedWords(32))
+    assert chunk_rows(other) == chunk_rows(reader)
+    assert chunk_rows(other, as_of=1) == first
+
+
+def test_buckets_follow_the_first_snapshot(spark, tmp_path, index, make_files):
+    index.build(make_files(V1))
+    assert index.buckets() == 8
+    settings = replace(line_settings(HashedWords(32)), buckets=3)
+    few = SearchIndex(spark, str(tmp_path / "few"), HashedWords(32), settings)
+    few.build(make_files(V1))
+    assert few.buckets() == 3 and chunk_rows(few) == chunk_rows(index)

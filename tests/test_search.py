@@ -1,5 +1,7 @@
 """Scoring against brute force."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,9 +99,11 @@ def test_many_blocks_equal_one(spark, data, monkeypatch):
     whole = found(scoring.top_chunks(chunks, queries, DIM, k=20))
     monkeypatch.setattr(scoring, "MAX_KEPT_HITS", 4 * 20)
     for dealt in (queries, queries.repartition(7)):
-        blocks = list(scoring.query_blocks(dealt, DIM, 20))
-        assert [len(b.ids) for b in blocks] == [4, 4, 4, 4, 4, 3]
+        store = scoring.store_requests(dealt, DIM, 20)
+        blocks = [scoring.read_block(f, DIM) for f in store.files]
+        assert store.rows == 23 and max(len(b.ids) for b in blocks) <= 4
         assert sorted(i for b in blocks for i in b.ids) == list(range(23))
+    monkeypatch.setattr(scoring, "_SEGMENT_BYTES", 4000)
     assert found(scoring.top_chunks(chunks, queries, DIM, k=20)) == whole
 
 
@@ -107,7 +111,20 @@ def test_requests_of_one_id_still_part(spark, data, monkeypatch):
     _, queries = tables(spark, data)
     alike = queries.withColumn("query_id", F.lit(1).cast("long"))
     monkeypatch.setattr(scoring, "MAX_KEPT_HITS", 100)
-    assert [len(b.ids) for b in scoring.query_blocks(alike, DIM, 10)] == [10, 10, 3]
+    store = scoring.store_requests(alike, DIM, 10)
+    assert sorted(len(scoring.read_block(f, DIM).ids) for f in store.files) == [3, 10, 10]
+
+
+def test_folders_asked_for_are_counted_while_stored(spark, data):
+    _, queries = tables(spark, data)
+    some = queries.filter("folder IS NOT NULL")
+    names = sorted({r["folder"] for r in some.collect()})
+    store = scoring.store_requests(some, DIM, 10)
+    assert store.between == (names[0], names[-1])
+    assert set(store.parts) == {zlib.crc32(n.encode()) % 64 for n in names}
+    everywhere = some.limit(1).withColumn("folder", F.lit(None).cast("string")).unionByName(some)
+    assert scoring.store_requests(everywhere, DIM, 10).parts is None
+    assert scoring.store_requests(some.limit(0), DIM, 10).files == ()
 
 
 def test_thousands_of_requests_take_one_scan(spark, data, monkeypatch):
@@ -285,7 +302,7 @@ def test_chunks_are_not_shuffled(spark, tmp_path):
     scorer = plan.index("MapInArrow")
     assert "Exchange" not in plan[scorer:]
     assert plan[:scorer].count("Exchange") == 1
-    assert "EqualTo(folder,f)" in plan or "In(folder" in plan
+    assert "EqualTo(folder,f)" in plan or "GreaterThanOrEqual(folder" in plan
     scan = plan[plan.index("ReadSchema"):]
     assert "text" not in scan and "hash" not in scan
     assert rows.schema["vector"].dataType.simpleString() == VECTOR.simpleString()
