@@ -173,6 +173,8 @@ class SearchIndex:
             commit[f"{name}_since_base"] = earlier + stats[name]
         if stream is not None:
             commit["streams"][stream] = batch
+            if batch == 0 or before.get("alone") == stream:
+                commit["alone"] = stream
         self._store.write_json(f"commits/{version}.json", commit)
         return commit
 
@@ -274,9 +276,11 @@ class SearchIndex:
 
     # -- building and refreshing -----------------------------------------------
 
-    def _prepared(self, files: DataFrame) -> DataFrame:
-        """Filters from cheap to costly, then the content hash."""
-        kept = require(files, FILES, "files")
+    def prepared(self, files: DataFrame, *carried: str) -> DataFrame:
+        """The files to index, with their content hash: filters from cheap to costly.
+        Columns named by `carried` are kept."""
+        require(files, FILES, "files")
+        kept = files.select(*[f.name for f in FILES.fields], *carried)
         rules = self.rules
         if rules.pattern_files:
             kept = ignore.filter_ignored_by_folder(kept, rules.defaults)
@@ -309,7 +313,7 @@ class SearchIndex:
             failed = materialize(files.filter("error IS NOT NULL").select(*KEY).distinct(), "unread")
             files = files.filter("error IS NULL")
             live = live.join(failed, KEY, "left_anti")
-        prepared = self._prepared(files)
+        prepared = self.prepared(files)
         if folders is not None:
             names = list(folders)
             prepared = prepared.filter(F.col("folder").isin(names))
@@ -354,15 +358,46 @@ class SearchIndex:
         upserts = delta.filter(F.col("op") == "U").join(
             last.filter(F.col("op") == "U").select(*KEY, "seq"), [*KEY, "seq"], "left_semi"
         )
-        files = upserts.select(
-            *KEY, "content", F.octet_length("content").cast("long").alias("size")
-        )
-        prepared = self._prepared(files)
-        named = last.select(*KEY, "seq").join(diff.snapshot_keys(prepared), KEY, "left")
         # a small batch is sent to the stored manifest, which then stays in place
         live = self.live_files(among=broadcast_if_small(last.select(*KEY))).select(
             *KEY, F.col("hash").alias("old_hash"), F.col("version").alias("prev_version")
         )
+        return self._apply_named(version, last.select(*KEY, "seq").join(live, KEY, "left"), upserts, stream, batch)
+
+    def apply_last_changes(self, heads: DataFrame, stream: str, batch: int) -> dict:
+        """Apply rows like `streaming.latest.HEADS`, one per file, which tell what the
+        index held before; so nothing stored is read. Only for a stream that `follows`
+        the index or starts."""
+        if self.is_applied(stream, batch):
+            return self.commit_info(self.last_version())
+        version = (self.last_version() or 0) + 1
+        # whichever version holds a file's rows, all up to the last one are replaced
+        named = heads.select(
+            *KEY, "seq", "old_hash",
+            F.when(F.col("old_hash").isNotNull(), F.lit(version - 1)).alias("prev_version"),
+        )
+        return self._apply_named(version, named, heads.filter("hash IS NOT NULL"), stream, batch)
+
+    def follows(self, stream: str) -> bool:
+        """Whether this stream alone wrote all versions since it started, so that its
+        state tells what the index holds."""
+        last = self.last_version()
+        return bool(last) and self.commit_info(last).get("alone") == stream
+
+    def heads(self) -> DataFrame:
+        """`(folder, path, seq, hash)`: what is indexed, and the last change applied to
+        each file that came with a number."""
+        numbered = self._stored("manifest", self._view().versions).filter("seq IS NOT NULL")
+        numbered = numbered.groupBy(*KEY).agg(F.max("seq").alias("seq"))
+        return self.live_files().select(*KEY, "hash").join(numbered, KEY, "full_outer")
+
+    def _apply_named(
+        self, version: int, named: DataFrame, upserts: DataFrame, stream: str | None, batch: int | None
+    ) -> dict:
+        """Apply changes of the files `named(folder, path, seq, old_hash, prev_version)`;
+        those of `upserts` that may be indexed are stored, the others leave."""
+        files = upserts.select(*KEY, "content", F.octet_length("content").cast("long").alias("size"))
+        prepared = self.prepared(files)
         status = (
             F.when(F.col("hash").isNull() & F.col("old_hash").isNull(), "same")
             .when(F.col("hash").isNull(), "deleted")
@@ -370,7 +405,7 @@ class SearchIndex:
             .when(F.col("hash") != F.col("old_hash"), "modified")
             .otherwise("same")
         )
-        changed = named.join(live, KEY, "left").withColumn("status", status)
+        changed = named.join(diff.snapshot_keys(prepared), KEY, "left").withColumn("status", status)
         return self._apply(version, changed, prepared, stream=stream, batch=batch)
 
     def _newer(self, last: DataFrame) -> DataFrame:

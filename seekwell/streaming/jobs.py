@@ -12,6 +12,7 @@ from ..plans.search import answers
 from ..schemas import DELTA, REQUESTS
 from ..session import materialize
 from ..storage import Storage
+from .latest import last_changes
 
 
 def file_changes(spark: SparkSession, directory: str, files_per_batch: int | None = None) -> DataFrame:
@@ -35,15 +36,29 @@ def start_refresh(
     """Keep the index current. A batch replayed after a failure is recognized by
     the commit that holds it, under the name and the id that the checkpoint gives the
     query. A new checkpoint therefore replays its input, which `seq` makes harmless.
-    With `catch_up` the job ends when the input does."""
+    With `catch_up` the job ends when the input does.
+
+    The state of the stream holds the last change of every file, so a batch reads nothing
+    that is stored. If anything else has written to the index since the stream started,
+    or pattern files inside the snapshot decide, the stored manifest is read instead."""
     saved = Storage(index.spark, checkpoint)
+    keyed = not index.rules.pattern_files
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         changed = materialize(batch, "changes")  # read several times: keys, contents, chunks
-        query = saved.read_json("metadata")["id"]
-        index.apply_changes(changed, stream=f"{name}/{query}", batch=batch_id)
+        stream = f"{name}/{saved.read_json('metadata')['id']}"
+        if keyed and (batch_id == 0 or index.follows(stream)):
+            index.apply_last_changes(changed, stream, batch_id)
+        else:
+            index.apply_changes(changed, stream, batch_id)
 
+    if keyed:
+        started = saved.exists("metadata")
+        heads = None if started or not index.versions() else index.heads()
+        changes = last_changes(changes, lambda files: index.prepared(files, "seq"), heads)
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    if keyed:
+        writer = writer.outputMode("update")
     return (writer.trigger(availableNow=True) if catch_up else writer).start()
 
 

@@ -386,6 +386,49 @@ def test_stream_equals_refresh(spark, tmp_path, make_files):
     assert index.versions() == [1, 2, 3]
 
 
+def _feed(spark, root, *rows):
+    spark.createDataFrame(list(rows), _DELTA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+
+def test_stream_reads_nothing_stored(spark, tmp_path, make_files, monkeypatch):
+    """Older changes, replaced and removed files are known from the stream's state."""
+    root = str(tmp_path)
+    index = SearchIndex(spark, f"{root}/streamed", HashedWords(32))
+    index.build(make_files({("r", "a.md"): "from the build", ("r", "b.md"): "stays"}))
+    read = []
+    stored = index._stored
+    monkeypatch.setattr(index, "_stored", lambda table, versions: read.append((table, versions)) or stored(table, versions))
+
+    def step(*rows):
+        _feed(spark, root, *rows)
+        start_refresh(index, file_changes(spark, f"{root}/in"), f"{root}/ck", "s").awaitTermination()
+        return index.commit_info(index.last_version())
+
+    def texts():
+        return {r["path"]: r["text"] for r in index.live_chunks().collect()}
+
+    first = step(("r", "a.md", "one", "U", 5), ("r", "new.md", "fresh", "U", 5), ("r", "x.bin", "no", "U", 5))
+    assert (first["added"], first["modified"], first["deleted"]) == (1, 1, 0)
+    read.clear()
+    second = step(
+        ("r", "a.md", "too old", "U", 4), ("r", "new.md", None, "D", 6), ("r", "x.bin", None, "D", 6),
+        ("r", "c.md", "first", "U", 1), ("r", "c.md", "last", "U", 3), ("r", "c.md", "middle", "U", 2),
+    )
+    assert (second["added"], second["modified"], second["deleted"]) == (1, 0, 1)
+    assert {tuple(v) for _, v in read} == {(3,)}  # only what the batch wrote itself
+    assert texts() == {"a.md": "one", "b.md": "stays", "c.md": "last"}
+    third = step(("r", "a.md", "one", "U", 7), ("r", "c.md", "  ", "U", 4), ("r", "new.md", "older", "U", 5))
+    assert (third["added"], third["modified"], third["deleted"]) == (0, 0, 1)
+    assert texts() == {"a.md": "one", "b.md": "stays"}
+    # another writer: the state no longer tells what is stored, so the manifest does
+    index.refresh(make_files({("r", "a.md"): "one", ("r", "d.md"): "between"}))
+    fourth = step(("r", "d.md", None, "D", 8), ("r", "a.md", "two", "U", 8))
+    assert (fourth["modified"], fourth["deleted"]) == (1, 1)
+    assert texts() == {"a.md": "two"}
+    with pytest.raises(Exception, match="stored and removed"):
+        step(("r", "z.md", "z", "U", 9), ("r", "z.md", None, "D", 9))
+
+
 def test_directory(spark, tmp_path):
     home = tmp_path / "src"
     (home / "a/target").mkdir(parents=True)
