@@ -320,6 +320,8 @@ ORACLES: dict[str, str] = {
         'more than 1000 tokens' AS reason FROM files WHERE {_COUNT} > 1000""",
     "chunk_estimate": f"WITH {FILES} SELECT folder, path, ceil({_COUNT} / 8192.0)::BIGINT AS n_chunks FROM files",
     "pack_batches": _PACKED + " SELECT shard, folder, path, n_tokens, n_chunks, request_no FROM walk",
+    "pack_batches_global": _PACKED.replace(_SHARD.format(n="256.0"), "0")
+    + " SELECT folder, path, n_tokens, n_chunks, request_no FROM walk",
     "batch_sums": _PACKED + """ SELECT shard, request_no, sum(n_tokens)::BIGINT AS tokens,
         sum(n_chunks)::BIGINT AS chunks, count(*) AS documents FROM walk GROUP BY shard, request_no""",
     "fixed_batches": f"""WITH {FILES}, sharded AS (SELECT folder, path, {_SHARD.format(n="512.0")} AS shard FROM files)
@@ -360,6 +362,7 @@ ORACLES: dict[str, str] = {
     "live_after_refresh": _AFTER_THREE,
     "compacted_index": _AFTER_THREE,
     "stream_refresh": _AFTER_THREE,
+    "stream_out_of_order": _AFTER_THREE,
     "live_files": f"WITH {SNAPSHOTS} SELECT folder, path, hash FROM ({_kept('v3')})",
     "index_inspection": f"""WITH {SNAPSHOTS}, kept AS ({_kept('v3')}), {line_chunks('kept')},
         counted AS (SELECT folder, count(*) AS chunks FROM chunks GROUP BY folder)

@@ -371,6 +371,12 @@ def pack_batches(spark, sf_dir):
     return packing.pack_requests(packing.with_shards(_documents_to_pack(spark, sf_dir)))
 
 
+@register
+def pack_batches_global(spark, sf_dir):
+    """Requests over one sequence of all documents."""
+    return packing.pack_in_order(_documents_to_pack(spark, sf_dir))
+
+
 @register
 def batch_sums(spark, sf_dir):
     return packing.request_sums(pack_batches(spark, sf_dir))
@@ -547,13 +553,14 @@ def run_stats(spark, sf_dir):
     return rows.select(F.col("version").cast("long").alias("version"), "added", "modified", "deleted")
 
 
-@register
-def stream_refresh(spark, sf_dir):
-    """The three snapshots arrive as a stream of changes."""
+def _streamed(spark: SparkSession, sf_dir: str, order: list[int]) -> DataFrame:
+    """Chunks of an index that the three snapshots reach as a stream of changes, written
+    in the given order."""
     scratch = new_scratch(spark, "stream")
     index = SearchIndex(spark, f"{scratch}/index")
     states = inputs.snapshots(spark, sf_dir)
-    for seq, state in enumerate(states):
+    for seq in order:
+        state = states[seq]
         stored = state.select(
             "folder", "path", "content", F.lit("U").alias("op"), F.lit(seq).cast("long").alias("seq")
         )
@@ -569,6 +576,18 @@ def stream_refresh(spark, sf_dir):
     return _chunk_rows(index.live_chunks())
 
 
+@register
+def stream_refresh(spark, sf_dir):
+    """The three snapshots arrive as a stream of changes."""
+    return _streamed(spark, sf_dir, [0, 1, 2])
+
+
+@register
+def stream_out_of_order(spark, sf_dir):
+    """The last snapshot's changes arrive first: what is older changes nothing."""
+    return _streamed(spark, sf_dir, [2, 0, 1])
+
+
 # -- search over texts ----------------------------------------------------------
 
 
