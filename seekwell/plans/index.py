@@ -20,7 +20,7 @@ from dataclasses import asdict, dataclass
 from math import ceil
 from typing import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -102,14 +102,18 @@ class SearchIndex:
         settings: IndexSettings | None = None,
         rules: FileRules = FileRules(),
         chunk: Callable[[DataFrame], DataFrame] | None = None,
+        reuse_vectors: bool = False,
     ):
         """Open the index at `root`, creating it if missing. `chunk` replaces the
-        built-in chunkers; it adds `chunk_texts`."""
+        built-in chunkers; it adds `chunk_texts`. With `reuse_vectors` a changed or moved
+        file keeps the vectors of texts that the version before had in any changed file:
+        worth it where the model costs more than a join of the changed chunks."""
         self.spark = spark
         self.embedder = embedder or HashedWords()
         self.settings = settings or line_settings(self.embedder)
         self.rules = rules
         self._chunk = chunk or self._built_in_chunks
+        self._reuse = reuse_vectors
         self._store = Storage(spark, root)
         self.root = self._store.root
         self._tables: dict[str, VersionedTable] = {}
@@ -467,22 +471,43 @@ class SearchIndex:
         if stats.pop("copies") > 1:
             contents = contents.dropDuplicates(KEY)
         stats.pop("key_bytes")
-        self._write_chunks(version, contents)
+        known = None
+        if self._reuse and stats["replaced"]:
+            small = stats["replaced_bytes"] <= MAX_BROADCAST_BYTES
+            known = self._known_vectors(manifest.filter(replaces).select(*KEY), small)
+        stats["embedded"] = self._write_chunks(version, contents, known)
         return self._commit(version, False, stats, stream, batch)
 
-    def _write_chunks(self, version: int, contents: DataFrame) -> None:
+    def _known_vectors(self, replaced: DataFrame, small: bool) -> DataFrame:
+        """`(text_key, vector)` of the chunks that the files `replaced` still have, so
+        that neither what an edit left alone nor what moved is embedded again."""
+        old = self.live_chunks().select(*KEY, "text", "vector")
+        old = old.join(F.broadcast(replaced) if small else replaced, KEY, "left_semi")
+        return old.select(F.sha2("text", 256).alias("text_key"), "vector").dropDuplicates(["text_key"])
+
+    def _write_chunks(self, version: int, contents: DataFrame, known: DataFrame | None = None) -> int:
+        """Chunk, embed and store; returns how many chunks were embedded."""
         chunked = self._chunk(contents.repartition(self.buckets(), *KEY))
         rows = chunking.explode_chunks(chunked, *KEY, "hash")
         absolute = paths.join_path(F.col("folder"), F.col("path"))
-        embedded = rows.select(
+        rows = rows.select(
             *KEY,
             "hash",
             "chunk_index",
             ids.chunk_id(absolute, F.col("chunk_index")).alias("chunk_id"),
             "text",
-            embed(F.col("text"), self.embedder).alias("vector"),
         )
-        self._table("chunks").write(embedded, version)
+        if known is not None:
+            keyed = rows.withColumn("text_key", F.sha2("text", 256)).join(known, "text_key", "left")
+            rows = materialize(keyed.drop("text_key"), "chunks-known")
+        seen = Observation()
+        new = rows if known is None else rows.filter("vector IS NULL").drop("vector")
+        new = new.withColumn("vector", embed(F.col("text"), self.embedder))
+        new = new.observe(seen, F.count(F.lit(1)).alias("embedded"))
+        if known is not None:
+            new = new.unionByName(rows.filter("vector IS NOT NULL"))
+        self._table("chunks").write(new, version)
+        return seen.get["embedded"]
 
     # -- upkeep ----------------------------------------------------------------
 
@@ -511,7 +536,8 @@ class SearchIndex:
         )
         rows = kept.unionByName(marks).repartition(self.buckets(), *KEY)
         self._table("manifest").write(rows, version)
-        nothing = {"added": 0, "modified": 0, "deleted": 0, "replaced": 0, "replaced_bytes": 0}
+        names = ("added", "modified", "deleted", "replaced", "replaced_bytes", "embedded")
+        nothing = dict.fromkeys(names, 0)
         return self._commit(version, True, nothing)
 
     def inspect(self) -> DataFrame:
@@ -540,7 +566,7 @@ class SearchIndex:
 
     def run_stats(self) -> DataFrame:
         """What each committed version changed."""
-        schema = "version int, base boolean, added long, modified long, deleted long, replaced long"
+        schema = "version int, base boolean, added long, modified long, deleted long, replaced long, embedded long"
         commits = [f"{self.root}/commits/{v}.json" for v in self.versions()]
         if not commits:
             return self.spark.createDataFrame([], schema)

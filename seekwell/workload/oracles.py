@@ -363,6 +363,25 @@ ORACLES: dict[str, str] = {
     "compacted_index": _AFTER_THREE,
     "stream_refresh": _AFTER_THREE,
     "stream_out_of_order": _AFTER_THREE,
+    "live_after_reuse": _AFTER_THREE,
+    "embedded_chunks": f"""WITH {SNAPSHOTS},
+        kept AS (SELECT 1 AS version, folder, path, hash, content FROM ({_kept('v1')})
+            UNION ALL SELECT 2, folder, path, hash, content FROM ({_kept('v2')})
+            UNION ALL SELECT 3, folder, path, hash, content FROM ({_kept('v3')})),
+        {line_chunks("kept")},
+        files AS (SELECT DISTINCT version, folder, path, hash FROM kept),
+        steps AS (SELECT coalesce(n.version, o.version + 1) AS version, coalesce(n.folder, o.folder) AS folder,
+                coalesce(n.path, o.path) AS path, o.hash AS old_hash, n.hash AS new_hash
+            FROM files n FULL JOIN files o
+            ON n.folder = o.folder AND n.path = o.path AND n.version = o.version + 1),
+        changed AS (SELECT * FROM steps WHERE version <= 3 AND old_hash IS DISTINCT FROM new_hash),
+        known AS (SELECT DISTINCT g.version, text FROM changed g JOIN chunks c
+            ON c.version = g.version - 1 AND c.folder = g.folder AND c.path = g.path),
+        written AS (SELECT c.version, text FROM changed g JOIN chunks c
+            ON c.version = g.version AND c.folder = g.folder AND c.path = g.path)
+        SELECT version::BIGINT AS version, count(*) AS embedded
+        FROM written w WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.version = w.version AND k.text = w.text)
+        GROUP BY version""",
     "live_files": f"WITH {SNAPSHOTS} SELECT folder, path, hash FROM ({_kept('v3')})",
     "index_inspection": f"""WITH {SNAPSHOTS}, kept AS ({_kept('v3')}), {line_chunks('kept')},
         counted AS (SELECT folder, count(*) AS chunks FROM chunks GROUP BY folder)

@@ -508,8 +508,8 @@ def _chunk_rows(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _three_versions(spark: SparkSession, sf_dir: str, label: str) -> SearchIndex:
-    index = _new_index(spark, label)
+def _three_versions(spark: SparkSession, sf_dir: str, label: str, **options) -> SearchIndex:
+    index = _new_index(spark, label, **options)
     first, second, third = inputs.snapshots(spark, sf_dir)
     index.build(first)
     index.refresh(second)
@@ -529,6 +529,18 @@ def live_after_refresh(spark, sf_dir):
     return _chunk_rows(_three_versions(spark, sf_dir, "refresh").live_chunks())
 
 
+@register
+def embedded_chunks(spark, sf_dir):
+    """How many chunks each version embeds, if edits and moves keep known vectors."""
+    index = _three_versions(spark, sf_dir, "reuse", reuse_vectors=True)
+    return index.run_stats().select(F.col("version").cast("long").alias("version"), "embedded")
+
+
+@register
+def live_after_reuse(spark, sf_dir):
+    return _chunk_rows(_three_versions(spark, sf_dir, "kept", reuse_vectors=True).live_chunks())
+
+
 @register
 def live_files(spark, sf_dir):
     index = _three_versions(spark, sf_dir, "files")
