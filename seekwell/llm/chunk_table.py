@@ -39,10 +39,12 @@ class ChunkTable:
 _tables: dict[tuple, ChunkTable] = {}
 
 
-def worker_table(key: tuple, make: Callable[[], Callable[[list[str]], list]]) -> ChunkTable:
+def worker_table(
+    key: tuple, make: Callable[[], Callable[[list[str]], list]], limit: int = 560_000
+) -> ChunkTable:
     """The table of this worker for `key`, made at its first use."""
     if key not in _tables:
-        _tables[key] = ChunkTable(make())
+        _tables[key] = ChunkTable(make(), limit)
     return _tables[key]
 
 

@@ -8,8 +8,12 @@ tokens that both give at the same places. A run counts as stable only if it has
 crosses, so that what lies before the overlap cannot reach behind it. Where no such
 run is found, the overlap is doubled, up to the whole rest of the text.
 
-Inside a chunk each distinct word between white space is encoded once per worker
-(with its offsets) and joined back by position, as the tokenizer drops white space.
+The tokenizer drops white space, so the words between it are encoded by themselves, each
+distinct one once per worker, and joined back by position. In an overlap they come with
+their offsets. Elsewhere their numbers of tokens will do, and unknown words are encoded
+many at a time, with a special token between two, which the tokenizer takes out before
+anything else. Capitals are folded before, where that is what the tokenizer
+does as well (up to Latin letters; not where a special token may be meant).
 
 Null texts count as empty: no bytes, no tokens. Repeated rows give repeated results,
 an empty table an empty one; extra columns are not read."""
@@ -61,10 +65,52 @@ def _encoder(vocabulary: str):
     return encode
 
 
+#: Words that are encoded as one text.
+_JOINED = 512
+
+
+def _counter(vocabulary: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    between, token = max((i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special)
+
+    def joined(words: list[str]) -> list[int]:
+        parts = [words[at : at + _JOINED] for at in range(0, len(words), _JOINED)]
+        out: list[int] = []
+        for at in range(0, len(parts), 16):
+            texts = [token.join(part) for part in parts[at : at + 16]]
+            for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.array(found.ids)
+                ends = np.concatenate([[-1], np.flatnonzero(ids == between), [len(ids)]])
+                out += (np.diff(ends) - 1).tolist()
+        return out
+
+    def count(words: list[str]) -> list[int]:
+        """Tokens of each word."""
+        odd = [w for w in words if "<|" in w or "|>" in w]
+        alone = tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else []
+        known = dict(zip(odd, (len(e.ids) for e in alone)))
+        plain = [w for w in words if w not in known]
+        known.update(zip(plain, joined(plain)))
+        return [known[w] for w in words]
+
+    return count
+
+
 _WIDTH = 12  # bytes of a token in the table
 
 
+#: Letters whose lower case depends on more than the letter, or might.
+_NO_FOLDING = re.compile("[\u0130\u0250-\U0010ffff]|<\\|")
+
+
 def _words(text: str) -> list[str]:
+    if not _NO_FOLDING.search(text):
+        text = text.lower()
     return _WORD.findall(text) if _OTHER_WHITE.search(text) else text.split()
 
 
@@ -108,42 +154,55 @@ def splice_point(
     return None
 
 
-def count_long(text: str, table: ChunkTable, settings: Windows) -> int:
-    """Tokens of a text by overlapping chunks."""
+def _tokens(text: str, numbers: ChunkTable) -> int:
+    return sum(numbers.columns([_words(text)])[0])
+
+
+def _whole_word(text: str, at: int, limit: int, step: int) -> int:
+    """The place nearest to `at`, going by `step` up to `limit`, that parts no word."""
+    while at != limit and _WORD.match(text, at - 1, at) and _WORD.match(text, at, at + 1):
+        at += step
+    return at
+
+
+def count_long(text: str, table: ChunkTable, numbers: ChunkTable, settings: Windows) -> int:
+    """Tokens of a text by overlapping chunks. Only the overlaps need offsets."""
     total, at, skip = 0, 0, 0  # skip: tokens of the chunk that were counted before
     end = min(len(text), settings.window)
-    left = encode_chunk(text, at, end, table)
     while end < len(text):
         overlap = settings.overlap
         while True:
             begin = max(at, end - overlap)
             stop = min(len(text), begin + max(settings.window, 2 * overlap))
-            right = encode_chunk(text, begin, stop, table)
-            cut = splice_point(text, left[left[:, 2] > begin], right[right[:, 1] < end], settings.agreement)
+            edge = _whole_word(text, begin, at, -1)
+            left = encode_chunk(text, edge, end, table)
+            right = encode_chunk(text, begin, _whole_word(text, end, stop, 1), table)
+            after = left[:, 2] > begin
+            cut = splice_point(text, left[after], right[right[:, 1] < end], settings.agreement)
             if cut is not None:
-                before = int((left[:, 2] <= begin).sum())
+                before = _tokens(text[at:edge], numbers) + int((~after).sum())
                 total += before + cut[0] - skip
-                at, end, left, skip = begin, stop, right, cut[1]
+                at, end, skip = begin, stop, cut[1]
                 break
             if begin == at:  # no stable boundary in the whole chunk: make it longer
                 end = min(len(text), end + settings.window + overlap)
-                left = encode_chunk(text, at, end, table)
                 if end == len(text):
                     break
             overlap *= 2
-    return total + len(left) - skip
+    return total + _tokens(text[at:], numbers) - skip
 
 
 def counts(texts: list[str], vocabulary: str, settings: Windows = Windows()) -> list[int]:
     table = worker_table(("words", vocabulary), lambda: _encoder(vocabulary))
+    numbers = worker_table(("counts", vocabulary), lambda: _counter(vocabulary), 1_500_000)
     out = []
     for part in slices(texts):
         whole = [_words(t) if len(t) <= settings.window else [] for t in part]
-        for text, values in zip(part, table.columns(whole)):
+        for text, values in zip(part, numbers.columns(whole)):
             if len(text) <= settings.window:
-                out.append(sum(map(len, values)) // _WIDTH)
+                out.append(sum(values))
             else:
-                out.append(count_long(text, table, settings))
+                out.append(count_long(text, table, numbers, settings))
     return out
 
 
