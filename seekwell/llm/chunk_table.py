@@ -22,7 +22,7 @@ class ChunkTable:
         """For each list of chunks the list of their encoded values."""
         known, older = self._known, self._older
         missing = set().union(*documents).difference(known)
-        again = missing.intersection(older) if older else set()
+        again = {c for c in missing if c in older}  # looks up the few, not through all of `older`
         known.update((c, older[c]) for c in again)
         fresh = list(missing - again)
         if fresh:
