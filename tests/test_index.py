@@ -560,3 +560,17 @@ def test_buckets_follow_the_first_snapshot(spark, tmp_path, index, make_files):
     few = SearchIndex(spark, str(tmp_path / "few"), HashedWords(32), settings)
     few.build(make_files(V1))
     assert few.buckets() == 3 and chunk_rows(few) == chunk_rows(index)
+
+
+def test_known_vectors_are_kept(spark, tmp_path, make_files):
+    """An edit at the end and a move embed only what is new; the rows are the same."""
+    lines = [f"line {i} of a long file" for i in range(120)]
+    first = {("r", "a.md"): "\n".join(lines), ("r", "b.md"): "to be moved", ("r", "c.md"): "stays"}
+    second = {("r", "a.md"): "\n".join([*lines, "one more"]), ("r", "d/b.md"): "to be moved", ("r", "c.md"): "stays"}
+    index = SearchIndex(spark, str(tmp_path / "kept"), HashedWords(32), reuse_vectors=True)
+    index.build(make_files(first))
+    commit = index.refresh(make_files(second))
+    assert (commit["added"], commit["modified"], commit["deleted"]) == (1, 1, 1)
+    assert commit["embedded"] == 1  # the last window of a.md
+    assert chunk_rows(index) == chunk_rows(fresh(spark, tmp_path, make_files(second), "whole"))
+    assert [r["embedded"] for r in index.run_stats().orderBy("version").collect()] == [5, 1]
