@@ -14,11 +14,12 @@ compared.
 
 Vectors that are null, zero or hold null or non-finite components take no part; vectors
 must have one length, others raise an error. Repeated rows of one id are one row.
-With fewer than k other vectors all that were found are returned. Ties go to the
-smaller id. Extra columns are ignored; an empty table gives an empty result."""
+A query that finds fewer than k others then probes every axis of one table, which meets
+all vectors; so with fewer than k others all of them are returned. Ties go to the smaller
+id. Extra columns are ignored; an empty table gives an empty result."""
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,18 @@ def neighbours(
     good = usable(rows)
     distinct = materialize(_distinct(good, k + 1), "ann-distinct")
     asked = materialize(usable(queries).dropDuplicates(["vec_id"]), "ann-queries")
+    found = materialize(_probed(distinct, asked, k, index), "ann-found")
+    short = asked.join(found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    short = materialize(short, "ann-short")
+    if short.isEmpty():
+        return found
+    whole = _probed(distinct, short, k, replace(index, tables=1, probes=1 << 30))
+    enough = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    return enough.select(*found.columns).unionByName(whole)
+
+
+def _probed(distinct: DataFrame, asked: DataFrame, k: int, index: Index) -> DataFrame:
+    """The k nearest other rows in the buckets that each query probes, ranked."""
     members = _assigned(distinct, index, 1, ["first", "ids", "vector"])
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / index.block).cast("int")

@@ -53,6 +53,12 @@ def test_neighbours(spark):
     every = cross_polytope.neighbours(few, few, 10, cross_polytope.Index(probes=64)).collect()
     assert len(every) == 6
     assert cross_polytope.neighbours(few.limit(0), few.limit(0)).count() == 0
+    rng = np.random.default_rng(4)  # eleven of 64 dimensions: most share no probed axis
+    eleven = [(i, [float(x) for x in rng.normal(size=64)], 1, 0, 0) for i in range(11)]
+    frame = spark.createDataFrame(eleven, VECTORS)
+    every = cross_polytope.neighbours(frame, frame, 20).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in every) == [(a, b) for a in range(11) for b in range(11) if a != b]
+    assert all(sorted(r["rank"] for r in every if r["query_id"] == q) == list(range(1, 11)) for q in range(11))
 
 
 @pytest.mark.parametrize("leaf", [1024, 24])
