@@ -31,18 +31,25 @@ def requests(spark: SparkSession, directory: str, files_per_batch: int | None =
 
 
 def start_refresh(
-    index: SearchIndex, changes: DataFrame, checkpoint: str, name: str, catch_up: bool = True
+    index: SearchIndex,
+    changes: DataFrame,
+    checkpoint: str,
+    name: str,
+    catch_up: bool = True,
+    keyed: bool = True,
 ) -> StreamingQuery:
     """Keep the index current. A batch replayed after a failure is recognized by
     the commit that holds it, under the name and the id that the checkpoint gives the
     query. A new checkpoint therefore replays its input, which `seq` makes harmless.
     With `catch_up` the job ends when the input does.
 
-    The state of the stream holds the last change of every file, so a batch reads nothing
-    that is stored. If anything else has written to the index since the stream started,
-    or pattern files inside the snapshot decide, the stored manifest is read instead."""
+    If `keyed`, the state of the stream holds the last change of every file, so a batch
+    reads nothing that is stored. If anything else has written to the index since the
+    stream started, or pattern files inside the snapshot decide, the stored manifest is
+    read instead. Without `keyed` it always is: faster while the index is small, as a
+    state is looked up file by file. A checkpoint keeps to the one it began with."""
     saved = Storage(index.spark, checkpoint)
-    keyed = not index.rules.pattern_files
+    keyed = keyed and not index.rules.pattern_files
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         changed = materialize(batch, "changes")  # read several times: keys, contents, chunks

@@ -362,6 +362,7 @@ ORACLES: dict[str, str] = {
     "live_after_refresh": _AFTER_THREE,
     "compacted_index": _AFTER_THREE,
     "stream_refresh": _AFTER_THREE,
+    "stream_refresh_keyed": _AFTER_THREE,
     "stream_out_of_order": _AFTER_THREE,
     "live_after_reuse": _AFTER_THREE,
     "embedded_chunks": f"""WITH {SNAPSHOTS},

@@ -565,7 +565,7 @@ def run_stats(spark, sf_dir):
     return rows.select(F.col("version").cast("long").alias("version"), "added", "modified", "deleted")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, order: list[int]) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, order: list[int], keyed: bool) -> DataFrame:
     """Chunks of an index that the three snapshots reach as a stream of changes, written
     in the given order."""
     scratch = new_scratch(spark, "stream")
@@ -584,20 +584,26 @@ def _streamed(spark: SparkSession, sf_dir: str, order: list[int]) -> DataFrame:
             stored = stored.unionByName(gone)
         stored.write.mode("append").parquet(f"{scratch}/input")
     stream = file_changes(spark, f"{scratch}/input", files_per_batch=8)
-    start_refresh(index, stream, f"{scratch}/checkpoint", "changes").awaitTermination()
+    start_refresh(index, stream, f"{scratch}/checkpoint", "changes", keyed=keyed).awaitTermination()
     return _chunk_rows(index.live_chunks())
 
 
 @register
 def stream_refresh(spark, sf_dir):
-    """The three snapshots arrive as a stream of changes."""
-    return _streamed(spark, sf_dir, [0, 1, 2])
+    """The three snapshots arrive as a stream of changes, compared with what is stored."""
+    return _streamed(spark, sf_dir, [0, 1, 2], keyed=False)
+
+
+@register
+def stream_refresh_keyed(spark, sf_dir):
+    """The same, compared with the last changes in the stream's state."""
+    return _streamed(spark, sf_dir, [0, 1, 2], keyed=True)
 
 
 @register
 def stream_out_of_order(spark, sf_dir):
     """The last snapshot's changes arrive first: what is older changes nothing."""
-    return _streamed(spark, sf_dir, [2, 0, 1])
+    return _streamed(spark, sf_dir, [2, 0, 1], keyed=True)
 
 
 # -- search over texts ----------------------------------------------------------
