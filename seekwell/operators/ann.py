@@ -1,6 +1,11 @@
 """Approximate search by cells: chunks are stored by nearest centroid and a
 query looks only into its nearest cells. Scores are exact; with all cells
 probed the result equals exact search.
+
+`top_chunks_bounded` is exact without reading all cells. A row of a cell is at most the
+cell's width, an angle, away from its centroid, so a query at a larger angle cannot come
+nearer to any row than the difference. Cells that cannot hold a score as good as the
+k-th best of the nearest cells stay unread.
 """
 
 from dataclasses import replace
@@ -17,10 +22,13 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..constants import MAX_BROADCAST_BYTES, SEARCH_DEPTH
 from ..session import materialize
 from .embedding import unit_rows
-from .scoring import RequestStore, _vectors, local_best, merge_best, store_requests, top_chunks
+from .scoring import (
+    RequestStore, _vectors, local_best, merge_best, raised, store_requests, stored_requests, top_chunks,
+)
 
 TRAINING_ROWS_PER_CELL = 1024
 _DISTANCES_AT_ONCE = 4 * 1024 * 1024
+_ANGLE_SLACK = 1e-6  # covers rounding of angles and of scores
 
 
 def train_cells(
@@ -138,6 +146,96 @@ def top_chunks_in_cells(
     return merge_best(found, k, parts)
 
 
+def cell_widths(celled: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The largest angle between a cell's centroid and a row of it; below zero for cells
+    without rows. A row or a centroid of length zero makes a cell as wide as can be."""
+    directions = unit_rows(centroids)
+    sent = celled.sparkSession.sparkContext.broadcast(directions)
+
+    @F.arrow_udf("double")
+    def away(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for vectors, cells in batches:
+            if len(cells) == 0:
+                yield pa.array([], pa.float64())
+                continue
+            rows = unit_rows(_vectors(vectors, sent.value.shape[1]))
+            centres = sent.value[cells.to_numpy()]
+            angles = np.arccos(np.clip(np.einsum("ij,ij->i", rows, centres), -1, 1))
+            angles[~rows.any(axis=1) | ~centres.any(axis=1)] = np.pi
+            yield pa.array(np.where(np.isnan(angles), 0.0, angles))  # NaN never scores
+
+    found = celled.select("cell", away("vector", "cell").alias("angle")).groupBy("cell")
+    widths = np.full(len(centroids), -1.0)
+    for row in found.agg(F.max("angle").alias("width")).collect():  # one row a cell
+        widths[row["cell"]] = row["width"]
+    return widths
+
+
+def _least_cosine(cutoffs: np.ndarray, metric: str) -> np.ndarray:
+    """The cosine that a score at the cutoff has; NaN stands for no cutoff."""
+    if metric == "l2sim":
+        positive = cutoffs > 0
+        cutoffs = np.where(positive, 1.5 - 0.5 / np.where(positive, cutoffs, 1.0), -np.inf)
+    return np.where(np.isnan(cutoffs), -np.inf, cutoffs)
+
+
+def with_open_cells(requests: DataFrame, centroids: np.ndarray, widths: np.ndarray, metric: str) -> DataFrame:
+    """`cells` replaced by those not in it that may hold a score at the cutoff or above."""
+    sent = requests.sparkSession.sparkContext.broadcast((unit_rows(centroids), widths))
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        directions, wide = sent.value
+        for vectors, seen, cutoffs in batches:
+            if len(vectors) == 0:
+                yield pa.array([], pa.list_(pa.int32()))
+                continue
+            rows = unit_rows(_vectors(vectors, directions.shape[1]).astype(np.float64))
+            bars = _least_cosine(cutoffs.to_numpy(zero_copy_only=False).astype(np.float64), metric)
+            angles = np.arccos(np.clip(rows @ directions.T, -1, 1))
+            nearest = np.maximum(angles - wide - _ANGLE_SLACK, 0)
+            may = np.cos(nearest) >= bars[:, None] - _ANGLE_SLACK
+            may[~rows.any(axis=1)] = True  # a zero query scores zero everywhere
+            may &= wide >= 0
+            at = np.repeat(np.arange(len(rows)), seen.value_lengths().to_numpy())
+            may[at, seen.flatten().to_numpy()] = False
+            yield pa.array([np.flatnonzero(m).astype(np.int32) for m in may], pa.list_(pa.int32()))
+
+    rest = [c for c in requests.columns if c != "cells"]
+    return requests.select(*rest, run("vector", "cells", "cutoff").alias("cells"))
+
+
+def top_chunks_bounded(
+    celled: DataFrame,
+    queries: DataFrame,
+    centroids: np.ndarray,
+    widths: np.ndarray,
+    n_probe: int,
+    metric: str = "cosine",
+    k: int = SEARCH_DEPTH,
+    parts: int | None = None,
+    uncelled: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of `top_chunks`, from the `n_probe` nearest cells of each request and then
+    from every other cell that may hold a better hit than its `k`-th best. `widths` are
+    those of `cell_widths`, or larger."""
+    dim = centroids.shape[1]
+    first = store_requests(with_probes(queries, centroids, n_probe), dim, k)
+    if not first.rows:
+        return top_chunks(celled, first, dim, metric, k)
+    near = local_best(celled.filter(F.col("cell").isin(probed(first, celled))), first, metric, k)
+    if uncelled is not None:
+        near = near.unionByName(local_best(uncelled, replace(first, celled=False), metric, k))
+    found = materialize(merge_best(near, k, parts).drop("rank"), "cells-near")
+    asked = raised(stored_requests(first, celled), found, k)
+    rest = with_open_cells(asked, centroids, widths, metric).filter(F.size("cells") > 0)
+    second = store_requests(rest, dim, k)
+    if second.rows:
+        far = celled.filter(F.col("cell").isin(probed(second, celled)))
+        found = found.unionByName(local_best(far, second, metric, k))
+    return merge_best(found, k, parts)
+
+
 def probed(store: RequestStore, celled: DataFrame) -> list[int]:
     """The cells that some request looks into; never more than there are cells."""
     stored = celled.sparkSession.read.schema("cells array<int>").parquet(*store.files)

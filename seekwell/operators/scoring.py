@@ -7,6 +7,10 @@ chunks into segments, multiplies each segment by one block after the other, and
 only its best `k` rows per query. What a query already has in a task is the bar for the
 task's next segment. Those few rows are then merged by query. No row pairs are formed
 outside the matrix product.
+
+With very many tasks, tasks x queries x k rows would still leave them. A first look at a
+share of the chunks then gives every query a floor: the k-th best score of any part of
+the chunks is a lower bound of the k-th best of all.
 """
 
 from collections.abc import Iterator
@@ -28,7 +32,7 @@ from ..constants import (
 )
 from ..functions.ids import FOLDER_PARTS, folder_part
 from ..schemas import HITS
-from ..session import fan_in, new_scratch
+from ..session import expected_tasks, fan_in, materialize, new_scratch
 from .embedding import unit_rows
 
 METRICS = ("cosine", "l2sim")
@@ -43,6 +47,8 @@ _HIT_SCHEMA = pa.schema([
     ("chunk_index", pa.int32()),
     ("score", pa.float64()),
 ])
+_FLOOR_TASKS = 64  # from this many tasks on, a search looks for floors first
+_FLOOR_SHARE = 0.2
 _PAYLOAD = ["folder", "path", "chunk_id", "chunk_index"]
 _REQUEST = ["query_id", "folder", "cutoff", "vector"]
 
@@ -321,6 +327,39 @@ def merge_best(hits: DataFrame, k: int, parts: int | None = None) -> DataFrame:
     ).filter(F.col("rank") <= k)
 
 
+def raised(requests: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """`requests` with the cutoff at the `k`-th best score of `found`, for those that have
+    `k` hits there."""
+    bars = found.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_bar"))
+    bars = bars.filter(F.col("_n") >= k).drop("_n")
+    higher = F.greatest("cutoff", "_bar").alias("cutoff")
+    rest = [c for c in requests.columns if c != "cutoff"]
+    return requests.join(bars, "query_id", "left").select(*rest, higher)
+
+
+def stored_requests(store: RequestStore, chunks: DataFrame) -> DataFrame:
+    return chunks.sparkSession.read.parquet(*store.files)
+
+
+def floor_share(chunks: DataFrame) -> float | None:
+    """The share of the chunks to look for floors in, None if there are few tasks. About
+    k / share rows a query pass the floor, so a smaller share does with more tasks."""
+    tasks = expected_tasks(chunks)
+    if not _FLOOR_TASKS <= tasks < 2**30:  # unknown sizes are huge
+        return None
+    return min(_FLOOR_SHARE, 2 / tasks**0.5)
+
+
+def with_floors(
+    chunks: DataFrame, store: RequestStore, metric: str, k: int, share: float, seed: int = 29
+) -> RequestStore:
+    """The requests with cutoffs raised to their `k`-th best score in a share of the
+    chunks; ties with it stay, so the result of a search does not change."""
+    some = chunks.sample(fraction=share, seed=seed)
+    found = materialize(merge_best(local_best(some, store, metric, k), k), "floors")
+    return store_requests(raised(stored_requests(store, chunks), found, k), store.dim, k)
+
+
 def top_chunks(
     chunks: DataFrame,
     queries: DataFrame | RequestStore,
@@ -328,12 +367,14 @@ def top_chunks(
     metric: str = "cosine",
     k: int = SEARCH_DEPTH,
     parts: int | None = None,
+    share: float | None = None,
 ) -> DataFrame:
     """Best `k` chunks per query at or above its cutoff, with `rank`.
 
     `queries(query_id, folder, cutoff, vector)`: a null folder searches all, a
     null cutoff keeps all. Ties go to the smaller chunk id. Applying the cutoff
-    before the limit gives the same rows as after it."""
+    before the limit gives the same rows as after it. With `share` floors are sought in
+    that share of the chunks first; the result is the same."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     if k < 1:
@@ -342,6 +383,8 @@ def top_chunks(
     if not store.rows:
         empty = chunks.sparkSession.createDataFrame([], HITS)
         return empty.withColumn("rank", F.lit(0))
+    if share is not None:
+        store = with_floors(chunks, store, metric, k, share)
     return merge_best(local_best(chunks, store, metric, k), k, parts)
 
 

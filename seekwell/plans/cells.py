@@ -18,7 +18,7 @@ from .index import SearchIndex
 from .search import embed_requests, without_ignored
 from ..storage import Storage
 
-_CENTROIDS = "cell int, center array<double>"
+_CENTROIDS = "cell int, center array<double>, width double"
 _COLUMNS = ["folder", "path", "chunk_id", "chunk_index", "vector", "version"]
 
 
@@ -35,15 +35,21 @@ class CellIndex:
         chunks = self.index.live_chunks().select(*_COLUMNS)
         centroids = ann.train_cells(chunks, n_cells, seed)
         root = f"{self.index.root}/cells/as_of={version}"
-        rows = [(i, [float(x) for x in center]) for i, center in enumerate(centroids)]
+        assigned = ann.assign_cells(chunks, centroids).hint("rebalance", "cell")
+        assigned.write.mode("overwrite").partitionBy("cell").parquet(f"{root}/chunks")
+        widths = ann.cell_widths(self._celled(root), centroids)
+        rows = [(i, [float(x) for x in c], float(w)) for i, (c, w) in enumerate(zip(centroids, widths))]
         self.index.spark.createDataFrame(rows, _CENTROIDS).coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{root}/centroids")
-        assigned = ann.assign_cells(chunks, centroids).hint("rebalance", "cell")
-        assigned.write.mode("overwrite").partitionBy("cell").parquet(f"{root}/chunks")
         self._store.write_json(f"cells/as_of={version}/done.json", {"n_cells": n_cells})
         return version
 
+    def _celled(self, root: str) -> DataFrame:
+        by_name = {f.name: f for f in CHUNKS.fields}
+        fields = [by_name.get(c, StructField(c, IntegerType())) for c in [*_COLUMNS, "cell"]]
+        return self.index.spark.read.schema(StructType(fields)).parquet(f"{root}/chunks")
+
     def current(self) -> int:
         """The newest version with cells that the index can still build on."""
         first = self.index.base_version() or 0
@@ -63,25 +69,24 @@ class CellIndex:
         k: int = SEARCH_DEPTH,
         patterns: Iterable[str] = (),
         pattern_files: DataFrame | None = None,
+        exact: bool = False,
     ) -> DataFrame:
-        """Ranked files as `plans.search_batch`, looking into `n_probe` cells."""
+        """Ranked files as `plans.search_batch`, looking into `n_probe` cells. With
+        `exact` also into every other cell that may change the result: chunks only leave
+        a cell after it was built, so its width still holds."""
         version = self.current()
         spark, root = self.index.spark, f"{self.index.root}/cells/as_of={version}"
-        stored = spark.read.schema(_CENTROIDS).parquet(f"{root}/centroids").orderBy("cell")
-        centroids = np.array([row["center"] for row in stored.collect()])
-        by_name = {f.name: f for f in CHUNKS.fields}
-        fields = [by_name.get(c, StructField(c, IntegerType())) for c in [*_COLUMNS, "cell"]]
-        celled = spark.read.schema(StructType(fields)).parquet(f"{root}/chunks")
+        stored = spark.read.schema(_CENTROIDS).parquet(f"{root}/centroids").orderBy("cell").collect()
+        centroids = np.array([row["center"] for row in stored])
         newer = None
         if self.index.last_version() > version:
             newer = self.index.live_chunks(newer_than=version)
-        top = ann.top_chunks_in_cells(
-            self.index.only_live(celled),
-            embed_requests(requests, self.index.embedder),
-            centroids,
-            n_probe,
-            self.index.settings.metric,
-            k,
-            uncelled=newer,
-        )
+        asked = embed_requests(requests, self.index.embedder)
+        rows = self.index.only_live(self._celled(root))
+        metric = self.index.settings.metric
+        if exact:
+            widths = np.array([row["width"] for row in stored])
+            top = ann.top_chunks_bounded(rows, asked, centroids, widths, n_probe, metric, k, uncelled=newer)
+        else:
+            top = ann.top_chunks_in_cells(rows, asked, centroids, n_probe, metric, k, uncelled=newer)
         return scoring.best_files(without_ignored(top, patterns, pattern_files))

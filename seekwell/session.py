@@ -91,6 +91,11 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(size)) for size in sizes)
 
 
+def expected_tasks(df: DataFrame) -> int:
+    """About how many tasks a scan of the tables of a plan has."""
+    return -(-input_bytes(df) // _SPLIT_BYTES)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out to more tasks if the input is smaller than one split per
     core, as a single row group is read by one task. Larger input is left as

@@ -252,6 +252,14 @@ ORACLES: dict[str, str] = {
     "ann_search_all_cells": _VECTOR_FILES,
     "ann_search_given_cells": f"""WITH {_vector_top(match=_IN_PROBED_CELL).replace(VECTORS, _CELLED)}, {_BEST}
         SELECT * FROM ordered""",
+    "ann_bounded": _VECTOR_FILES,
+    "ann_recall": f"""WITH {_vector_top().replace(VECTORS, _CELLED)},
+        hits AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER
+                (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM scored WHERE {_IN_PROBED_CELL})
+            WHERE n <= 100 AND score >= cutoff)
+        SELECT query_id, round(avg((hits.chunk_id IS NOT NULL)::INTEGER), 6) AS recall
+        FROM top LEFT JOIN hits USING (query_id, chunk_id) GROUP BY query_id""",
+    "search_floors": _VECTOR_FILES,
     "vector_norms": """SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[],
         embedding::DOUBLE[])), 6) AS norm FROM embeddings""",
     "normalize_vectors": """WITH lengths AS (SELECT vec_id, embedding::DOUBLE[] AS v,

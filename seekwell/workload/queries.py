@@ -84,6 +84,14 @@ def search_l2sim(spark, sf_dir):
     return _shown(_vector_files(spark, sf_dir, "l2sim"))
 
 
+@register
+def search_floors(spark, sf_dir):
+    """A fifth of the chunks gives every query a floor before all are searched."""
+    chunks, queries = inputs.vector_chunks(spark, sf_dir), inputs.vector_queries(spark, sf_dir)
+    top = scoring.top_chunks(chunks, queries, 64, share=0.2)
+    return _shown(scoring.best_files(top.withColumn("folder", F.lit("all"))))
+
+
 @register
 def search_top_chunks(spark, sf_dir):
     top = scoring.top_chunks(
@@ -727,26 +735,41 @@ def ann_search_all_cells(spark, sf_dir):
     return _shown(scoring.best_files(top.withColumn("folder", F.lit("all"))))
 
 
-@register
-def ann_search_given_cells(spark, sf_dir):
-    """The labels' means as cells, three of them probed."""
+def _given(spark: SparkSession, sf_dir: str):
+    """Chunks in cells around the labels' means, which are the queries too."""
     queries = inputs.vector_queries(spark, sf_dir)
     centroids = ann.given_cells(queries.select(F.col("query_id").alias("cell"), "vector"))
     celled = ann.write_cells(
         inputs.vector_chunks(spark, sf_dir), centroids, new_scratch(spark, "given")
     )
+    return celled, centroids, queries
+
+
+@register
+def ann_search_given_cells(spark, sf_dir):
+    """The labels' means as cells, three of them probed."""
+    celled, centroids, queries = _given(spark, sf_dir)
     top = ann.top_chunks_in_cells(celled, queries, centroids, n_probe=3)
     return _shown(scoring.best_files(top.withColumn("folder", F.lit("all"))))
 
 
 @register
 def ann_recall(spark, sf_dir):
-    """Share of the exact hits found by probing a quarter of the cells."""
-    celled, centroids = _celled(spark, sf_dir, "recall")
-    queries = inputs.vector_queries(spark, sf_dir)
-    found = ann.top_chunks_in_cells(celled, queries, centroids, CELLS // 4)
+    """Share of the exact hits found in the three nearest of the labels' means."""
+    celled, centroids, queries = _given(spark, sf_dir)
+    found = ann.top_chunks_in_cells(celled, queries, centroids, n_probe=3)
     exact = scoring.top_chunks(inputs.vector_chunks(spark, sf_dir), queries, 64)
-    return ann.recall(found, exact)
+    return ann.recall(found, exact).withColumn("recall", F.round("recall", 6))
+
+
+@register
+def ann_bounded(spark, sf_dir):
+    """One cell probed, then those that may hold better hits: exact search again."""
+    celled, centroids = _celled(spark, sf_dir, "bounded")
+    widths = ann.cell_widths(celled, centroids)
+    queries = inputs.vector_queries(spark, sf_dir)
+    top = ann.top_chunks_bounded(celled, queries, centroids, widths, n_probe=1)
+    return _shown(scoring.best_files(top.withColumn("folder", F.lit("all"))))
 
 
 @register

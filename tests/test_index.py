@@ -220,6 +220,7 @@ def test_cells_follow_refreshes(spark, index, make_files):
         index.refresh(make_files(state))
         exact = sorted(map(tuple, search_batch(index, requests).collect()))
         assert sorted(map(tuple, cells.search_batch(requests, 3).collect())) == exact
+        assert sorted(map(tuple, cells.search_batch(requests, 1, exact=True).collect())) == exact
     index.compact()
     with pytest.raises(ValueError, match="build them"):
         cells.search_batch(requests, 3)

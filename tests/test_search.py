@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,68 @@ def test_cells(spark, data, n_probe, tmp_path):
         assert all(0 <= s <= 1 for s in shares) and np.mean(shares) > 0.3
 
 
+@pytest.mark.parametrize("metric", scoring.METRICS)
+@pytest.mark.parametrize("k", [3, 40])
+def test_bounded_cells_are_exact(spark, data, metric, k, tmp_path):
+    chunks, queries = tables(spark, data)
+    centroids = ann.train_cells(chunks.filter(~F.exists("vector", F.isnan)), 12)
+    celled = ann.write_cells(chunks, centroids, str(tmp_path / "cells"))
+    widths = ann.cell_widths(celled, centroids)
+    newer = spark.createDataFrame([("hot", "new", "c-new", 0, data[0][5][4])], CHUNKS)
+    for more in (None, newer):
+        near = ann.top_chunks_bounded(celled, queries, centroids, widths, 2, metric, k, uncelled=more)
+        every = chunks if more is None else chunks.unionByName(more)
+        same(found(near), found(scoring.top_chunks(every, queries, DIM, metric, k)))
+
+
+def test_cells_that_cannot_matter_stay_unread(spark, tmp_path, monkeypatch):
+    """Twenty bundles of vectors, one cell each: a query next to one reads few of them."""
+    rng = np.random.default_rng(6)
+    centres = unit(rng.normal(size=(20, 16)))
+    vectors = np.repeat(centres, 50, axis=0) + rng.normal(size=(1000, 16)) * 0.03
+    chunks = spark.createDataFrame(
+        [("f", f"p{i}", f"c{i:04}", 0, v.tolist()) for i, v in enumerate(vectors)], CHUNKS
+    )
+    queries = spark.createDataFrame([(i, None, None, vectors[50 * i].tolist()) for i in range(4)], QUERIES)
+    celled = ann.write_cells(chunks, centres, str(tmp_path / "cells"))
+    read = []
+    probed = ann.probed
+    monkeypatch.setattr(ann, "probed", lambda *a: read.append(probed(*a)) or read[-1])
+    widths = ann.cell_widths(celled, centres)
+    near = ann.top_chunks_bounded(celled, queries, centres, widths, 1, k=10)
+    same(found(near), found(scoring.top_chunks(chunks, queries, 16, k=10)))
+    assert {c for cells in read for c in cells} == {0, 1, 2, 3}
+    wide = ann.top_chunks_bounded(celled, queries, centres, np.full(20, np.pi), 1, k=10)
+    same(found(wide), found(near))
+    assert len(read[-1]) == 20 and ann.cell_widths(celled.limit(0), centres).tolist() == [-1.0] * 20
+
+
+@pytest.mark.parametrize("metric", scoring.METRICS)
+def test_floors_change_nothing_but_the_rows_that_move(spark, metric):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(12_800, 16)).astype(np.float32)
+    frame = pd.DataFrame({"folder": "f", "path": "p", "chunk_id": [f"c{i:05}" for i in range(len(vectors))],
+                          "chunk_index": 0, "vector": vectors.tolist()})
+    chunks = spark.createDataFrame(frame, CHUNKS).repartition(64)
+    queries = spark.createDataFrame(
+        [(i, None, [None, 0.3][i % 2], rng.normal(size=16).tolist()) for i in range(40)], QUERIES
+    )
+    want = found(scoring.top_chunks(chunks, queries, 16, metric, 10))
+    assert found(scoring.top_chunks(chunks, queries, 16, metric, 10, share=0.2)) == want
+    store = scoring.store_requests(queries, 16, 10)
+    before = scoring.local_best(chunks, store, metric, 10).count()
+    raised = scoring.with_floors(chunks, store, metric, 10, 0.2)
+    assert scoring.local_best(chunks, raised, metric, 10).count() * 10 <= before
+
+
+def test_floors_are_sought_in_large_tables(spark, data, monkeypatch):
+    chunks, _ = tables(spark, data)
+    assert scoring.floor_share(chunks) is None  # of unknown size
+    for tasks, share in ((63, None), (64, 0.2), (10_000, 0.02)):
+        monkeypatch.setattr(scoring, "expected_tasks", lambda df: tasks)
+        assert scoring.floor_share(chunks) == share
+
+
 def test_nearest_cells_in_slices(monkeypatch):
     rng = np.random.default_rng(3)
     rows, centroids = unit(rng.normal(size=(50, DIM))), rng.normal(size=(7, DIM))
