@@ -63,24 +63,42 @@ def rejected_by_tokens(
     )
 
 
+def reject_reason(
+    failed: Column,
+    by_name: bool = True,
+    max_bytes: int | None = MAX_FILE_BYTES,
+    ceiling: int | None = MAX_TOKENS_PER_REQUEST,
+) -> Column:
+    """Why a file of `(path, size, content)` is left out, the first reason that holds:
+    unreadable, name, size, encoding, blank or tokens; null if it is not. What reads
+    the content comes last."""
+    content = F.col("content")
+    body = content.cast("string")
+    tests = [(failed, "unreadable")]
+    if by_name:
+        tests.append((~is_indexed_name(F.col("path")), "name"))
+    if max_bytes is not None:
+        tests.append((~is_indexed_size(F.col("size"), max_bytes), "size"))
+    tests.append((~is_valid_encoding(content), "encoding"))
+    tests.append((content.isNull() | ~text.is_not_blank(body), "blank"))
+    if ceiling is not None:  # a token has a byte at least, so most texts need no count
+        long = F.octet_length(content) > ceiling
+        tests.append((long & ~within_token_ceiling(text.token_count(body), ceiling), "tokens"))
+    reason = F.lit(None).cast("string")
+    for test, name in reversed(tests):
+        reason = F.when(test, name).otherwise(reason)
+    return reason
+
+
 def rejected(
     files: DataFrame,
     max_bytes: int = MAX_FILE_BYTES,
     ceiling: int = MAX_TOKENS_PER_REQUEST,
 ) -> DataFrame:
-    """`(folder, path, size, reason)` of the files that an index leaves out, with the
-    first reason that holds: unreadable, name, size, encoding, blank or tokens.
-    `content` may be text or bytes; a null content is blank."""
-    body = F.col("content").cast("string")
+    """`(folder, path, size, reason)` of the files that an index leaves out, by
+    `reject_reason`. `content` may be text or bytes; a null content is blank."""
     failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
-    reason = (
-        F.when(failed, "unreadable")
-        .when(~is_indexed_name(F.col("path")), "name")
-        .when(~is_indexed_size(F.col("size"), max_bytes), "size")
-        .when(~is_valid_encoding(F.col("content")), "encoding")
-        .when(F.col("content").isNull() | ~text.is_not_blank(body), "blank")
-        .when(~within_token_ceiling(text.token_count(body), ceiling), "tokens")
-    )
+    reason = reject_reason(failed, max_bytes=max_bytes, ceiling=ceiling)
     # Exploding zero or one reason, as a filter would repeat the tests below it.
     given = F.filter(F.array(reason), lambda r: r.isNotNull())
     return files.select("folder", "path", "size", F.explode(given).alias("reason"))

@@ -4,6 +4,7 @@
     layout.json        number of buckets: fixed by the first version
     manifest           files touched by each version
     chunks             chunks of the files that each version added or modified
+    rejects            files that each version left out, with the reason
     commits/k.json     written last; a version without it does not exist
 
 A manifest row names the version whose rows it replaces (`prev_version`). The
@@ -28,20 +29,21 @@ from ..constants import (
     LINES_PER_CHUNK,
     MAX_BROADCAST_BYTES,
     MAX_FILE_BYTES,
+    MAX_TOKENS_PER_REQUEST,
     TOKENS_PER_CHUNK,
 )
 from ..functions import ids, paths
 from ..functions.ids import FOLDER_PARTS
 from ..operators import chunking, diff, filters, ignore
 from ..operators.embedding import Embedder, HashedWords, embed
-from ..schemas import CHUNKS, DELTA, FILES, MANIFEST, require
+from ..schemas import CHUNKS, DELTA, FILES, MANIFEST, REJECTS, require
 from ..session import broadcast_if_small, input_bytes, materialize
 from ..storage import Storage
 from .tables import KEY, VersionedTable, table_schema
 
 _BUCKET_BYTES = 512 * 1024 * 1024  # of a first snapshot, as the planner knows it
 _MIN_BUCKETS, _MAX_BUCKETS = 8, 65_536
-_SCHEMAS = {"manifest": MANIFEST, "chunks": CHUNKS}
+_SCHEMAS = {"manifest": MANIFEST, "chunks": CHUNKS, "rejects": REJECTS}
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,21 @@ def _is_change() -> Column:
     return (F.col("status") != "same") | (F.col("conflict") == 1)
 
 
+@dataclass(frozen=True)
+class Reading:
+    """A snapshot as one pass over it left it: `judged(folder, path, content, size, hash,
+    reason)`, and how many files have a reason to be left out. Contents are there where
+    they may be needed, or nowhere if `whole` is false."""
+
+    judged: DataFrame
+    rejected: int
+    whole: bool
+
+    @property
+    def kept(self) -> DataFrame:
+        return self.judged.filter("reason IS NULL")
+
+
 class SearchIndex:
     def __init__(
         self,
@@ -280,18 +297,54 @@ class SearchIndex:
 
     # -- building and refreshing -----------------------------------------------
 
-    def prepared(self, files: DataFrame, *carried: str) -> DataFrame:
-        """The files to index, with their content hash: filters from cheap to costly.
-        Columns named by `carried` are kept."""
-        require(files, FILES, "files")
-        kept = files.select(*[f.name for f in FILES.fields], *carried)
+    def _not_ignored(self, files: DataFrame) -> DataFrame:
         rules = self.rules
         if rules.pattern_files:
-            kept = ignore.filter_ignored_by_folder(kept, rules.defaults)
+            files = ignore.filter_ignored_by_folder(files, rules.defaults)
         if rules.patterns or rules.defaults and not rules.pattern_files:
-            kept = ignore.filter_ignored(kept, rules.patterns, rules.defaults)
-        kept = filters.indexable(kept, rules.max_bytes, rules.by_name)
-        return kept.withColumn("hash", ids.content_hash(F.col("content")))
+            files = ignore.filter_ignored(files, rules.patterns, rules.defaults)
+        return files
+
+    def _judged(self, files: DataFrame, *carried: str) -> DataFrame:
+        """The files that no pattern hides, with `hash` or the `reason` why they are not
+        indexed."""
+        require(files, FILES, "files")
+        failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+        rows = self._not_ignored(files.select(*[f.name for f in FILES.fields], *carried, failed.alias("_failed")))
+        by_tokens = self.settings.chunker == "tokens" and self._chunk == self._built_in_chunks
+        reason = filters.reject_reason(
+            F.col("_failed"), self.rules.by_name, self.rules.max_bytes,
+            MAX_TOKENS_PER_REQUEST if by_tokens else None,
+        )
+        rows = rows.select(*KEY, "content", "size", *carried, reason.alias("reason"))
+        return rows.withColumn("hash", F.when(F.col("reason").isNull(), ids.content_hash(F.col("content"))))
+
+    def prepared(self, files: DataFrame, *carried: str) -> DataFrame:
+        """The files to index, with their content hash. Columns named by `carried` are
+        kept."""
+        judged = self._judged(files, *carried)
+        return judged.filter("reason IS NULL").drop("reason")
+
+    def _read(self, files: DataFrame, live: DataFrame | None = None) -> Reading:
+        """Go through a snapshot once: every file is opened, judged and hashed, and its
+        content kept in the shared folder if `live` has not the same. If the live keys
+        are too many to be sent to the tasks, no content is kept, as it would have to be
+        shuffled; contents of changed files are then read again."""
+        judged = self._judged(files)
+        needed, whole = F.col("reason").isNull(), True
+        if live is not None:
+            known = live.select(*KEY, F.col("hash").alias("_known"))
+            sizes = sum((F.octet_length(c) for c in (*KEY, "_known")), F.lit(16))
+            whole = known.agg(F.coalesce(F.sum(sizes), F.lit(0)).alias("n")).first()["n"] <= MAX_BROADCAST_BYTES
+        if live is not None and whole:
+            judged = judged.join(F.broadcast(known), KEY, "left")
+            needed &= ~F.col("hash").eqNullSafe(F.col("_known"))
+        if not whole:
+            needed = F.lit(False)
+        seen = Observation()
+        rows = judged.select(*KEY, F.when(needed, F.col("content")).alias("content"), "size", "hash", "reason")
+        rows = rows.observe(seen, F.count("reason").alias("rejected"))
+        return Reading(materialize(rows, "judged"), seen.get["rejected"], whole)
 
     def _built_in_chunks(self, files: DataFrame) -> DataFrame:
         if self.settings.chunker == "lines":
@@ -313,15 +366,15 @@ class SearchIndex:
         read stay as they are in the index. Returns the commit."""
         version = (self.last_version() or 0) + 1
         live = self.live_files()
-        if "error" in files.columns:
-            failed = materialize(files.filter("error IS NOT NULL").select(*KEY).distinct(), "unread")
-            files = files.filter("error IS NULL")
-            live = live.join(failed, KEY, "left_anti")
-        prepared = self.prepared(files)
         if folders is not None:
             names = list(folders)
-            prepared = prepared.filter(F.col("folder").isin(names))
+            files = files.filter(F.col("folder").isin(names))
             live = live.filter(F.col("folder").isin(names))
+        reading = self._read(files, None if version == 1 else live)
+        prepared = reading.kept
+        if "error" in files.columns:
+            failed = reading.judged.filter("reason = 'unreadable'").select(*KEY)
+            live = live.join(failed, KEY, "left_anti")
         keys = diff.snapshot_keys(prepared)
         if version == 1:
             changed = keys.select(
@@ -331,7 +384,8 @@ class SearchIndex:
         else:
             found = diff.snapshot_diff(live.withColumnRenamed("version", "prev_version"), keys)
             changed = found.filter(_is_change()).withColumnRenamed("new_hash", "hash")
-        return self._apply(version, changed, prepared, every=version == 1)
+        contents = prepared if reading.whole else self.prepared(files)
+        return self._apply(version, changed, contents, reading, every=version == 1)
 
     def apply_changes(
         self, delta: DataFrame, stream: str | None = None, batch: int | None = None
@@ -401,7 +455,8 @@ class SearchIndex:
         """Apply changes of the files `named(folder, path, seq, old_hash, prev_version)`;
         those of `upserts` that may be indexed are stored, the others leave."""
         files = upserts.select(*KEY, "content", F.octet_length("content").cast("long").alias("size"))
-        prepared = self.prepared(files)
+        reading = self._read(files)
+        prepared = reading.kept
         status = (
             F.when(F.col("hash").isNull() & F.col("old_hash").isNull(), "same")
             .when(F.col("hash").isNull(), "deleted")
@@ -410,7 +465,7 @@ class SearchIndex:
             .otherwise("same")
         )
         changed = named.join(diff.snapshot_keys(prepared), KEY, "left").withColumn("status", status)
-        return self._apply(version, changed, prepared, stream=stream, batch=batch)
+        return self._apply(version, changed, prepared, reading, stream=stream, batch=batch)
 
     def _newer(self, last: DataFrame) -> DataFrame:
         """The named changes that no applied change of the same file comes after."""
@@ -428,12 +483,18 @@ class SearchIndex:
         version: int,
         changed: DataFrame,
         prepared: DataFrame,
+        reading: Reading,
         every: bool = False,
         stream: str | None = None,
         batch: int | None = None,
     ) -> dict:
-        """Write the manifest, then the chunks of changed files, then commit."""
+        """Write rejects and manifest, then the chunks of changed files, then commit."""
         buckets = self._lay_out(prepared)
+        if reading.rejected:
+            left_out = reading.judged.filter("reason IS NOT NULL").select(*KEY, "size", "reason")
+            self._table("rejects").write(left_out.repartition(buckets, *KEY), version)
+        else:
+            self._table("rejects").clear(version)
         deleted = F.col("status") == "deleted"
         # A change that alters nothing is only noted, so that its seq is known.
         noted = (F.col("status") == "same") & (F.coalesce("conflict", F.lit(0)) == 0)
@@ -475,6 +536,7 @@ class SearchIndex:
         if self._reuse and stats["replaced"]:
             small = stats["replaced_bytes"] <= MAX_BROADCAST_BYTES
             known = self._known_vectors(manifest.filter(replaces).select(*KEY), small)
+        stats["rejected"] = reading.rejected
         stats["embedded"] = self._write_chunks(version, contents, known)
         return self._commit(version, False, stats, stream, batch)
 
@@ -536,7 +598,7 @@ class SearchIndex:
         )
         rows = kept.unionByName(marks).repartition(self.buckets(), *KEY)
         self._table("manifest").write(rows, version)
-        names = ("added", "modified", "deleted", "replaced", "replaced_bytes", "embedded")
+        names = ("added", "modified", "deleted", "replaced", "replaced_bytes", "embedded", "rejected")
         nothing = dict.fromkeys(names, 0)
         return self._commit(version, True, nothing)
 
@@ -564,6 +626,13 @@ class SearchIndex:
             F.coalesce(F.sum("wrong_dim"), F.lit(0)).alias("wrong_dim"),
         )
 
+    def rejects(self, version: int | None = None) -> DataFrame:
+        """`(folder, path, size, reason, version)` of the files that a version, or any,
+        left out. Files hidden by patterns are not part of a snapshot and not listed;
+        those of a keyed stream are judged in the stream and are not either."""
+        wanted = [v for v in self.versions() if version is None or v == version]
+        return self._stored("rejects", wanted)
+
     def run_stats(self) -> DataFrame:
         """What each committed version changed."""
         schema = "version int, base boolean, added long, modified long, deleted long, replaced long, embedded long"

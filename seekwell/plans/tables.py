@@ -44,11 +44,15 @@ class VersionedTable:
             f"LOCATION '{quoted}'"
         )
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        """Store `rows` as `version`; what an unfinished attempt left is removed. Rows
-        are best dealt by `repartition(buckets, *KEY)` before they become large."""
+    def clear(self, version: int) -> None:
+        """Remove what an unfinished attempt left of `version`."""
         self._spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (version = {version})")
         self._store.remove(f"{self._folder}/version={version}")
+
+    def write(self, rows: DataFrame, version: int) -> None:
+        """Store `rows` as `version`, in place of what an unfinished attempt left. Rows
+        are best dealt by `repartition(buckets, *KEY)` before they become large."""
+        self.clear(version)
         placed = rows.withColumn("version", F.lit(version))
         if self._parts:
             placed = placed.withColumn("folder_part", folder_part(F.col("folder"), self._parts))

@@ -45,6 +45,14 @@ CHUNKS = StructType([
     StructField("vector", VECTOR, False),
 ])
 
+# One row per file that a version left out.
+REJECTS = StructType([
+    StructField("folder", StringType(), False),
+    StructField("path", StringType(), False),
+    StructField("size", LongType(), True),
+    StructField("reason", StringType(), False),
+])
+
 # `folder` null searches the whole index, `cutoff` null takes the default.
 REQUESTS = StructType([
     StructField("query_id", LongType(), False),

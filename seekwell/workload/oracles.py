@@ -366,6 +366,13 @@ ORACLES: dict[str, str] = {
         SELECT folder, hash, old_path, new_path FROM gone JOIN come USING (folder, hash, place)""",
     "unique_files": f"""WITH {FILES} SELECT folder, path, sha256(content) AS hash, 2::BIGINT AS copies,
         0::BIGINT AS conflict FROM files""",
+    "index_rejects": f"""WITH {MIXED_FILES},
+        given AS (SELECT folder, path, size, content, 1::BIGINT AS version FROM files WHERE size <= 20000
+            UNION ALL SELECT folder, path, size, CASE WHEN lang = 'fr' THEN '' ELSE content END, 2 FROM files),
+        judged AS (SELECT folder, path, size, version,
+            CASE WHEN split_part(path, '.', 2) NOT IN ({_NAMES}) THEN 'name' WHEN size > 20000 THEN 'size'
+                 WHEN NOT regexp_matches(content, '\\S') THEN 'blank' END AS reason FROM given)
+        SELECT * FROM judged WHERE reason IS NOT NULL""",
     "live_after_build": f"WITH {SNAPSHOTS}, kept AS ({_kept('v1')}), {line_chunks('kept')} {_CHUNK_ROWS}",
     "live_after_refresh": _AFTER_THREE,
     "compacted_index": _AFTER_THREE,

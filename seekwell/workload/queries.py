@@ -14,7 +14,7 @@ from ..operators import ann, chunking, diff, filters, ignore, packing, render, s
 from ..operators.embedding import (
     FunctionEmbedder, HashedWords, RequestBudget, embed, hashed_words_sparse,
 )
-from ..plans import CellIndex, SearchIndex, answers, search, search_batch, search_with_snippets
+from ..plans import CellIndex, FileRules, SearchIndex, answers, search, search_batch, search_with_snippets
 from ..plans.index import line_settings, token_settings
 from ..session import new_scratch, ship_package, spread
 from ..sources import checked, from_binary, scan_directory, valid
@@ -567,6 +567,17 @@ def index_inspection(spark, sf_dir):
     return _three_versions(spark, sf_dir, "inspect").inspect()
 
 
+@register
+def index_rejects(spark, sf_dir):
+    """What an index of mixed files leaves out: first of short texts only, then of all."""
+    rows = inputs.files(spark, sf_dir, inputs.MIXED_KINDS)
+    blank = F.when(F.col("path").startswith("fr/"), " \n ").otherwise(F.col("content"))
+    index = _new_index(spark, "rejects", rules=FileRules(max_bytes=20_000, defaults=False))
+    index.build(spread(rows.filter("size <= 20000")))
+    index.refresh(spread(rows.withColumn("content", blank)))
+    return index.rejects().withColumn("version", F.col("version").cast("long"))
+
+
 @register
 def run_stats(spark, sf_dir):
     rows = _three_versions(spark, sf_dir, "stats").run_stats()

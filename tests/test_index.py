@@ -367,6 +367,8 @@ def test_unreadable_files_stay(spark, tmp_path):
     failed = F.when(F.col("path") == "b%20.md", "throttled")
     index.refresh(found.withColumn("error", failed).filter("path <> 'a #1.md'"))
     assert {r["path"] for r in index.live_files().collect()} == {"b%20.md"}
+    left_out = {r["path"]: r["reason"] for r in index.rejects(2).collect()}
+    assert left_out == {"b%20.md": "unreadable", ".gitignore": "name"}
 
 
 def test_stream_equals_refresh(spark, tmp_path, make_files):
@@ -554,6 +556,60 @@ def test_index_written_by_another_session(spark, tmp_path, index, make_files):
     assert chunk_rows(other, as_of=1) == first
 
 
+@pytest.mark.parametrize("limit, opened", [(None, 7), (0, 14)])
+def test_every_file_is_opened_once(spark, index, make_files, monkeypatch, limit, opened):
+    """The build and a refresh each go through the snapshot once; a refresh twice if the
+    live keys are too many to be sent."""
+    import seekwell.plans.index as module
+
+    count = spark.sparkContext.accumulator(0)
+
+    def tally(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    def counted(contents):
+        files = make_files(contents)
+        return files.mapInArrow(tally, files.schema)
+
+    index.build(counted(V1))
+    assert count.value == len(V1)
+    before = count.value
+    if limit is not None:
+        monkeypatch.setattr(module, "MAX_BROADCAST_BYTES", limit)
+    index.refresh(counted(V2))
+    assert count.value - before == opened
+    texts = {(r["folder"], r["path"]): r["text"] for r in index.live_chunks().collect()}
+    assert texts == {k: v for k, v in V2.items() if v.strip() and not k[1].endswith(".log")}
+
+
+def test_rejects(spark, index, tmp_path, make_files):
+    index.build(make_files(V1))
+    index.refresh(make_files({**V2, ("r", "wide.md"): "é" * 600_000}))
+    index.refresh(make_files({("r", "same.md"): "alpha beta gamma"}))
+    delta = spark.createDataFrame(
+        [("r", "z.bin", "z", "U", 1), ("r", "y.md", "\t", "U", 1), ("r", "a.md", "a", "U", 1)],
+        "folder string, path string, content string, op string, seq long",
+    )
+    index.apply_changes(delta)
+    index.compact()
+    assert sorted(map(tuple, index.rejects().collect())) == [
+        ("r", "blank.md", 3, "blank", 2), ("r", "skip.bin", 5, "name", 1), ("r", "wide.md", 1_200_000, "size", 2),
+        ("r", "y.md", 1, "blank", 4), ("r", "z.bin", 1, "name", 4),
+    ]
+    assert [r["reason"] for r in index.rejects(1).collect()] == ["name"]
+    assert [index.commit_info(v)["rejected"] for v in index.versions()] == [1, 2, 0, 2, 0]
+    # more tokens than one request may hold: rejected by token chunks, not by lines
+    many = {("r", "many.md"): "x " * 200_001, ("r", "few.md"): "x " * 10}
+    by_tokens = SearchIndex(spark, f"{tmp_path}/tokens", HashedWords(32), token_settings(HashedWords(32)))
+    by_tokens.build(make_files(many))
+    assert [(r["path"], r["reason"]) for r in by_tokens.rejects().collect()] == [("many.md", "tokens")]
+    assert {r["path"] for r in by_tokens.live_files().collect()} == {"few.md"}
+    bad = by_tokens.inspect().first()
+    assert bad["files_without_chunks"] == 0
+
+
 def test_buckets_follow_the_first_snapshot(spark, tmp_path, index, make_files):
     index.build(make_files(V1))
     assert index.buckets() == 8
