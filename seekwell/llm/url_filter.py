@@ -2,13 +2,16 @@
 
 Rules of the form host + path prefix settle the urls they fit; the longest wins. They
 also give the seeds: a host's trusted (blocked) weight is the share of its settled
-pages that are allowed (blocked). Trust is personalised PageRank from the trusted
-seeds along host links; distrust is the same from the blocked seeds against the links,
-so a host that links to blocked hosts becomes suspect. Both are measured in seeds: a
-fully trusted or blocked host brings in a mass of one. A page without a rule is blocked
-if distrust is more than `threshold` of its host's trust and distrust together. The mass
-of a seed is divided among the hosts that link to it; this share is not, so it tells the
-same of a host however many others there are.
+pages that are allowed (blocked).
+
+Trust is personalised PageRank from the trusted seeds along host links, as a share of
+the host's PageRank from all hosts alike: how much of its rank comes from hosts that are
+trusted. Distrust goes from the blocked seeds against the links; a host takes it from
+each host that it links to by the share of its own links that go there, damped at each
+hop. A settled host keeps its own weight. So neither depends on the size of the graph, on
+how many seeds there are or on how many others link to the same host, and one link among
+many weighs little. A page without a rule is blocked if its host's distrust is more than
+`threshold` and more than its trust.
 
 Links are counted per pair of hosts before anything is joined, so work per round
 follows host pairs. A hub is split by the skew join, as ranks are joined before they
@@ -48,7 +51,7 @@ class Propagation:
     damping: float = 0.85
     rounds: int = 20
     tolerance: float = 1e-6
-    threshold: float = 0.5
+    threshold: float = 0.6
 
 
 def host_of(url: Column) -> Column:
@@ -88,60 +91,62 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagated(nodes: DataFrame, links: DataFrame, seed: str, settings: Propagation) -> DataFrame:
-    """(host, mass): personalised PageRank over `links` (src, dst, links) from the
-    column `seed` of `nodes`. Mass at hosts without links goes back to the seeds. Sums
-    to the seeds, or is zero everywhere if nothing is seeded."""
-    total = nodes.agg(F.sum(seed)).first()[0]
-    base = nodes.select("host", F.col(seed).alias("seed"))
-    if not total:
-        return base.select("host", F.lit(0.0).alias("mass"))
-    out = links.groupBy("src").agg(F.sum("links").alias("out"))
-    edges = materialize(
-        links.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")),
-        "url-edges",
-    )
-    base = base.join(out.select(F.col("src").alias("host"), F.lit(True).alias("linked")), "host", "left")
-    base = materialize(base.select("host", "seed", F.coalesce("linked", F.lit(False)).alias("linked")), "url-nodes")
-    now = base.select("host", "seed", "linked", F.col("seed").alias("mass"))
+def _settled_down(
+    nodes: DataFrame, edges: DataFrame, ends: tuple[str, str], masses: dict, settings: Propagation
+) -> DataFrame:
+    """`nodes` with a column for each of `masses`: functions that give a host's mass from
+    what flows to it. Each round, masses go along `edges` (src, dst, share) from the first
+    of `ends` to the second, `share` of them on each."""
+    start = {m: new(F.lit(0.0)).alias(m) for m, new in masses.items()}
+    now = nodes.select("*", *start.values())
     for _ in range(settings.rounds):
-        loose = now.agg(F.sum(F.when(~F.col("linked"), F.col("mass")).otherwise(0.0))).first()[0] or 0.0
-        flow = (
-            edges.join(now.select(F.col("host").alias("src"), "mass"), "src")
-            .groupBy("dst").agg(F.sum(F.col("mass") * F.col("share")).alias("flow"))
-            .withColumnRenamed("dst", "host")
-        )
-        d = settings.damping
-        mass = F.lit(1 - d) * F.col("seed") + F.lit(d) * (
-            F.coalesce("flow", F.lit(0.0)) + F.lit(loose / total) * F.col("seed")
+        sent = edges.join(now.select(F.col("host").alias(ends[0]), *masses), ends[0])
+        flow = sent.groupBy(F.col(ends[1]).alias("host")).agg(
+            *[F.sum(F.col(m) * F.col("share")).alias(f"{m}_in") for m in masses]
         )
         after = now.join(flow, "host", "left").select(
-            "host", "seed", "linked", F.col("mass").alias("was"), mass.alias("mass")
+            *nodes.columns, *[F.col(m).alias(f"{m}_was") for m in masses],
+            *[new(F.coalesce(f"{m}_in", F.lit(0.0))).alias(m) for m, new in masses.items()],
         )
         after = materialize(after, "url-round")
-        change = after.agg(F.sum(F.abs(F.col("mass") - F.col("was")))).first()[0] or 0.0
-        now = after.drop("was")
+        moved = F.greatest(F.lit(0.0), *[F.abs(F.col(m) - F.col(f"{m}_was")) for m in masses])
+        change = after.agg(F.max(moved)).first()[0] or 0.0
+        now = after.select(*nodes.columns, *masses)
         if change < settings.tolerance:
             break
-    return now.select("host", "mass")
+    return now
 
 
 def host_scores(pages: DataFrame, judged: DataFrame, settings: Propagation) -> DataFrame:
-    """(host, trust, distrust, blocked) of every host that has a page or a link."""
+    """(host, trust, distrust, blocked) of every host that has a page or a link; trust
+    and distrust are from 0 to 1."""
     links = materialize(host_links(pages), "url-links")
     count = lambda value: F.count(F.when(value, 1))
     seeds = judged.filter("host <> ''").groupBy("host").agg(
         count(F.col("allow")).alias("good"), count(~F.col("allow")).alias("bad")
     )
     ends = links.select(F.col("src").alias("host")).union(links.select(F.col("dst").alias("host"))).distinct()
-    settled = F.col("good") + F.col("bad")
-    share = lambda c: F.coalesce(F.when(settled > 0, F.col(c) / settled), F.lit(0.0)).alias(c)
-    nodes = materialize(ends.join(seeds, "host", "full").select("host", share("good"), share("bad")), "url-seeds")
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    trust = propagated(nodes, links, "good", settings).withColumnRenamed("mass", "trust")
-    distrust = propagated(nodes, back, "bad", settings).withColumnRenamed("mass", "distrust")
-    suspect = F.col("distrust") > F.lit(settings.threshold) * (F.col("trust") + F.col("distrust"))
-    return trust.join(distrust, "host").select("host", "trust", "distrust", suspect.alias("blocked"))
+    settled = F.coalesce(F.col("good") + F.col("bad") > 0, F.lit(False))
+    share = lambda c: F.when(settled, F.col(c) / (F.col("good") + F.col("bad"))).otherwise(0.0).alias(c)
+    nodes = materialize(
+        ends.join(seeds, "host", "full").select("host", share("good"), share("bad"), settled.alias("settled")),
+        "url-seeds",
+    )
+    out = links.groupBy("src").agg(F.sum("links").alias("out"))
+    edges = materialize(
+        links.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")), "url-edges"
+    )
+    d = settings.damping
+    ranked = _settled_down(nodes, edges, ("src", "dst"), {
+        "mass": lambda flow: F.lit(1 - d) * F.col("good") + F.lit(d) * flow,
+        "rank": lambda flow: F.lit(1 - d) + F.lit(d) * flow,
+    }, settings)
+    both = _settled_down(ranked, edges, ("dst", "src"), {
+        "distrust": lambda flow: F.when(F.col("settled"), F.col("bad")).otherwise(F.lit(d) * flow),
+    }, settings)
+    trust, distrust = F.col("mass") / F.col("rank"), F.col("distrust")
+    blocked = (distrust > settings.threshold) & (distrust > trust)
+    return both.select("host", trust.alias("trust"), "distrust", blocked.alias("blocked"))
 
 
 def judged(

@@ -114,24 +114,21 @@ def _page(i, url, html=None):
     return (i, url, html, "h", True)
 
 
-def _mass(hosts, edges, seeds, damping=0.85):
-    """Personalised PageRank in plain numpy."""
+def _scores(hosts, edges, good, bad, damping=0.85):
+    """(trust, distrust) of every host in plain numpy."""
     at = {h: k for k, h in enumerate(hosts)}
-    flow = np.zeros((len(hosts), len(hosts)))
+    share = np.zeros((len(hosts), len(hosts)))
     for a, b in edges:
-        flow[at[b], at[a]] += 1
-    out = flow.sum(0)
-    flow = flow / np.where(out > 0, out, 1)
-    seed = np.array([seeds.get(h, 0.0) for h in hosts])
-    now = seed.copy()
-    for _ in range(20):
-        loose = now[out == 0].sum() / max(seed.sum(), 1e-300)
-        after = (1 - damping) * seed + damping * (flow @ now + loose * seed)
-        if np.abs(after - now).sum() < 1e-6:
-            now = after
-            break
-        now = after
-    return dict(zip(hosts, now))
+        share[at[a], at[b]] += 1
+    share /= np.maximum(share.sum(1, keepdims=True), 1)
+    seed, blocked = (np.array([s.get(h, 0.0) for h in hosts]) for s in (good, bad))
+    settled = np.array([h in good or h in bad for h in hosts])
+    mass, rank, distrust = np.zeros(len(hosts)), np.zeros(len(hosts)), np.zeros(len(hosts))
+    for _ in range(200):
+        mass = (1 - damping) * seed + damping * (share.T @ mass)
+        rank = (1 - damping) + damping * (share.T @ rank)
+        distrust = np.where(settled, blocked, damping * (share @ distrust))
+    return dict(zip(hosts, zip(mass / rank, distrust)))
 
 
 def test_urls(spark):
@@ -152,20 +149,33 @@ def test_urls(spark):
     }
     hosts = ["good.org", "x.net", "y.net", "bad.com", "evil.net", "Ü.org", "example.org", "a.example.org", "notorg", "b:"]
     edges = [("good.org", "x.net"), ("good.org", "x.net"), ("x.net", "y.net"), ("evil.net", "bad.com")]
-    trust = _mass(hosts, edges, {"good.org": 1, "Ü.org": 1})
-    distrust = _mass(hosts, [(b, a) for a, b in edges], {"bad.com": 1, "example.org": 1, "a.example.org": 1})
+    want = _scores(hosts, edges, {"good.org": 1, "Ü.org": 1}, {"bad.com": 1, "example.org": 1, "a.example.org": 1})
     for r in got.values():
-        assert r["trust"] == pytest.approx(trust.get(r["host"], 0), abs=1e-5)
-        assert r["distrust"] == pytest.approx(distrust.get(r["host"], 0), abs=1e-5)
+        assert (r["trust"], r["distrust"]) == pytest.approx(want.get(r["host"], (0, 0)), abs=1e-5)
     assert url_filter.judged(spark.createDataFrame(rows, PAGES).limit(0), RULES).count() == 0
 
 
+def _verdicts(spark, links, others=()):
+    """Verdicts by host where each host of `links` links to the hosts named."""
+    hosts = sorted({*links, *(h for out in links.values() for h in out), *others})
+    html = {h: "".join(f"<a href=http://{x}/de/1>" for x in links.get(h, ())) for h in hosts}
+    rows = [_page(i, f"http://{h}/de/1", html[h]) for i, h in enumerate(hosts)]
+    return {r["host"]: r["verdict"] for r in url_filter.judged(spark.createDataFrame(rows, PAGES), RULES).collect()}
+
+
 def test_urls_of_many_that_link_to_a_blocked_host(spark):
-    rows = [_page(i, f"http://l{i}.net/", "<a href=http://bad.com/de/1>") for i in range(300)]
-    rows += [_page(300, "http://bad.com/de/1"), _page(301, "http://good.org/a", "<a href=http://l0.net/>"), _page(302, "http://other.net/")]
-    few = url_filter.Propagation(rounds=3)
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(spark.createDataFrame(rows, PAGES), RULES, few).collect()}
-    assert {i for i, v in got.items() if v == "allow"} == {0, 301, 302}
+    links = {f"l{i}.net": ["bad.com"] for i in range(300)}
+    got = _verdicts(spark, links | {"good.org": ["l0.net"]}, ["other.net"])
+    assert {h for h, v in got.items() if v == "allow"} == {"good.org", "other.net"}
+
+
+def test_urls_far_from_a_blocked_host(spark):
+    chain = {f"h{i}.net": [f"h{i - 1}.net"] for i in range(2, 8)} | {"h1.net": ["bad.com"]}
+    thin = {"thin.net": ["bad.com"] + [f"clean{i}.net" for i in range(200)], "half.net": ["bad.com", "clean1.net"]}
+    more = {f"seed{i}.com": ["clean2.net"] for i in range(30)} | {"clean2.net": ["good.org"]}
+    got = _verdicts(spark, chain | thin | more)
+    blocked = {h for h, v in got.items() if v == "block"}
+    assert blocked == {"bad.com", "h1.net", "h2.net", "h3.net"} | {f"seed{i}.com" for i in range(30)}
 
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
