@@ -12,6 +12,10 @@ possessively and start at the first character of a run or where the last match e
 a long run costs linear time and no stack. Everything is one narrow pass over the scan,
 without a shuffle.
 
+Account numbers are proposed at every word start, by an expression that looks ahead
+without taking anything, so an invalid run cannot swallow the start of a valid number;
+of valid ones that overlap the first stays.
+
 An account number has the length that its country prescribes. With an unlisted country
 code it is a run of words of capitals and digits, cut to its longest valid beginning.
 The words nearby are those of the text around a span, other matches included.
@@ -111,6 +115,7 @@ class Kind:
     score: float
     words: str
     length: object = F.length  # of the span that a match begins with, 0 if there is none
+    overlapping: bool = False  # looked for at every place, also inside other matches
 
 
 BASE = (
@@ -141,7 +146,7 @@ _UNLISTED = (
 ADDED = (
     Kind("account", rf"(?<![A-Za-z0-9])(?:{_LISTED}|{_UNLISTED})",
          "[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11}", lambda v: _account_length(v) > 0, 0.8,
-         "iban|account|bank|konto|cuenta|compte", _account_length),
+         "iban|account|bank|konto|cuenta|compte", _account_length, True),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
          "[0-9]{3}-[0-9]{2}-[0-9]{4}", _valid_national, 0.3, "ssn|social security|national id|tax id"),
 )
@@ -202,11 +207,65 @@ def _of_kind(text: Column, kind: Kind, place: int) -> Column:
     return F.when(hint, valid).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
+_LEAST = 5  # characters from one account number's start to that of the next
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans by start, those that begin behind the last one taken."""
+    def take(done, s):
+        free = (F.size(done) == 0) | (s["start"] >= F.get(done, F.size(done) - 1)["stop"])
+        return F.when(free, F.concat(done, F.array(s))).otherwise(done)
+
+    meets = F.transform(spans, lambda s, i: (i > 0) & (s["start"] < F.get(spans, i - 1)["stop"]))
+    one_by_one = F.aggregate(spans, F.array().cast(f"array<{_SPAN}>"), take)
+    return F.when(F.exists(meets, lambda m: F.coalesce(m, F.lit(False))), one_by_one).otherwise(spans)
+
+
+def _of_every_start(text: Column, kind: Kind, place: int) -> Column:
+    """Like `_of_kind` for matches that may overlap. `split` cuts the text where one
+    begins."""
+    ahead = f"(?=({kind.pattern}))"
+
+    def span(pieces, value, i, start):
+        def of_length(n):
+            first = F.greatest(i - _BEFORE // _LEAST, F.lit(0))
+            left = F.transform(F.slice(pieces, first + 1, i - first + 1), lambda p: F.right(p, F.lit(_BEFORE)))
+            several = F.floor((n + _AFTER) / _LEAST).cast("int") + 2
+            right = F.transform(F.slice(pieces, i + 2, several), lambda p: F.left(p, n + _AFTER))
+            after = F.substring(F.array_join(right, ""), n + 1, F.lit(_AFTER))
+            near = F.lower(F.concat_ws(" ", F.right(F.array_join(left, ""), F.lit(_BEFORE)), after))
+            score = F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.words})"), _NEARBY).otherwise(0.0)
+            return F.struct(
+                start.cast("bigint").alias("start"), F.lit(place).alias("place"),
+                (start + n).cast("bigint").alias("stop"), F.lit(kind.name).alias("kind"),
+                F.when(n > 0, score).otherwise(0.0).alias("score"),
+            )
+
+        return let(kind.length(value).cast("int"), of_length)
+
+    def spans(pieces, found):
+        sizes = F.transform(pieces, lambda p: F.length(p).cast("bigint"))
+        return let(sizes, lambda s: _starts(s, lambda before: F.transform(
+            found, lambda v, i: span(pieces, v, i, before(i + 1))
+        )))
+
+    def padded(parts, found):  # there is no piece before a match at the very start
+        nothing = F.array().cast("array<string>")
+        return F.concat(F.when(F.size(parts) == F.size(found), F.array(F.lit(""))).otherwise(nothing), parts)
+
+    found = F.regexp_extract_all(text, F.lit(ahead), F.lit(1))
+    all_spans = let(found, lambda f: let(padded(F.split(text, ahead, -1), f), lambda p: spans(p, f)))
+    valid = let(F.filter(all_spans, lambda s: s["score"] >= ACCEPT), _apart)
+    return F.when(text.rlike(kind.hint), valid).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
 def with_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
     """`docs` and the accepted spans of `text`, by start, then kind, as an array of
     (start, place, stop, kind, score); place is the kind's position in KINDS."""
     text = text_of()
-    found = F.flatten(F.array(*[_of_kind(text, k, i) for i, k in enumerate(KINDS)]))
+    found = F.flatten(F.array(*[
+        (_of_every_start if k.overlapping else _of_kind)(text, k, i) for i, k in enumerate(KINDS)
+    ]))
     return docs.withColumn(name, F.sort_array(found))
 
 
