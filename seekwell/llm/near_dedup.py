@@ -17,7 +17,8 @@ probability. Links inside one component are not all listed, as the result needs
 components only.
 
 Edge cases: null or empty texts have no shingles, link with nothing and stay.
-Rows that repeat a doc_id are one node; every input row is in the result. A null
+Rows that repeat a doc_id are one node, linked by any of their texts; every input row is
+in the result. A null
 doc_id links with nothing and has a null component. Extra columns are ignored; an
 empty table gives an empty result."""
 
@@ -292,7 +293,9 @@ def near_duplicates(docs: DataFrame, settings: NearDedup = NearDedup()) -> DataF
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The same join at every size: whole texts are shuffled once and never sorted.
     texts = source.join(shared.hint("shuffle_hash"), "doc_id", "left_semi").filter("text IS NOT NULL")
-    texts = materialize(texts.dropDuplicates(["doc_id"]), "near-texts")
+    # Rows that repeat an id may differ in text: each text counts.
+    texts = texts.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"])
+    texts = materialize(texts.drop("text_key"), "near-texts")
     first = materialize(
         confirmed(likely_pairs(buckets, settings), texts, settings), "near-links"
     )

@@ -181,6 +181,20 @@ def test_accounts_before_capitals_and_ids_in_a_row(docs):
     ]
 
 
+def test_accounts_inside_runs_that_are_none(docs):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = [
+        f"AT61 1904 3002 3457 {iban} ok", f"{iban} {iban}", f"x {iban}", f"XX00 {iban} AB12",
+        "DE88 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", " ".join([iban] * 400), f"AT61 1904 3002 3457 {iban[:-1]} ok",
+    ]
+    rows = personal_data.digests(docs(texts)).orderBy("doc_id").collect()
+    places = [[tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if "account" in x] for r in rows]
+    assert places == [
+        [(20, 47)], [(0, 27), (28, 55)], [(2, 29)], [(5, 32)], [(28, 55)],
+        [(28 * i, 28 * i + 27) for i in range(400)], [],
+    ]
+
+
 def _brute_components(sets, percent):
     parent = {i: i for i in sets}
 
@@ -241,6 +255,16 @@ def test_near_duplicates_odd_rows(docs):
     assert near_dedup.near_duplicates(docs(["x"]).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_clashing_ids(docs):
+    """Both texts of one id count, whichever row comes first."""
+    one, two = ("a b c d e f g h i j", "k l m n o p q r s t")
+    for texts, ids in (([one, two, f"{one} x", f"{two} x"], [5, 5, 7, 8]), ([two, one, f"{two} x", f"{one} x"], [5, 5, 8, 7])):
+        rows = near_dedup.near_duplicates(docs(texts, ids).repartition(3)).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [
+            (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False)
+        ]
+
+
 def test_shingle_sets_of_odd_texts():
     texts = [*odd_texts(500), None, "A b\x0bC\x0cd", "word" * 10]
     for text, found in zip(texts, shingle_sets(pa.array(texts), 3)):
