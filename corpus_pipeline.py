@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the least id.
-    Rows that repeat a doc_id are one document; documents without an id stay."""
+    Of rows that repeat a doc_id and its text one stays; unlike texts under one id stay
+    or go together, as the id does. Documents without an id stay."""
     ship_package(spark)
     found = near_dedup.near_duplicates(docs, NEAR)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
@@ -37,7 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     )
     if repeated.isEmpty():
         return rest
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = rest.join(repeated, "doc_id", "left_semi")
+    key = next(f"_text{i}" for i in range(len(docs.columns) + 1) if f"_text{i}" not in docs.columns)
+    once = once.withColumn(key, F.sha2("text", 256)).dropDuplicates(["doc_id", key]).drop(key)
     return rest.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
