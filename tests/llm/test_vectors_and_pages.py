@@ -188,7 +188,7 @@ def test_registered(spark):
     tables = database(SF_DIR)
     for name, sql in ORACLES.items():
         assert difference(QUERIES[name](spark, SF_DIR), tables, sql) is None
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
