@@ -16,7 +16,7 @@ from seekwell.llm import (
     best_fit, near_dedup, personal_data, pieces, pseudo_likelihood, quality, token_counts,
 )
 from seekwell.llm.components import connected_components
-from seekwell.llm.minhash import Pruner, Signer, shingle_sets
+from seekwell.llm.minhash import Pruner, Signer, shingle_sets, word_hashes
 from seekwell.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, rank int, score double, spans string"
@@ -348,6 +348,78 @@ def test_every_position_teaches():
         assert sorted(at) == list(range(count))
 
 
+def _plain_likelihood(weights, context, target, shape):
+    """One token after the other, in double precision."""
+    emb, w1, b1, wc, bc, wt, bt = (np.asarray(w, np.float64) for w in weights)
+    out = []
+    for c, t in zip(context, target):
+        h = np.tanh(np.concatenate([emb[i] for i in c]) @ w1 + b1)
+        outer = h @ wc + bc
+        k, place = divmod(int(t), shape.per_class)
+        inner = h @ wt[k] + bt[k]
+        out.append(outer[k] - np.log(np.exp(outer).sum()) + inner[place] - np.log(np.exp(inner).sum()))
+    return np.array(out)
+
+
+def test_likelihood_and_gradients_are_the_plain_ones():
+    shape = pseudo_likelihood.Shape()
+    rng = np.random.default_rng(4)
+    weights = pseudo_likelihood.initial(shape, rng.integers(0, 50, shape.ids))
+    context, target = rng.integers(0, shape.ids + 1, (300, 4)), rng.integers(0, shape.ids, 300)
+    plain = _plain_likelihood(weights, context, target, shape)
+    assert np.allclose(pseudo_likelihood.log_probabilities(weights, context, target, shape), plain, atol=1e-4)
+    trainer = pseudo_likelihood.Trainer(weights, shape)
+    for k, grad in enumerate(trainer.gradients(context, target)):
+        assert grad.shape == weights[k].shape
+        places = np.argsort(-np.abs(grad).ravel())[:3]
+        for place in places:
+            moved = []
+            for step in (1e-4, -1e-4):
+                other = [np.asarray(w, np.float64).copy() for w in weights]
+                other[k].ravel()[place] += step
+                moved.append(-_plain_likelihood(other, context, target, shape).mean())
+            assert abs((moved[0] - moved[1]) / 2e-4 - grad.ravel()[place]) < 2e-4
+    before = -plain.mean()
+    for _ in range(20):
+        trainer.step(context, target)
+    assert -_plain_likelihood(trainer.weights, context, target, shape).mean() < before
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 30, 0])
+def test_words_have_their_share_of_an_id(docs, sent):
+    shape = pseudo_likelihood.Shape(words=24, classes=4, per_class=8, batch=64, sent_bytes=sent)
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    texts = [" ".join(words[i : i + 30]) for i in range(0, 3000, 30)]
+    frame = docs([*texts, None, ""]).repartition(3)
+    found = pseudo_likelihood.words_of(frame.select("text"), shape)
+    counts = Counter(words)
+    hashes, sizes = next(word_hashes(pa.array([" ".join(counts)])))
+    ids = pseudo_likelihood.token_ids(hashes, found.own, shape)
+    n = np.array(list(counts.values()))
+    assert (np.bincount(ids, n, shape.ids) == found.totals).all()
+    shares = np.exp(found.shares(hashes, ids))
+    assert (shares[ids < 24] == 1).all()
+    if sent == 1 << 20:
+        rare = ids >= 24
+        assert np.allclose(shares[rare], n[rare] / found.totals[ids[rare]])
+        assert np.allclose(np.bincount(ids, shares, shape.ids)[found.totals > 0], 1)
+    stored = {r["doc_id"]: r for r in pseudo_likelihood.stored_ids(frame, found, shape).collect()}
+    of_word = dict(zip(counts, zip(ids.tolist(), np.log(shares))))
+    for i, text in enumerate(texts):
+        assert stored[i]["ids"] == [of_word[w][0] for w in text.split()]
+        assert abs(stored[i]["shares"] - sum(of_word[w][1] for w in text.split())) < 1e-5
+    assert [stored[i]["ids"] for i in (100, 101)] == [[], []]
+
+
+def test_windows_of_a_part_are_those_of_the_whole():
+    ids, sizes = np.arange(9), np.array([0, 4, 0, 1, 4, 0])
+    whole = pseudo_likelihood.windows(ids, sizes, 99)
+    parts = [pseudo_likelihood.windows(ids, sizes, 99, a, b) for a, b in ((0, 3), (3, 8), (8, 9))]
+    assert np.concatenate(parts).tolist() == whole.tolist()
+    assert whole[3].tolist() == [1, 2, 99, 99] and whole[4].tolist() == [99] * 4
+
+
 def test_window_network_sums_to_one():
     shape = pseudo_likelihood.Shape(words=24, classes=4, per_class=8)
     weights = pseudo_likelihood.initial(shape, np.ones(32))
