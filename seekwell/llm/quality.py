@@ -7,9 +7,12 @@ text. When the bracket turns negative, the step goes against it, as the method a
 The class prior is the share of positives among the labelled rows that may be learnt
 from. Scores are calibrated on nothing: 0.5 is the network's own boundary.
 
-The network is fitted on a bounded sample: at most `sample` positives and as many
-unlabelled texts, those of the smallest hashes of doc_id. Everything else, features
-and scores, covers all documents, whole texts, in one narrow pass.
+Trusted positives are a bounded sample: at most `sample`, those of the smallest hashes of
+doc_id. The unlabelled side is every document that may be learnt from: a pass over whole
+texts writes their features (88 bytes each) to the shared folder, dealt by hash, and the
+network learns from them in rounds. In a round each task starts from the last weights
+and goes over all of its rows; the weights, weighted by rows, are averaged in a tree of
+Spark stages. Scores cover all documents, whole texts, in one narrow pass.
 
 Features describe the shape of a text only; labels, lang, source and doc_id are not
 among them. A null or empty text has the features of an empty one and gets a score
@@ -27,7 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import materialize
 from .common import small_batches
+from .pseudo_likelihood import averaged, flat, shaped
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -93,47 +98,71 @@ class Model:
         return _sigmoid(self.margin(x))
 
 
-def fit(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: int = 24,
-    epochs: int = 60, batch: int = 512, rate: float = 5e-3, decay: float = 1e-4, seed: int = 5,
-) -> Model:
-    """Non-negative risk by stochastic steps (Adam)."""
+def started(mean: np.ndarray, scale: np.ndarray, hidden: int = 24, seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
-    every = np.concatenate([positive, unlabelled])
-    model = Model(every.mean(0), every.std(0) + 1e-6, [
-        rng.normal(0, 1 / np.sqrt(every.shape[1]), (every.shape[1], hidden)), np.zeros(hidden),
+    return Model(mean, scale, [
+        rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), hidden)), np.zeros(hidden),
         rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1),
     ])
+
+
+def risk_gradients(
+    weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float
+) -> tuple[float, list[np.ndarray]]:
+    """The negative part R_u(-) - prior * R_p(-), and gradients: of the whole risk
+    where that is not negative, else of its opposite."""
+    x = np.concatenate([p, u])
+    w1, b1, w2, b2 = weights
+    h = np.tanh(x @ w1 + b1)
+    s = _sigmoid(h @ w2 + b2[0])
+    negative = s[len(p) :].mean() - prior * s[: len(p)].mean()  # sigmoid loss of the answer "bad"
+    slope = s * (1 - s)
+    if negative >= 0:
+        g = np.concatenate([-2 * prior / len(p) * slope[: len(p)], slope[len(p) :] / len(u)])
+    else:  # step against the negative part
+        g = np.concatenate([prior / len(p) * slope[: len(p)], -slope[len(p) :] / len(u)])
+    back = np.outer(g, w2) * (1 - h * h)
+    return negative, [x.T @ back, back.sum(0), h.T @ g, np.array([g.sum()])]
+
+
+def improved(
+    model: Model, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, *,
+    done: float = 0.0, share: float = 1.0, batch: int = 512, rate: float = 5e-3, decay: float = 1e-4, seed: int = 5,
+) -> Model:
+    """The model after so many steps (Adam). `done` is the part of all learning that lies
+    behind, `share` the part of these steps; the rate falls with both."""
+    rng = np.random.default_rng(seed)
+    model = Model(model.mean, model.scale, [np.array(w, np.float64) for w in model.weights])
     first = [np.zeros_like(w) for w in model.weights]
     second = [np.zeros_like(w) for w in model.weights]
-    ready = [np.clip((x - model.mean) / model.scale, -8, 8) for x in (positive, unlabelled)]
-    steps, step = max(1, len(unlabelled) // batch), 0
-    for epoch in range(epochs):
-        now = rate * (1 - epoch / epochs) + rate / 50
-        for _ in range(steps):
-            p, u = (x[rng.integers(0, len(x), min(batch, len(x)))] for x in ready)
-            x = np.concatenate([p, u])
-            w1, b1, w2, b2 = model.weights
-            h = np.tanh(x @ w1 + b1)
-            s = _sigmoid(h @ w2 + b2[0])
-            sp, su = s[: len(p)], s[len(p) :]
-            negative = su.mean() - prior * sp.mean()  # sigmoid loss of the answer "bad"
-            slope = s * (1 - s)
-            if negative >= 0:
-                g = np.concatenate([-2 * prior / len(p) * slope[: len(p)], slope[len(p) :] / len(u)])
-            else:  # step against the negative part
-                g = np.concatenate([prior / len(p) * slope[: len(p)], -slope[len(p) :] / len(u)])
-            back = np.outer(g, w2) * (1 - h * h)
-            grads = [x.T @ back + decay * w1, back.sum(0), h.T @ g + decay * w2, np.array([g.sum()])]
-            step += 1
-            for i, grad in enumerate(grads):
-                first[i] = 0.9 * first[i] + 0.1 * grad
-                second[i] = 0.999 * second[i] + 0.001 * grad * grad
-                move = first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-                model.weights[i] = model.weights[i] - now * move
+    order, at = rng.permutation(len(unlabelled)), 0
+    for step in range(1, steps + 1):
+        now = rate * (1 - done - share * (step - 1) / steps) + rate / 50
+        if at >= len(order):
+            order, at = rng.permutation(len(unlabelled)), 0
+        rows = (positive[rng.integers(0, len(positive), min(batch, len(positive)))], unlabelled[order[at : at + batch]])
+        at += batch
+        p, u = (np.clip((x - model.mean) / model.scale, -8, 8) for x in rows)
+        _, grads = risk_gradients(model.weights, p, u, prior)
+        grads[0] += decay * model.weights[0]
+        grads[2] += decay * model.weights[2]
+        for i, grad in enumerate(grads):
+            first[i] = 0.9 * first[i] + 0.1 * grad
+            second[i] = 0.999 * second[i] + 0.001 * grad * grad
+            move = first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+            model.weights[i] = model.weights[i] - now * move
     return model
 
 
+def fit(
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, epochs: int = 60, batch: int = 512
+) -> Model:
+    """The classifier of rows in one place."""
+    every = np.concatenate([positive, unlabelled])
+    model = started(every.mean(0), every.std(0) + 1e-6)
+    return improved(model, positive, unlabelled, prior, epochs * -(-len(unlabelled) // batch), batch=batch)
+
+
 def remainder(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; 1 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
@@ -151,40 +180,93 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model | N
     if not totals["good"]:
         return None
     prior = min(totals["good"] / totals["n"], 0.99)
+    rows = _learnable(docs)
     order = F.xxhash64("doc_id", F.lit(17))
-    chosen = labelled.filter("quality = 1").orderBy(order).limit(sample).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("positive")
-    )
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").filter(remainder(F.col("doc_id")) != 1)
-    chosen = chosen.unionByName(
-        ids.orderBy(order).limit(sample).select("doc_id", F.lit(False).alias("positive"))
-    )
+    # At most `sample` ids: bounded by the parameter, whatever the input.
+    chosen = F.broadcast(labelled.filter("quality = 1").orderBy(order).limit(sample).select("doc_id"))
+    trusted = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
+    if not trusted:
+        return None
+    positive = np.stack([np.frombuffer(r["x"], np.float32) for r in trusted])
+    mean, deviation = _moments(rows)
+    return _learnt(rows, positive, prior, started(mean, deviation + 1e-6))
+
+
+_ROWS_A_TASK = 50_000
+_ROUNDS = 4
+_PASSES = 8  # over a task's rows in a round
+_LEAST_STEPS = 150  # of a task in a round
+
+
+def _learnable(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) of all documents that may be learnt from, in no order of the input.
+    x holds the features as 32-bit floats."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = feature_matrix(batch.column("text").to_pylist()).astype(np.float32)
             yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"), "positive": batch.column("positive"),
-                    "x": pa.array(list(values), pa.list_(pa.float32())),
-                }
+                {"doc_id": batch.column("doc_id"), "x": pa.array([v.tobytes() for v in values], pa.binary())}
             )
 
     small_batches(docs.sparkSession, 500)
-    # At most 2 * sample ids: bounded by the parameter, whatever the input.
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = source.join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "positive", "text"
+    source = source.filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1))
+    rows = materialize(source.mapInArrow(describe, "doc_id long, x binary"), "quality-features")
+    parts = -(-max(rows.count(), 1) // _ROWS_A_TASK)
+    return materialize(rows.repartition(parts, F.xxhash64("doc_id", "x")), "quality-dealt")
+
+
+def _features_in(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _features_in(batch).astype(np.float64)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "k": np.arange(N_FEATURES), "n": np.full(N_FEATURES, len(x)),
+                    "first": x.sum(0), "second": (x * x).sum(0),
+                }
+            )
+
+    found = (
+        rows.select("x").mapInArrow(sums, "k long, n long, first double, second double")
+        .groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "first", "second"))).orderBy("k").toPandas()
     )
-    rows = texts.mapInArrow(describe, "doc_id long, positive boolean, x array<float>")
-    rows = rows.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).toPandas()
-    if rows.empty:
-        return None
-    rows = rows.sort_values(["positive", "doc_id"])  # whatever order they arrive in
-    x, mark = np.stack(rows["x"].to_numpy()).astype(np.float64), rows["positive"].to_numpy(bool)
-    if not mark.any() or mark.all():
-        return None
-    return fit(x[mark], x[~mark], prior)
+    mean = (found["first"] / found["n"]).to_numpy()
+    return mean, np.sqrt(np.maximum((found["second"] / found["n"]).to_numpy() - mean**2, 0))
+
+
+def _learnt(rows: DataFrame, positive: np.ndarray, prior: float, model: Model) -> Model:
+    for round_ in range(_ROUNDS):
+        start = model
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            parts = [_features_in(batch) for batch in batches if batch.num_rows]
+            if parts:
+                x = np.concatenate(parts)
+                x = x[np.lexsort(x.T)]  # whatever order they arrive in
+                steps = max(_LEAST_STEPS, _PASSES * -(-len(x) // 512))
+                better = improved(
+                    start, positive, x, prior, steps, done=round_ / _ROUNDS, share=1 / _ROUNDS, seed=5 + round_
+                )
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "task": pa.array([TaskContext.get().partitionId()], pa.int64()),
+                        "n": [float(len(x))], "values": [flat(better.weights)],
+                    }
+                )
+
+        stored = materialize(rows.select("x").mapInArrow(learn, "task long, n double, values binary"), "quality-learnt")
+        model = Model(model.mean, model.scale, shaped(averaged(stored, 32)[0], model.weights))
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None, score: str = "score") -> DataFrame:

@@ -322,6 +322,52 @@ def test_quality(spark, docs):
     assert quality.classified(frame.limit(0), labels).count() == 0
 
 
+def _plain_risk(weights, p, u, prior):
+    """The two parts of the non-negative risk, one row after the other."""
+    w1, b1, w2, b2 = weights
+    good = lambda x: 1 / (1 + np.exp(-(np.tanh(x @ w1 + b1) @ w2 + b2[0])))
+    bad_p, bad_u = np.mean([good(x) for x in p]), np.mean([good(x) for x in u])
+    return prior * (1 - bad_p), bad_u - prior * bad_p
+
+
+@pytest.mark.parametrize("prior", [0.01, 0.95])
+def test_risk_gradients_are_the_plain_ones(prior):
+    model = quality.started(np.zeros(5), np.ones(5), hidden=4)
+    rows = np.random.default_rng(7).normal(0, 2, (150, 5))
+    rows = rows[np.argsort(model.margin(rows))]
+    p, u = rows[90:], rows[:90]
+    negative, grads = quality.risk_gradients(model.weights, p, u, prior)
+    parts = _plain_risk(model.weights, p, u, prior)
+    assert abs(negative - parts[1]) < 1e-12
+    assert (negative >= 0) == (prior == 0.01)
+    for k, grad in enumerate(grads):
+        for place in range(grad.size):
+            moved = []
+            for step in (1e-5, -1e-5):
+                other = [w.copy() for w in model.weights]
+                other[k].ravel()[place] += step
+                first, second = _plain_risk(other, p, u, prior)
+                moved.append(first + second if negative >= 0 else -second)
+            assert abs((moved[0] - moved[1]) / 2e-5 - grad.ravel()[place]) < 1e-7
+
+
+def test_all_unlabelled_rows_teach(spark, docs, monkeypatch):
+    """Every learnable document is among the rows of the rounds, also in several tasks."""
+    texts, marks = _good_and_bad()
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks) if i % 2 == 0], "doc_id long, quality int")
+    frame = docs([*texts, None, ""]).repartition(5)
+    rows = quality._learnable(frame).collect()
+    wanted = [i for i in range(len(texts) + 2) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(r["doc_id"] for r in rows) == wanted
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64)
+    mean, deviation = quality._moments(quality._learnable(frame))
+    assert np.allclose(mean, x.mean(0)) and np.allclose(deviation, x.std(0), atol=1e-5)
+    monkeypatch.setattr(quality, "_ROWS_A_TASK", 100)
+    found = {r["doc_id"]: r["predicted"] for r in quality.classified(frame, labels).collect()}
+    held = [i for i in range(len(texts)) if i not in wanted]
+    assert np.mean([found[i] == marks[i] for i in held]) > 0.95
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(2)
     good, bad = rng.normal(1.5, 1, (500, 3)), rng.normal(-1.5, 1, (300, 3))
@@ -407,9 +453,9 @@ def test_words_have_their_share_of_an_id(docs, sent):
     stored = {r["doc_id"]: r for r in pseudo_likelihood.stored_ids(frame, found, shape).collect()}
     of_word = dict(zip(counts, zip(ids.tolist(), np.log(shares))))
     for i, text in enumerate(texts):
-        assert stored[i]["ids"] == [of_word[w][0] for w in text.split()]
+        assert np.frombuffer(stored[i]["ids"], "<u4").tolist() == [of_word[w][0] for w in text.split()]
         assert abs(stored[i]["shares"] - sum(of_word[w][1] for w in text.split())) < 1e-5
-    assert [stored[i]["ids"] for i in (100, 101)] == [[], []]
+    assert [stored[i]["ids"] for i in (100, 101)] == [b"", b""]
 
 
 def test_windows_of_a_part_are_those_of_the_whole():
