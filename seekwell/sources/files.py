@@ -1,7 +1,8 @@
 """File snapshots: `files(folder, path, content, size)`."""
 
 import os
-from functools import reduce
+import zlib
+from functools import partial, reduce
 from typing import Iterable, Iterator
 from urllib.parse import quote
 
@@ -19,7 +20,9 @@ from ..storage import Storage
 
 
 _READ_BYTES = 16 * 1024 * 1024
-_ENTRIES = "path string, size long, is_dir boolean"
+_ENTRIES = "path string, size long, is_dir boolean, more boolean"
+_PAGE = 20_000
+_PARTS = 64  # of a directory that has more entries than a page
 
 
 def _file_system(uri: str):
@@ -30,23 +33,62 @@ def _file_system(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of each directory. Links to directories are not followed."""
+_LISTED = (pafs.FileType.File, pafs.FileType.Directory)
+
+
+def _children(uri: str, part: int, parts: int) -> Iterator[tuple[str, int, bool] | None]:
+    """(name, size, is_dir) of the entries of a directory that fall to a part by a hash
+    of their names; None for others. Links to directories are left out."""
+    system, inner = _file_system(uri)
+    if not isinstance(system, pafs.LocalFileSystem):
+        for entry in system.get_file_info(pafs.FileSelector(inner)):
+            if zlib.crc32(entry.base_name.encode()) % parts != part or entry.type not in _LISTED:
+                yield None
+            else:
+                yield entry.base_name, entry.size or 0, entry.type == pafs.FileType.Directory
+        return
+    with os.scandir(inner) as found:
+        for entry in found:
+            if zlib.crc32(os.fsencode(entry.name)) % parts != part:
+                yield None
+            elif entry.is_dir(follow_symlinks=False):
+                yield entry.name, 0, True
+            elif entry.is_file():
+                try:
+                    yield entry.name, entry.stat().st_size, False
+                except FileNotFoundError:  # gone since
+                    yield None
+
+
+def _list_pages(batches: Iterator[pa.RecordBatch], page: int) -> Iterator[pa.RecordBatch]:
+    """The entries of directories, or of parts of them, a page at a time. A whole
+    directory of more than a page gives one row with `more`, to be listed in parts."""
+
+    def batch_of(uri: str, rows: list[tuple[str, int, bool]], more: bool = False) -> pa.RecordBatch:
+        root = uri.rstrip("/")
+        return pa.record_batch({
+            "path": pa.array([uri] if more else [f"{root}/{name}" for name, _, _ in rows], pa.string()),
+            "size": pa.array([0] if more else [size for _, size, _ in rows], pa.int64()),
+            "is_dir": pa.array([True] if more else [is_dir for _, _, is_dir in rows], pa.bool_()),
+            "more": pa.array([more] * (1 if more else len(rows)), pa.bool_()),
+        })
+
     for batch in batches:
-        for uri in batch.column(0).to_pylist():
-            system, inner = _file_system(uri)
-            found = system.get_file_info(pafs.FileSelector(inner))
-            kept = [
-                entry for entry in found
-                if entry.type == pafs.FileType.File
-                or entry.type == pafs.FileType.Directory
-                and not (isinstance(system, pafs.LocalFileSystem) and os.path.islink(entry.path))
-            ]
-            yield pa.record_batch({
-                "path": pa.array([f"{uri.rstrip('/')}/{e.base_name}" for e in kept], pa.string()),
-                "size": pa.array([e.size or 0 for e in kept], pa.int64()),
-                "is_dir": pa.array([e.type == pafs.FileType.Directory for e in kept], pa.bool_()),
-            })
+        for uri, part, parts in zip(*(batch.column(k).to_pylist() for k in ("path", "part", "parts"))):
+            rows: list[tuple[str, int, bool]] = []
+            for entry in _children(uri, part, parts):
+                if entry is None:
+                    continue
+                if len(rows) == page:
+                    if parts == 1:
+                        yield batch_of(uri, [], more=True)
+                        rows = []
+                        break
+                    yield batch_of(uri, rows)
+                    rows = []
+                rows.append(entry)
+            if rows:
+                yield batch_of(uri, rows)
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,28 +122,34 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def list_directory(
-    spark: SparkSession, directory: str, patterns: Iterable[str] = ()
+    spark: SparkSession, directory: str, patterns: Iterable[str] = (), page: int = _PAGE
 ) -> DataFrame:
     """`(path, relative, size)` of every file below a directory.
 
     One job per level of the tree lists all directories of that level in
-    parallel. Ignored directories are not entered. Spark's own file readers
+    parallel. A local or mounted directory of more than `page` entries is listed once
+    more, with the next level, by many tasks: each goes through the names, but looks
+    up and holds only its own, a page at a time. Ignored directories are not entered. Spark's own file readers
     cannot be used for this, as they hide names that start with `_` or `.`,
     such as `__init__.py`."""
     uri = directory.rstrip("/") or "/"
     lines = [*DEFAULT_IGNORE_PATTERNS, *patterns]
     relative = F.substring("path", len(uri.rstrip("/")) + 2, 1 << 30)
     cores = spark.sparkContext.defaultParallelism
-    level = spark.createDataFrame([(uri,)], "path string")
+    level = spark.createDataFrame([(uri, 0, 1)], "path string, part int, parts int")
     files = []
     while True:
         entries = materialize(
-            level.repartition(cores).mapInArrow(_list_children, _ENTRIES), "listing"
+            level.repartition(cores).mapInArrow(partial(_list_pages, page=page), _ENTRIES), "listing"
         ).withColumn("relative", relative)
         files.append(entries.filter(~F.col("is_dir")).select("path", "relative", "size"))
         # a trailing component makes the test see the directory as one
         below = ignore.is_ignored(F.concat("relative", F.lit("/x")), lines)
-        level = entries.filter(F.col("is_dir") & ~below).select("path")
+        whole = entries.filter(F.col("is_dir") & ~F.col("more") & ~below)
+        parts = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part")
+        level = whole.select("path", F.lit(0).alias("part"), F.lit(1).alias("parts")).unionByName(
+            entries.filter("more").select("path", parts, F.lit(_PARTS).alias("parts"))
+        )
         if level.isEmpty():
             return reduce(DataFrame.unionByName, files)
 

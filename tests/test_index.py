@@ -631,3 +631,26 @@ def test_known_vectors_are_kept(spark, tmp_path, make_files):
     assert commit["embedded"] == 1  # the last window of a.md
     assert chunk_rows(index) == chunk_rows(fresh(spark, tmp_path, make_files(second), "whole"))
     assert [r["embedded"] for r in index.run_stats().orderBy("version").collect()] == [5, 1]
+
+
+def test_large_directories_are_listed_in_parts(spark, tmp_path):
+    """Directories above a page, at the top and below, give each entry once, from many tasks."""
+    home = tmp_path / "tree"
+    sizes = {}
+    for folder, count in (("", 300), ("a", 250), ("a/b", 40), ("c", 0), ("target", 200)):
+        (home / folder).mkdir(parents=True, exist_ok=True)
+        for i in range(count):
+            name = f"{folder}/.f é{i}.md".lstrip("/") if i % 5 == 0 else f"{folder}/f{i}.md".lstrip("/")
+            (home / name).write_text("x" * (i % 7))
+            sizes[name] = i % 7
+    (home / "loop").symlink_to(home, target_is_directory=True)
+    (home / "broken.md").symlink_to(home / "nowhere")
+    (home / "link.md").symlink_to(home / "f1.md")
+    sizes["link.md"] = 1
+    wanted = sorted((k, v) for k, v in sizes.items() if not k.startswith("target/"))
+    for page in (16, 40, 299, 10_000):
+        listed = list_directory(spark, str(home), ["target/"], page=page)
+        assert sorted((r["relative"], r["size"]) for r in listed.collect()) == wanted
+        below = listed.filter("relative LIKE 'a/%' AND relative NOT LIKE 'a/b/%'")
+        tasks = below.select(F.input_file_name()).distinct().count()
+        assert tasks == 1 if page > 251 else tasks > 3
