@@ -26,7 +26,7 @@ from seekwell.operators.embedding import calls, embed, hashed_words_sparse
 from seekwell.plans import FileRules, answers, line_settings, search_with_snippets, token_settings
 from seekwell.schemas import REQUESTS
 from seekwell.sources import list_directory, pattern_lines, scan_directory, scan_visible
-from seekwell.streaming import file_changes, start_refresh
+from seekwell.streaming import file_changes, latest, start_refresh
 
 LONG = "\n".join(f"alpha line {i}" for i in range(120))
 V1 = {
@@ -432,6 +432,26 @@ def test_stream_reads_nothing_stored(spark, tmp_path, make_files, monkeypatch):
         step(("r", "z.md", "z", "U", 9), ("r", "z.md", None, "D", 9))
 
 
+def test_stream_state_is_few_values(spark, tmp_path, make_files, monkeypatch):
+    """Files share the values of the state, also those that the index had before."""
+    root, rows = str(tmp_path), []
+    index = SearchIndex(spark, f"{root}/streamed", HashedWords(32))
+    index.build(make_files({("r", f"f{i}.md"): f"built {i}" for i in range(0, 120, 2)}))
+    for i in range(120):
+        rows += [("r", f"f{i}.md", f"old {i}", "U", 2**60 + 1), ("r", f"f{i}.md", f"new {i}", "U", 2**60 + 2)]
+    _feed(spark, root, *rows, ("r", "f7.md", None, "D", 2**60 + 3))
+    monkeypatch.setattr(latest.last_changes, "__defaults__", (8,))
+    for _ in range(2):
+        query = start_refresh(index, file_changes(spark, f"{root}/in"), f"{root}/ck", "s")
+        query.awaitTermination()
+        assert {s.numRowsTotal for p in query.recentProgress for s in p.stateOperators} <= {0, 8}
+        found = {r["path"]: r["text"] for r in index.live_chunks().collect()}
+        assert found == {f"f{i}.md": f"new {i}" for i in range(120) if i != 7}
+        commit = index.commit_info(2)
+        assert (commit["added"], commit["modified"], commit["deleted"]) == (59, 60, 0)
+        _feed(spark, root, ("r", "f7.md", "late", "U", 2**60 + 2), ("r", "f9.md", "old 9", "U", 2**60 + 1))
+
+
 def test_directory(spark, tmp_path):
     home = tmp_path / "src"
     (home / "a/target").mkdir(parents=True)
