@@ -11,6 +11,11 @@ outside the matrix product.
 With very many tasks, tasks x queries x k rows would still leave them. A first look at a
 share of the chunks then gives every query a floor: the k-th best score of any part of
 the chunks is a lower bound of the k-th best of all.
+
+With very many requests a hit list per task and query is more than the chunks themselves.
+The roles then change: keys and vectors of the chunks are written once to the shared
+folder, every task takes some requests and reads all chunks, a batch at a time, so that
+it alone holds what its requests have, and `k` rows per query leave the tasks in all.
 """
 
 from collections.abc import Iterator
@@ -23,6 +28,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import (
     MAX_BROADCAST_BYTES,
@@ -32,7 +38,7 @@ from ..constants import (
 )
 from ..functions.ids import FOLDER_PARTS, folder_part
 from ..schemas import HITS
-from ..session import expected_tasks, fan_in, materialize, new_scratch
+from ..session import expected_tasks, fan_in, input_bytes, materialize, new_scratch
 from .embedding import unit_rows
 
 METRICS = ("cosine", "l2sim")
@@ -49,6 +55,8 @@ _HIT_SCHEMA = pa.schema([
 ])
 _FLOOR_TASKS = 64  # from this many tasks on, a search looks for floors first
 _FLOOR_SHARE = 0.2
+_HIT_BYTES = 100  # about, of a hit that leaves a task
+_QUERIES_PER_TASK = 2048  # where tasks take requests
 _PAYLOAD = ["folder", "path", "chunk_id", "chunk_index"]
 _REQUEST = ["query_id", "folder", "cutoff", "vector"]
 
@@ -118,6 +126,11 @@ class QueryBlock:
     matrix: np.ndarray
     cells: list[frozenset] | None = None
 
+    def part(self, first: int, last: int) -> "QueryBlock":
+        at = slice(first, last)
+        cells = None if self.cells is None else self.cells[at]
+        return QueryBlock(self.ids[at], self.folders[at], self.cutoffs[at], self.matrix[at], cells)
+
 
 def read_block(uri: str, dim: int, celled: bool = False) -> QueryBlock:
     """One block of a store; a local file is mapped, not copied. Runs in tasks."""
@@ -199,7 +212,7 @@ def _offer_group(best, block, payload, matrix, rows, queries, metric) -> None:
             asked = queries[begin : begin + _QUERIES_AT_ONCE]
             scores = _score(unit @ block.matrix[asked].T, metric)
             bars = best.bars[asked]
-            if len(part) > 2 * best.k:
+            if len(part) > 2 * best.k and np.count_nonzero(scores >= bars) > best.k * len(asked):
                 # nothing below the k-th best of this part can be in the result
                 comparable = np.where(np.isnan(scores), -np.inf, scores)
                 bars = np.maximum(bars, np.partition(comparable, -best.k, axis=0)[-best.k])
@@ -265,46 +278,93 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
         yield held
 
 
+def _offer_all(
+    best: _Best, block: QueryBlock, audience: _Audience, segment: list[pa.RecordBatch], metric: str
+) -> None:
+    for batch in segment:
+        matrix = _vectors(batch.column("vector"), block.matrix.shape[1])
+        payload = batch.select(_PAYLOAD)
+        for rows, seen_by in audience.groups(batch):
+            _offer_group(best, block, payload, matrix, rows, seen_by, metric)
+
+
+def _hits(kept: pa.Table | None, block: QueryBlock) -> pa.Table:
+    if kept is None:
+        return _HIT_SCHEMA.empty_table()
+    ids = pa.array(block.ids[kept["query"].to_numpy()])
+    table = kept.drop_columns(["query"]).append_column("query_id", ids)
+    return table.select(_HIT_SCHEMA.names).cast(_HIT_SCHEMA)
+
+
 def local_best(chunks: DataFrame, store: RequestStore, metric: str, k: int) -> DataFrame:
     """Each task's best hits per query, at most `k` of a segment. The scan reads only key
     columns and vectors, and only the folders asked for."""
     chunks = store.visible(chunks)
     columns = [*_PAYLOAD, "vector", *(["cell"] if store.celled else [])]
 
-    def tables(kept: pa.Table | None, block: QueryBlock) -> Iterator[pa.RecordBatch]:
-        if kept is not None and kept.num_rows:
-            ids = pa.array(block.ids[kept["query"].to_numpy()])
-            table = kept.drop_columns(["query"]).append_column("query_id", ids)
-            yield from table.select(_HIT_SCHEMA.names).cast(_HIT_SCHEMA).to_batches()
-
-    def offer_all(best: _Best, block: QueryBlock, audience: _Audience, segment: list[pa.RecordBatch]) -> None:
-        for batch in segment:
-            matrix = _vectors(batch.column("vector"), store.dim)
-            payload = batch.select(_PAYLOAD)
-            for rows, seen_by in audience.groups(batch):
-                _offer_group(best, block, payload, matrix, rows, seen_by, metric)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(store.files) == 1:  # its hits stay in the task until the end
             block = read_block(store.files[0], store.dim, store.celled)
             best, audience = _Best(len(block.ids), k, block.cutoffs), _Audience(block)
             for segment in _segments(batches):
-                offer_all(best, block, audience, segment)
-            yield from tables(best.shrink(), block)
+                _offer_all(best, block, audience, segment, metric)
+            yield from _hits(best.shrink(), block).to_batches()
             return
         bars: dict[str, np.ndarray] = {}
         for segment in _segments(batches):
             for uri in store.files:
                 block = read_block(uri, store.dim, store.celled)
                 best = _Best(len(block.ids), k, bars.get(uri, block.cutoffs))
-                offer_all(best, block, _Audience(block), segment)
+                _offer_all(best, block, _Audience(block), segment, metric)
                 kept = best.shrink()
                 bars[uri] = best.bars
-                yield from tables(kept, block)
+                yield from _hits(kept, block).to_batches()
 
     return chunks.select(*columns).mapInArrow(run, HITS)
 
 
+def _takes_requests(chunks: DataFrame, store: RequestStore, k: int) -> bool:
+    """Whether reading all chunks for every few requests costs less than the hits that
+    tasks of chunks would give. The result is the same."""
+    if len(store.files) < 2 or store.celled:
+        return False
+    tasks = max(expected_tasks(chunks), chunks.sparkSession.sparkContext.defaultParallelism)
+    reads = input_bytes(chunks) * -(-store.rows // _QUERIES_PER_TASK)
+    return reads < tasks * store.rows * k * _HIT_BYTES
+
+
+def best_of_requests(chunks: DataFrame, store: RequestStore, metric: str, k: int) -> DataFrame:
+    """The hits of every request at its cutoff or above, at most `k`, each request's from
+    one task, with `rank` among them."""
+    spark = chunks.sparkSession
+    written = materialize(store.visible(chunks).select(*_PAYLOAD, "vector"), "chunk-vectors")
+    files = sorted(written.inputFiles())
+    slices = max(1, -(-block_limit(store.dim, k) // _QUERIES_PER_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in (n for batch in batches for n in batch.column(0).to_pylist()):
+            first = number % slices * _QUERIES_PER_TASK
+            block = read_block(store.files[number // slices], store.dim).part(first, first + _QUERIES_PER_TASK)
+            if not len(block.ids):
+                continue
+            best, audience = _Best(len(block.ids), k, block.cutoffs), _Audience(block)
+            for uri in files:
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as source:
+                    for part in pq.ParquetFile(source).iter_batches(_ROWS_AT_ONCE * 4):
+                        _offer_all(best, block, audience, [part], metric)
+            kept = best.shrink()
+            if kept is None:
+                continue
+            query = kept["query"].to_numpy()
+            rank = np.arange(len(query)) - np.searchsorted(query, query, side="left") + 1
+            table = _hits(kept, block).append_column("rank", pa.array(rank, pa.int32()))
+            yield from table.combine_chunks().to_batches(16_384)
+
+    count = len(store.files) * slices
+    return spark.range(0, count, 1, count).mapInArrow(run, StructType([*HITS.fields, StructField("rank", IntegerType())]))
+
+
 def merge_best(hits: DataFrame, k: int, parts: int | None = None) -> DataFrame:
     """The best `k` hits per query of all tasks, with `rank`.
 
@@ -383,6 +443,11 @@ def top_chunks(
     if not store.rows:
         empty = chunks.sparkSession.createDataFrame([], HITS)
         return empty.withColumn("rank", F.lit(0))
+    if _takes_requests(chunks, store, k):
+        found = best_of_requests(chunks, store, metric, k)
+        ids = stored_requests(store, chunks).groupBy("query_id").count()
+        # requests of one id share its hits
+        return found if ids.filter("count > 1").isEmpty() else merge_best(found.drop("rank"), k, parts)
     if share is not None:
         store = with_floors(chunks, store, metric, k, share)
     return merge_best(local_best(chunks, store, metric, k), k, parts)

@@ -108,6 +108,24 @@ def test_many_blocks_equal_one(spark, data, monkeypatch):
     assert found(scoring.top_chunks(chunks, queries, DIM, k=20)) == whole
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_tasks_that_take_requests(spark, data, tmp_path, monkeypatch, repeated):
+    """With many requests no more hits leave the tasks than there are in the result."""
+    spark.createDataFrame(data[0], CHUNKS).repartition(3).write.parquet(f"{tmp_path}/chunks")
+    asked = [*data[1], *(data[1][:5] if repeated else [])]
+    chunks, queries = spark.read.parquet(f"{tmp_path}/chunks"), spark.createDataFrame(asked, QUERIES).coalesce(1)
+    whole = found(scoring.top_chunks(chunks, queries, DIM, k=20))
+    monkeypatch.setattr(scoring, "MAX_KEPT_HITS", 10 * 20)
+    monkeypatch.setattr(scoring, "_QUERIES_PER_TASK", 4)
+    store, left = scoring.store_requests(queries, DIM, 20), []
+    assert scoring._takes_requests(chunks, store, 20)
+    of_requests = scoring.best_of_requests
+    monkeypatch.setattr(scoring, "best_of_requests", lambda *a: left.append(of_requests(*a)) or left[0])
+    top = scoring.top_chunks(chunks, queries, DIM, k=20)
+    assert found(top) == whole
+    assert left[0].groupBy("query_id").count().filter(f"count > {40 if repeated else 20}").isEmpty()
+
+
 def test_requests_of_one_id_still_part(spark, data, monkeypatch):
     _, queries = tables(spark, data)
     alike = queries.withColumn("query_id", F.lit(1).cast("long"))
