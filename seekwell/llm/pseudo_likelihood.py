@@ -11,8 +11,9 @@ known from a thousand documents is a thousand times that of a misspelling, and w
 gathered grows with the corpus.
 
 Words are counted over all documents. Counts go to the tasks up to `sent_bytes`: those
-from the least power of two on (2 at least) that fits. Words below it count as the mean
-of the words below it, which for 2 is the exact 1.
+from the least power of two on (2 at least) that fits. Counts of 1 need not be sent, as
+their logarithm is 0; the others below it are joined to the words of the documents that
+have them. So every word has its own count, whatever `sent_bytes` is.
 
 A pass over the texts writes each document's ids to the shared folder; all else reads
 these. Training goes over all documents in rounds: each task starts from the last
@@ -26,7 +27,7 @@ Repeated rows count repeatedly and score alike. With no tokens at all, weights s
 they were set. An empty table gives an empty result; extra columns are not read."""
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -202,20 +203,29 @@ class Words:
     totals: np.ndarray  # occurrences of each id
     counted: np.ndarray  # further words, in order
     logs: np.ndarray  # logarithms of their counts
-    rest: float  # the same for all other words
     named: int  # ids before the shared ones
+    unsent: DataFrame | None = None  # (word, log) of the other words that occur more than once
 
     def shares(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Logarithm of each word's part in the occurrences of its id."""
+        """Logarithm of each word's part in the occurrences of its id. Words that are not
+        `counted` count as 1; the logarithms of their counts are still to be added."""
         out = np.zeros(len(ids))
         at = np.flatnonzero(ids >= self.named)
-        words, value = hashes[at], np.full(len(at), self.rest)
+        words, value = hashes[at], np.zeros(len(at))
         if len(self.counted):
             place = np.minimum(np.searchsorted(self.counted, words), len(self.counted) - 1)
-            value = np.where(self.counted[place] == words, self.logs[place], value)
+            value = np.where(self.counted[place] == words, self.logs[place], 0.0)
         out[at] = value - np.log(np.maximum(self.totals[ids[at]], 1))
         return out
 
+    def uncounted(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether a word has a shared id and its count was not sent."""
+        out = ids >= self.named
+        if len(self.counted):
+            place = np.minimum(np.searchsorted(self.counted, hashes), len(self.counted) - 1)
+            out &= self.counted[place] != hashes
+        return out
+
 
 def words_of(docs: DataFrame, shape: Shape) -> Words:
     """Counts of the words of all documents; of equal counts the smaller hash first."""
@@ -242,28 +252,26 @@ def words_of(docs: DataFrame, shape: Shape) -> Words:
     for i, r in enumerate(top):
         totals[i] = r["n"]
         totals[shape.words + (r["word"] & (shared - 1))] -= r["n"]
-    least, mean = _least_sent(counts, shape.sent_bytes)
+    least = _least_sent(counts, shape.sent_bytes)
     sent = counts.filter(F.col("n") >= least).toArrow()
     words, n = (sent.column(k).to_numpy() for k in ("word", "n"))
     order = np.argsort(words.view(np.uint64))
     return Words(
         np.array([r["word"] for r in top], np.int64).view(np.uint64), totals,
-        words.view(np.uint64)[order], np.log(n[order]).astype(np.float32), float(np.log(mean)), shape.words,
+        words.view(np.uint64)[order], np.log(n[order]), shape.words,
+        None if least == 2 else counts.filter(F.col("n").between(2, least - 1)).select("word", F.log("n").alias("log")),
     )
 
 
-def _least_sent(counts: DataFrame, limit: int) -> tuple[int, float]:
-    """The least power of two, 2 at least, from which counts take at most `limit`
-    bytes, and the mean of the counts below it."""
-    by_power = (
-        counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power"))
-        .agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
-    )
-    power = 1
-    while sum(r["words"] for r in by_power if r["power"] >= power) * 12 > limit:
-        power += 1
-    below = [r for r in by_power if r["power"] < power]
-    return 2**power, sum(r["n"] for r in below) / max(1, sum(r["words"] for r in below)) or 1.0
+def _least_sent(counts: DataFrame, limit: int) -> int:
+    """The least power of two, 2 at least, from which counts take at most `limit` bytes."""
+    # the number of binary digits less one, which unlike a logarithm is exact
+    power = (F.length(F.bin("n")) - 1).alias("power")
+    by_power = counts.groupBy(power).agg(F.count("*").alias("words")).collect()
+    least = 1
+    while sum(r["words"] for r in by_power if r["power"] >= least) * 16 > limit:
+        least += 1
+    return 2**least
 
 
 def averaged(weights: DataFrame, parts: int) -> tuple[np.ndarray, float] | None:
@@ -310,37 +318,64 @@ def lessons(count: int, seen: int, round_: int, shape: Shape) -> np.ndarray:
     return np.random.default_rng([shape.seed, seen]).permutation(at)
 
 
-_STORED = "doc_id long, ids binary, shares double"  # ids as _ID, which costs the JVM nothing
+#: ids as _ID, and words that were not sent as 8 bytes each, which costs the JVM nothing
+_STORED = "doc_id long, ids binary, shares double, row long, unsent binary"
 _ID = np.dtype("<u4")
 _POSITIONS = 262_144  # whose windows are held at once
 
 
 def stored_ids(docs: DataFrame, words: Words, shape: Shape) -> DataFrame:
-    """(doc_id, ids, shares) of every document: the ids of its tokens, and the sum of
-    the tokens' shares in them."""
-    known = docs.sparkSession.sparkContext.broadcast(words)
+    """(doc_id, ids, shares, row, unsent) of every document: the ids of its tokens, the sum
+    of the tokens' shares in them, a number, and the words whose counts were not sent."""
+    known = docs.sparkSession.sparkContext.broadcast(replace(words, unsent=None))
+    whole = words.unsent is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = known.value
+        from pyspark import TaskContext
+
+        words, row = known.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             done = 0
             for hashes, sizes in word_hashes(batch.column("text")):
                 ids, ends = token_ids(hashes, words.own, shape), np.cumsum(sizes)
                 running = np.concatenate(([0.0], np.cumsum(words.shares(hashes, ids))))
                 packed, edges = ids.astype(_ID).tobytes(), np.concatenate(([0], ends * _ID.itemsize))
+                unsent = pa.nulls(len(sizes), pa.binary())
+                if not whole:
+                    other = words.uncounted(hashes, ids)
+                    rare, cuts = hashes[other].tobytes(), 8 * np.concatenate(([0], np.cumsum(other)))[[0, *ends]]
+                    unsent = pa.array([rare[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(done, len(sizes)),
                         pa.array([packed[a:b] for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
                         pa.array(running[ends] - running[ends - sizes]),
+                        pa.array(np.arange(row, row + len(sizes))), unsent,
                     ],
-                    ["doc_id", "ids", "shares"],
+                    ["doc_id", "ids", "shares", "row", "unsent"],
                 )
-                done += len(sizes)
+                done, row = done + len(sizes), row + len(sizes)
 
     return materialize(docs.mapInArrow(run, _STORED), "lm-ids")
 
 
+def unsent_shares(stored: DataFrame, unsent: DataFrame) -> DataFrame:
+    """(row, more): what the words whose counts were not sent add to the documents."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pc.binary_length(batch.column("unsent")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            words = np.frombuffer(b"".join(batch.column("unsent").to_pylist()), np.int64)
+            rows = np.repeat(batch.column("row").to_numpy(), n)
+            for at in range(0, len(words), _POSITIONS):
+                part = slice(at, at + _POSITIONS)
+                yield pa.RecordBatch.from_pydict({"row": rows[part], "word": words[part]})
+
+    pairs = stored.select("row", "unsent").mapInArrow(listed, "row long, word long")
+    # neither side is known to be small
+    return pairs.join(unsent.hint("merge"), "word").groupBy("row").agg(F.sum("log").alias("more"))
+
+
 def token_counts(lists: pa.Array) -> np.ndarray:
     return pc.binary_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) // _ID.itemsize
 
@@ -408,10 +443,18 @@ def scored(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
                 {
                     "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n),
                     "log_likelihood": pa.array(total),
-                    "mean_log_likelihood": pa.array(mean, mask=n == 0),
+                    "mean_log_likelihood": pa.array(mean, mask=n == 0), "row": batch.column("row"),
                 }
             )
 
-    return stored.mapInArrow(
-        score, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
+    told = stored.select("doc_id", "ids", "shares", "row").mapInArrow(
+        score, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double, row long"
+    )
+    if words.unsent is None:
+        return told.drop("row")
+    told = told.join(unsent_shares(stored, words.unsent).hint("merge"), "row", "left")
+    total = F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))
+    return told.select(
+        "doc_id", "n_tokens", total.alias("log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"),
     )

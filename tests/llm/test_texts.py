@@ -458,6 +458,23 @@ def test_words_have_their_share_of_an_id(docs, sent):
     assert [stored[i]["ids"] for i in (100, 101)] == [b"", b""]
 
 
+def test_scores_do_not_depend_on_what_is_sent(docs):
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.5))}" for _ in range(900)] + [f"x{i % 70}" for i in range(300)]
+    texts = [" ".join(words[i : i + 30]) for i in range(0, 1200, 30)]
+    frame = docs([*texts, texts[0], None, "", "w1"]).coalesce(1)
+    frame = frame.union(frame)  # ids come twice
+    scores = []
+    for sent in (1 << 20, 160, 0):
+        shape = pseudo_likelihood.Shape(words=24, classes=4, per_class=8, batch=64, sent_bytes=sent)
+        scores.append(sorted(map(tuple, pseudo_likelihood.scored(frame, shape).collect()), key=str))
+    assert len(scores[0]) == 88 and scores[0][0][1] is not None
+    for other in scores[1:]:
+        for a, b in zip(scores[0], other, strict=True):
+            assert a[:2] == b[:2] and (a[3] is None) == (b[3] is None)
+            assert a[2] == pytest.approx(b[2], rel=1e-9) and (a[3] or 0) == pytest.approx(b[3] or 0, rel=1e-9)
+
+
 def test_windows_of_a_part_are_those_of_the_whole():
     ids, sizes = np.arange(9), np.array([0, 4, 0, 1, 4, 0])
     whole = pseudo_likelihood.windows(ids, sizes, 99)
