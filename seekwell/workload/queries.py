@@ -254,7 +254,9 @@ def scan_pages(spark, sf_dir):
     """Every page written to a file of its own, then found by a directory scan."""
     home = new_scratch(spark, "pages")
     pages = inputs.table(spark, sf_dir, "pages").select("html")
-    spread(pages).write.option("maxRecordsPerFile", 1).text(home)
+    # tasks put their files in place; by the first algorithm the driver moves them one by one
+    writer = spread(pages).write.option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    writer.option("maxRecordsPerFile", 1).text(home)
     found = scan_directory(spark, home, folder="pages")
     return found.select("folder", "size", F.md5("content").alias("content_md5"))
 
