@@ -149,6 +149,15 @@ def calls(texts: list[str], budget: RequestBudget | None, texts_per_call: int) -
     return [texts[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def _parts(batch: pa.Array, budget: RequestBudget | None, texts_per_call: int) -> Iterator[list[str]]:
+    """The texts of a batch as calls. Without a budget those of one call are made at a time."""
+    if budget is not None:
+        yield from calls(["" if t is None else t for t in batch.to_pylist()], budget, texts_per_call)
+        return
+    for at in range(0, len(batch), texts_per_call):
+        yield ["" if t is None else t for t in batch.slice(at, texts_per_call).to_pylist()]
+
+
 def embed(
     text: Column, embedder: Embedder, texts_per_call: int = ROWS_PER_UPSERT
 ) -> Column:
@@ -158,18 +167,19 @@ def embed(
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = embedder.load()
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.to_pylist()]
-            if not texts:
+            if len(batch) == 0:
                 yield pa.array([], pa.list_(pa.float32()))
                 continue
-            budget = getattr(embedder, "budget", None)
-            matrix = np.concatenate([model(part) for part in calls(texts, budget, texts_per_call)])
-            if matrix.shape != (len(texts), embedder.dim):
-                raise ValueError(
-                    f"model {embedder.name} gave {matrix.shape}, "
-                    f"expected {(len(texts), embedder.dim)}"
-                )
-            yield list_array(unit_rows(matrix))
+            done = []  # as float32; doubles are held for one call at a time
+            for part in _parts(batch, getattr(embedder, "budget", None), texts_per_call):
+                matrix = model(part)
+                if matrix.shape != (len(part), embedder.dim):
+                    raise ValueError(
+                        f"model {embedder.name} gave {matrix.shape}, "
+                        f"expected {(len(part), embedder.dim)}"
+                    )
+                done.append(list_array(unit_rows(matrix)))
+            yield pa.concat_arrays(done)
 
     return run(text)
 

@@ -282,6 +282,8 @@ def _offer_all(
     best: _Best, block: QueryBlock, audience: _Audience, segment: list[pa.RecordBatch], metric: str
 ) -> None:
     for batch in segment:
+        if batch.num_rows == 0:
+            continue
         matrix = _vectors(batch.column("vector"), block.matrix.shape[1])
         payload = batch.select(_PAYLOAD)
         for rows, seen_by in audience.groups(batch):
@@ -306,8 +308,8 @@ def local_best(chunks: DataFrame, store: RequestStore, metric: str, k: int) -> D
         if len(store.files) == 1:  # its hits stay in the task until the end
             block = read_block(store.files[0], store.dim, store.celled)
             best, audience = _Best(len(block.ids), k, block.cutoffs), _Audience(block)
-            for segment in _segments(batches):
-                _offer_all(best, block, audience, segment, metric)
+            for batch in batches:
+                _offer_all(best, block, audience, [batch], metric)
             yield from _hits(best.shrink(), block).to_batches()
             return
         bars: dict[str, np.ndarray] = {}

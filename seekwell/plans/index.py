@@ -43,6 +43,8 @@ from .tables import KEY, VersionedTable, table_schema
 
 _BUCKET_BYTES = 512 * 1024 * 1024  # of a first snapshot, as the planner knows it
 _MIN_BUCKETS, _MAX_BUCKETS = 8, 65_536
+_SORTED_BYTES = 256 * 1024 * 1024  # of chunks that a task puts in order to write them
+_LINE_BYTES, _TOKEN_BYTES = 20, 4  # about, at the least
 _SCHEMAS = {"manifest": MANIFEST, "chunks": CHUNKS, "rejects": REJECTS}
 
 
@@ -104,6 +106,8 @@ class Reading:
     judged: DataFrame
     rejected: int
     whole: bool
+    files: int  # that are needed
+    size: int  # of these, in bytes
 
     @property
     def kept(self) -> DataFrame:
@@ -343,8 +347,13 @@ class SearchIndex:
             needed = F.lit(False)
         seen = Observation()
         rows = judged.select(*KEY, F.when(needed, F.col("content")).alias("content"), "size", "hash", "reason")
-        rows = rows.observe(seen, F.count("reason").alias("rejected"))
-        return Reading(materialize(rows, "judged"), seen.get["rejected"], whole)
+        counted = F.col("content").isNotNull() if whole else F.col("reason").isNull()
+        rows = rows.observe(
+            seen, F.count("reason").alias("rejected"), F.count_if(counted).alias("files"),
+            F.coalesce(F.sum(F.when(counted, F.col("size"))), F.lit(0)).alias("size"),
+        )
+        judged = materialize(rows, "judged")
+        return Reading(judged, seen.get["rejected"], whole, seen.get["files"], seen.get["size"])
 
     def _built_in_chunks(self, files: DataFrame) -> DataFrame:
         if self.settings.chunker == "lines":
@@ -537,7 +546,7 @@ class SearchIndex:
             small = stats["replaced_bytes"] <= MAX_BROADCAST_BYTES
             known = self._known_vectors(manifest.filter(replaces).select(*KEY), small)
         stats["rejected"] = reading.rejected
-        stats["embedded"] = self._write_chunks(version, contents, known)
+        stats["embedded"] = self._write_chunks(version, contents, reading, known)
         return self._commit(version, False, stats, stream, batch)
 
     def _known_vectors(self, replaced: DataFrame, small: bool) -> DataFrame:
@@ -547,9 +556,20 @@ class SearchIndex:
         old = old.join(F.broadcast(replaced) if small else replaced, KEY, "left_semi")
         return old.select(F.sha2("text", 256).alias("text_key"), "vector").dropDuplicates(["text_key"])
 
-    def _write_chunks(self, version: int, contents: DataFrame, known: DataFrame | None = None) -> int:
+    def _write_parts(self, reading: Reading) -> int:
+        """How many tasks write the chunks of a snapshot: a multiple of the buckets, so that
+        each task has files of one bucket, and so many that none sorts much at once."""
+        lines = self.settings.chunker == "lines"
+        step = max(1, self.settings.chunk_size - self.settings.overlap)
+        chunks = reading.files + reading.size // (step * (_LINE_BYTES if lines else _TOKEN_BYTES))
+        size = 2 * reading.size + chunks * 4 * self.settings.dim
+        return self.buckets() * max(1, ceil(size / (self.buckets() * _SORTED_BYTES)))
+
+    def _write_chunks(
+        self, version: int, contents: DataFrame, reading: Reading, known: DataFrame | None = None
+    ) -> int:
         """Chunk, embed and store; returns how many chunks were embedded."""
-        chunked = self._chunk(contents.repartition(self.buckets(), *KEY))
+        chunked = self._chunk(contents.repartition(self._write_parts(reading), *KEY))
         rows = chunking.explode_chunks(chunked, *KEY, "hash")
         absolute = paths.join_path(F.col("folder"), F.col("path"))
         rows = rows.select(

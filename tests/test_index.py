@@ -4,6 +4,7 @@ import json
 import os
 import re
 import zlib
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -452,6 +453,25 @@ def test_stream_state_is_few_values(spark, tmp_path, make_files, monkeypatch):
         _feed(spark, root, ("r", "f7.md", "late", "U", 2**60 + 2), ("r", "f9.md", "old 9", "U", 2**60 + 1))
 
 
+def test_writers_follow_what_is_stored(spark, tmp_path, make_files, monkeypatch):
+    """A bucket of many chunks is written by several tasks, and still read as one."""
+    import seekwell.plans.index as module
+
+    files = make_files({("r", f"f{i}.md"): f"alpha {i} " * 50 for i in range(200)})
+    plain = fresh(spark, tmp_path, files, "plain")
+    size = sum(len(f"alpha {i} " * 50) for i in range(200))
+    monkeypatch.setattr(module, "_SORTED_BYTES", size // 8 // 2)
+    parted = fresh(spark, tmp_path, files, "parted")
+    assert chunk_rows(parted) == chunk_rows(plain)
+
+    def per_bucket(index):
+        names = index._stored("chunks", [1]).inputFiles()
+        return Counter(re.search(r"_(\d{5})\.", n)[1] for n in names)
+
+    assert len(per_bucket(parted)) == len(per_bucket(plain)) == 8
+    assert max(per_bucket(plain).values()) == 1 and min(per_bucket(parted).values()) > 2
+
+
 def test_directory(spark, tmp_path):
     home = tmp_path / "src"
     (home / "a/target").mkdir(parents=True)
