@@ -258,8 +258,8 @@ def words_of(docs: DataFrame, shape: Shape) -> Words:
     order = np.argsort(words.view(np.uint64))
     return Words(
         np.array([r["word"] for r in top], np.int64).view(np.uint64), totals,
-        words.view(np.uint64)[order], np.log(n[order]), shape.words,
-        None if least == 2 else counts.filter(F.col("n").between(2, least - 1)).select("word", F.log("n").alias("log")),
+        words.view(np.uint64)[order], np.log(n[order]).astype(np.float32), shape.words,
+        None if least == 2 else counts.filter(F.col("n").between(2, least - 1)).select("word", F.log("n").cast("float").cast("double").alias("log")),
     )
 
 
@@ -269,7 +269,7 @@ def _least_sent(counts: DataFrame, limit: int) -> int:
     power = (F.length(F.bin("n")) - 1).alias("power")
     by_power = counts.groupBy(power).agg(F.count("*").alias("words")).collect()
     least = 1
-    while sum(r["words"] for r in by_power if r["power"] >= least) * 16 > limit:
+    while sum(r["words"] for r in by_power if r["power"] >= least) * 12 > limit:
         least += 1
     return 2**least
 
