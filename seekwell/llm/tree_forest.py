@@ -10,10 +10,11 @@ components.
 
 Trees grow in rounds. A round counts the rows of each node; a node above `leaf` rows
 gets a subtree, fitted in a task on a bounded sample of its rows (the places of its
-splits only need a sample), and all of its rows are sent down. Rounds are written to
-the shared folder. A leaf that stays too large, say of vectors that no direction parts,
-is compared in blocks, all blocks with all, so nothing is dropped and no task holds
-more than two blocks.
+splits only need a sample), and all of its rows are sent down. A vector is one row with
+the list of its nodes, whatever their number; it is sent down all trees in one pass and
+written to the shared folder once a round. A leaf that stays too large, say of vectors
+that no direction parts, is compared in blocks, all blocks with all, so nothing is
+dropped and no task holds more than two blocks.
 
 A link counts in the first of the leaves that its two vectors share; every vector
 brings the list of its leaves. So links are added up where they are found: a pair of
@@ -127,11 +128,17 @@ def _child(node: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)).astype(np.int64)
 
 
+def _flat(rows: DataFrame) -> DataFrame:
+    """A row for every node that a row of `rows` is in."""
+    both = F.explode(F.arrays_zip("tree", "node")).alias("at")
+    return rows.select(*[c for c in rows.columns if c not in _KEYS], both).select("*", "at.tree", "at.node").drop("at")
+
+
 def _subtrees(rows: DataFrame, sizes: DataFrame, forest: Forest) -> DataFrame:
     """(tree, node, splits) for every node that is too large."""
     share = F.least(F.lit(1.0), F.lit(float(forest.sample)) / F.col("n"))
     drawn = F.pmod(F.xxhash64("id", "tree", "node"), F.lit(1_000_000)) < share * 1_000_000
-    sample = rows.join(sizes, _KEYS).filter(drawn).select(*_KEYS, "n", "vector")
+    sample = _flat(rows).join(sizes, _KEYS).filter(drawn).select(*_KEYS, "n", "vector")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, _KEYS):
@@ -157,61 +164,75 @@ _SENT_BYTES = 16 * 1024 * 1024
 
 
 def _sent_down(rows: DataFrame, subtrees: DataFrame, forest: Forest) -> DataFrame:
-    """Rows of nodes with a subtree at its leaves, the others where they are."""
-    names, known = [*_KEYS, "id", "vector"], None
+    """`rows` with each node that has a subtree replaced by its leaves. A vector is sent
+    down all of its trees at once and stays one row."""
+    names, known = ["id", "vector", *_KEYS], None
     if subtrees.count() * 2**forest.levels * 16 <= _SENT_BYTES:
         known = {(r["tree"], r["node"]): np.array(r["splits"]) for r in subtrees.collect()}
-        source = rows.select(*names)
+        source = rows
     else:
-        source = rows.join(subtrees, _KEYS, "left").select(*names, "splits")
+        source = _flat(rows).join(subtrees, _KEYS, "left").select(
+            "id", "vector", *[F.array(k).alias(k) for k in _KEYS], "splits"
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             vectors = unit(matrix(batch.column("vector")))
-            tree, node = (batch.column(k).to_numpy() for k in _KEYS)
+            of = np.repeat(np.arange(len(vectors)), batch.column("tree").value_lengths().to_numpy())
+            tree, node = (batch.column(k).flatten().to_numpy() for k in _KEYS)
             order = np.lexsort((node, tree))
             change = np.flatnonzero((np.diff(tree[order]) != 0) | (np.diff(node[order]) != 0)) + 1
             take, nodes = [], []
             for part in np.split(order, change):
                 first = int(part[0])
                 key = (int(tree[first]), int(node[first]))
-                splits = batch.column("splits")[first].as_py() if known is None else known.get(key)
+                splits = batch.column("splits")[of[first]].as_py() if known is None else known.get(key)
                 if splits is None:
                     take.append(part)
-                    nodes.append(np.full(len(part), key[1]))
+                    nodes.append(node[part])
                     continue
                 splits = np.asarray(splits).reshape(-1, 2)
                 along = directions(*key, len(splits), vectors.shape[1], forest.seed)
-                which, at = _route(vectors[part], along, splits)
+                which, at = _route(vectors[of[part]], along, splits)
                 take.append(part[which])
                 nodes.append(_child(np.full(len(at), key[1]), at))
-            take = np.concatenate(take)
-            where = pa.array(take)
+            take, nodes = np.concatenate(take), np.concatenate(nodes)
+            order = np.argsort(of[take], kind="stable")
+            ends = np.cumsum(np.bincount(of[take], minlength=len(vectors)))
+            ends = pa.array(np.append(0, ends).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(tree[take]), pa.array(np.concatenate(nodes)),
-                    batch.column("id").take(where), batch.column("vector").take(where),
+                    batch.column("id"), batch.column("vector"),
+                    pa.ListArray.from_arrays(ends, pa.array(tree[take[order]])),
+                    pa.ListArray.from_arrays(ends, pa.array(nodes[order])),
                 ],
                 names,
             )
 
-    return source.mapInArrow(run, rows.select(*names).schema)
+    sent = source.mapInArrow(run, rows.select(*names).schema)
+    if known is not None:
+        return sent
+    same = ["id", F.xxhash64("vector").alias("of")]  # an id may have several vectors
+    lists = sent.select(*same, *_KEYS).groupBy("id", "of").agg(F.collect_list(F.struct(*_KEYS)).alias("at"))
+    lists = lists.select("id", "of", *[F.flatten(f"at.{k}").alias(k) for k in _KEYS])
+    return rows.select("vector", *same).join(lists, ["id", "of"]).select(*names)
 
 
 def leaves(vectors: DataFrame, forest: Forest) -> DataFrame:
     """(id, leaf): the leaves of all trees that each row is in."""
-    rows = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("t"), "id", "vector")
-    rows = rows.select(F.col("t").cast("long").alias("tree"), F.lit(0).cast("long").alias("node"), "id", "vector")
+    trees = F.sequence(F.lit(0).cast("long"), F.lit(forest.trees - 1).cast("long"))
+    rows = vectors.select("id", "vector", trees.alias("tree"))
+    rows = rows.withColumn("node", F.transform("tree", lambda t: F.lit(0).cast("long")))
     for _ in range(forest.rounds_for(vectors.count())):
-        large = rows.groupBy(*_KEYS).agg(F.count("*").alias("n")).filter(F.col("n") > forest.leaf)
-        large = materialize(large, "forest-large")
+        large = _flat(rows.select(*_KEYS)).groupBy(*_KEYS).agg(F.count("*").alias("n"))
+        large = materialize(large.filter(F.col("n") > forest.leaf), "forest-large")
         if large.isEmpty():
             break
         subtrees = materialize(_subtrees(rows, large, forest), "forest-subtrees")
         rows = materialize(_sent_down(rows, subtrees, forest), "forest-rows")
-    return rows.select("id", F.xxhash64(*_KEYS).alias("leaf"))
+    return _flat(rows.select("id", *_KEYS)).select("id", F.xxhash64(*_KEYS).alias("leaf"))
 
 
 def _classes(lists: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -248,6 +269,24 @@ def _spanning(hit: np.ndarray, first: np.ndarray, second: np.ndarray, label: np.
     return out
 
 
+def _linked(
+    group: np.ndarray, rough: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float
+) -> np.ndarray | None:
+    """Which cosines of `first` and `second` reach the threshold; None if no pair does.
+    `rough` are the same unit vectors in single precision, whose products settle all
+    pairs further from the threshold than its rounding; the others are taken in double."""
+    slack = (group.shape[1] + 4) * 2.0**-23
+    near = rough[first] @ rough[second].T
+    hit = near >= threshold - slack
+    if not hit.any():
+        return None
+    x, y = np.nonzero(hit & (near < threshold + slack))
+    for at in range(0, len(x), 65_536):
+        a, b = x[at : at + 65_536], y[at : at + 65_536]
+        hit[a, b] = np.einsum("ij,ij->i", group[first[a]], group[second[b]]) >= threshold
+    return hit
+
+
 def links(vectors: DataFrame, forest: Forest) -> DataFrame:
     """Rows (a, null, n), which add up to the number n of rows that vector a links
     with, and rows (a, b, 0): links that join whatever all links join. `vectors` has
@@ -277,18 +316,22 @@ def links(vectors: DataFrame, forest: Forest) -> DataFrame:
                 if len(lists) <= 64 and _share(lists, lists).all():
                     continue
                 group = unit(matrix(part.column("vector").slice(start, end - start)))
+                rough = group.astype(np.float32)
                 names = ids[start:end]
                 copies = part.column("copies").slice(start, end - start).to_numpy().astype(float)
                 second = np.flatnonzero(block[start:end] == j[start])
                 others, label, edges = np.zeros(len(names)), np.arange(len(names)), []
                 all_first = np.flatnonzero(block[start:end] == i[start])
+                if i[start] == j[start]:  # by id, so that a pair comes once
+                    all_first = second = second[np.argsort(names[second], kind="stable")]
+                all_second = second
                 for k in range(0, len(all_first), 512):
                     first = all_first[k : k + 512]
-                    near = group[first] @ group[second].T
-                    hit = near >= forest.threshold
-                    x, y = np.nonzero(np.abs(near - forest.threshold) <= 1e-9)
-                    cosine = np.einsum("ij,ij->i", group[first[x]], group[second[y]])
-                    hit[x, y] = cosine >= forest.threshold
+                    if i[start] == j[start]:
+                        second = all_second[k:]
+                    hit = _linked(group, rough, first, second, forest.threshold)
+                    if hit is None:
+                        continue
                     if i[start] == j[start]:
                         hit &= names[first][:, None] < names[second]
                     x, y = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))

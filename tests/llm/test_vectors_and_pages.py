@@ -101,6 +101,41 @@ def test_near_vectors_in_one_dense_group(spark):
     assert (got["component_id"][want > 0] == got["vec_id"][want > 0].min()).all()
 
 
+def test_a_vector_is_one_row_in_every_round(spark, monkeypatch):
+    """However many nodes it is in; also where splits are joined, not sent."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(900)]
+    rows += [(7, [float(x) for x in rng.normal(size=16)])]  # an id with two vectors
+    frame, stored = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), []
+    written = tree_forest.materialize
+
+    def watched(df, label):
+        out = written(df, label)
+        stored.extend([out.count()] if label == "forest-rows" else [])
+        return out
+
+    monkeypatch.setattr(tree_forest, "materialize", watched)
+    forest = tree_forest.Forest(threshold=0.6, leaf=64, trees=5, levels=2)
+    found = sorted(tree_forest.near_vectors(frame, forest).collect())
+    assert len(stored) > 1 and set(stored) == {901}
+    monkeypatch.setattr(tree_forest, "_SENT_BYTES", -1)
+    assert sorted(tree_forest.near_vectors(frame, forest).collect()) == found
+    assert sum(r["n_links"] for r in found) > 0
+
+
+def test_pairs_at_the_threshold_are_taken_in_double():
+    rng = np.random.default_rng(3)
+    group = rng.normal(size=(300, 64)) + 2
+    group /= np.linalg.norm(group, axis=1)[:, None]
+    cosine = np.einsum("id,jd->ij", group, group)
+    rows = np.arange(300)
+    for threshold in np.sort(cosine, axis=None)[[100, 45_000, 89_000]]:
+        hit = tree_forest._linked(group, group.astype(np.float32), rows, rows, threshold)
+        want = np.array([np.einsum("ij,ij->i", np.broadcast_to(v, group.shape), group) >= threshold for v in group])
+        assert (hit == want).all()
+    assert tree_forest._linked(group, group.astype(np.float32), rows[:9], rows[9:], 1.1) is None
+
+
 def test_near_vectors_of_nothing(spark):
     frame = spark.createDataFrame([(1, None, 1, 0, 0)], VECTORS)
     assert [tuple(r) for r in tree_forest.near_vectors(frame).collect()] == [(1, 0, 1, True)]
