@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .chunk_table import slices, worker_table
+from .chunk_table import ChunkTable, slices, worker_table
 from .common import small_batches, text_of
 
 
@@ -122,6 +122,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Placement]:
 #: White space other than a space or a line end.
 _RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters, and what comes after them; the ranges hold nothing but letters, and the rest
+#: begins with ASCII that is none. A byte-level pre-tokenizer always parts the two.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u052f"
+_WORD = re.compile(f"([{_LETTERS}]+)([\0-@\\[-`{{-\x7f].*)", re.DOTALL)
 
 
 #: Chunks that are encoded as one text. No token crosses the space between two.
@@ -142,6 +146,11 @@ class _Encoder:
         self._widths = np.zeros(max(words.values()) + 1, np.int64)
         for token, i in words.items():  # a byte-level token has one character for each byte
             self._widths[i] = len(added[i].encode()) if i in added else len(token)
+        self._words = ChunkTable(self._joined)
+        [letter] = self._joined(["x"])
+        self._rests = ChunkTable(
+            lambda rests: [i[len(letter):] for i in self._joined(["x" + r for r in rests])], 140_000
+        )
 
     def ids(self, texts: list[str], at_once: int = 16) -> Iterator[np.ndarray]:
         """Few texts at once, as the library's encodings are much larger than the ids."""
@@ -150,6 +159,19 @@ class _Encoder:
             yield from [np.array(e.ids, "<u4") for e in found]
 
     def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk with a space before it. What comes after a word, like the full
+        stop, is encoded by itself, so that the word is encoded once whatever follows."""
+        words, rests = list(chunks), {}
+        for at, chunk in enumerate(chunks):
+            if not chunk.isalpha() and (parted := _WORD.fullmatch(chunk)):
+                words[at], rests[at] = parted.groups()
+        [out] = self._words.columns([words])
+        [found] = self._rests.columns([list(rests.values())])
+        for at, ids in zip(rests, found):
+            out[at] += ids
+        return out
+
+    def _joined(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk with a space before it. Many are encoded at a time, and the
         ids are parted by the bytes that they stand for."""
         groups = [chunks[at : at + _JOINED] for at in range(0, len(chunks), _JOINED)]

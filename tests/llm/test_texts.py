@@ -73,6 +73,22 @@ def test_token_counts_are_the_librarys(docs):
     assert token_counts.token_counts(docs(["x"]).limit(0), path).count() == 0
 
 
+def test_a_word_is_encoded_once_whatever_follows():
+    path = tokenizer_path("byte_bpe_50k.json")
+    after = [".", ",", ".\nNext", "'s", "'ll.", "$$", "9x", "-a", "<|endoftext|>b", "\t.", "ª", "\u0301b", "²", "_c"]
+    words = ["word", "éoulech", "Слово", "λόγος", "Ǆungla", "\u0294a", "中文", "a\u0301b"]
+    text = "start " + " ".join(w + a for w in words for a in ["", *after])
+    encoder, batches = best_fit._Encoder(path), []
+    library = encoder._tokenizer
+    assert [np.frombuffer(i, "<u4").tolist() for i in best_fit.byte_level_ids([text], path)] == [
+        library.encode(text, add_special_tokens=False).ids
+    ]
+    joined = encoder._joined
+    encoder._words._encode = lambda chunks: batches.extend(chunks) or joined(chunks)
+    encoder.of_chunks(["éoulech" + a for a in after[:9]])
+    assert batches == ["éoulech"]
+
+
 def test_best_fit_equals_one_by_one():
     rng = random.Random(3)
     for _ in range(200):
