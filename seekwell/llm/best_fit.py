@@ -21,9 +21,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,10 @@ _WORD = re.compile(f"([{_LETTERS}]+)([\0-@\\[-`{{-\x7f].*)", re.DOTALL)
 
 #: Chunks that are encoded as one text. No token crosses the space between two.
 _JOINED = 512
+#: Characters of texts that are cut at a time.
+_SLICE = 4_000_000
+#: Chunks, and words, that a worker remembers.
+_KNOWN = 1_120_000
 _encoders: dict[str, "_Encoder"] = {}
 
 
@@ -146,7 +152,7 @@ class _Encoder:
         self._widths = np.zeros(max(words.values()) + 1, np.int64)
         for token, i in words.items():  # a byte-level token has one character for each byte
             self._widths[i] = len(added[i].encode()) if i in added else len(token)
-        self._words = ChunkTable(self._joined)
+        self._words = ChunkTable(self._joined, _KNOWN)
         [letter] = self._joined(["x"])
         self._rests = ChunkTable(
             lambda rests: [i[len(letter):] for i in self._joined(["x" + r for r in rests])], 140_000
@@ -199,29 +205,68 @@ def _encoder(vocabulary: str) -> _Encoder:
     return _encoders[vocabulary]
 
 
-def _chunks(text: str) -> list[str]:
-    """Pieces of a text, cut at single spaces between two other characters. A
-    byte-level pre-tokenizer joins such a space with what follows and never looks
-    across it. The space is left out; only the first piece has none before it."""
+def _head_and_rest(text: str) -> tuple[str, str | list[str] | None]:
+    """The first piece of a text, and the others: None if there are none, joined by
+    single spaces if those are all to cut at. Texts are cut at single spaces between two
+    other characters. A byte-level pre-tokenizer joins such a space with what follows and
+    never looks across it. The space is left out; only the first piece has none before it."""
     plain = not (
         "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
         or _RARE.search(text)
     )
-    return text.split(" ") if plain else _CUT.split(text)
+    if plain:
+        head, _, rest = text.partition(" ")
+        return head, rest or None
+    head, *chunks = _CUT.split(text)
+    return head, chunks or None
 
 
 def byte_level_ids(texts: list[str], vocabulary: str) -> list[bytes]:
-    """Ids of whole texts, each distinct chunk encoded once per worker."""
+    """Ids of whole texts, each distinct chunk encoded once per worker. Arrow cuts the
+    texts, numbers the chunks and puts their ids in a row, so that Python only handles
+    the distinct chunks of a slice."""
     encoder = _encoder(vocabulary)
-    table = worker_table(("bytes", vocabulary), lambda: encoder.of_chunks)
+    table = worker_table(("bytes", vocabulary), lambda: encoder.of_chunks, _KNOWN)
     out = []
-    for part in slices(texts):
-        split = [_chunks(t) for t in part]
-        heads = encoder.ids([chunks.pop(0) for chunks in split], 1000)
-        out += [h.tobytes() + b"".join(v) for h, v in zip(heads, table.columns(split))]
+    for part in slices(texts, _SLICE):
+        heads, rests = zip(*map(_head_and_rest, part))
+        plain = pa.array([r if isinstance(r, str) else None for r in rests], pa.large_string())
+        lists = pc.split_pattern(plain, " ")
+        odd = {at: r for at, r in enumerate(rests) if isinstance(r, list)}
+        flat = [lists.flatten(), pa.array(list(chain.from_iterable(odd.values())), pa.large_string())]
+        coded = pa.concat_arrays(flat).dictionary_encode()
+        found = table.distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, places, data = ids.buffers()
+        places = np.frombuffer(places, np.int64)[ids.offset :] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(data) if data is not None else memoryview(b"")
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        firsts = (np.cumsum(counts) - counts).astype(np.int64)
+        lasts = firsts + counts
+        at_odd = int(counts.sum())
+        for at, chunks in odd.items():
+            firsts[at], lasts[at] = at_odd, at_odd + len(chunks)
+            at_odd += len(chunks)
+        bounds = zip(places[firsts].tolist(), places[lasts].tolist())
+        before = encoder.ids(list(heads), 1000)
+        out += [h.tobytes() + data[lo:hi] for h, (lo, hi) in zip(before, bounds)]
     return out
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of consecutive batches, of about `_SLICE` characters or of one batch."""
+    doc_ids, texts, size = [], [], 0
+    for batch in batches:
+        doc_ids += batch.column("doc_id").to_pylist()
+        texts += batch.column("text").to_pylist()
+        size += batch.nbytes
+        if size >= _SLICE:
+            yield doc_ids, texts
+            doc_ids, texts, size = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, rank): rank counts, inside
     the task, the pieces of one length; full pieces have the length `capacity`."""
@@ -232,10 +277,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
         task = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
+        for doc_ids, texts in _together(batches):
             rows = []
-            for doc, ids in zip(doc_ids, byte_level_ids(batch.column("text").to_pylist(), vocabulary)):
+            for doc, ids in zip(doc_ids, byte_level_ids(texts, vocabulary)):
                 ids += end
                 n = len(ids) // 4
                 first = n % capacity or min(n, capacity)

@@ -28,12 +28,31 @@ class ChunkTable:
         if fresh:
             known.update(zip(fresh, self._encode(fresh)))
         out = [list(map(known.__getitem__, chunks)) for chunks in documents]
+        self._forget(fresh)
+        return out
+
+    def distinct(self, chunks: list[str]) -> list:
+        """The encoded value of each of some chunks that are all different. Most are known,
+        so each is looked up once and no set is made of them."""
+        known, older = self._known, self._older
+        out = list(map(known.get, chunks))
+        missing = [at for at, value in enumerate(out) if value is None]
+        found = [older.get(chunks[at]) for at in missing]
+        fresh = [chunks[at] for at, value in zip(missing, found) if value is None]
+        encoded = iter(self._encode(fresh) if fresh else ())
+        for at, value in zip(missing, found):
+            known[chunks[at]] = out[at] = next(encoded) if value is None else value
+        self._forget(fresh)
+        return out
+
+    def _forget(self, fresh: list[str]) -> None:
+        """Keep no long chunks, and two generations of the others."""
+        known = self._known
         for chunk in fresh:
             if len(chunk) > _LONG:
                 del known[chunk]
         if 2 * len(known) > self._limit:
             self._older, self._known = known, {}
-        return out
 
 
 _tables: dict[tuple, ChunkTable] = {}

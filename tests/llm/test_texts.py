@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seekwell.llm import (
     best_fit, near_dedup, personal_data, pieces, pseudo_likelihood, quality, token_counts,
 )
+from seekwell.llm.chunk_table import ChunkTable
 from seekwell.llm.components import connected_components
 from seekwell.llm.minhash import Pruner, Signer, shingle_sets, word_hashes
 from seekwell.llm.queries import tokenizer_path
@@ -89,6 +90,27 @@ def test_a_word_is_encoded_once_whatever_follows():
     assert batches == ["éoulech"]
 
 
+def test_a_slice_looks_up_each_chunk_once(monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, seen, distinct = best_fit._Encoder(path)._tokenizer, [], ChunkTable.distinct
+    monkeypatch.setattr(best_fit, "_SLICE", 3000)
+    monkeypatch.setattr(ChunkTable, "distinct", lambda self, c: seen.append(c) or distinct(self, c))
+    texts = odd_texts(500, 7) + ["one", "a b a b a", "a b. a b.\nb", "  a b  a"] * 20
+    for text, ids in zip(texts, best_fit.byte_level_ids(texts, path), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(seen) > 3 and all(len(set(c)) == len(c) for c in seen)
+    assert best_fit.byte_level_ids(["", ""], path) == [b"", b""]
+
+
+def test_a_memo_of_distinct_chunks():
+    encoded = []
+    memo = ChunkTable(lambda chunks: encoded.extend(chunks) or [c.upper() for c in chunks], 8)
+    for chunks in [["a", "b", "x" * 49], ["c", "a"], ["d", "e"], ["a", "f", "x" * 49], []]:
+        assert memo.distinct(chunks) == [c.upper() for c in chunks]
+    assert encoded == ["a", "b", "x" * 49, "c", "d", "e", "f", "x" * 49]
+    assert len(memo._known) + len(memo._older) <= 8
+
+
 def test_best_fit_equals_one_by_one():
     rng = random.Random(3)
     for _ in range(200):
