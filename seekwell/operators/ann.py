@@ -23,7 +23,7 @@ from ..constants import MAX_BROADCAST_BYTES, SEARCH_DEPTH
 from ..session import materialize
 from .embedding import unit_rows
 from .scoring import (
-    RequestStore, _vectors, local_best, merge_best, raised, store_requests, stored_requests, top_chunks,
+    RequestStore, _least_cosine, _vectors, local_best, merge_best, raised, store_requests, stored_requests, top_chunks,
 )
 
 TRAINING_ROWS_PER_CELL = 1024
@@ -171,14 +171,6 @@ def cell_widths(celled: DataFrame, centroids: np.ndarray) -> np.ndarray:
     return widths
 
 
-def _least_cosine(cutoffs: np.ndarray, metric: str) -> np.ndarray:
-    """The cosine that a score at the cutoff has; NaN stands for no cutoff."""
-    if metric == "l2sim":
-        positive = cutoffs > 0
-        cutoffs = np.where(positive, 1.5 - 0.5 / np.where(positive, cutoffs, 1.0), -np.inf)
-    return np.where(np.isnan(cutoffs), -np.inf, cutoffs)
-
-
 def with_open_cells(requests: DataFrame, centroids: np.ndarray, widths: np.ndarray, metric: str) -> DataFrame:
     """`cells` replaced by those not in it that may hold a score at the cutoff or above."""
     sent = requests.sparkSession.sparkContext.broadcast((unit_rows(centroids), widths))

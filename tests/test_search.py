@@ -126,6 +126,36 @@ def test_tasks_that_take_requests(spark, data, tmp_path, monkeypatch, repeated):
     assert left[0].groupBy("query_id").count().filter(f"count > {40 if repeated else 20}").isEmpty()
 
 
+def test_many_requests_are_taken_however_many_chunks_there_are(spark, data, monkeypatch):
+    """A hit that leaves a task costs more than a few read bytes, so tasks of chunks do not
+    give `k` hits each for hundreds of thousands of requests."""
+    chunks, _ = tables(spark, data)
+    cores = spark.sparkContext.defaultParallelism
+    for size in (2**26, 2**30, 2**33, 2**36):
+        monkeypatch.setattr(scoring, "input_bytes", lambda df: size)
+        monkeypatch.setattr(scoring, "expected_tasks", lambda df: -(-size // 2**27))
+        many = scoring.RequestStore(("a", "b"), 500_000, 384, None, None)
+        assert scoring._takes_requests(chunks, many, 100)
+        few = scoring.RequestStore(("a", "b"), 512 * (cores // 4) - 600, 384, None, None)
+        assert not scoring._takes_requests(chunks, few, 100)  # too few tasks for the cores
+
+
+@pytest.mark.parametrize("metric", scoring.METRICS)
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_single_precision_only_looks(spark, metric, k):
+    """Scores that single precision cannot tell apart, around the cutoff and the `k`-th best."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=DIM)
+    vectors = (base + rng.normal(size=(700, DIM)) * 2e-4).astype(np.float32)
+    chunks = [("all", f"p{i}", f"c{i:04}", 0, v.tolist()) for i, v in enumerate(vectors)]
+    cosines = np.sort(unit(vectors.astype(np.float64)) @ unit(base[None])[0])
+    score = (lambda c: 1 / (3 - 2 * c)) if metric == "l2sim" else float
+    queries = [(i, None, float(score(cosines[c])) - 3e-9, base.tolist()) for i, c in enumerate([-1, -3, -20, 350, 0])]
+    frame = spark.createDataFrame(chunks, CHUNKS).repartition(2)
+    top = scoring.top_chunks(frame, spark.createDataFrame(queries, QUERIES), DIM, metric, k)
+    same(found(top), brute_force(chunks, queries, metric, k))
+
+
 def test_requests_of_one_id_still_part(spark, data, monkeypatch):
     _, queries = tables(spark, data)
     alike = queries.withColumn("query_id", F.lit(1).cast("long"))
