@@ -80,18 +80,25 @@ def windows(
 ) -> np.ndarray:
     """For the tokens from `first` to `last` of documents laid end to end, the ids two
     before to two after each, without itself; padding beyond a document's ends."""
-    at = np.arange(first, len(ids) if last is None else last)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    document = np.searchsorted(bounds, at, side="right") - 1
-    starts, ends = bounds[document], bounds[document + 1]
-    out = np.empty((len(at), 4), np.int64)
+    last = len(ids) if last is None else last
+    low, high = max(first - 2, 0), min(last + 2, len(ids))
+    # only these tokens are laid out, with two places of padding around each document
+    counts = np.diff(np.clip(np.concatenate(([0], np.cumsum(sizes))), low, high))
+    place = np.arange(2, high - low + 2) + 2 * np.repeat(np.arange(len(counts)), counts)
+    laid = np.full(high - low + 2 * len(counts) + 2, padding, np.int64)
+    laid[place] = ids[low:high]
+    place = place[first - low : last - low]
+    out = np.empty((len(place), 4), np.int64)
     for column, step in enumerate((-2, -1, 1, 2)):
-        place = at + step
-        inside = (place >= starts) & (place < ends)
-        out[:, column] = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], padding)
+        out[:, column] = laid.take(place + step)
     return out
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Of the columns, row after row, as `x.sum(axis=0)` adds them but in less time."""
+    return np.einsum("ij->j", x)
+
+
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of the rows, taken in place, and their sums. The hidden layer is
     bounded, and so are the logits."""
@@ -131,7 +138,7 @@ def log_probabilities(
         t = target[start : start + 16_384]
         order, bounds = _by_class(t // shape.per_class, shape.classes)
         t = t[order]
-        h = np.tanh(_joined(emb, context[start : start + 16_384][order]) @ w1 + b1)
+        h = np.tanh(_joined(emb, context[start : start + 16_384].take(order, axis=0)) @ w1 + b1)
         value = _own(h @ wc + bc, t // shape.per_class)
         value += _own(_inner_logits(h, bounds, wt, bt), t % shape.per_class)
         out[start + order] = value
@@ -156,7 +163,7 @@ class Trainer:
         shape, n = self._shape, len(target)
         each, rows = np.float32(1 / n), np.arange(n)
         order, bounds = _by_class(target // shape.per_class, shape.classes)
-        context, target = context[order], target[order]
+        context, target = context.take(order, axis=0), target[order]
         x = _joined(emb, context)
         h = np.tanh(x @ w1 + b1)
         gc, total = _softmax(h @ wc + bc)
@@ -169,13 +176,13 @@ class Trainer:
         for k in np.flatnonzero(np.diff(bounds)):
             part = slice(bounds[k], bounds[k + 1])
             back[part] += gt[part] @ wt[k].T
-            g_wt[k] = h[part].T @ gt[part]
-            g_bt[k] = gt[part].sum(axis=0)
+            np.matmul(h[part].T, gt[part], out=g_wt[k])
+            g_bt[k] = _sums(gt[part])
         back *= 1 - h * h
         flat, gx = context.ravel(), (back @ w1.T).reshape(-1, shape.embedding)
         ge = np.stack([np.bincount(flat, gx[:, d], len(emb)) for d in range(shape.embedding)], 1)
         return [
-            ge.astype(np.float32), x.T @ back, back.sum(axis=0), h.T @ gc, gc.sum(axis=0), g_wt, g_bt,
+            ge.astype(np.float32), x.T @ back, _sums(back), h.T @ gc, _sums(gc), g_wt, g_bt,
         ]
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
@@ -189,7 +196,7 @@ def token_ids(hashes: np.ndarray, vocabulary: np.ndarray, shape: Shape) -> np.nd
     out = shape.words + (hashes % np.uint64(shared)).astype(np.int64)
     if len(vocabulary):
         order = np.argsort(vocabulary)
-        at = np.minimum(np.searchsorted(vocabulary, hashes, sorter=order), len(vocabulary) - 1)
+        at = np.minimum(np.searchsorted(vocabulary[order], hashes), len(vocabulary) - 1)
         own = order[at]
         out = np.where(vocabulary[own] == hashes, own, out)
     return out
@@ -403,7 +410,7 @@ def trained(stored: DataFrame, counts: np.ndarray, shape: Shape) -> list[np.ndar
                     at = lessons(len(ids), seen, round_, shape)
                     for k in range(0, len(at), shape.batch):
                         rows = at[k : k + shape.batch]
-                        trainer.step(context[rows], ids[rows])
+                        trainer.step(context.take(rows, axis=0), ids[rows])
                     seen += len(ids)
             if seen:
                 yield pa.RecordBatch.from_pydict(
