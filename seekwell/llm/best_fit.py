@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .chunk_table import ChunkTable, slices, worker_table
+from .chunk_table import ChunkTable, kept, slices, worker_table
 from .common import small_batches, text_of
 
 
@@ -134,15 +134,14 @@ _WORD = re.compile(f"([{_LETTERS}]+)([\0-@\\[-`{{-\x7f].*)", re.DOTALL)
 _JOINED = 512
 #: Characters of texts that are cut at a time.
 _SLICE = 4_000_000
-#: Chunks, and words, that a worker remembers.
+#: Chunks, and words, that a worker remembers, unless it is told of fewer.
 _KNOWN = 1_120_000
-_encoders: dict[str, "_Encoder"] = {}
 
 
 class _Encoder:
     """Ids by the tokenizers library, as little-endian 32-bit integers."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, known: int = _KNOWN):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -152,7 +151,7 @@ class _Encoder:
         self._widths = np.zeros(max(words.values()) + 1, np.int64)
         for token, i in words.items():  # a byte-level token has one character for each byte
             self._widths[i] = len(added[i].encode()) if i in added else len(token)
-        self._words = ChunkTable(self._joined, _KNOWN)
+        self._words = ChunkTable(self._joined, known)
         [letter] = self._joined(["x"])
         self._rests = ChunkTable(
             lambda rests: [i[len(letter):] for i in self._joined(["x" + r for r in rests])], 140_000
@@ -199,10 +198,8 @@ class _Encoder:
         return out
 
 
-def _encoder(vocabulary: str) -> _Encoder:
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = _Encoder(vocabulary)
-    return _encoders[vocabulary]
+def _encoder(vocabulary: str, known: int = _KNOWN) -> _Encoder:
+    return kept(("encoder", vocabulary, known), lambda: _Encoder(vocabulary, known))
 
 
 def _head_and_rest(text: str) -> tuple[str, str | list[str] | None]:
@@ -221,12 +218,12 @@ def _head_and_rest(text: str) -> tuple[str, str | list[str] | None]:
     return head, chunks or None
 
 
-def byte_level_ids(texts: list[str], vocabulary: str) -> list[bytes]:
+def byte_level_ids(texts: list[str], vocabulary: str, known: int = _KNOWN) -> list[bytes]:
     """Ids of whole texts, each distinct chunk encoded once per worker. Arrow cuts the
     texts, numbers the chunks and puts their ids in a row, so that Python only handles
     the distinct chunks of a slice."""
-    encoder = _encoder(vocabulary)
-    table = worker_table(("bytes", vocabulary), lambda: encoder.of_chunks, _KNOWN)
+    encoder = _encoder(vocabulary, known)
+    table = worker_table(("bytes", vocabulary, known), lambda: encoder.of_chunks, known)
     out = []
     for part in slices(texts, _SLICE):
         heads, rests = zip(*map(_head_and_rest, part))
@@ -267,7 +264,9 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], li
         yield doc_ids, texts
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str, capacity: int, end_id: int, known: int = _KNOWN
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, rank): rank counts, inside
     the task, the pieces of one length; full pieces have the length `capacity`."""
 
@@ -279,7 +278,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
         end = np.array([end_id], "<u4").tobytes()
         for doc_ids, texts in _together(batches):
             rows = []
-            for doc, ids in zip(doc_ids, byte_level_ids(texts, vocabulary)):
+            for doc, ids in zip(doc_ids, byte_level_ids(texts, vocabulary, known)):
                 ids += end
                 n = len(ids) // 4
                 first = n % capacity or min(n, capacity)
@@ -305,10 +304,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
     )
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, known: int = _KNOWN
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
-    stored = materialize(pieces(docs, vocabulary, capacity, end_id), "pack-pieces")
+    stored = materialize(pieces(docs, vocabulary, capacity, end_id, known), "pack-pieces")
     per_task = stored.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = per_task.select(
         "length", "task", "n",

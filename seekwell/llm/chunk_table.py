@@ -1,11 +1,13 @@
 """Tables of distinct chunks: each distinct piece of text is encoded once and the
 results are joined back by position.
 
-The table lives in the Python worker and so outlasts a task. It is a memo of two
+The table lives in the Python worker and so outlasts a task, until tasks of other work
+let it go. It is a memo of two
 generations: when the younger one is full, it becomes the older one, whose chunks come
 back when they are met again. So memory is bounded, frequent chunks stay, and results
 are not affected. Long chunks are encoded but not kept."""
 
+import gc
 from collections.abc import Callable
 
 _LONG = 48
@@ -55,16 +57,31 @@ class ChunkTable:
             self._older, self._known = known, {}
 
 
-_tables: dict[tuple, ChunkTable] = {}
+#: What this worker keeps between tasks: tables, and encoders with tables of their own.
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What this worker keeps for `key`, made at its first use."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
 
 
 def worker_table(
     key: tuple, make: Callable[[], Callable[[list[str]], list]], limit: int = 560_000
 ) -> ChunkTable:
     """The table of this worker for `key`, made at its first use."""
-    if key not in _tables:
-        _tables[key] = ChunkTable(make(), limit)
-    return _tables[key]
+    return kept(("table", *key), lambda: ChunkTable(make(), limit))
+
+
+def let_go() -> None:
+    """Free what is kept. Workers outlive a stage and take tasks of other work, beside
+    which full tables, some hundreds of MB, are not to lie; tasks that use no table call
+    this when they begin."""
+    if _kept:
+        _kept.clear()
+        gc.collect()  # encoders and their tables refer to each other
 
 
 def slices(texts: list[str], characters: int = 1_000_000) -> list[list[str]]:

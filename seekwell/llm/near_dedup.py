@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .chunk_table import let_go
 from .common import group_bounds, runs, small_batches
 from .components import connected_components
 from .minhash import Pruner, Signer, shingle_sets
@@ -61,6 +62,7 @@ def signed(docs: DataFrame, settings: NearDedup) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        let_go()
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), width))
             signatures = signer.sign(sets)
@@ -132,6 +134,7 @@ def likely_pairs(buckets: DataFrame, settings: NearDedup) -> DataFrame:
     keys = ["bucket", "block"]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in runs(batches, keys):
             ids = part.column("doc_id").to_numpy()
             sig = _signatures(part.column("signature"), size)
@@ -164,6 +167,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearDedup) -> DataFr
     width, percent = settings.width, settings.percent
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             left = shingle_sets(batch.column("text_a"), width)
             right = shingle_sets(batch.column("text_b"), width)
@@ -196,6 +200,7 @@ def _open_groups(buckets: DataFrame, component: DataFrame, settings: NearDedup)
     keys = ["bucket", "i", "j"]
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in runs(batches, keys):
             ids = part.column("doc_id").to_numpy()
             labels = part.column("label").to_numpy()
@@ -254,6 +259,7 @@ def _joining_links(
     width, percent = settings.width, settings.percent
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in runs(batches, ["group"]):
             ids, labels = part.column("doc_id").to_numpy(), part.column("label").to_numpy()
             bounds = group_bounds(part, ["group"])

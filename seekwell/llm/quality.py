@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import materialize
+from .chunk_table import let_go
 from .common import small_batches
 from .pseudo_likelihood import averaged, flat, shaped
 
@@ -203,6 +204,7 @@ def _learnable(docs: DataFrame) -> DataFrame:
     x holds the features as 32-bit floats."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             values = feature_matrix(batch.column("text").to_pylist()).astype(np.float32)
             yield pa.RecordBatch.from_pydict(
@@ -275,6 +277,7 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score") -> DataFr
         return docs.withColumn(score, F.lit(0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             values = model.score(feature_matrix(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(

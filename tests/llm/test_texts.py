@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import weakref
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from seekwell.llm import (
     best_fit, near_dedup, personal_data, pieces, pseudo_likelihood, quality, token_counts,
 )
-from seekwell.llm.chunk_table import ChunkTable
+from seekwell.llm.chunk_table import ChunkTable, worker_table
 from seekwell.llm.components import connected_components
 from seekwell.llm.minhash import Pruner, Signer, shingle_sets, word_hashes
 from seekwell.llm.queries import tokenizer_path
@@ -531,6 +532,32 @@ def test_window_network_sums_to_one():
     assert pseudo_likelihood.windows(np.array([5, 6, 7]), np.array([1, 2]), 9).tolist() == [[9] * 4, [9, 9, 7, 9], [9, 6, 9, 9]]
 
 
+class _Task:
+    """Stands for documents, and gives what a task would run."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_tasks_of_other_work_free_the_tables(spark):
+    vocabulary = tokenizer_path("byte_bpe_50k.json")
+    ids = best_fit.byte_level_ids(["some words and more words, once"], vocabulary)
+    held = [
+        weakref.ref(x) for x in (best_fit._encoder(vocabulary), worker_table(("bytes", vocabulary, best_fit._KNOWN), lambda: None))
+    ]
+    task = near_dedup.signed(_Task(spark), near_dedup.NearDedup())
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": ["a few words", None]})
+    assert [b.num_rows for b in task(iter([batch]))] == [2]
+    assert [x() for x in held] == [None, None]
+    assert best_fit.byte_level_ids(["some words and more words, once"], vocabulary) == ids
+
+
 def test_a_training_step_takes_less_time():
     """Sums of columns and windows by what numpy does at once, and no digit changed."""
     rng = np.random.default_rng(8)
