@@ -7,7 +7,7 @@ executor costs one round; only a count and a checksum reach the driver."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 _MAX_ROUNDS = 60
 
@@ -50,7 +50,9 @@ def connected_components(edges: DataFrame, left: str, right: str, label: str) ->
     )
     seen = _checksum(now)
     for _ in range(_MAX_ROUNDS):
-        now = materialize(_small_star(_large_star(now)), f"{label}-star")
+        before = now
+        now = materialize(_small_star(_large_star(before)), f"{label}-star")
+        discard(before)
         mark = _checksum(now)
         if mark == seen:
             break

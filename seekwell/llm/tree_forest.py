@@ -12,9 +12,13 @@ Trees grow in rounds. A round counts the rows of each node; a node above `leaf`
 gets a subtree, fitted in a task on a bounded sample of its rows (the places of its
 splits only need a sample), and all of its rows are sent down. A vector is one row with
 the list of its nodes, whatever their number; it is sent down all trees in one pass and
-written to the shared folder once a round. A leaf that stays too large, say of vectors
-that no direction parts, is compared in blocks, all blocks with all, so nothing is
-dropped and no task holds more than two blocks.
+written to the shared folder once a round, where it takes the place of the round before.
+A leaf that stays too large, say of vectors that no direction parts, is compared in
+blocks, all blocks with all, so nothing is dropped and no task holds more than two blocks.
+
+Many leaves hold a vector, more the larger the table is. So rows are not dealt to all
+leaves at once, but to a portion of them at a time, about as large as all vectors; what
+a portion's shuffle wrote goes before the next.
 
 A link counts in the first of the leaves that its two vectors share; every vector
 brings the list of its leaves. So links are added up where they are found: a pair of
@@ -33,10 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from ..session import materialize
+from ..session import broadcast_if_small, discard, materialize, materialize_all
 from .common import group_bounds, runs, small_batches
 from .components import connected_components
 from .vectors import matrix, unit, usable
@@ -128,17 +133,47 @@ def _child(node: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)).astype(np.int64)
 
 
-def _flat(rows: DataFrame) -> DataFrame:
-    """A row for every node that a row of `rows` is in."""
-    both = F.explode(F.arrays_zip("tree", "node")).alias("at")
+#: Bytes of rows that are dealt out by node or leaf at a time, or all vectors' if these are more.
+_DEALT_BYTES = 384 * 1024 * 1024
+
+
+@dataclass(frozen=True)
+class _Room:
+    """How much may be dealt out at a time."""
+
+    rows: int
+    row_bytes: int  # of one with its vector
+
+    def at_once(self, more: int = 0) -> int:
+        """How many rows, each of them `more` bytes larger."""
+        return max(1, max(_DEALT_BYTES, self.rows * self.row_bytes) // (self.row_bytes + more))
+
+
+def _room(vectors: DataFrame) -> _Room:
+    width = 4 if isinstance(vectors.schema["vector"].dataType.elementType, FloatType) else 8
+    found = vectors.agg(F.count("*").alias("rows"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("size")).first()
+    return _Room(found["rows"], 64 + width * found["size"])
+
+
+def _share_of(hashed: Column, portion: int, portions: int) -> Column:
+    return F.pmod(hashed, F.lit(portions)) == portion
+
+
+def _flat(rows: DataFrame, portion: int = 0, portions: int = 1) -> DataFrame:
+    """A row for every node that a row of `rows` is in, or for a portion of the nodes."""
+    nodes = F.arrays_zip("tree", "node")
+    if portions > 1:
+        nodes = F.filter(nodes, lambda x: _share_of(F.xxhash64(x["tree"], x["node"]), portion, portions))
+    both = F.explode(nodes).alias("at")
     return rows.select(*[c for c in rows.columns if c not in _KEYS], both).select("*", "at.tree", "at.node").drop("at")
 
 
-def _subtrees(rows: DataFrame, sizes: DataFrame, forest: Forest) -> DataFrame:
-    """(tree, node, splits) for every node that is too large."""
+def _subtrees(rows: DataFrame, sizes: DataFrame, forest: Forest, room: _Room) -> DataFrame:
+    """(tree, node, splits) for every node that is too large, stored."""
     share = F.least(F.lit(1.0), F.lit(float(forest.sample)) / F.col("n"))
     drawn = F.pmod(F.xxhash64("id", "tree", "node"), F.lit(1_000_000)) < share * 1_000_000
-    sample = _flat(rows).join(sizes, _KEYS).filter(drawn).select(*_KEYS, "n", "vector")
+    portions = -(-sizes.agg(F.sum(F.least("n", F.lit(forest.sample)))).first()[0] // room.at_once())
+    sizes = broadcast_if_small(sizes)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, _KEYS):
@@ -155,8 +190,12 @@ def _subtrees(rows: DataFrame, sizes: DataFrame, forest: Forest) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), kinds)], list(cols))
 
-    dealt = sample.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    return dealt.mapInArrow(fit, "tree long, node long, splits array<double>")
+    def of(portion: int) -> DataFrame:
+        sample = _flat(rows, portion, portions).join(sizes, _KEYS).filter(drawn).select(*_KEYS, "n", "vector")
+        dealt = sample.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+        return dealt.mapInArrow(fit, "tree long, node long, splits array<double>")
+
+    return materialize_all(map(of, range(portions)), "forest-subtrees")
 
 
 #: Bytes of splits that may go to every task; more are joined to the rows instead.
@@ -166,13 +205,13 @@ _SENT_BYTES = 16 * 1024 * 1024
 def _sent_down(rows: DataFrame, subtrees: DataFrame, forest: Forest) -> DataFrame:
     """`rows` with each node that has a subtree replaced by its leaves. A vector is sent
     down all of its trees at once and stays one row."""
-    names, known = ["id", "vector", *_KEYS], None
+    names, known = ["id", "copies", "vector", *_KEYS], None
     if subtrees.count() * 2**forest.levels * 16 <= _SENT_BYTES:
         known = {(r["tree"], r["node"]): np.array(r["splits"]) for r in subtrees.collect()}
         source = rows
     else:
         source = _flat(rows).join(subtrees, _KEYS, "left").select(
-            "id", "vector", *[F.array(k).alias(k) for k in _KEYS], "splits"
+            "id", "copies", "vector", *[F.array(k).alias(k) for k in _KEYS], "splits"
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +243,7 @@ def _sent_down(rows: DataFrame, subtrees: DataFrame, forest: Forest) -> DataFram
             ends = pa.array(np.append(0, ends).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("vector"),
+                    *[batch.column(c) for c in ("id", "copies", "vector")],
                     pa.ListArray.from_arrays(ends, pa.array(tree[take[order]])),
                     pa.ListArray.from_arrays(ends, pa.array(nodes[order])),
                 ],
@@ -217,22 +256,24 @@ def _sent_down(rows: DataFrame, subtrees: DataFrame, forest: Forest) -> DataFram
     same = ["id", F.xxhash64("vector").alias("of")]  # an id may have several vectors
     lists = sent.select(*same, *_KEYS).groupBy("id", "of").agg(F.collect_list(F.struct(*_KEYS)).alias("at"))
     lists = lists.select("id", "of", *[F.flatten(f"at.{k}").alias(k) for k in _KEYS])
-    return rows.select("vector", *same).join(lists, ["id", "of"]).select(*names)
+    return rows.select("copies", "vector", *same).join(lists, ["id", "of"]).select(*names)
 
 
-def leaves(vectors: DataFrame, forest: Forest) -> DataFrame:
-    """(id, leaf): the leaves of all trees that each row is in."""
+def leaves(vectors: DataFrame, forest: Forest, room: _Room) -> DataFrame:
+    """`vectors` with the lists `tree` and `node` of the leaves of all trees that a row is in."""
     trees = F.sequence(F.lit(0).cast("long"), F.lit(forest.trees - 1).cast("long"))
-    rows = vectors.select("id", "vector", trees.alias("tree"))
+    rows = vectors.select("id", "copies", "vector", trees.alias("tree"))
     rows = rows.withColumn("node", F.transform("tree", lambda t: F.lit(0).cast("long")))
-    for _ in range(forest.rounds_for(vectors.count())):
+    for _ in range(forest.rounds_for(room.rows)):
         large = _flat(rows.select(*_KEYS)).groupBy(*_KEYS).agg(F.count("*").alias("n"))
         large = materialize(large.filter(F.col("n") > forest.leaf), "forest-large")
         if large.isEmpty():
             break
-        subtrees = materialize(_subtrees(rows, large, forest), "forest-subtrees")
+        subtrees, before = _subtrees(rows, large, forest, room), rows
         rows = materialize(_sent_down(rows, subtrees, forest), "forest-rows")
-    return _flat(rows.select("id", *_KEYS)).select("id", F.xxhash64(*_KEYS).alias("leaf"))
+        for done in (before, subtrees, large):
+            discard(done)
+    return rows
 
 
 def _classes(lists: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -289,30 +330,44 @@ def _linked(
 
 def links(vectors: DataFrame, forest: Forest) -> DataFrame:
     """Rows (a, null, n), which add up to the number n of rows that vector a links
-    with, and rows (a, b, 0): links that join whatever all links join. `vectors` has
-    id, vector and copies."""
-    of_row = materialize(leaves(vectors, forest), "forest-leaves")
-    sizes = of_row.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    at = of_row.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("at"))
+    with, and rows (a, b, 0): links that join whatever all links join; stored. `vectors`
+    has id, vector and copies."""
+    room = _room(vectors)
+    stored = leaves(vectors, forest, room)
+    leaf_of = F.transform(F.arrays_zip(*_KEYS), lambda x: F.xxhash64(x["tree"], x["node"]))
+    rows = stored.select("id", "copies", "vector", F.sort_array(leaf_of).alias("at"))
+    sizes = rows.select(F.explode("at").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(2 * forest.leaf)).cast("int")
-    rows = vectors.join(at, "id").select("*", F.explode("at").alias("leaf")).join(sizes, "leaf")
-    rows = rows.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other).select(
-        "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "id", "copies", "at", "vector",
-    )
+    sizes = materialize(sizes.select("leaf", blocks.alias("blocks"), (F.col("n") * blocks).alias("n")), "forest-leaves")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    at_once = room.at_once(4 * total // max(1, room.rows))  # half of a list of leaves goes along
+    portions = max(1, -(-total // at_once))
+    counts = sizes.groupBy(F.pmod("leaf", F.lit(portions)).alias("portion")).agg(F.sum("n").alias("n")).collect()
+    known = broadcast_if_small(sizes.select("leaf", "blocks"))
     keys = ["leaf", "i", "j"]
 
+    def dealt(portion: int, part: int, parts: int) -> DataFrame:
+        """The rows of the leaves of a portion, or of a part of the pairs of their blocks."""
+        here, pair = F.col("at"), lambda o: F.xxhash64("leaf", F.least("block", o), F.greatest("block", o))
+        if portions > 1:
+            here = F.filter(here, lambda x: _share_of(x, portion, portions))
+        found = rows.select("*", F.explode(here).alias("leaf")).join(known, "leaf")
+        found = found.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        others = F.sequence(F.lit(0), F.col("blocks") - 1)
+        if parts > 1:
+            others = F.filter(others, lambda o: _share_of(pair(o), part, parts))
+        return found.select("*", F.explode(others).alias("other")).select(
+            "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            "block", "id", "copies", "vector",
+            F.slice("at", 1, F.array_position("at", F.col("leaf")).cast("int") - 1).alias("at"),  # what comes before
+        )
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, keys):
             bounds = group_bounds(part, keys)
-            ids, block, i, j, leaf = (part.column(k).to_numpy() for k in ("id", "block", "i", "j", "leaf"))
+            ids, block, i, j = (part.column(k).to_numpy() for k in ("id", "block", "i", "j"))
             for start, end in zip(bounds[:-1], bounds[1:]):
                 lists, kind = _classes(part.column("at").slice(start, end - start).combine_chunks())
-                lists = [x[x < leaf[start]] for x in lists]
                 if len(lists) <= 64 and _share(lists, lists).all():
                     continue
                 group = unit(matrix(part.column("vector").slice(start, end - start)))
@@ -356,8 +411,14 @@ def links(vectors: DataFrame, forest: Forest) -> DataFrame:
                         }
                     )
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(compare, "a long, b long, n long")
+    def compared(portion: int, part: int, parts: int) -> DataFrame:
+        given = dealt(portion, part, parts).repartition(*keys).sortWithinPartitions(*keys)
+        return given.mapInArrow(compare, "a long, b long, n long")
+
+    parts = [(r["portion"], -(-r["n"] // (2 * at_once))) for r in counts] or [(0, 1)]
+    out = materialize_all((compared(p, k, of) for p, of in parts for k in range(of)), "forest-links")
+    discard(stored)
+    return out
 
 
 def near_vectors(table: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -365,19 +426,22 @@ def near_vectors(table: DataFrame, forest: Forest = Forest()) -> DataFrame:
     small_batches(table.sparkSession, 4000)
     good = materialize(usable(table), "forest-usable")
     classes = good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = materialize(classes, "forest-classes")
-    found = materialize(links(classes.select("id", "vector", "copies"), forest), "forest-links")
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "forest-classes")
+    members = good.join(classes.select("vector", "class"), "vector").select("vec_id", "class")
+    members = materialize(members, "forest-members")
+    discard(good)
+    found = links(classes.select("id", "vector", "copies"), forest)
     component = connected_components(found.filter("b IS NOT NULL").select("a", "b"), "a", "b", "forest")
     others = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     found = (
         classes.join(others, "id", "left")
         .join(component.withColumnRenamed("node", "id"), "id", "left")
         .select(
-            "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+            "class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
             F.coalesce("component", "id").alias("component_id"),
         )
     )
-    of_id = good.join(found, "vector").groupBy("vec_id").agg(
+    of_id = members.join(found, "class").groupBy("vec_id").agg(
         F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id")
     )
     out = table.select(F.col("vec_id").cast("long").alias("vec_id")).join(of_id, "vec_id", "left")

@@ -1,11 +1,13 @@
 """Operators on vectors and pages, and the pipeline, against plain versions."""
 
 import os
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from seekwell import session
 from seekwell.llm import cross_polytope, tree_forest, url_filter
 from seekwell.llm.queries import ORACLES, QUERIES, RULES
 
@@ -123,6 +125,47 @@ def test_a_vector_is_one_row_in_every_round(spark, monkeypatch):
     assert sum(r["n_links"] for r in found) > 0
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(k).getName() for k in range(files.length())) if n.startswith("shuffle_")}
+
+
+def test_rows_are_dealt_to_a_portion_of_the_leaves_at_a_time(spark, monkeypatch, tmp_path):
+    """Also to a part of the blocks of one large leaf. What is done with leaves the disk."""
+    rng = np.random.default_rng(12)
+    vectors = np.concatenate([rng.normal(size=(80, 16)), np.eye(16)[0] + rng.normal(size=(120, 16)) / 50])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    forest = tree_forest.Forest(threshold=0.8, leaf=8, trees=1)
+    want = sorted(tree_forest.near_vectors(frame, forest).collect())
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.8).sum(1) - 1
+    assert sum(r["n_links"] for r in want) > 0.9 * near.sum() and all(r["n_links"] <= near[r["vec_id"]] for r in want)
+
+    dealt, written = {}, tree_forest.materialize_all
+
+    def watched(parts, label):
+        parts = list(parts)
+        dealt.setdefault(label, []).append(len(parts))
+        return written(parts, label)
+
+    monkeypatch.setattr(tree_forest, "materialize_all", watched)
+    monkeypatch.setattr(tree_forest, "_DEALT_BYTES", 1)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    files = _shuffle_files(spark)
+    found = tree_forest.near_vectors(frame, forest)
+    for _ in range(100):  # they go in the background
+        left = {n for n in _shuffle_files(spark) - files if n.endswith(".data")}
+        if len(left) < 20:  # of what was only counted or collected
+            break
+        time.sleep(0.1)
+    kept = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert sorted(found.collect()) == want
+    assert dealt["forest-links"][0] > 10
+    assert not kept & {"forest-usable", "forest-rows", "forest-large", "forest-subtrees", "forest-edges"}
+    assert len(left) < 20
+
+
 def test_pairs_at_the_threshold_are_taken_in_double():
     rng = np.random.default_rng(3)
     group = rng.normal(size=(300, 64)) + 2
