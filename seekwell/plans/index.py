@@ -37,7 +37,7 @@ from ..functions.ids import FOLDER_PARTS
 from ..operators import chunking, diff, filters, ignore
 from ..operators.embedding import Embedder, HashedWords, embed
 from ..schemas import CHUNKS, DELTA, FILES, MANIFEST, REJECTS, require
-from ..session import broadcast_if_small, input_bytes, materialize
+from ..session import broadcast_if_small, discard, input_bytes, materialize
 from ..storage import Storage
 from .tables import KEY, VersionedTable, table_schema
 
@@ -420,7 +420,7 @@ class SearchIndex:
             F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"),
             F.max_by("other", "seq").alias("other"),
         )
-        last = materialize(last, "last-changes")  # read several times, and few beside the contents
+        noted = last = materialize(last, "last-changes")  # read several times, and few beside the contents
         if last.agg(F.count_if(F.col("op") != F.col("other")).alias("n")).first()["n"]:
             raise ValueError("a file is both stored and removed under one seq")
         named = broadcast_if_small(last.select(*KEY))
@@ -432,12 +432,17 @@ class SearchIndex:
         live = self.live_files(among=named).select(
             *KEY, F.col("hash").alias("old_hash"), F.col("version").alias("prev_version")
         )
-        return self._apply_named(version, last.select(*KEY, "seq").join(live, KEY, "left"), upserts, stream, batch)
+        changed = last.select(*KEY, "seq").join(live, KEY, "left")
+        reading = self._read(upserts.select(*KEY, "content", F.octet_length("content").cast("long").alias("size")))
+        commit = self._apply_named(version, changed, reading, stream, batch)
+        discard(noted)
+        return commit
 
     def apply_last_changes(self, heads: DataFrame, stream: str, batch: int) -> dict:
-        """Apply rows like `streaming.latest.HEADS`, one per file, which tell what the
-        index held before; so nothing stored is read. Only for a stream that `follows`
-        the index or starts."""
+        """Apply stored rows like `streaming.latest.HEADS`, one per file, which tell what the
+        index held before; so nothing stored is read. Their contents were judged in the
+        stream and are taken from where they are. Only for a stream that `follows` the
+        index or starts."""
         if self.is_applied(stream, batch):
             return self.commit_info(self.last_version())
         version = (self.last_version() or 0) + 1
@@ -446,7 +451,13 @@ class SearchIndex:
             *KEY, "seq", "old_hash",
             F.when(F.col("old_hash").isNotNull(), F.lit(version - 1)).alias("prev_version"),
         )
-        return self._apply_named(version, named, heads.filter("hash IS NOT NULL"), stream, batch)
+        size = F.octet_length("content").cast("long")
+        judged = heads.filter("hash IS NOT NULL").select(
+            *KEY, "content", size.alias("size"), "hash", F.lit(None).cast("string").alias("reason")
+        )
+        sums = judged.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+        reading = Reading(judged, 0, True, sums["files"], sums["size"])
+        return self._apply_named(version, named, reading, stream, batch)
 
     def follows(self, stream: str) -> bool:
         """Whether this stream alone wrote all versions since it started, so that its
@@ -462,12 +473,10 @@ class SearchIndex:
         return self.live_files().select(*KEY, "hash").join(numbered, KEY, "full_outer")
 
     def _apply_named(
-        self, version: int, named: DataFrame, upserts: DataFrame, stream: str | None, batch: int | None
+        self, version: int, named: DataFrame, reading: Reading, stream: str | None, batch: int | None
     ) -> dict:
         """Apply changes of the files `named(folder, path, seq, old_hash, prev_version)`;
-        those of `upserts` that may be indexed are stored, the others leave."""
-        files = upserts.select(*KEY, "content", F.octet_length("content").cast("long").alias("size"))
-        reading = self._read(files)
+        those that `reading` keeps are stored, the others leave."""
         prepared = reading.kept
         status = (
             F.when(F.col("hash").isNull() & F.col("old_hash").isNull(), "same")
@@ -501,7 +510,8 @@ class SearchIndex:
         stream: str | None = None,
         batch: int | None = None,
     ) -> dict:
-        """Write rejects and manifest, then the chunks of changed files, then commit."""
+        """Write rejects and manifest, then the chunks of changed files, then commit.
+        What was read for it is removed."""
         buckets = self._lay_out(prepared)
         if reading.rejected:
             left_out = reading.judged.filter("reason IS NOT NULL").select(*KEY, "size", "reason")
@@ -551,7 +561,9 @@ class SearchIndex:
             known = self._known_vectors(manifest.filter(replaces).select(*KEY), small)
         stats["rejected"] = reading.rejected
         stats["embedded"] = self._write_chunks(version, contents, reading, known)
-        return self._commit(version, False, stats, stream, batch)
+        commit = self._commit(version, False, stats, stream, batch)
+        discard(reading.judged)
+        return commit
 
     def _known_vectors(self, replaced: DataFrame, small: bool) -> DataFrame:
         """`(text_key, vector)` of the chunks that the files `replaced` still have, so
@@ -587,12 +599,14 @@ class SearchIndex:
             keyed = rows.withColumn("text_key", F.sha2("text", 256)).join(known, "text_key", "left")
             rows = materialize(keyed.drop("text_key"), "chunks-known")
         seen = Observation()
+        whole = rows
         new = rows if known is None else rows.filter("vector IS NULL").drop("vector")
         new = new.withColumn("vector", embed(F.col("text"), self.embedder))
         new = new.observe(seen, F.count(F.lit(1)).alias("embedded"))
         if known is not None:
             new = new.unionByName(rows.filter("vector IS NOT NULL"))
         self._table("chunks").write(new, version)
+        discard(whole)
         return seen.get["embedded"]
 
     # -- upkeep ----------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.ids import folder_part
+from ..session import freeing_shuffles
 from ..storage import Storage
 
 KEY = ["folder", "path"]
@@ -57,7 +58,8 @@ class VersionedTable:
         if self._parts:
             placed = placed.withColumn("folder_part", folder_part(F.col("folder"), self._parts))
         writer = placed.select(*self.schema.names).write.format("parquet").mode("append")
-        writer.partitionBy(*self._place).bucketBy(self._buckets, *KEY).saveAsTable(self.name)
+        with freeing_shuffles(rows.sparkSession):
+            writer.partitionBy(*self._place).bucketBy(self._buckets, *KEY).saveAsTable(self.name)
         self._listed.add(version)
 
     def read(self, versions: list[int]) -> DataFrame:

@@ -10,14 +10,20 @@ from ..constants import SEARCH_DEPTH
 from ..plans.index import SearchIndex
 from ..plans.search import answers
 from ..schemas import DELTA, REQUESTS
-from ..session import materialize
+from ..session import discard, free_shuffles, materialize
 from ..storage import Storage
 from .latest import last_changes
 
 
-def file_changes(spark: SparkSession, directory: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of `(folder, path, content, op, seq)` rows from Parquet files."""
+def file_changes(
+    spark: SparkSession, directory: str, files_per_batch: int | None = None, consume: bool = False
+) -> DataFrame:
+    """Stream of `(folder, path, content, op, seq)` rows from Parquet files. With `consume`
+    files are removed after the batch that read them is done; a new checkpoint then has
+    nothing to replay."""
     reader = spark.readStream.schema(DELTA)
+    if consume:
+        reader = reader.option("cleanSource", "delete")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(directory)
@@ -53,11 +59,13 @@ def start_refresh(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         changed = materialize(batch, "changes")  # read several times: keys, contents, chunks
+        free_shuffles(batch)
         stream = f"{name}/{saved.read_json('metadata')['id']}"
         if keyed and (batch_id == 0 or index.follows(stream)):
             index.apply_last_changes(changed, stream, batch_id)
         else:
             index.apply_changes(changed, stream, batch_id)
+        discard(changed)
 
     if keyed:
         started = saved.exists("metadata")
@@ -88,6 +96,7 @@ def start_answers(
         asked = materialize(batch, "asked")  # read twice: for vectors and for texts
         told = answers(index, asked, k, patterns, pattern_files)
         told.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        discard(asked)
 
     writer = incoming.writeStream.foreachBatch(respond).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if catch_up else writer).start()

@@ -16,7 +16,7 @@ from ..operators.embedding import (
 )
 from ..plans import CellIndex, FileRules, SearchIndex, answers, search, search_batch, search_with_snippets
 from ..plans.index import line_settings, token_settings
-from ..session import new_scratch, ship_package, spread
+from ..session import freeing_shuffles, new_scratch, ship_package, spread
 from ..sources import checked, from_binary, scan_directory, valid
 from ..streaming import file_changes, start_answers, start_refresh
 from ..streaming import requests as request_stream
@@ -601,8 +601,9 @@ def _streamed(spark: SparkSession, sf_dir: str, order: list[int], keyed: bool) -
                 F.lit("D").alias("op"), F.lit(seq).cast("long").alias("seq"),
             )
             stored = stored.unionByName(gone)
-        stored.write.mode("append").parquet(f"{scratch}/input")
-    stream = file_changes(spark, f"{scratch}/input", files_per_batch=8)
+        with freeing_shuffles(spark):
+            stored.write.mode("append").option("compression", "zstd").parquet(f"{scratch}/input")
+    stream = file_changes(spark, f"{scratch}/input", files_per_batch=8, consume=True)
     start_refresh(index, stream, f"{scratch}/checkpoint", "changes", keyed=keyed).awaitTermination()
     return _chunk_rows(index.live_chunks())
 

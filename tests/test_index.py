@@ -3,6 +3,7 @@
 import json
 import os
 import re
+import time
 import zlib
 from collections import Counter
 from dataclasses import replace
@@ -20,6 +21,7 @@ from seekwell import (
     SearchIndex,
     search,
     search_batch,
+    session,
 )
 from seekwell.functions.text import words
 from seekwell.operators import diff
@@ -453,6 +455,49 @@ def test_stream_state_is_few_values(spark, tmp_path, make_files, monkeypatch):
         _feed(spark, root, ("r", "f7.md", "late", "U", 2**60 + 2), ("r", "f9.md", "old 9", "U", 2**60 + 1))
 
 
+@pytest.mark.parametrize("keyed", [True, False])
+def test_a_stream_leaves_only_the_index(spark, tmp_path, monkeypatch, keyed):
+    """What a batch read and wrote aside is gone when it is done."""
+    root = str(tmp_path)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"{root}/shared")
+    index = SearchIndex(spark, f"{root}/streamed", HashedWords(32))
+    rows = [[("r", f"f{i}.md", f"{seq} {i}", "U", seq) for i in range(40)] for seq in range(4)]
+    for some in rows:
+        _feed(spark, root, *some, ("r", "x.md", None, "D", some[0][4]))
+    given = {f for f in os.listdir(f"{root}/in") if f.endswith(".parquet")}
+    changes = file_changes(spark, f"{root}/in", 1, consume=True)
+    start_refresh(index, changes, f"{root}/ck", "s", keyed=keyed).awaitTermination()
+    assert {r["path"]: r["text"] for r in index.live_chunks().collect()} == {f"f{i}.md": f"3 {i}" for i in range(40)}
+    assert len(index.versions()) == 4
+    assert os.listdir(f"{root}/shared") == []
+    left = {f for f in os.listdir(f"{root}/in") if f.endswith(".parquet")}
+    assert len(given) == 4 and len(left) <= 2  # the last batch has no later one that would remove its file
+
+
+def test_shuffles_go_once_their_rows_are_stored(spark):
+    """Of what is written, and of what stands behind the batch of a stream."""
+    named = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def gone(files):
+        for _ in range(100):  # they go in the background
+            if not files & data():
+                return True
+            time.sleep(0.1)
+
+    def data():
+        return {n for n in named.getAllFiles().mkString("\n").split("\n") if n.endswith(".data")}
+
+    rows, before = spark.range(1000).repartition(3, "id"), data()
+    found = session.materialize(rows, "freed")
+    assert gone(data() - before) and found.count() == 1000
+    session.discard(found)
+    before, batch = data(), spark.createDataFrame(rows.rdd, rows.schema)
+    found = session.materialize(batch, "stored")
+    assert (files := data() - before)
+    session.free_shuffles(batch)
+    assert gone(files) and found.count() == batch.count() == 1000
+
+
 def test_writers_follow_what_is_stored(spark, tmp_path, make_files, monkeypatch):
     """A bucket of many chunks is written by several tasks, and still read as one."""
     import seekwell.plans.index as module
