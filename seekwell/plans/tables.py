@@ -40,7 +40,7 @@ class VersionedTable:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         quoted = where.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet OPTIONS (compression 'zstd') "
             f"PARTITIONED BY ({', '.join(self._place)}) CLUSTERED BY (folder, path) INTO {buckets} BUCKETS "
             f"LOCATION '{quoted}'"
         )

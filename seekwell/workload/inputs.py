@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..session import spread
+from ..session import broadcast_if_small, spread
 from ..sources import from_table
 
 CORPUS = "corpus"
@@ -50,7 +50,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     1: without the documents labelled toxic. 2: without those of low quality,
     and with those of high quality edited. 3: German files moved, French files
     cut to their first line."""
-    labels = table(spark, sf_dir, "labels")
+    labels = broadcast_if_small(table(spark, sf_dir, "labels"))  # or all texts are shuffled
     docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) == 1
     low = F.coalesce(F.col("quality"), F.lit(1)) == 0
